@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints
+from . import bpe, fingerprints, media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op5_media_columns": media.op5_media_columns,
+    "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {}
