@@ -28,7 +28,7 @@ from .common import load, map_batches
 #: The pattern of byte-level tokenizers (a fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space of Unicode's White_Space property, which \s has to mean.
-SPACES = r"\t-\r \x85\xa0  -     　"
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MEMORY_WORDS = 600_000
 NONE = np.int32(2**31 - 1)
 

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, media
+from . import bpe, fingerprints, html, language, media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op5_media_columns": media.op5_media_columns,
     "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+    "op9_language_id": language.op9_language_id,
+    "op10_html_extraction": html.op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}

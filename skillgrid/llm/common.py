@@ -63,7 +63,7 @@ class Scratch:
 
     def bytes(self, df: DataFrame) -> int:
         """Bytes of a table that table() returned."""
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
     def hint(self, df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
         """A broadcast hint if the table's files are small; else the table as it is,
