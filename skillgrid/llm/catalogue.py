@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, language, media
+from . import bpe, fingerprints, html, language, lines, media, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+    "op7_source_mixing": mixing.op7_source_mixing,
     "op9_language_id": language.op9_language_id,
     "op10_html_extraction": html.op10_html_extraction,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines.ORACLE,
+    "op7_source_mixing": mixing.ORACLE,
+}
