@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, language, lines, media, mixing
+from . import bpe, fingerprints, html, language, lines, media, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op3_quality": quality.op3_quality,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": html.op10_html_extraction,
 }
 ORACLES: dict[str, str] = {
+    "op3_quality": quality.op3_quality,
     "op4_line_dedup": lines.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
 }
