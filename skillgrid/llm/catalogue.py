@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, language, lines, media, mixing, quality
+from . import bpe, fingerprints, html, language, lines, media, minhash, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_near_duplicates": minhash.op2_near_duplicates,
     "op3_quality": quality.op3_quality,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_media_columns": media.op5_media_columns,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": html.op10_html_extraction,
 }
 ORACLES: dict[str, str] = {
+    "op2_near_duplicates": minhash.op2_near_duplicates,
     "op3_quality": quality.op3_quality,
     "op4_line_dedup": lines.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
