@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, language, lines, media, minhash, mixing, quality
+from . import bpe, fingerprints, html, language, lines, media, minhash, mixing, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media_columns": media.op5_media_columns,
     "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_language_id": language.op9_language_id,
     "op10_html_extraction": html.op10_html_extraction,
 }
