@@ -1,15 +1,79 @@
-"""A corpus pipeline of the operators in skillgrid.llm."""
+"""A corpus pipeline: language ID, line dedup, near-dedup, mixing, byte-pair coding.
+
+Each stage takes (spark, docs, sf_dir), where docs has the columns of the documents table
+(doc_id, text, lang, source, n_chars), works on all of it, and returns a DataFrame; all but
+the last return the same columns. run() applies them in order, writing each result to the
+shared scratch folder, so a lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skillgrid.llm import bpe, language, lines, minhash, mixing
+from skillgrid.llm.common import Scratch, load
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Tokens that mixing selects, as a share of those it is given, and epochs of small leaves.
+MIX_SHARE, MIX_EPOCHS = 0.9, 2
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear, with the predicted language; those that the
+    classifier rejects (no letters, or a narrow margin) go. It learns from the labelled
+    rows of its input."""
+    model = language.learn(docs)
+    known = language.identify(docs, model, keep=COLUMNS).where("not rejected")
+    return known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that are boilerplate on their source; n_chars follows.
+    Texts of which nothing is left go."""
+    clean = lines.drop_boilerplate(docs.select(*COLUMNS))
+    clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    return clean.where("n_dropped = 0 or trim(text) <> ''").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group of near duplicates (five-word
+    shingles, similarity 0.8). Rows without an id stay."""
+    found = minhash.near_duplicates(docs)
+    gone = Scratch(spark, "dropped").table(found.where("not kept").select("doc_id").distinct())
+    hint = Scratch(spark, "hint").hint(gone)
+    return docs.select(*COLUMNS).join(hint, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by the target weights; one of a small leaf may come once an epoch."""
+    chosen = mixing.mix(mixing.with_domain(docs.select(*COLUMNS)), share=MIX_SHARE, epochs=MIX_EPOCHS, keep=COLUMNS)
+    return chosen.select(*COLUMNS)
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, and whether decoding them gives the text."""
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    back = bpe.decode(ids, out_col="decoded")
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_boilerplate_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("source_mixing", mix_sources),
+    ("bpe", encode_bytes),
+]
+#: Compression and byte-pair coding are beyond SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = load(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = scratch.table(docs)
     return docs
