@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, load, map_batches, shuffle_partitions, slices
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 28
 SPAN = LENGTH - GRAM + 1
 #: Grams with this many rows in a block are sent once for the block; grams in so many
 #: documents overall have their windows dealt by their own content.
@@ -61,6 +61,20 @@ def _ahead(x: np.ndarray, n: int, fill) -> np.ndarray:
     return out
 
 
+def _hashes(flat: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hash of the `size` bytes from each place on, by doubling."""
+    power, width, out, done = _BYTES[flat], 1, None, 0
+    while True:
+        if size & width:
+            part = _ahead(power, done, 0)
+            out = part if out is None else out * np.uint64(pow(_STEP, width, 1 << 64)) + part
+            done += width
+        if done == size:
+            return out
+        power = power * np.uint64(pow(_STEP, width, 1 << 64)) + _ahead(power, width, 0)
+        width *= 2
+
+
 def grams(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     """Runs of windows with one minimizer: blob, first window, windows, key of the gram."""
     flat = np.frombuffer(b"".join(x for b in blobs for x in (b, _GAP)), np.uint8)
@@ -69,9 +83,7 @@ def grams(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     have = size >= LENGTH
     if not have.any():
         return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
-    h = _BYTES[flat]
-    for n in (1, 2, 4, 8):
-        h = h * np.uint64(pow(_STEP, n, 1 << 64)) + _ahead(h, n, 0)
+    h = _hashes(flat, GRAM)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -260,7 +272,7 @@ def _cut_pieces(rows: dict[str, list]) -> dict[str, list]:
         for c, v in zip(out, (bucket, piece, (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63), rows["k"][i], rows["h"][i], a)):
             out[c].append(v)
 
-    blob, start, count, cut = blob[hit], start[hit], count[hit], (key[hit] & np.uint64(7)) == 0
+    blob, start, count, cut = blob[hit], start[hit], count[hit], (key[hit] & np.uint64(15)) == 0
     owner, often = least[at[hit]], often[at[hit]] > 0
     for j in np.flatnonzero(often).tolist():
         for a in range(int(start[j]), int(start[j] + count[j])):
@@ -304,22 +316,23 @@ def separated(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     transform; the common prefixes come up by increasing length."""
     n = len(text)
     last = text[order - 1]  # the transform: the byte before each suffix
-    back = np.empty(n, np.int64)  # where the suffix one byte longer stands
-    back[np.argsort(last, kind="stable")] = np.arange(n)
-    first = np.sort(text)  # the first byte of each suffix
+    back = np.empty(n, np.int32)  # where the suffix one byte longer stands
+    back[np.argsort(last, kind="stable")] = np.arange(n, dtype=np.int32)
+    # the first byte of each suffix, and room for the interval from which it was reached
+    first, owner = np.sort(text), np.empty(n, np.int32)
     apart = np.zeros(n + 1, bool)
     apart[0] = apart[n] = True
-    lows, highs = np.array([0]), np.array([n])
-    owner = np.full(n + 1, -1, np.int64)
+    lows, highs = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(length):
         size = highs - lows
-        which = np.repeat(np.arange(len(lows)), size)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lows, size)
-        to = back[inside]
+        which = np.repeat(np.arange(len(lows), dtype=np.int32), size)
+        shift = lows - (np.cumsum(size, dtype=np.int32) - size)
+        to = back[np.arange(len(which), dtype=np.int32) + shift[which]]
         owner[to] = which
         to.sort()
         mine, byte = owner[to], first[to]
-        fresh = np.concatenate(([True], (to[1:] != to[:-1] + 1) | (mine[1:] != mine[:-1]) | (byte[1:] != byte[:-1])))
+        fresh = np.ones(len(to), bool)
+        fresh[1:] = (to[1:] != to[:-1] + 1) | (mine[1:] != mine[:-1]) | (byte[1:] != byte[:-1])
         heads = np.flatnonzero(fresh)
         lows, highs = to[heads], to[np.append(heads[1:], len(to)) - 1] + 1
         new = ~apart[highs]
