@@ -60,7 +60,7 @@ def rank_skill(df: DataFrame, keys: list[str], prob: str = "probability", obs: s
     tau = F.try_divide(F.col("_s"), F.sqrt((pairs - F.col("_ptie")) * (pairs - F.col("_otie"))))
     var = (m * (2 * n + 5) - F.col("_p1") - F.col("_o1")) / 18 + F.try_divide(2 * F.col("_ptie") * F.col("_otie"), m) + F.coalesce(F.try_divide(F.col("_p0") * F.col("_o0"), 9 * m * (n - 2)), F.lit(0.0))
     varies = F.col("_std") > 0
-    out = out.withColumn("_s", concord).withColumn("rho", F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho")))))
+    out = out.withColumn("_s", concord).withColumn("rho", F.when(varies & F.col("rho").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho")))))
     out = out.withColumn("tau", F.when(varies, tau)).withColumn("tau_z", F.when(F.col("tau").isNotNull(), F.try_divide(F.col("_s"), F.sqrt(var))))
     return out.select(*keys, "n", "brier", "rho", correlation_p(F.col("rho"), F.col("n")).alias("rho_p"), "tau", "tau_z", normal_p("tau_z").alias("tau_p"))
 
