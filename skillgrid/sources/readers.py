@@ -67,10 +67,10 @@ class Config:
 
     @classmethod
     def from_mapping(cls, raw: dict[str, Any], base: Path) -> Config:
-        """Relative paths start at `base`; the analysis store is taken as it is. The store
-        may also be called era5_zarr, after the public reanalysis."""
+        """Relative paths start at `base`; the analysis store is taken as it is. Its setting
+        is `analysis`, or any that ends in _zarr."""
         own = lambda p: str(p) if "://" in str(p) or Path(p).is_absolute() else str(base / p)
-        store = raw.get("analysis", raw.get("era5_zarr"))
+        store = raw.get("analysis") or next((v for k, v in raw.items() if k.endswith("_zarr")), None)
         needed = ("output_root", "target_dates", "lead_days", "bbox", "expected_members", "baseline_start_year", "prediction_pattern")
         if absent := [k for k in needed if k not in raw] + ["analysis"] * (store is None):
             raise KeyError(f"missing settings: {', '.join(absent)}")

@@ -49,7 +49,7 @@ def test_postprocess(spark, tmp_path):
 def test_configuration(tmp_path):
     with pytest.raises(KeyError, match="lead_days"):
         readers.Config.from_mapping({"output_root": "x"}, tmp_path)
-    base = {"output_root": "o", "target_dates": ["2014-04-01"], "lead_days": [31], "bbox": [0, 1, 2, 3], "expected_members": 1, "baseline_start_year": 1990, "era5_zarr": "gs://b/x", "prediction_pattern": "/abs/{lead}"}
+    base = {"output_root": "o", "target_dates": ["2014-04-01"], "lead_days": [31], "bbox": [0, 1, 2, 3], "expected_members": 1, "baseline_start_year": 1990, "reanalysis_zarr": "gs://b/x", "prediction_pattern": "/abs/{lead}"}
     cfg = readers.Config.from_mapping(base, tmp_path)
     assert cfg.output_root == f"{tmp_path}/o" and cfg.analysis == "gs://b/x" and cfg.prediction_pattern == "/abs/{lead}" and cfg.last_baseline_year(2014) == 2013 and cfg.max_map_members == 6
     at = tmp_path / "configs" / "a.json"
