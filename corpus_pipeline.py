@@ -39,10 +39,9 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near duplicates (five-word
     shingles, similarity 0.8). Rows without an id stay."""
-    found = minhash.near_duplicates(docs)
-    gone = Scratch(spark, "dropped").table(found.where("not kept").select("doc_id").distinct())
-    hint = Scratch(spark, "hint").hint(gone)
-    return docs.select(*COLUMNS).join(hint, "doc_id", "left_anti").select(*COLUMNS)
+    scratch = Scratch(spark, "dropped")
+    gone = scratch.table(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    return docs.select(*COLUMNS).join(scratch.hint(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether decoding them gives the text."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    back = bpe.decode(ids, out_col="decoded")
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"))
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), exact_col="exact")
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [

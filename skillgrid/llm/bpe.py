@@ -29,7 +29,7 @@ from .common import load, map_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space of Unicode's White_Space property, which \s has to mean.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 200_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -170,17 +170,22 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encode(df: DataFrame, text_col: str = "text", path: str | None = None, out_col: str = "ids") -> DataFrame:
-    """All columns of df with `out_col`, an array of ids (a column of that name gives way)."""
+def encode(df: DataFrame, text_col: str = "text", path: str | None = None, out_col: str = "ids", exact_col: str | None = None) -> DataFrame:
+    """All columns of df with `out_col`, an array of ids, and on demand `exact_col`, whether
+    decoding them gives the text; columns of these names give way."""
     path = path or default_vocabulary()
-    rest = [c for c in df.columns if c != out_col]
+    made = [c for c in (out_col, exact_col) if c]
+    rest = [c for c in df.columns if c not in made]
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        ids, n = coder(path).encode([t or "" for t in rows[text_col]])
-        return {c: rows[c] for c in rest} | {out_col: np.split(ids, np.cumsum(n)[:-1])}
+        c, texts = coder(path), [t or "" for t in rows[text_col]]
+        flat, n = c.encode(texts)
+        ids = np.split(flat, np.cumsum(n)[:-1])
+        exact = {exact_col: [c.decode(x) == t for x, t in zip(ids, texts)]} if exact_col else {}
+        return {c: rows[c] for c in rest} | {out_col: ids} | exact
 
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest) + f", `{out_col}` array<int>"
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"`{out_col}` array<int>", *([f"`{exact_col}` boolean"] if exact_col else [])])
     return map_batches(df.select(*[F.col(f"`{c}`") for c in {*rest, text_col}]), schema, work, text_col)
 
 
