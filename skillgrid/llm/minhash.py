@@ -9,10 +9,11 @@ bucket key. A pair at the similarity asked for shares no bucket with a chance of
 
 Within a bucket not all pairs are compared. First each class is compared with the least
 class of one of its buckets, then with the least ones of its other buckets, where these
-are not in its component yet. Pairs of classes that are still in different components,
-and share a bucket, are compared if the distances to the bucket's least class, the
-triangle inequality of the Jaccard distance, and the sizes of the sets allow a link.
-So a bucket of copies costs its size, and no link is lost. Links count only if the full
+are not in its component yet. Strays, which are still in another component than the
+least class of a bucket of theirs, are compared with the classes there: in small buckets
+with all near enough in size, in large ones with those that differ from the least class
+in the same shingles (see _far_pairs). So a bucket of
+copies costs its size, what many documents share makes no pairs, and no link is lost. Links count only if the full
 sets confirm them.
 
 Documents without words (or null texts) have the size 0 and are linked with nothing;
@@ -23,14 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, map_batches
+from .common import Scratch, load, map_batches, shuffle_partitions
 from .graph import components
 
 SIZE, PERCENT = 5, 80
 BANDS, ROWS = 48, 6
+#: Buckets with up to this product of strays and members compare their strays pair by pair.
+SMALL = 1024
 SEED = 0x5EED
 
 
@@ -122,6 +125,52 @@ def _similar(percent: int):
     return 100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))
 
 
+def _pairs(s: DataFrame, o: DataFrame, on: list[str], percent: int, also: Column | None = None) -> DataFrame:
+    """u, v from rows of strays s and others o that agree on `on`, are in different
+    components, and have sets near enough in size."""
+    s, o = s.alias("s"), o.alias("o")
+    cond = (F.col("s.c") != F.col("o.c")) & (100 * F.col("s.n") >= percent * F.col("o.n")) & (100 * F.col("o.n") >= percent * F.col("s.n"))
+    cond = cond & ((F.col("o.stray") == 0) | (F.col("s.k") < F.col("o.k")))
+    cond = cond if also is None else cond & also
+    for c in on:
+        cond = cond & (F.col(f"s.{c}") == F.col(f"o.{c}"))
+    return s.join(o, cond).select(F.greatest("s.k", "o.k").alias("u"), F.least("s.k", "o.k").alias("v"))
+
+
+def _far_pairs(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links of members of large buckets to a reference, and pairs that are left.
+
+    `left` has k, c, n, stray and the reference r, the least document of the component
+    from which k strays, or its own. With D(k) the difference of the sets of k and r (both
+    ways), the sets of s and o differ in D(s) + D(o) - 2 |D(s) & D(o)| shingles, and are
+    similar if that is at most (n(s) + n(o)) (100 - p) / (100 + p). If D(s) + D(o) is no
+    more, both are similar to r itself. Else their differences need common shingles, so
+    many that already the first common one must come early in an order of all, from
+    rare to frequent (the position filter). What all share with r makes no pairs at all."""
+    of = lambda x, s: sets.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(s))
+    rows = left.where("k <> r").join(of("k", "a").drop("n_k"), "k").join(of("r", "b"), "r")
+    rows = rows.withColumn("gained", F.array_except("a", "b")).withColumn("lost", F.array_except("b", "a"))
+    rows = scratch.table(rows.select("k", "c", "n", "stray", "r", "n_r", "gained", "lost").withColumn("dn", F.size("gained") + F.size("lost")))
+    links = rows.where((100 + percent) * F.col("dn") <= (100 - percent) * (F.col("n") + F.col("n_r"))).where("stray = 1").select(F.greatest("k", "r").alias("u"), F.least("k", "r").alias("v"))
+    # the shingles that a sixteenth of r's rows have: at most sixteen times what a row has;
+    # they only order the shingles (any order is right), so every fourth row tells enough
+    rows = rows.withColumn("d", F.concat("gained", "lost"))
+    told = rows.where(F.pmod(F.xxhash64("k"), F.lit(4)) == 0)
+    often = told.select("r", F.explode("d").alias("x")).groupBy("r", "x").agg(F.count("*").alias("f")).where("f > 1").alias("f")
+    many = told.groupBy("r").agg(F.count("*").alias("m")).alias("m")
+    often = often.join(many, (F.col("f.r") == F.col("m.r")) & (16 * F.col("f.f") >= F.col("m.m"))).select("f.r", "x", "f")
+    often = often.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("x", "f"))).alias("f"))
+    # broadcast if it is small, so that a reference with many rows stays dealt out
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "k")
+    each = dealt.join(scratch.hint(scratch.table(often)), "r", "left").withColumn("d", F.array_sort(F.transform("d", lambda x: F.struct(F.coalesce(F.element_at("f", x), F.lit(0)).alias("f"), x.alias("x")))).getField("x"))
+    # no partner (of at most 100 / p times the size) has its first common shingle further on
+    front = F.slice("d", 1, F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1)
+    each = each.select("k", "c", "n", "stray", "r", "dn", F.posexplode(front).alias("i", "x"))
+    most = F.least(F.col("s.dn") - F.col("s.i"), F.col("o.dn") - F.col("o.i"))
+    early = (100 + percent) * (2 * most - F.col("s.dn") - F.col("o.dn")) + (100 - percent) * (F.col("s.n") + F.col("o.n")) >= 0
+    return links, _pairs(each.where("stray = 1"), each, ["r", "x"], percent, early).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """A row for each row of df: id, n_shingles, component_id and kept."""
     spark = df.sparkSession
@@ -157,19 +206,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = scratch.table(links.union(fresh))
     found = scratch.table(components(links, scratch))
 
-    # what is left in a bucket besides the component of its pivot, against the others in it
-    distance = scratch.table(known.union(more).select(F.col("u").alias("k"), F.col("v").alias("pivot"), (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("d")))
-    at = members.where("k <> pivot").join(scratch.hint(found.select(F.col("node").alias("k"), "component")), "k", "left").withColumn("c", F.coalesce("component", "k"))
-    at = at.join(scratch.hint(found.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
-    at = scratch.table(at.join(distance, ["k", "pivot"], "left").select("key", "k", "n", "c", "pc", "d"))
-    strays = at.where("c <> pc")
-    s, o = strays.alias("s"), at.alias("o")
-    reach = (100 - percent) / 100 + 1e-9
-    apart = F.abs(F.coalesce(F.col("s.d"), F.lit(0.5)) - F.coalesce(F.col("o.d"), F.lit(0.5)))
-    pairs = s.join(o, (F.col("s.key") == F.col("o.key")) & (F.col("s.c") != F.col("o.c")) & ((F.col("o.c") == F.col("o.pc")) | (F.col("s.k") < F.col("o.k"))))
-    pairs = pairs.where((F.col("s.d").isNull() | F.col("o.d").isNull() | (apart <= reach)) & (100 * F.least("s.n", "o.n") >= percent * F.greatest("s.n", "o.n")))
-    pairs = scratch.table(pairs.select(F.greatest("s.k", "o.k").alias("u"), F.least("s.k", "o.k").alias("v")).distinct())
-    last = scratch.table(_compare(pairs, sets).where(_similar(percent)).select("u", "v"))
+    # what is left in a bucket besides the component of its pivot, against all in such buckets
+    at = members.join(scratch.hint(found.select(F.col("node").alias("k"), "component")), "k", "left").withColumn("c", F.coalesce("component", "k"))
+    at = at.join(scratch.hint(found.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))), "pivot", "left").withColumn("stray", (F.col("c") != F.coalesce("pc", "pivot")).cast("int"))
+    at = at.select("key", "k", "n", "c", F.coalesce("pc", "pivot").alias("r"), "stray")
+    work = F.sum("stray").over(Window.partitionBy("key")) * F.count("*").over(Window.partitionBy("key"))
+    at = scratch.table(at.withColumn("work", work).where("work > 0"))
+    small = at.where(F.col("work") <= SMALL)
+    large = at.where(F.col("work") > SMALL).groupBy("k", "c", "n", "r").agg(F.max("stray").alias("stray"))
+    near, far = _far_pairs(scratch.table(large), sets, percent, scratch)
+    near = scratch.table(near)
+    pairs = scratch.table(_pairs(small.where("stray = 1"), small, ["key"], percent).union(far).distinct())
+    last = scratch.table(_compare(pairs, sets).where(_similar(percent)).select("u", "v").union(near))
     if last.take(1):
         found = scratch.table(components(links.union(last), scratch))
 
@@ -181,3 +229,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), size=4)
+
+
+ORACLE = """
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(node, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.least FROM r JOIN e ON e.u = r.node WHERE r.least < e.v),
+m AS (SELECT node, min(least) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN m ON node = doc_id
+"""
