@@ -21,8 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": html.op10_html_extraction,
 }
 ORACLES: dict[str, str] = {
-    "op2_near_duplicates": minhash.op2_near_duplicates,
-    "op3_quality": quality.op3_quality,
+    "op2_near_duplicates": minhash.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
 }
