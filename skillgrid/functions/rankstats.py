@@ -29,7 +29,13 @@ def correlation_p(r: Column, n: Column) -> Column:
     return F.when((nu >= 1) & r.isNotNull(), F.greatest(F.lit(0.0), p))
 
 
-@F.pandas_udf(DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided normal p; Spark SQL has no error function."""
-    return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
+def _normal_p():
+    # defined here, so that workers get the function itself and need not import this module
+    def normal_p(z: pd.Series) -> pd.Series:
+        return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
+
+    return F.pandas_udf(normal_p, DoubleType())
+
+
+#: Two-sided normal p of z; Spark SQL has no error function.
+normal_p = _normal_p()
