@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,7 @@ BROADCAST_BYTES = 4 << 20
 #: Python kernels work on slices of a batch with about this many characters.
 SLICE_CHARS = 2 << 20
 
-_roots: dict[int, str] = {}
+_roots: dict[str, str] = {}
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -30,7 +32,7 @@ def scratch_root(spark: SparkSession) -> str:
     share. Only where that setting is absent (tests, local runs) a temporary folder
     of this machine takes its place.
     """
-    key = id(spark.sparkContext)
+    key = spark.sparkContext.applicationId
     if key not in _roots:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
@@ -83,6 +85,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def reach(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed: they search the
+    folder that holds it, if their machine has that folder, besides what they are sent."""
+    root = str(Path(__file__).resolve().parents[2])
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -122,6 +133,7 @@ def map_batches(
                 made = work({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
+    reach(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, map_batches, search_sorted, shuffle_partitions, slices
+from .common import load, map_batches, reach, search_sorted, shuffle_partitions, slices
 
 MIN, NORMAL, MAX = 8, 32, 128
 #: Zero bits asked for at the top of the hash before and after the normal size.
@@ -205,6 +205,7 @@ def successive_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield emit(keys, texts, len(texts) - 1)
                     keys, texts = keys[-1:], texts[-1:]
 
+    reach(df.sparkSession)
     return rows.mapInArrow(walk, ", ".join(f"`{f.name}` {t}" for f, t in zip(schema, ("long", "long", "string", "string", "string", "double", "double"))))
 
 

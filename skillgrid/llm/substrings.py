@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, map_batches, shuffle_partitions, slices
+from .common import Scratch, load, map_batches, reach, shuffle_partitions, slices
 
 LENGTH, GRAM = 50, 28
 SPAN = LENGTH - GRAM + 1
@@ -382,6 +382,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """k, h, begin, end: bytes to remove, as overlapping spans, from rows k, t, h."""
     spark = docs.sparkSession
+    reach(spark)
     seen = scratch.table(docs.where(f"k is not null and octet_length(t) >= {LENGTH}").select("k", "h", F.xxhash64(F.lit(1), "t").alias("h2"), F.octet_length("t").alias("n")))
     firsts = seen.groupBy("h", "h2", "n").agg(F.min("k").alias("first"), F.max("k").alias("most")).where("first < most")
     copies = scratch.table(seen.join(firsts, ["h", "h2", "n"]).where("k > first").select("k", "h", "n").distinct())
@@ -445,3 +446,18 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest:
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(load(spark, sf_dir, "documents"), digest=True)
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+i AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {LENGTH - 1})) AS i FROM d),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, {2 * LENGTH}) AS g FROM i),
+f AS (SELECT g, min(doc_id) AS owner FROM w GROUP BY g),
+h AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN f USING (g) WHERE owner < doc_id),
+n AS (SELECT doc_id, i, sum(CASE WHEN i <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM n GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM r),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*)::BIGINT AS spans, max(b) AS last, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS head FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
