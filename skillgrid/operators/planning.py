@@ -45,6 +45,14 @@ def member_chunks(members: DataFrame, size: int, sample: str = "sample") -> Data
     return members.select(F.col(sample)).distinct().groupBy(F.floor(F.col(sample) / size).alias("chunk")).agg(F.min(sample).alias("first_sample"), F.count("*").alias("n_members"))
 
 
+def chunk_manifest(cases: DataFrame, spark: SparkSession, members: int, size: int, root: str) -> DataFrame:
+    """A row for each case and chunk of members: where it runs and what it must make."""
+    chunks = member_chunks(spark.range(members).select(F.col("id").cast("int").alias("sample")), size)
+    out = cases.select("target_date", "lead_days", "required_6hour_steps").crossJoin(chunks)
+    folder = F.concat_ws("/", F.lit(root.rstrip("/")), F.concat_ws("_", F.replace("target_date", F.lit("-"), F.lit("")), F.format_string("%03d", "lead_days")), F.format_string("chunk_%02d", "chunk"))
+    return out.select("target_date", "lead_days", "chunk", F.col("n_members").alias("members"), folder.alias("output_dir"), F.col("required_6hour_steps").alias("expected_steps"))
+
+
 def pick_members(spark: SparkSession, total: int, most: int) -> DataFrame:
     """sample: evenly spaced members, the first and the last included."""
     n = min(most, total)

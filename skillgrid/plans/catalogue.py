@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import temporal
 from ..functions.geo import area_weight, in_box, signed_longitude
 from ..functions.nulls import as_number
-from ..operators import climatology, daily, extremes, planning, plots, regrid, verification
+from ..operators import climatology, daily, extremes, forcing, planning, plots, regrid, verification
+from ..sources import readers
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -506,3 +507,56 @@ def running_first_last(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.series(spark, sf).withColumn("month", F.date_format("ts", "yyyy-MM"))
     w = Window.partitionBy("cell", "month").orderBy("ts", "event_id")
     return rows.select("cell", "month", r6(F.first("value").over(w)).alias("first_value"), F.count("*").over(w).alias("seen"), "event_id")
+
+
+@query("positional_gather", "SELECT event_id, value FROM events WHERE event_id IN (0, 7, 99, 500)")
+def positional_gather(spark: SparkSession, sf: str) -> DataFrame:
+    return forcing.at_positions(T.series(spark, sf), [500, 0, 7, 99, 7], "event_id").select("event_id", "value")
+
+
+@query("positional_slice", "SELECT event_id, value FROM events WHERE event_id >= 100 AND event_id < 300")
+def positional_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.positions(T.series(spark, sf), 100, 300, "event_id").select("event_id", "value")
+
+
+@query("template_grid", sql("SELECT DISTINCT lat, lon FROM grid WHERE cell IN (SELECT cell FROM obd)", "grid", "obd"))
+def template_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return forcing.template(T.observed_daily(spark, sf).select("cell").distinct().join(T.grid(spark, sf), "cell"))
+
+
+@query("replicate_forcing", "SELECT r_regionkey::BIGINT AS cell, s::BIGINT AS sample FROM region, range(25) AS m(s)")
+def replicate_forcing(spark: SparkSession, sf: str) -> DataFrame:
+    fields = T.load(spark, sf, "region").select(F.col("r_regionkey").alias("cell"))
+    return _long(forcing.replicate(forcing.replicate(fields, temporal.MEMBERS), 3), "cell", "sample")
+
+
+@query("collapse_time", sql("SELECT cell::BIGINT AS cell, min_by(value, date) AS value FROM obd GROUP BY cell", "obd"))
+def collapse_time(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(forcing.collapse_time(T.observed_daily(spark, sf), CELL, index="date"), "cell")
+
+
+@query("substitute_constants", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1.5 WHEN 'MACHINERY' THEN -2.0 ELSE c_acctbal END::DOUBLE AS value FROM customer")
+def substitute_constants(spark: SparkSession, sf: str) -> DataFrame:
+    rows = T.load(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("name"), F.col("c_acctbal").alias("value"))
+    return forcing.substitute(rows, {"BUILDING": 1.5, "MACHINERY": -2.0}).select("c_custkey", "value")
+
+
+@query("cf_time", "SELECT event_id, strftime(TIMESTAMP '1940-01-01 12:00:00' + to_hours(event_id::INT), '%Y-%m-%d %H:%M:%S') AS valid_time FROM events")
+def cf_time(spark: SparkSession, sf: str) -> DataFrame:
+    return T.series(spark, sf).select("event_id", clock(temporal.cf_time(F.col("event_id"), "hours since 1940-01-01T12:00:00")).alias("valid_time"))
+
+
+@query(
+    "chunk_manifest",
+    """SELECT '2014-04-01' AS target_date, lead::BIGINT AS lead_days, c::BIGINT AS chunk, CASE WHEN c = 5 THEN 2 ELSE 5 END::BIGINT AS members,
+    'runs/20140401_' || lpad(lead::VARCHAR, 3, '0') || '/chunk_' || lpad(c::VARCHAR, 2, '0') AS output_dir, (4 * lead)::BIGINT AS expected_steps FROM (SELECT unnest([31, 59]) AS lead), range(6) AS r(c)""",
+)
+def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    cases = planning.build_cases(spark, ["2014-04-01"], [31, 59], "x")
+    return _long(planning.chunk_manifest(cases, spark, 27, 5, "runs/"), "lead_days", "chunk", "members", "expected_steps")
+
+
+@query("case_fields_limits", sql("SELECT year::BIGINT AS year, round(max(abs(observed - probability)), 6) AS worst, count(*) AS n_cells, count_if(observed = 1)::BIGINT AS n_events FROM po GROUP BY year", "po"))
+def case_fields_limits(spark: SparkSession, sf: str) -> DataFrame:
+    out = pairs(spark, sf).groupBy("year").agg(r6(F.max(F.abs(F.col("observed") - F.col("probability")))).alias("worst"), F.count("*").alias("n_cells"), F.count_if(F.col("observed") == 1).alias("n_events"))
+    return _long(out, "year")

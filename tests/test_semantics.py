@@ -131,3 +131,13 @@ def test_column_aliases(spark):
     assert daily.pick_column(df, daily.TEMPERATURE, "temperature") == "T2M" and daily.pick_column(df, daily.LATITUDE, "latitude") == "latitude"
     with pytest.raises(KeyError, match="latitude"):
         daily.pick_column(df.drop("latitude"), daily.LATITUDE, "latitude")
+
+
+def test_attributes_and_replication(spark):
+    from skillgrid.operators import forcing
+
+    df = spark.createDataFrame([("ak_0", 5.0), ("other", 7.0)], "name string, value double")
+    out = forcing.describe(forcing.describe(df, "value", units="Pa"), "value", units="K", long_name="v")
+    assert out.schema["value"].metadata == {"units": "Pa", "long_name": "v"}
+    assert [r["value"] for r in forcing.substitute(df, {"ak_0": 1.0}).orderBy("name").collect()] == [1.0, 7.0]
+    assert forcing.replicate(df, 3).count() == 6 and forcing.replicate(forcing.replicate(df, 3), 9).count() == 6
