@@ -52,17 +52,17 @@ def drop_boilerplate(
     scratch = Scratch(df.sparkSession, "lines")
     found = scratch.hint(scratch.table(boilerplate(df, host_col, text_col, ratio, least_pages)))
     columns = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"))
-    rows = rows.join(found, "_host", "left").withColumn("_split", F.split(text_col, "\n"))
-    rows = rows.withColumn("_keep", F.when(F.col("_lines").isNull(), F.col("_split")).otherwise(F.filter("_split", lambda x: ~F.array_contains("_lines", _key(x)))))
+    rows = df.select(F.struct(*([F.col(f"`{c}`") for c in columns if c != text_col] or [F.lit(0)])).alias("row"), F.col(f"`{text_col}`").alias("t"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"))
+    rows = rows.join(found, "_host", "left").withColumn("split", F.split("t", "\n"))
+    rows = rows.withColumn("left", F.when(F.col("_lines").isNull(), F.col("split")).otherwise(F.filter("split", lambda x: ~F.array_contains("_lines", _key(x)))))
     solid = lambda c: F.size(F.filter(c, lambda x: F.trim(x, F.lit(BLANKS)) != ""))
-    dropped = F.size("_split") - F.size("_keep")
-    whole = dropped > F.lit(most_dropped) * solid("_split")
-    rows = rows.withColumn("_n", F.when(whole, 0).otherwise(dropped))
-    clean = F.when(F.col("_n") > 0, F.array_join("_keep", "\n")).otherwise(F.col(text_col))
+    dropped = F.size("split") - F.size("left")
+    whole = dropped > F.lit(most_dropped) * solid("split")
+    rows = rows.withColumn("n", F.when(whole, 0).otherwise(dropped))
+    clean = F.when(F.col("n") > 0, F.array_join("left", "\n")).otherwise(F.col("t"))
     return rows.select(
-        *[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns],
-        F.coalesce(F.size("_split"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"),
+        *[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in columns],
+        F.coalesce(F.size("split"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -82,7 +82,8 @@ def mix(
     share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """A row for each selected document and epoch: the columns `keep` (all, if None) with
-    the levels as leaf_<level>, n_tokens and epoch. The budget is `share` of all tokens."""
+    the levels as leaf_<level>, n_tokens and epoch, which replace columns of these names.
+    The budget is `share` of all tokens."""
     scratch = Scratch(df.sparkSession, "mix")
     keep = tuple(df.columns) if keep is None else keep
     named = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in levels]
@@ -102,12 +103,16 @@ def mix(
     last = inside.where(F.col("upto") <= F.col("room")).groupBy(*levels).agg(F.max("place").alias("last"))
     plan = plan.join(ends.select(*levels, "range"), list(levels), "left").join(last, list(levels), "left")
     plan = scratch.table(plan.select(*[F.col(c).alias(f"leaf_{c}") for c in levels], "whole", "rest", "range", "last"))
-    chosen = df.select(*[F.col(f"`{c}`") for c in keep], F.col(id_col).alias("_k"), words(F.col(text_col)).alias("n_tokens"), *[c.alias(f"leaf_{n}") for n, c in zip(levels, (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in levels))])
+    leaf = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"leaf_{c}") for c in levels]
+    made = {"n_tokens", "epoch", *(f"leaf_{c}" for c in levels)}
+    keep = tuple(c for c in keep if c not in made)
+    chosen = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(id_col).alias("k"), words(F.col(text_col)).alias("n_tokens"), *leaf)
     chosen = chosen.where("n_tokens > 0").join(scratch.hint(plan), [f"leaf_{c}" for c in levels])
-    place = _place(seed, F.col("whole") + 1, F.col("_k"))
+    place = _place(seed, F.col("whole") + 1, F.col("k"))
     partial = (F.col("rest") > 0) & ((place < F.coalesce("range", F.lit("g"))) | (place <= F.coalesce("last", F.lit(""))))
-    chosen = chosen.withColumn("_n", F.col("whole") + F.when(partial, 1).otherwise(0)).where("_n > 0")
-    return chosen.select(*[F.col(f"`{c}`") for c in keep], *[f"leaf_{c}" for c in levels], "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("epoch"))
+    chosen = chosen.withColumn("times", F.col("whole") + F.when(partial, 1).otherwise(0)).where("times > 0")
+    epochs_of = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("epoch")
+    return chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *[f"leaf_{c}" for c in levels], "n_tokens", epochs_of)
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:

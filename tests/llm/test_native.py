@@ -97,3 +97,14 @@ def test_plans_have_no_python(spark, sf_dir):
     for name in ("op4_line_dedup", "op7_source_mixing"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
         assert "Python" not in plan and "InArrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_clashing_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ("_host", "_lines", "split", "left", "n", "t", "n_lines", "row", "range", "last", "whole", "rest", "times", "k", "n_tokens", "epoch", "leaf_lang", "budget", "place")
+    odd = docs.selectExpr("*", *[f"'clash' as `{n}`" for n in names])
+    a, b = lines.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped"), lines.drop_boilerplate(odd)
+    assert b.where("`left` = 'clash' and split = 'clash'").count() == docs.count() and a.exceptAll(b.select(a.columns)).count() == 0
+    a, b = mixing.mix(mixing.with_domain(docs)), mixing.mix(mixing.with_domain(odd))
+    assert set(b.columns) == set(names) | set(a.columns)
+    assert a.exceptAll(b.select(a.columns)).count() == 0 and b.count() == a.count()
