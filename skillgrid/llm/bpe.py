@@ -6,7 +6,7 @@ looked up by binary search in the sorted pair keys; each word merges all occurre
 its lowest-ranked pair, left to right; words without a known pair are done. A symbol
 made by a merge only takes part in later merges, so merging all occurrences of the
 lowest pair at once gives the same symbols as one merge at a time. Words are remembered
-with their ids, up to a bound on memory, after which the memory starts anew.
+with their ids within a partition, up to a bound, after which the memory starts anew.
 
 Ids become text by gathering each id's bytes. A special token's own string in a text is
 that token. Null text counts as empty (no ids, text ""); repeated rows are kept.
@@ -89,9 +89,9 @@ class Coder:
         self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.split = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
         self.mark = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.start, self.size = (np.empty(0, np.int32) for _ in range(3))
         if self.special:
@@ -149,7 +149,7 @@ class Coder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each has."""
         if len(self.known) > MEMORY_WORDS:
-            self._forget()
+            self.forget()
         pieces = [self.pieces(t) for t in texts]
         fresh = list(set().union(*pieces) - self.known.keys())
         if fresh:
@@ -186,7 +186,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, out_c
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"`{out_col}` array<int>", *([f"`{exact_col}` boolean"] if exact_col else [])])
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in {*rest, text_col}]), schema, work, text_col)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in {*rest, text_col}]), schema, work, text_col, lambda: coder(path).forget())
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, out_col: str = "decoded") -> DataFrame:
@@ -221,7 +221,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         }
 
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return map_batches(rows, f"`{id_col}` {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", work, "t")
+    return map_batches(rows, f"`{id_col}` {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", work, "t", lambda: coder(path).forget())
 
 
 def op6_bpe_round_trip(spark, sf_dir: str) -> DataFrame:

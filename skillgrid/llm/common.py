@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,11 +114,21 @@ def slices(sizes: Sequence[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int
         yield begin, len(sizes)
 
 
+def hand_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(
-    df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, Iterable]], size_of: str | None = None
+    df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, Iterable]], size_of: str | None = None, done: Callable[[], None] | None = None
 ) -> DataFrame:
     """Arrow batches through `work`, from columns as lists to columns as lists. With
-    `size_of`, a string column, each call gets about SLICE_CHARS characters of it."""
+    `size_of`, a string column, each call gets about SLICE_CHARS characters of it. After a
+    partition `done` is called, and the worker, which stays for later tasks, hands its
+    freed memory back."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -127,11 +140,15 @@ def map_batches(
             if size_of is None:
                 ranges = [(0, batch.num_rows)] if batch.num_rows else []
             else:
-                ranges = slices([len(x or "") for x in batch.column(names.index(size_of)).to_pylist()])
+                ranges = slices(pc.fill_null(pc.utf8_length(batch.column(names.index(size_of))), 0).to_pylist())
             for a, b in ranges:
                 part = batch.slice(a, b - a)
                 made = work({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
+                made = part = None
+        if done is not None:
+            done()
+        hand_back()
 
     reach(df.sparkSession)
     return df.mapInArrow(run, schema)
