@@ -8,8 +8,8 @@ Pages of a host are dealt into shards of about SHARD_CHARS characters. In a shar
 words of all blocks form one token stream; its suffixes are sorted by prefix doubling up
 to RUN tokens, and runs found on enough distinct pages (copies of a page count once) are
 marked. Furniture goes. A main block goes only if all of it is repeated on nearly all
-pages. On pages with a main part open blocks go; on others they lose the marked
-runs, and link lists go, and what is unique stays.
+pages. Open blocks, on pages with a main part or without, lose the marked runs; link
+lists go, and what is unique stays.
 
 Null or empty html gives "". Null urls share one host. Truncated pages, unclosed
 elements and repeated rows are read as they are.
@@ -218,12 +218,11 @@ def texts_of(pages: list[str | None]) -> list[str]:
     parsed = [blocks_of(p or "") for p in pages]
     out = []
     for blocks, marks in zip(parsed, repeats(parsed)):
-        main = any(kind == MAIN for kind, _, _ in blocks)
         kept = []
         for (kind, text, linked), (covered, share) in zip(blocks, marks):
             if kind == MAIN and share < MAIN_SHARE:
                 kept.append(text)
-            elif kind == OPEN and not main and linked < 0.5:
+            elif kind == OPEN and linked < 0.5:
                 text = text if not covered.any() else " ".join(w for w, c in zip(text.split(), covered) if not c)
                 if text:
                     kept.append(text)

@@ -43,6 +43,14 @@ def test_articles_survive_repeats():
     assert all(body in t for t in H.texts_of(pages))
 
 
+def test_repeats_decide_on_text_outside_of_articles():
+    rng = random.Random(3)
+    notice = "this site is run by people who like long and plain notices on all pages"
+    own = [(words(rng, 12), words(rng, 20)) for _ in range(30)]
+    pages = [f"<body><p>{notice}</p><p>{lead}</p><article><p>{o}</p></article><ul><li><a href=x>{words(rng, 3)}</a></ul></body>" for lead, o in own]
+    assert H.texts_of(pages) == [f"{lead}\n\n{o}" for lead, o in own]
+
+
 def test_query_equals_plain_reading(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     got = {r["page_id"]: r for r in H.op10_html_extraction(spark, sf_dir).collect()}
