@@ -4,10 +4,10 @@ A page becomes blocks of text in page order. Each block has a kind from the elem
 around it: `main` (inside article or main), `furniture` (menus, page headers, footers,
 sidebars, notices, adverts, forms, comments, by element or by class name) or `open`.
 
-Pages of a host are dealt into shards of about SHARD_CHARS characters. In a shard the
-words of all blocks form one token stream; its suffixes are sorted by prefix doubling up
-to RUN tokens, and runs found on enough distinct pages (copies of a page count once) are
-marked. Furniture goes. A main block goes only if all of it is repeated on nearly all
+Pages of a host are dealt by content into shards of about SHARD_CHARS characters. In a
+shard the words of all blocks form one token stream; its suffixes are sorted by prefix
+doubling up to RUN tokens. Counts of runs are summed over the shards, and those on enough
+distinct pages of the host (copies of a page count once) are marked. Furniture goes. A main block goes only if all of it is repeated on nearly all
 pages. Open blocks, on pages with a main part or without, lose the marked runs; link
 lists go, and what is unique stays.
 
@@ -17,16 +17,18 @@ elements and repeated rows are read as they are.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, reach, shuffle_partitions
+from .common import Scratch, load, map_batches, shuffle_partitions
 
 RUN = 8
 SHARD_CHARS, TASK_SHARDS = 1_000_000, 8
@@ -157,105 +159,220 @@ def blocks_of(page: str) -> list[tuple[int, str, float]]:
     return out
 
 
-def repeats(pages: list[list[tuple[int, str, float]]]) -> list[list[tuple[np.ndarray, float]]]:
-    """For each block of each page: which of its words lie in repeated runs, and the
-    largest share of distinct pages that has its first run."""
-    ids: dict[str, int] = {}
-    stream: list[int] = []
-    block_of: list[int] = []
-    page_of: list[int] = []
-    sizes: list[int] = []
-    contents: dict[tuple, int] = {}
-    n = 0
-    for blocks in pages:
-        own = contents.setdefault(tuple(t for kind, t, _ in blocks if kind != OFF), len(contents))
-        for _, text, _ in blocks:
-            words = text.split()
-            stream += [ids.setdefault(w, len(ids) + 1) for w in words]
-            stream += [0] * (RUN - 1)
-            block_of += [n] * (len(words) + RUN - 1)
-            sizes.append(len(words))
-            page_of.append(own)
-            n += 1
-    if not n:
-        return [[] for _ in pages]
-    size = np.array(sizes)
-    rank = np.array([*stream, *[0] * RUN], np.int64)
+Block = tuple[int, str, float]
+CODES = {"m": (MAIN, 0.0), "o": (OPEN, 0.0), "l": (OPEN, 1.0), "f": (OFF, 0.0)}
+
+
+def coded(blocks: list[Block]) -> list[str]:
+    """Each block as one line, which starts with a letter of CODES."""
+    return [("m" if kind == MAIN else "f" if kind == OFF else "o" if linked < 0.5 else "l") + text for kind, text, linked in blocks]
+
+
+def decoded(lines: Iterable[str]) -> list[Block]:
+    return [(CODES[x[0]][0], x[1:], CODES[x[0]][1]) for x in lines]
+
+
+def number_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def packed(lines: list[str]) -> bytes:
+    return zstandard.compress("\n".join(lines).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(page: bytes) -> list[str]:
+    text = zstandard.decompress(page).decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else []
+
+
+def content_of(lines: list[str]) -> int:
+    """Pages with one content, whatever their furniture, are copies."""
+    return number_of("\n".join(x[1:] for x in lines if x[0] != "f"))
+
+
+class Stream:
+    """The words of all blocks, the places at which runs start, and the runs' hashes,
+    which are the same in every shard. A block of under RUN words is a run of its own."""
+
+    def __init__(self, pages: list[list[Block]]) -> None:
+        ids: dict[str, int] = {}
+        stream: list[int] = []
+        sizes, page_of, kind_of = [], [], []
+        for i, blocks in enumerate(pages):
+            for kind, text, _ in blocks:
+                words = text.split()
+                stream += [ids.setdefault(w, len(ids) + 1) for w in words]
+                stream += [0] * (RUN - 1)
+                sizes.append(len(words))
+                page_of.append(i)
+                kind_of.append(kind)
+        self.size, self.page_of, self.kind_of = np.array(sizes, np.int64), np.array(page_of, np.int64), np.array(kind_of, np.int64)
+        self.begin = np.cumsum(self.size + RUN - 1) - (self.size + RUN - 1)
+        self.ids, self.length = np.array([*stream, *[0] * RUN], np.int64), len(stream)
+        block = np.repeat(np.arange(len(sizes)), self.size + RUN - 1)
+        inner = np.arange(self.length) - self.begin[block]
+        self.starts = np.flatnonzero((inner + RUN <= self.size[block]) | (inner == 0))
+        self.block = block[self.starts]
+        words = np.array([0, *map(number_of, ids)], np.int64).view(np.uint64)[self.ids]
+        run = np.zeros(len(self.starts), np.uint64)
+        for i in range(RUN):
+            run = run * np.uint64(0x9E3779B97F4A7C15) + words[self.starts + i]
+        self.run = run.view(np.int64)
+
+
+def found(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run: its hash, on how many of the pages it is, and whether it is in an open
+    and in a main block there. No two pages may be copies."""
+    s = Stream(pages)
+    rank = s.ids.copy()
     for step in (1, 2, 4):  # sorts all suffixes by their first 8 tokens
         rank[:-step] = np.unique(rank[:-step] << 32 | rank[step:], return_inverse=True)[1]
-    rank, block = rank[: len(stream)], np.array(block_of)
-    begin = np.cumsum(size + RUN - 1) - (size + RUN - 1)
-    inner = np.arange(len(stream)) - begin[block]
-    starts = np.flatnonzero((inner + RUN <= size[block]) | (inner == 0))
-    page = np.array(page_of)[block[starts]]
-    order = np.lexsort((page, rank[starts]))
-    r, p = rank[starts][order], page[order]
-    fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])))
-    group = np.cumsum(np.concatenate(([True], r[1:] != r[:-1]))) - 1
-    distinct = np.bincount(group, fresh)[group]
-    seen = np.empty(len(starts))
-    seen[order] = distinct
-    total = max(1, len(contents))
-    hits = starts[seen >= max(LEAST_PAGES, SHARE * total)]
-    cover = np.zeros(len(stream) + RUN + 1, np.int64)
+    rank, page, kind = rank[s.starts], s.page_of[s.block], s.kind_of[s.block]
+    order = np.lexsort((page, rank))
+    r, p, kind = rank[order], page[order], kind[order]
+    first = np.ones(len(r), bool)
+    first[1:] = r[1:] != r[:-1]
+    fresh = first.copy()
+    fresh[1:] |= p[1:] != p[:-1]
+    group = np.cumsum(first) - 1
+    count = lambda x: np.bincount(group, x, minlength=int(first.sum()))
+    return s.run[order][first], count(fresh).astype(np.int64), count(kind == OPEN) > 0, count(kind == MAIN) > 0
+
+
+def cleaned(pages: list[list[Block]], runs: np.ndarray, n: np.ndarray, total: int) -> list[str]:
+    """Main texts, given the host's repeated runs (ascending hashes), on how many of its
+    distinct pages each is, and the number of these."""
+    if not len(runs):
+        return ["\n\n".join(text for kind, text, linked in blocks if kind == MAIN or kind == OPEN and linked < 0.5) for blocks in pages]
+    s = Stream(pages)
+    at = np.minimum(np.searchsorted(runs, s.run), len(runs) - 1)
+    seen = np.where(runs[at] == s.run, n[at], 0)
+    cover = np.zeros(s.length + RUN + 1, np.int64)
+    hits = s.starts[seen >= max(LEAST_PAGES, SHARE * total)]
     np.add.at(cover, hits, 1)
     np.add.at(cover, hits + RUN, -1)
-    covered = np.cumsum(cover)[: len(stream)] > 0
-    least = np.full(n, np.inf)
-    np.minimum.at(least, block[starts], seen)
+    covered = np.cumsum(cover)[: s.length] > 0
+    least = np.full(len(s.size), np.iinfo(np.int64).max)
+    np.minimum.at(least, s.block, seen)
     out, k = [], 0
     for blocks in pages:
-        own = []
-        for _ in blocks:
-            own.append((covered[begin[k] : begin[k] + size[k]], least[k] / total if total >= MAIN_PAGES else 0.0))
-            k += 1
-        out.append(own)
-    return out
-
-
-def texts_of(pages: list[str | None]) -> list[str]:
-    """Main texts of the pages of one shard."""
-    parsed = [blocks_of(p or "") for p in pages]
-    out = []
-    for blocks, marks in zip(parsed, repeats(parsed)):
         kept = []
-        for (kind, text, linked), (covered, share) in zip(blocks, marks):
-            if kind == MAIN and share < MAIN_SHARE:
+        for kind, text, linked in blocks:
+            if kind == MAIN and not (total >= MAIN_PAGES and least[k] >= MAIN_SHARE * total):
                 kept.append(text)
             elif kind == OPEN and linked < 0.5:
-                text = text if not covered.any() else " ".join(w for w, c in zip(text.split(), covered) if not c)
+                own = covered[s.begin[k] : s.begin[k] + s.size[k]]
+                text = text if not own.any() else " ".join(w for w, c in zip(text.split(), own) if not c)
                 if text:
                     kept.append(text)
+            k += 1
         out.append("\n\n".join(kept))
     return out
 
 
+def distinct(pages: Iterable[tuple[int, list[str]]]) -> list[list[str]]:
+    """The blocks of each content; copies add the furniture that is theirs alone."""
+    held: dict[int, dict[str, None]] = {}
+    for content, lines in pages:
+        held.setdefault(content, {}).update(dict.fromkeys(lines))
+    return [list(x) for x in held.values()]
+
+
+def texts_of(pages: list[str | None]) -> list[str]:
+    """Main texts of all pages of one host."""
+    parsed = [blocks_of(p or "") for p in pages]
+    lines = list(map(coded, parsed))
+    each = distinct(zip(map(content_of, lines), lines))
+    runs, n, _, _ = found(list(map(decoded, each)))
+    order = np.argsort(runs)
+    return cleaned(parsed, runs[order], n[order], len(each))
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def _shard_runs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one shard: its distinct pages, and the runs that are on SHARE of them."""
+    each = distinct((c, unpacked(b)) for x in batches for c, b in zip(x.column("content").to_pylist(), x.column("blocks").to_pylist()))
+    runs, n, is_open, is_main = found(list(map(decoded, each)))
+    keep = n + 1e-6 >= SHARE * len(each)
+    m = int(keep.sum())
+    host, total = key[0].as_py(), len(each)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([host] * (m + 1), pa.string()), pa.array([total] * (m + 1), pa.int64()), pa.array([None, *runs[keep].tolist()], pa.int64()), pa.array([None, *n[keep].tolist()], pa.int64()),
+            pa.array([None, *is_open[keep].tolist()], pa.bool_()), pa.array([None, *is_main[keep].tolist()], pa.bool_()), pa.array([list(map(packed, each)), *[None] * m], pa.list_(pa.binary())),
+        ],
+        names=["host", "pages", "run", "n", "is_open", "is_main", "contents"],
+    )
+
+
+def host_runs(rows: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, total (its distinct pages) and runs, from rows of host and h, and the
+    hosts' numbers of shards.
+
+    Copies meet in one shard, so that counts of shards add up. A run on SHARE of the host's
+    pages is on SHARE of those of some shard; what some shard finds is counted in all shards
+    of the host, unless all have found it. Only runs that can change a text are returned."""
+
+    def parse(x: dict[str, list]) -> dict[str, list]:
+        made = {}
+        for host, shards, page in zip(x["host"], x["shards"], x["h"]):
+            lines = coded(blocks_of(page or ""))
+            content = content_of(lines)
+            made[host, content % max(1, shards), content, packed(lines)] = None
+        return dict(zip(("host", "shard", "content", "blocks"), zip(*made) if made else [()] * 4))
+
+    spark = rows.sparkSession
+    shards = sizes.agg(F.sum("shards")).first()[0] or 1
+    parsed = map_batches(rows.join(scratch.hint(sizes), "host").select("host", "shards", "h"), "host string, shard long, content long, blocks binary", parse, "h")
+    # tasks of a few shards each, however large the table
+    parsed = parsed.repartition(max(shuffle_partitions(spark), int(shards) // TASK_SHARDS), "host", "shard")
+    dealt = scratch.table(parsed.groupBy("host", "shard").applyInArrow(_shard_runs, "host string, pages long, run long, n long, is_open boolean, is_main boolean, contents array<binary>"))
+    totals = scratch.table(dealt.where("run is null").groupBy("host").agg(F.sum("pages").alias("total")))
+    summed = dealt.where("run is not null").groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("pages").alias("of"), F.max("is_open").alias("is_open"), F.max("is_main").alias("is_main"))
+    least = F.greatest(F.lit(float(LEAST_PAGES)), F.lit(SHARE) * F.col("total"))
+    summed = scratch.table(summed.join(scratch.hint(totals), "host").where(F.col("n") + F.lit(SHARE) * (F.col("total") - F.col("of")) + 1e-6 >= least))
+    unsure = scratch.table(summed.where("of < total").groupBy("host").agg(F.sort_array(F.collect_list("run")).alias("runs")))
+
+    def count(x: dict[str, list]) -> dict[str, list]:
+        made: list[tuple] = []
+        for host, runs, pages in zip(x["host"], x["runs"], x["contents"]):
+            run, n, is_open, is_main = found([decoded(unpacked(p)) for p in pages])
+            keep = np.isin(run, np.array(runs, np.int64))
+            made += zip([host] * int(keep.sum()), run[keep].tolist(), n[keep].tolist(), is_open[keep].tolist(), is_main[keep].tolist())
+        return dict(zip(("host", "run", "n", "is_open", "is_main"), zip(*made) if made else [()] * 5))
+
+    again = map_batches(dealt.where("run is null").select("host", "contents").join(scratch.hint(unsure), "host"), "host string, run long, n long, is_open boolean, is_main boolean", count)
+    again = again.groupBy("host", "run").agg(F.sum("n").alias("n"), F.max("is_open").alias("is_open"), F.max("is_main").alias("is_main")).join(scratch.hint(totals), "host")
+    every = summed.where("of = total").select(*again.columns).unionByName(again)
+    every = every.where((F.col("is_open") & (F.col("n") >= least)) | (F.col("is_main") & (F.col("total") >= MAIN_PAGES) & (F.col("n") >= F.lit(MAIN_SHARE) * F.col("total"))))
+    return scratch.table(every.groupBy("host", "total").agg(F.sort_array(F.collect_list(F.struct("run", "n"))).alias("r")).select("host", "total", F.col("r.run").alias("runs"), F.col("r.n").alias("ns")))
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """`id_col`, url, text and n_chars of every row."""
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("k"), F.col(url_col).alias("u"), F.col(html_col).alias("h"), host_of(F.col(url_col)).alias("host"))
     sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.length("h"), F.lit(0)) + 64) / SHARD_CHARS).alias("shards"))
-    scratch = Scratch(spark, "hosts")
+    scratch = Scratch(df.sparkSession, "hosts")
     sizes = scratch.table(sizes)
-    shards = sizes.agg(F.sum("shards")).first()[0] or 1
-    rows = rows.join(scratch.hint(sizes), "host")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("k", "u"), F.greatest("shards", F.lit(1))))
+    often = host_runs(rows, sizes, scratch)
     kinds = dict(df.dtypes)
-    schema = f"`{id_col}` {kinds[id_col]}, url string, text string, n_chars long"
 
-    def work(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        texts = texts_of(table["h"].to_pylist())
-        yield pa.RecordBatch.from_arrays([table["k"].combine_chunks(), pa.array(table["u"].to_pylist(), pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
+    def work(x: dict[str, list]) -> dict[str, list]:
+        hosts: dict[str, list[int]] = {}
+        for i, host in enumerate(x["host"]):
+            hosts.setdefault(host, []).append(i)
+        texts = [""] * len(x["k"])
+        for at in hosts.values():
+            runs, n = (np.array(x[c][at[0]] or [], np.int64) for c in ("runs", "ns"))
+            for i, text in zip(at, cleaned([blocks_of(x["h"][i] or "") for i in at], runs, n, x["total"][at[0]] or 0)):
+                texts[i] = text
+        return {id_col: x["k"], "url": x["u"], "text": texts, "n_chars": list(map(len, texts))}
 
-    reach(spark)
-    # tasks of a few shards each, however large the table
-    rows = rows.select("k", "u", "h", "host", "shard").repartition(max(shuffle_partitions(spark), int(shards) // TASK_SHARDS), "host", "shard")
-    return rows.groupBy("host", "shard").applyInArrow(work, schema)
+    rows = rows.join(scratch.hint(often), "host", "left").select("k", "u", "h", "host", "total", "runs", "ns")
+    return map_batches(rows, f"`{id_col}` {kinds[id_col]}, url string, text string, n_chars long", work, "h")
 
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:

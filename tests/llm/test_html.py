@@ -77,3 +77,21 @@ def test_large_hosts_are_dealt_out(spark, monkeypatch):
     rows = [(i, "http://h/x", f"<article><p>page {i} " + "words " * 20) for i in range(100)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["page_id"]: r["text"].split()[1] for r in H.extract(df).collect()} == {i: str(i) for i in range(100)}
+
+
+def test_shards_do_not_change_results(spark, monkeypatch):
+    rng = random.Random(4)
+    notice, rare = "this site is run by people who like long and plain notices", "a passage on too few of the pages to be a notice at all"
+    body = words(rng, 30)
+    rows = [(i, "http://h/x", f"<p>{words(rng, 30)}</p>" + f"<p>{notice}</p>" * (i < 6) + f"<p>{rare}</p>" * (6 <= i < 8)) for i in range(30)]
+    rows += [(i, "http://m/x", f"<main><p>{words(rng, 20)}</p>" + f"<p>{body}</p>" * (i % 10 > 0) + "</main>") for i in range(100, 130)]
+    rows += [(i, "http://c/x", f"<nav>{words(rng, 9)}</nav><p>{body}</p>") for i in range(200, 230)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {}
+    for host in "hmc":
+        own = [r for r in rows if r[1] == f"http://{host}/x"]
+        want |= dict(zip([r[0] for r in own], H.texts_of([r[2] for r in own])))
+    assert not any(notice in t for t in want.values()) and sum(rare in t for t in want.values()) == 2 and not any(body in want[i] for i in range(100, 130)) and all(want[i] == body for i in range(200, 230))
+    for size in (300, 1000, 3000, 1_000_000):
+        monkeypatch.setattr(H, "SHARD_CHARS", size)
+        assert {r["page_id"]: r["text"] for r in H.extract(df).collect()} == want
