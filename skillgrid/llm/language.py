@@ -12,9 +12,10 @@ one learned language the runner-up is compression without a dictionary. Ties go
 more frequent language. With no labelled rows at all every text gets `und`.
 Repeated rows are kept.
 
-The sample is bounded, whatever the size of the table: SAMPLE_ROWS rows of each of at
-most LANGUAGES languages (the most frequent ones, ties by name), those with the smallest
-hash of their id, ROW_CHARS of each, DICTIONARY_BYTES in all.
+Every label whose texts have a letter is learned. The sample is bounded, whatever the size
+of the table: SAMPLE_ROWS rows of each language, those with the smallest hash of their id,
+ROW_CHARS of each, DICTIONARY_BYTES in all. With more than LANGUAGES languages each one's
+rows and bytes shrink in proportion.
 """
 
 from __future__ import annotations
@@ -52,21 +53,25 @@ def normal_form(text: str) -> bytes:
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language, the most frequent first, from the labelled rows."""
     rows = df.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g")).where("g is not null and t is not null")
-    counts = rows.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(LANGUAGES).collect()
-    # hashes are uniform: the SAMPLE_ROWS smallest of n lie below this share, nearly surely
-    share = {r["g"]: min(1.0, (2 * SAMPLE_ROWS + 200) / r["n"]) for r in counts}
+    counts = rows.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").collect()
+    part = min(1.0, LANGUAGES / max(1, len(counts)))
+    most, room = max(1, int(SAMPLE_ROWS * part)), max(8, int(DICTIONARY_BYTES * part))
+    # hashes are uniform: the `most` smallest of n lie below this share, nearly surely
+    share = {r["g"]: min(1.0, (2 * most + 200) / r["n"]) for r in counts}
     if not share:
         return {}
     below = F.create_map(*[F.lit(x) for g, s in share.items() for x in (g, int(s * 2.0**63) * 2 - 2**63 if s < 1 else 2**63 - 1)])
-    picked = rows.where(F.col("g").isin(*share)).where(F.col("h") <= F.element_at(below, F.col("g")))
+    picked = rows.where(F.col("h") <= F.element_at(below, F.col("g")))
     texts: dict[str, list[tuple[int, str]]] = {g: [] for g in share}
     for r in picked.select("g", "h", F.substring("t", 1, ROW_CHARS).alias("t")).toLocalIterator():
         texts[r["g"]].append((r["h"], r["t"]))
     out = {}
     for g, found in texts.items():
-        parts = [normal_form(t) for _, t in sorted(found)[:SAMPLE_ROWS]]
-        out[g] = b" ".join(p for p in parts if p)[-DICTIONARY_BYTES:]
-    return {g: d for g, d in out.items() if len(d) >= 8}
+        parts = [normal_form(t) for _, t in sorted(found)[:most]]
+        sample = b" ".join(p for p in parts if p)[-room:]
+        if sample:  # a dictionary takes 8 bytes at least
+            out[g] = sample if len(sample) >= 8 else (sample + b" ") * 8
+    return out
 
 
 class Classifier:

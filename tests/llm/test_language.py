@@ -1,10 +1,11 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
 
 from skillgrid.llm import language as L
 
-from .data import empty_documents, odd_documents
+from .data import empty_documents, odd_documents, words
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -51,3 +52,13 @@ def test_narrow_margins_are_rejected():
     c = L.Classifier({"a": b"alpha beta gamma delta words " * 40, "b": b"alpha beta gamma delta words " * 40})
     name, score = c("alpha beta gamma")
     assert name == "a" and score == 0.0
+
+
+def test_all_labels_are_learned(spark):
+    rng = random.Random(1)
+    rows = [(i, words(rng, 40), f"l{i:03}") for i in range(L.LANGUAGES + 5)] + [(900, "ab", "short"), (901, "12 34", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(df)
+    assert set(model) == {r[2] for r in rows} - {"none"}
+    c = L.Classifier(model)
+    assert all(c(text)[0] == lang for _, text, lang in rows if lang.startswith("l"))
