@@ -104,8 +104,9 @@ def write_avi(pictures: list[bytes], width: int = SIDE, height: int = SIDE, micr
 
 def read_avi(data: bytes) -> tuple[int, list[bytes]]:
     """Microseconds of a frame, and the frames of the first video stream, by the index
-    where there is one and else in the order of the movi list."""
-    micros, movi, index, frames = MICROS, None, None, []
+    where there is one and else in the order of the movi list. An empty chunk repeats the
+    frame before (at the start, the first one). Without a frame there is an error."""
+    micros, movi, index, frames, streams = MICROS, None, None, [], {}
     stack = [(0, len(data))]
     while stack:
         at, end = stack.pop()
@@ -120,14 +121,20 @@ def read_avi(data: bytes) -> tuple[int, list[bytes]]:
                     stack.append((body + 4, last))
             elif name == b"avih":
                 micros = struct.unpack_from("<I", data, body)[0] or MICROS
+            elif name == b"strh":
+                streams[at] = data[body : body + 4]
             elif name == b"idx1":
                 index = data[body:last]
             at = body + size + (size & 1)
     if movi is None:
         raise ValueError("no movi list")
+    kinds = [streams[i] for i in sorted(streams)] or [b"vids"]
+    if b"vids" not in kinds:
+        raise ValueError("no video stream")
+    names = [b"%02d%s" % (kinds.index(b"vids"), x) for x in (b"dc", b"db")]
     if index is not None:
         rows = np.frombuffer(index[: len(index) // 16 * 16], np.dtype([("name", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
-        rows = rows[np.isin(rows["name"], (b"00dc", b"00db"))]
+        rows = rows[np.isin(rows["name"], names)]
         # offsets count from the list's name, or in some files from the file's start
         base = movi[0] if not len(rows) or data[movi[0] + int(rows["at"][0]) :][:4] == rows["name"][0] else 0
         frames = [data[base + a + 8 : base + a + 8 + n] for a, n in zip(rows["at"].tolist(), rows["size"].tolist())]
@@ -135,10 +142,17 @@ def read_avi(data: bytes) -> tuple[int, list[bytes]]:
         at = movi[0] + 4
         while at + 8 <= movi[1]:
             size = struct.unpack_from("<I", data, at + 4)[0]
-            if data[at : at + 4] in (b"00dc", b"00db"):
+            if data[at : at + 4] in names:
                 frames.append(data[at + 8 : at + 8 + size])
             at += 8 + size + (size & 1)
-    return micros, [f for f in frames if f]
+    held = next((f for f in frames if f), None)
+    if held is None:
+        raise ValueError("no video frame")
+    out = []
+    for f in frames:
+        held = f or held
+        out.append(held)
+    return micros, out
 
 
 class Picture:

@@ -99,3 +99,17 @@ def test_digests(spark):
 def test_no_rows(spark):
     assert M.stored_digests(empty_documents(spark)).count() == 0
     assert M.clips(M.store(empty_documents(spark))).count() == 0
+
+
+def test_video_after_audio_and_empty_chunks(spark):
+    a, b = frames(np.stack([np.zeros((24, 24)), np.full((24, 24), 200)]))
+    data = M.write_avi([a, b"", b"", b])
+    assert M.read_avi(data)[1] == [a, a, a, b] == M.read_avi(data[: data.index(b"idx1")])[1]
+    strl = data[data.index(b"strl") - 8 : data.index(b"movi") - 8]
+    hdrl = b"hdrl" + data[data.index(b"avih") : data.index(b"strl") - 8]
+    movi = M._chunk(b"01wb", b"sound") + M._chunk(b"00wb", b"sound") + M._chunk(b"01dc", a) + M._chunk(b"01dc", b"") + M._chunk(b"01dc", b)
+    head = M._chunk(b"LIST", hdrl + strl.replace(b"vids", b"auds") + strl)
+    second = M._chunk(b"RIFF", b"AVI " + head + M._chunk(b"LIST", b"movi" + movi))
+    assert M.read_avi(second)[1] == [a, a, b]
+    out = M.clips(spark.createDataFrame([(1, bytearray(M.write_avi([]))), (2, bytearray(M.write_avi([b""])))], "doc_id long, media binary")).collect()
+    assert sorted((r["doc_id"], r["clip"], r["error"]) for r in out) == [(1, None, "no video frame"), (2, None, "no video frame")]
