@@ -1,18 +1,29 @@
-"""Main text of web pages from structure and from repeats within a host.
+"""Main text of web pages from page structure and a host suffix array.
 
 A page becomes blocks of text in page order. Each block has a kind from the elements
 around it: `main` (inside article or main), `furniture` (menus, page headers, footers,
 sidebars, notices, adverts, forms, comments, by element or by class name) or `open`.
-
-Pages of a host are dealt by content into shards of about SHARD_CHARS characters. In a
-shard the words of all blocks form one token stream; its suffixes are sorted by prefix
-doubling up to RUN tokens. Counts of runs are summed over the shards, and those on enough
-distinct pages of the host (copies of a page count once) are marked. Furniture goes. A main block goes only if all of it is repeated on nearly all
-pages. Open blocks, on pages with a main part or without, lose the marked runs; link
-lists go, and what is unique stays.
-
-Null or empty html gives "". Null urls share one host. Truncated pages, unclosed
-elements and repeated rows are read as they are.
+The article stays as it is and furniture goes. On what is open, on pages with an article
+or without, the host's suffix array decides: what is covered by long substrings repeated
+across distinct pages goes, unique runs stay, and link lists go.
+
+The token streams of a host's pages are concatenated and their suffixes sorted by prefix
+doubling. Neighbours in that order with a common prefix of RUN tokens or more form an
+interval; its strings are marked if they start on enough distinct pages of the host
+(copies of a page count once). Sorting stops at RUN tokens, as that decides everything:
+each window of RUN tokens of a longer repeated substring is on all pages which that is on,
+so the tokens covered by all repeated substrings of RUN tokens or more are those covered
+by the repeated windows. A block of under RUN tokens counts as a whole.
+
+A host's pages are dealt by content into shards of about SHARD_CHARS characters, each
+with its own suffix array. The counts of runs are summed over the host's shards before
+thresholds apply, so the result does not depend on how a host is dealt.
+
+Null or empty html gives "". Null urls share one host. Truncated pages, unclosed elements
+and repeated rows are read as they are; a tag that never ends takes the rest of its page.
+Elements nested deeper than DEPTH count as the one around them. Very long pages are read
+whole, in time linear in their length. Runs at a threshold exactly are marked. An empty
+table gives no rows. Only id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -32,9 +43,10 @@ from .common import Scratch, load, map_batches, shuffle_partitions
 
 RUN = 8
 SHARD_CHARS, TASK_SHARDS = 1_000_000, 8
-#: A run is boilerplate on so many distinct pages and this share of them; a main block
-#: only if it is on nearly all of at least MAIN_PAGES pages.
-LEAST_PAGES, SHARE, MAIN_PAGES, MAIN_SHARE = 3, 0.1, 10, 0.8
+#: A run is boilerplate on so many distinct pages and this share of them.
+LEAST_PAGES, SHARE = 3, 0.1
+#: Open elements at most.
+DEPTH = 512
 
 # Element and class names of HTML practice.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
@@ -46,14 +58,38 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner ba
 SAME_LEVEL = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Inside an article only names like these tell, and only if nothing else is in the name.
+INNER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr newsletter subscribe subscription comment comments reply replies respond disqus share sharing social related recommended recommendations pagination pager nav navbar navigation menu breadcrumb breadcrumbs sidebar footer popup modal overlay widget".split())
+PARTS = frozenset("area bar block box buttons container content form inner item links list notice panel section slot thread unit wrap wrapper".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr table figure figcaption span a b i em strong small code q cite u s sub sup mark time abbr font".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsored".split())
+
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+_CLOSE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "noframes")}
 _NOT_NAME = re.compile(r"[^a-z0-9]+")
 
+#: End tags do not reach past these, unless they are of an element in ANCHORS.
+BARRIERS, ANCHORS = frozenset({"article", "main", "table"}), frozenset("body html article main div section".split())
+
 MAIN, OPEN, OFF = 2, 1, 0
 
 
+def _named_furniture(tag: str, names: str, inside_main: bool) -> bool:
+    if tag in ("main", "body", "html"):
+        return False
+    if tag == "article":
+        return not {"comment", "comments", "reply"}.isdisjoint(_NOT_NAME.split(names))
+    if not inside_main:
+        return not MARKS.isdisjoint(_NOT_NAME.split(names))
+    for one in names.split():
+        words = set(_NOT_NAME.split(one)) - PARTS - {""}
+        if words and words <= (ADVERTS if tag in TEXTUAL else INNER):
+            return True
+    return False
+
+
 def _furniture(tag: str, attrs: str, inside_main: bool) -> bool:
     if tag in FURNITURE and not (tag == "header" and inside_main):
         return True
@@ -63,12 +99,7 @@ def _furniture(tag: str, attrs: str, inside_main: bool) -> bool:
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        words = set(_NOT_NAME.split(value.lower())) if name in ("class", "id") else set()
-        if tag in ("article", "main", "body", "html"):
-            words &= {"comment", "comments", "reply"} if tag == "article" else set()
-        elif inside_main:
-            words -= {"header", "banner"}
-        if not MARKS.isdisjoint(words):
+        if name in ("class", "id") and _named_furniture(tag, value.lower(), inside_main):
             return True
         if name == "role" and value.lower() in ("complementary", "contentinfo", "navigation", "banner", "search", "dialog", "alert"):
             return True
@@ -94,30 +125,50 @@ def blocks_of(page: str) -> list[tuple[int, str, float]]:
     def close_to(i: int) -> None:
         if any(t in BLOCKS for t, _, _ in stack[i:]):
             flush()
+        for t, _, _ in stack[i:]:
+            opened[t] -= 1
         del stack[i:]
 
-    links = 0
+    def close_one(tags: Iterable[str], limits: frozenset[str] | set[str]) -> None:
+        """Closes the innermost open element of `tags`, unless one of `limits` is further in."""
+        if not any(opened.get(t) for t in tags):
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                return close_to(i)
+            if stack[i][0] in limits:
+                return None
+        return None
+
+    opened: dict[str, int] = {}
+    quoted = True  # until a tag's quotes do not end: then tags end at the first bracket
     while at < len(page):
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text and not (stack and stack[-1][2]):
             text = html.unescape(text)
             held.append(text)
-            if links:
+            if opened.get("a"):
                 linked += len(text.strip())
         if not m:
             break
-        at, end, tag, attrs = m.end(), m[1], (m[2] or "").lower(), m[3] or ""
+        tag = (m[2] or "").lower()
         if not tag:
+            end = page.find("-->" if m[0] == "<!--" else ">", m.end())
+            at = len(page) if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
-        if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close_to(i)
-                    break
-                if stack[i][0] in ("article", "main", "table") and tag not in ("body", "html", "article", "main", "div", "section"):
-                    break
-            links = sum(t == "a" for t, _, _ in stack)
+        stop = _CLOSE.match(page, m.end()) if quoted else None
+        if stop:
+            at = stop.end()
+        else:
+            quoted = False
+            end = page.find(">", m.end())
+            if end < 0:
+                break
+            at = end + 1
+        attrs = page[m.end() : at - 1]
+        if m[1]:
+            close_one((tag,), set() if tag in ANCHORS else BARRIERS)
             continue
         if tag in VOID:
             if tag in BLOCKS:
@@ -126,19 +177,9 @@ def blocks_of(page: str) -> list[tuple[int, str, float]]:
                 held.append(" ")
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close_to(i)
-                    break
-                if stack[i][0] in CLOSES_P:
-                    break
+            close_one(("p",), CLOSES_P)
         if tag in SAME_LEVEL:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SAME_LEVEL[tag]:
-                    close_to(i)
-                    break
-                if stack[i][0] in LIMITS[tag]:
-                    break
+            close_one(SAME_LEVEL[tag], LIMITS[tag])
         if tag in BLOCKS:
             flush()
         kind, silent = stack[-1][1:] if stack else (OPEN, 0)
@@ -148,13 +189,14 @@ def blocks_of(page: str) -> list[tuple[int, str, float]]:
             elif tag in ("article", "main"):
                 kind = MAIN
         if tag in _RAW and (tag in ("script", "style") or not attrs.endswith("/")):
-            stop = _RAW[tag].search(page, at)
-            at = stop.end() if stop else len(page)
+            last = _RAW[tag].search(page, at)
+            at = last.end() if last else len(page)
             continue
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, kind, 1 if silent or tag in SILENT else 0))
-        links += tag == "a"
+        if len(stack) < DEPTH:
+            stack.append((tag, kind, 1 if silent or tag in SILENT else 0))
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -220,23 +262,23 @@ class Stream:
         self.run = run.view(np.int64)
 
 
-def found(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run: its hash, on how many of the pages it is, and whether it is in an open
-    and in a main block there. No two pages may be copies."""
+def found(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run, that is each interval of the suffix array with a common prefix of RUN
+    tokens: its hash, on how many of the pages it starts, and whether it does in an open
+    block there. No two pages may be copies."""
     s = Stream(pages)
     rank = s.ids.copy()
-    for step in (1, 2, 4):  # sorts all suffixes by their first 8 tokens
+    for step in (1, 2, 4):  # prefix doubling: suffixes by their first 2, 4 and 8 tokens
         rank[:-step] = np.unique(rank[:-step] << 32 | rank[step:], return_inverse=True)[1]
-    rank, page, kind = rank[s.starts], s.page_of[s.block], s.kind_of[s.block]
+    rank, page, is_open = rank[s.starts], s.page_of[s.block], s.kind_of[s.block] == OPEN
     order = np.lexsort((page, rank))
-    r, p, kind = rank[order], page[order], kind[order]
-    first = np.ones(len(r), bool)
+    r, p = rank[order], page[order]
+    first = np.ones(len(r), bool)  # where the common prefix with the suffix before is shorter
     first[1:] = r[1:] != r[:-1]
     fresh = first.copy()
     fresh[1:] |= p[1:] != p[:-1]
-    group = np.cumsum(first) - 1
-    count = lambda x: np.bincount(group, x, minlength=int(first.sum()))
-    return s.run[order][first], count(fresh).astype(np.int64), count(kind == OPEN) > 0, count(kind == MAIN) > 0
+    group, n = np.cumsum(first) - 1, int(first.sum())
+    return s.run[order][first], np.bincount(group, fresh, n).astype(np.int64), np.bincount(group, is_open[order], n) > 0
 
 
 def cleaned(pages: list[list[Block]], runs: np.ndarray, n: np.ndarray, total: int) -> list[str]:
@@ -252,13 +294,11 @@ def cleaned(pages: list[list[Block]], runs: np.ndarray, n: np.ndarray, total: in
     np.add.at(cover, hits, 1)
     np.add.at(cover, hits + RUN, -1)
     covered = np.cumsum(cover)[: s.length] > 0
-    least = np.full(len(s.size), np.iinfo(np.int64).max)
-    np.minimum.at(least, s.block, seen)
     out, k = [], 0
     for blocks in pages:
         kept = []
         for kind, text, linked in blocks:
-            if kind == MAIN and not (total >= MAIN_PAGES and least[k] >= MAIN_SHARE * total):
+            if kind == MAIN:
                 kept.append(text)
             elif kind == OPEN and linked < 0.5:
                 own = covered[s.begin[k] : s.begin[k] + s.size[k]]
@@ -283,7 +323,7 @@ def texts_of(pages: list[str | None]) -> list[str]:
     parsed = [blocks_of(p or "") for p in pages]
     lines = list(map(coded, parsed))
     each = distinct(zip(map(content_of, lines), lines))
-    runs, n, _, _ = found(list(map(decoded, each)))
+    runs, n, _ = found(list(map(decoded, each)))
     order = np.argsort(runs)
     return cleaned(parsed, runs[order], n[order], len(each))
 
@@ -295,17 +335,21 @@ def host_of(url: Column) -> Column:
 def _shard_runs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one shard: its distinct pages, and the runs that are on SHARE of them."""
     each = distinct((c, unpacked(b)) for x in batches for c, b in zip(x.column("content").to_pylist(), x.column("blocks").to_pylist()))
-    runs, n, is_open, is_main = found(list(map(decoded, each)))
+    runs, n, is_open = found(list(map(decoded, each)))
     keep = n + 1e-6 >= SHARE * len(each)
     m = int(keep.sum())
     host, total = key[0].as_py(), len(each)
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array([host] * (m + 1), pa.string()), pa.array([total] * (m + 1), pa.int64()), pa.array([None, *runs[keep].tolist()], pa.int64()), pa.array([None, *n[keep].tolist()], pa.int64()),
-            pa.array([None, *is_open[keep].tolist()], pa.bool_()), pa.array([None, *is_main[keep].tolist()], pa.bool_()), pa.array([list(map(packed, each)), *[None] * m], pa.list_(pa.binary())),
+            pa.array([host] * (m + 1), pa.string()),
+            pa.array([total] * (m + 1), pa.int64()),
+            pa.array([None, *runs[keep].tolist()], pa.int64()),
+            pa.array([None, *n[keep].tolist()], pa.int64()),
+            pa.array([None, *is_open[keep].tolist()], pa.bool_()),
+            pa.array([list(map(packed, each)), *[None] * m], pa.list_(pa.binary())),
         ],
-        names=["host", "pages", "run", "n", "is_open", "is_main", "contents"],
-    )
+        names=["host", "pages", "run", "n", "is_open", "contents"],
+    )
 
 
 def host_runs(rows: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -329,26 +373,31 @@ def host_runs(rows: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
     parsed = map_batches(rows.join(scratch.hint(sizes), "host").select("host", "shards", "h"), "host string, shard long, content long, blocks binary", parse, "h")
     # tasks of a few shards each, however large the table
     parsed = parsed.repartition(max(shuffle_partitions(spark), int(shards) // TASK_SHARDS), "host", "shard")
-    dealt = scratch.table(parsed.groupBy("host", "shard").applyInArrow(_shard_runs, "host string, pages long, run long, n long, is_open boolean, is_main boolean, contents array<binary>"))
+    shape = "host string, pages long, run long, n long, is_open boolean, contents array<binary>"
+    dealt = scratch.table(parsed.groupBy("host", "shard").applyInArrow(_shard_runs, shape))
     totals = scratch.table(dealt.where("run is null").groupBy("host").agg(F.sum("pages").alias("total")))
-    summed = dealt.where("run is not null").groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("pages").alias("of"), F.max("is_open").alias("is_open"), F.max("is_main").alias("is_main"))
+    summed = dealt.where("run is not null").groupBy("host", "run")
+    summed = summed.agg(F.sum("n").alias("n"), F.sum("pages").alias("of"), F.max("is_open").alias("is_open"))
     least = F.greatest(F.lit(float(LEAST_PAGES)), F.lit(SHARE) * F.col("total"))
-    summed = scratch.table(summed.join(scratch.hint(totals), "host").where(F.col("n") + F.lit(SHARE) * (F.col("total") - F.col("of")) + 1e-6 >= least))
+    possible = F.col("n") + F.lit(SHARE) * (F.col("total") - F.col("of")) + 1e-6 >= least
+    summed = scratch.table(summed.join(scratch.hint(totals), "host").where(possible))
     unsure = scratch.table(summed.where("of < total").groupBy("host").agg(F.sort_array(F.collect_list("run")).alias("runs")))
 
     def count(x: dict[str, list]) -> dict[str, list]:
         made: list[tuple] = []
         for host, runs, pages in zip(x["host"], x["runs"], x["contents"]):
-            run, n, is_open, is_main = found([decoded(unpacked(p)) for p in pages])
+            run, n, is_open = found([decoded(unpacked(p)) for p in pages])
             keep = np.isin(run, np.array(runs, np.int64))
-            made += zip([host] * int(keep.sum()), run[keep].tolist(), n[keep].tolist(), is_open[keep].tolist(), is_main[keep].tolist())
-        return dict(zip(("host", "run", "n", "is_open", "is_main"), zip(*made) if made else [()] * 5))
+            made += zip([host] * int(keep.sum()), run[keep].tolist(), n[keep].tolist(), is_open[keep].tolist())
+        return dict(zip(("host", "run", "n", "is_open"), zip(*made) if made else [()] * 4))
 
-    again = map_batches(dealt.where("run is null").select("host", "contents").join(scratch.hint(unsure), "host"), "host string, run long, n long, is_open boolean, is_main boolean", count)
-    again = again.groupBy("host", "run").agg(F.sum("n").alias("n"), F.max("is_open").alias("is_open"), F.max("is_main").alias("is_main")).join(scratch.hint(totals), "host")
+    shards = dealt.where("run is null").select("host", "contents").join(scratch.hint(unsure), "host")
+    again = map_batches(shards, "host string, run long, n long, is_open boolean", count).groupBy("host", "run")
+    again = again.agg(F.sum("n").alias("n"), F.max("is_open").alias("is_open")).join(scratch.hint(totals), "host")
     every = summed.where("of = total").select(*again.columns).unionByName(again)
-    every = every.where((F.col("is_open") & (F.col("n") >= least)) | (F.col("is_main") & (F.col("total") >= MAIN_PAGES) & (F.col("n") >= F.lit(MAIN_SHARE) * F.col("total"))))
-    return scratch.table(every.groupBy("host", "total").agg(F.sort_array(F.collect_list(F.struct("run", "n"))).alias("r")).select("host", "total", F.col("r.run").alias("runs"), F.col("r.n").alias("ns")))
+    every = every.where(F.col("is_open") & (F.col("n") >= least)).groupBy("host", "total")
+    every = every.agg(F.sort_array(F.collect_list(F.struct("run", "n"))).alias("r"))
+    return scratch.table(every.select("host", "total", F.col("r.run").alias("runs"), F.col("r.n").alias("ns")))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,6 +1,7 @@
 import html as stdlib
 import random
 import re
+import time
 
 from skillgrid.llm import html as H
 
@@ -84,14 +85,97 @@ def test_shards_do_not_change_results(spark, monkeypatch):
     notice, rare = "this site is run by people who like long and plain notices", "a passage on too few of the pages to be a notice at all"
     body = words(rng, 30)
     rows = [(i, "http://h/x", f"<p>{words(rng, 30)}</p>" + f"<p>{notice}</p>" * (i < 6) + f"<p>{rare}</p>" * (6 <= i < 8)) for i in range(30)]
-    rows += [(i, "http://m/x", f"<main><p>{words(rng, 20)}</p>" + f"<p>{body}</p>" * (i % 10 > 0) + "</main>") for i in range(100, 130)]
+    rows += [(i, "http://m/x", f"<main><p>{words(rng, 20)}</p>" + f"<p>{body}</p>" * (i % 10 > 0) + f"</main><p>{notice}</p>") for i in range(100, 130)]
     rows += [(i, "http://c/x", f"<nav>{words(rng, 9)}</nav><p>{body}</p>") for i in range(200, 230)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = {}
     for host in "hmc":
         own = [r for r in rows if r[1] == f"http://{host}/x"]
         want |= dict(zip([r[0] for r in own], H.texts_of([r[2] for r in own])))
-    assert not any(notice in t for t in want.values()) and sum(rare in t for t in want.values()) == 2 and not any(body in want[i] for i in range(100, 130)) and all(want[i] == body for i in range(200, 230))
+    assert not any(notice in t for t in want.values()) and sum(rare in t for t in want.values()) == 2 and sum(body in want[i] for i in range(100, 130)) == 27 and all(want[i] == body for i in range(200, 230))
     for size in (300, 1000, 3000, 1_000_000):
         monkeypatch.setattr(H, "SHARD_CHARS", size)
         assert {r["page_id"]: r["text"] for r in H.extract(df).collect()} == want
+
+
+def test_articles_stay_on_hosts_of_any_size():
+    rng = random.Random(5)
+    body = words(rng, 30)
+    for n in (1, 9, 12, 40):
+        pages = [f"<article><p>{body}</p><p>{words(rng, 12)}</p></article>" for _ in range(n)]
+        assert all(t.startswith(body) for t in H.texts_of(pages))
+
+
+def test_class_names_inside_articles():
+    page = "<article><p class=share-price>The share price rose</p><h2 class=search>About search</h2><div class=search>Searching</div><div class='ad-slot'>buy</div><p class=ad>buy</p><div class='social-share box'>like</div></article>"
+    assert H.texts_of([page]) == ["The share price rose\n\nAbout search\n\nSearching"]
+    # outside of articles any such word tells
+    assert H.texts_of(["<div class='page search'>x</div><div class=text>y</div>"]) == ["y"]
+
+
+def every_repeat(pages):
+    """Texts of pages with open blocks only: tokens in substrings of RUN tokens or more, of any
+    length, that are in enough distinct pages go; blocks of fewer tokens go as a whole."""
+    blocks = [[b.split() for b in re.findall("<p>(.*?)</p>", p)] for p in pages]
+    distinct = {tuple(map(tuple, b)) for b in blocks}
+    on = {}
+    for page in distinct:
+        seen = set()
+        for b in page:
+            for i in range(len(b)):
+                for j in range(i + H.RUN, len(b) + 1):
+                    seen.add(b[i:j])
+            if len(b) < H.RUN:
+                seen.add(b)
+        for x in seen:
+            on[x] = on.get(x, 0) + 1
+    least = max(H.LEAST_PAGES, H.SHARE * len(distinct))
+    out = []
+    for page in blocks:
+        kept = []
+        for b in page:
+            gone = set()
+            for i in range(len(b)):
+                for j in range(i + 1, len(b) + 1):
+                    if (j - i >= H.RUN or j - i == len(b)) and on.get(tuple(b[i:j]), 0) >= least:
+                        gone |= set(range(i, j))
+            kept.append(" ".join(w for i, w in enumerate(b) if i not in gone))
+        out.append("\n\n".join(k for k in kept if k))
+    return out
+
+
+def test_equals_all_repeated_substrings(spark, monkeypatch):
+    for seed in range(6):
+        rng = random.Random(seed)
+        shared = [words(rng, rng.randint(3, 25)) for _ in range(6)]
+        pages = []
+        for _ in range(25):
+            parts = [rng.choice([words(rng, rng.randint(1, 12)), rng.choice(shared), words(rng, 3) + " " + rng.choice(shared) + " " + words(rng, 2)]) for _ in range(4)]
+            pages.append("".join(f"<p>{x}</p>" for x in parts))
+        pages += pages[:2]
+        want = every_repeat(pages)
+        assert H.texts_of(pages) == want
+        assert want != ["\n\n".join(re.findall("<p>(.*?)</p>", p)) for p in pages]
+    monkeypatch.setattr(H, "SHARD_CHARS", 500)
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert [r["text"] for r in H.extract(df).orderBy("page_id").collect()] == want
+
+
+def test_very_long_and_broken_pages():
+    n = 350_000
+    for page in ("<a " * n, "<a \">\"" * n, "<a '" * n, "<b>" * n + "</i>" * n, "<div>" * n + "x", "<p>" * n, "<!--" * n, "<" * 3 * n, "&amp;" * n, "<table><b></b>" * 60_000, "<li><a href=x>y</a>" * 50_000):
+        began = time.perf_counter()
+        H.texts_of([page])
+        assert time.perf_counter() - began < 20
+    assert H.texts_of(["<div>" * 5000 + "x" + "</div>" * 5000 + "y"]) == ["x\n\ny"]
+    assert H.texts_of(["a<p>b<a href='x"]) == ["a\n\nb"]
+
+
+def test_step_decides_where_there_is_no_article():
+    rng = random.Random(7)
+    notice = words(rng, 30)
+    pages = [f"<body><div><p>{words(rng, 30)}</p><p>{notice}</p></div></body>" for _ in range(20)]
+    with_step = H.texts_of(pages)
+    parsed = [H.blocks_of(p) for p in pages]
+    without = H.cleaned(parsed, H.np.empty(0, H.np.int64), H.np.empty(0, H.np.int64), len(pages))
+    assert all(a != b and notice in b and notice not in a for a, b in zip(with_step, without))
