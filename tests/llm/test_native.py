@@ -40,14 +40,37 @@ def test_lines(spark):
     out = {r["doc_id"]: r for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert all("Menu" not in out[i]["text"] and out[i]["n_dropped"] == 1 and out[i]["text"].count("\n") == 3 for i in range(40))
     assert out[100]["n_dropped"] == 0 and out[101]["text"] is None and out[101]["n_lines"] == 0
-    assert out[102]["text"] == "Menu line\nMenu line\nx" and out[102]["n_dropped"] == 0
+    assert out[102]["text"] == "x" and out[102]["n_dropped"] == 2
 
 
-def test_copies_are_no_boilerplate(spark):
+def test_copies_count_unless_asked_otherwise(spark):
     rng = random.Random(2)
     page = "\n".join(words(rng, 6) for _ in range(6))
     rows = [(i, "h", page) for i in range(30)] + [(50 + i, "h", words(rng, 30)) for i in range(10)]
-    assert lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("n_dropped > 0").count() == 0
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert lines.drop_boilerplate(df).where("n_dropped = 6 and text = ''").count() == 30
+    assert lines.drop_boilerplate(df, copies_once=True).where("n_dropped > 0").count() == 0
+
+
+def plain_lines(rows, ratio):
+    """Ratio of pages with the line, by hand."""
+    pages, on = {}, {}
+    solid = lambda x: x.strip(" \t\r")
+    for _, host, text in rows:
+        pages[host] = pages.get(host, 0) + 1
+        for x in {solid(x) for x in (text or "").split("\n")} - {""}:
+            on[host, x] = on.get((host, x), 0) + 1
+    bad = {k for k, n in on.items() if n >= 2 and n > ratio * pages[k[0]]}
+    return sorted((i, None if t is None else "\n".join(x for x in t.split("\n") if (h, solid(x)) not in bad)) for i, h, t in rows)
+
+
+def test_lines_equal_brute_force(spark):
+    rng = random.Random(3)
+    shared = [words(rng, 3) for _ in range(12)] + ["", "  ", "\t"]
+    rows = [(i, f"h{rng.randint(0, 4) ** 2}", "\n".join(rng.choice(["", " ", "\r"]) + (rng.choice(shared) if rng.random() < 0.3 else words(rng, 3)) for _ in range(rng.randint(0, 9)))) for i in range(300)]
+    rows += [(1000, "h0", None), (1001, "one", "alone\nalone"), (1002, "two", "here\nx"), (1003, "two", "here\ny"), (1004, "h0", "z\n" * 50_000)]
+    got = lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == plain_lines(rows, lines.RATIO)
 
 
 def test_no_rows(spark):
