@@ -7,15 +7,17 @@ whose own cost does not count: it brings the coder's letter statistics to the la
 so that even a few words tell. The language with the smallest total wins. The score is the
 share that the winner saves against the runner-up; a narrow margin rejects the text.
 
-Texts that are null or have no letter get `und` with score 0 and count as rejected. With
-one learned language the runner-up is compression without a dictionary. Ties go to the
-more frequent language. With no labelled rows at all every text gets `und`.
-Repeated rows are kept.
-
-Every label whose texts have a letter is learned. The sample is bounded, whatever the size
-of the table: SAMPLE_ROWS rows of each language, those with the smallest hash of their id,
-ROW_CHARS of each, DICTIONARY_BYTES in all. With more than LANGUAGES languages each one's
-rows and bytes shrink in proportion.
+Texts that are null or have no letter (marks alone are none) get `und` with score 0 and
+count as rejected. With one learned language the runner-up is compression without a
+dictionary. Ties go to the more frequent language. With no labelled rows at all every
+text gets `und`. Very long texts are compressed whole, block by block. Repeated rows are
+kept; an empty table gives no rows. Columns to keep that are called like a result give way.
+
+Every label of which a sampled text has a letter is learned, short samples repeated up to
+what a dictionary needs. The sample is bounded, whatever the size of the table:
+SAMPLE_ROWS rows of each language, those with the smallest hash of id and text (equal rows
+count once), ROW_CHARS of each, DICTIONARY_BYTES in all. With more than LANGUAGES
+languages each one's rows and bytes shrink in proportion.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ PARAMETERS = zstandard.ZstdCompressionParameters(
 #: Least share of bytes by which the winner must beat the runner-up.
 MARGIN = 0.01
 UNKNOWN = "und"
-_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_LETTERS, _LETTER = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -47,23 +49,32 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def normal_form(text: str) -> bytes:
+    """Lower-cased runs of letters and their marks; nothing if there is no letter."""
+    if not _LETTER.search(text):
+        return b""
     return " ".join(_LETTERS.findall(text.lower())).encode()
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each language, the most frequent first, from the labelled rows."""
-    rows = df.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g")).where("g is not null and t is not null")
-    counts = rows.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").collect()
-    part = min(1.0, LANGUAGES / max(1, len(counts)))
-    most, room = max(1, int(SAMPLE_ROWS * part)), max(8, int(DICTIONARY_BYTES * part))
-    # hashes are uniform: the `most` smallest of n lie below this share, nearly surely
-    share = {r["g"]: min(1.0, (2 * most + 200) / r["n"]) for r in counts}
-    if not share:
+    """A dictionary for each language, the most frequent first, from the labelled rows.
+
+    Only texts with a letter take part. A first pass counts the distinct hashes of each
+    language (approximately, in bounded sketches) and sets a threshold which about
+    2 * rows + 200 of them pass; of what passes, the smallest hashes are taken exactly."""
+    rows = df.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("g"), F.col(f"`{id_col}`").alias("k"))
+    rows = rows.where("g is not null and t is not null").where(F.col("t").rlike(r"\p{L}")).select("g", "t", F.xxhash64("k", "t").alias("h"))
+    counts = rows.groupBy("g").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("d")).orderBy(F.desc("n"), "g").collect()
+    if not counts:
         return {}
+    part = min(1.0, LANGUAGES / len(counts))
+    most, room = max(1, int(SAMPLE_ROWS * part)), max(8, int(DICTIONARY_BYTES * part))
+    # hashes are uniform: the `most` smallest of d lie below this share, nearly surely
+    share = {r["g"]: min(1.0, (2 * most + 200) / max(1, r["d"])) for r in counts}
     below = F.create_map(*[F.lit(x) for g, s in share.items() for x in (g, int(s * 2.0**63) * 2 - 2**63 if s < 1 else 2**63 - 1)])
-    picked = rows.where(F.col("h") <= F.element_at(below, F.col("g")))
+    lead = F.substring(F.regexp_extract("t", r"(?s)\p{L}.*", 0), 1, ROW_CHARS)  # from the first letter on
+    picked = rows.where(F.col("h") <= F.element_at(below, F.col("g"))).groupBy("g", "h").agg(F.min(lead).alias("t"))
     texts: dict[str, list[tuple[int, str]]] = {g: [] for g in share}
-    for r in picked.select("g", "h", F.substring("t", 1, ROW_CHARS).alias("t")).toLocalIterator():
+    for r in picked.toLocalIterator():
         texts[r["g"]].append((r["h"], r["t"]))
     out = {}
     for g, found in texts.items():
@@ -110,13 +121,15 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     """The columns `keep` with lang_pred, score and rejected."""
     sent = df.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))
     kinds = dict(df.dtypes)
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score", "rejected"))
+    held = "_".join(["_text", *keep])  # a name that no kept column has
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        found = list(map(_classifier(sent.value), rows["_text"]))
+        found = list(map(_classifier(sent.value), rows[held]))
         return {c: rows[c] for c in keep} | {"lang_pred": [g for g, _ in found], "score": [s for _, s in found], "rejected": [g == UNKNOWN or s < margin for g, s in found]}
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["lang_pred string", "score double", "rejected boolean"])
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text")), schema, work, "_text")
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(held)), schema, work, held)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
 import random
+import unicodedata
 import zlib
 
+import regex
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from skillgrid.llm import language as L
@@ -62,3 +66,71 @@ def test_all_labels_are_learned(spark):
     assert set(model) == {r[2] for r in rows} - {"none"}
     c = L.Classifier(model)
     assert all(c(text)[0] == lang for _, text, lang in rows if lang.startswith("l"))
+
+
+def plain_predictions(rows, learned):
+    """The whole method again, in plain steps: hashes, samples, dictionaries, sizes."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    letter = lambda c: unicodedata.category(c)[0] == "L"
+
+    def form(text):
+        if not any(map(letter, text)):
+            return b""
+        return " ".join(regex.findall(r"[\p{L}\p{M}]+", text.lower())).encode()
+
+    sample, count = {}, {}
+    for i, text, lang in learned:
+        if text is None or lang is None or not any(map(letter, text)):
+            continue
+        h = xxhash.xxh64_intdigest(text.encode(), 42 if i is None else xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42))
+        sample.setdefault(lang, {})[signed(h)] = text[next(j for j, c in enumerate(text) if letter(c)) :][: L.ROW_CHARS]
+        count[lang] = count.get(lang, 0) + 1
+    packs = []
+    for lang in sorted(sample, key=lambda g: (-count[g], g)):
+        best = sorted(sample[lang].items())[: L.SAMPLE_ROWS]
+        raw = b" ".join(f for f in (form(t) for _, t in best) if f)[-L.DICTIONARY_BYTES :]
+        raw = raw if len(raw) >= 8 else (raw + b" ") * 8
+        book = zstandard.ZstdCompressionDict(raw[L.LEAD :] if len(raw) > 2 * L.LEAD else raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packs.append((lang, book, raw[: L.LEAD] + b" "))
+
+    def size(book, lead, text):
+        book.precompute_compress(compression_params=L.PARAMETERS)
+        of = lambda x: len(zstandard.ZstdCompressor(dict_data=book, compression_params=L.PARAMETERS).compress(x))
+        return max(1, sum(of(lead + text[j : j + L.BLOCK]) - of(lead) for j in range(0, len(text), L.BLOCK)))
+
+    out = {}
+    for i, text, _ in rows:
+        raw = form(text or "")
+        if not raw:
+            out[i] = ("und", 0.0)
+            continue
+        sizes = sorted((size(book, lead, raw), n) for n, (_, book, lead) in enumerate(packs))
+        out[i] = (packs[sizes[0][1]][0], 1 - sizes[0][0] / sizes[1][0])
+    return out
+
+
+def test_query_equals_plain_steps(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want = plain_predictions(rows, [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.op9_language_id(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
+def test_equal_ids_short_samples_and_marks(spark):
+    rng = random.Random(8)
+    rows = [(7, words(rng, 30) if i % 100 else "same text", g) for g in ("a", "b", "c") for i in range(900)] + [(8, "漢", "zh"), (9, "ja", "de"), (10, "\u0301\u0301", "none")]
+    rows += [(11, "1 2 3 " * 1000 + "late", "late")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(df)
+    assert set(model) == {"a", "b", "c", "zh", "de", "late"}
+    odd = spark.createDataFrame([(1, "\u0301\u0301"), (2, "\u0301a"), (3, "12")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in L.identify(odd, model).collect()}
+    assert got[1]["lang_pred"] == got[3]["lang_pred"] == L.UNKNOWN and got[2]["lang_pred"] != L.UNKNOWN
+    assert got[1]["score"] == 0 and got[1]["rejected"]
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"{w} " * 20, w) for i, w in enumerate(["hello", "bonjour", "gruss"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' as score", "'x' as lang_pred", "'x' as rejected", "'x' as _text")
+    out = L.identify(df, L.learn(df), keep=("doc_id", "score", "lang_pred", "rejected", "_text"))
+    assert out.columns == ["doc_id", "_text", "lang_pred", "score", "rejected"] and out.where("_text = 'x' and lang_pred <> 'x'").count() == 3
