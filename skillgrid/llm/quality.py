@@ -2,20 +2,23 @@
 
 A logistic classifier on counts of each whole text gives the document's own evidence.
 Its mean over a host, and over a path of the host (here: host and section column), are
-shrunk: a path toward its host and a host toward the global rate, each with a strength
-found by moments from how much the rates of hosts differ beyond chance. A document's
-posterior odds are its own odds times those of its path (without the document itself)
-over the global ones. Labels, where known, stand in for the classifier in the means.
+shrunk: a path toward its host and a host toward the global rate. Each strength is found
+by moments: how much hosts differ from the global rate, and paths from the rate of their
+own host, beyond chance. Both means leave the document itself out. A document's posterior
+odds are its own odds times those of its path over the global ones, to the power of
+SITE_WEIGHT. Labels, where known, stand in for the classifier in the means.
 
 Sparse sites thus follow the prior and large ones their own record. Host and path sums
 are grouped aggregates with map-side combining, so a host with a third of all rows costs
 no more than others.
 
-The classifier is fitted on a bounded sample: about SAMPLE_ROWS labelled documents, those
-with the smallest hash of their id; disagreeing labels of one id count by majority, ties
-as good. Without both classes in the sample every document gets the global rate. Null or
-empty texts are scored as texts without words. Null hosts and sections count as "".
-Repeated rows are scored row by row.
+The classifier is fitted on a bounded sample: about SAMPLE_ROWS labelled ids, those with
+the smallest hash, and one text of each (that with the least hash, if an id has several).
+Disagreeing labels of one id count by majority, ties as good. Without both classes in the
+sample the classifier says 0.5 for every document. Null or empty texts are scored as texts
+without words, very long ones whole. Null hosts and sections count as "". Rows with equal
+ids and repeated rows are scored row by row, and all count in the means. An empty table
+gives no rows; other columns of the documents are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -76,7 +79,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if share < 1:
         known = known.where(F.xxhash64("k") < F.lit(int((share - 0.5) * 2.0**64)))
     # SAMPLE_ROWS ids and labels in expectation, whatever the size of the tables
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(known), "k")
+    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(known), "k")
+    rows = rows.groupBy("k", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
     found = map_batches(rows, "x array<double>, y double", lambda r: {"x": list(map(features, r["t"])), "y": r["y"]}, "t").collect()
     x, y = np.array([r["x"] for r in found], float), np.array([r["y"] for r in found], float)
     return fit(x, y) if len(y) and 0 < y.mean() < 1 else None
@@ -87,18 +91,21 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, rate: Column) -> Column:
-    """Prior rows of a beta prior by moments: p(1-p) over the variance of group rates
-    beyond that of sampling, between 1 and 1000."""
-    spread = F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - rate, 2)) / F.sum("n")
-    chance = F.max(rate * (1 - rate)) * F.count("*") / F.sum("n")
-    return F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.max(rate * (1 - rate)) / F.greatest(F.lit(1e-6), spread - chance)))
+def _strength(s: Column, n: Column, rate: Column) -> Column:
+    """An aggregate over groups with the sums s of n rows: the prior rows of a beta prior
+    about `rate` by moments, rate (1 - rate) over the variance of the groups' means beyond
+    that of sampling, between 1 and 1000."""
+    inside = rate * (1 - rate)
+    spread = F.sum(n * F.pow(s / n - rate, 2)) / F.sum(n)
+    chance = F.sum(inside) / F.sum(n)
+    return F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.sum(n * inside) / F.sum(n) / F.greatest(F.lit(1e-6), spread - chance)))
 
 
 def score(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", section_col: str = "lang", label_col: str = "quality"
 ) -> DataFrame:
-    """id, host, section, own (classifier), host_rate, path_rate, quality and keep."""
+    """id, host, section, own (classifier), host_rate and path_rate (shrunk, without the
+    document), quality and keep."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     model = train(docs, labels, id_col, text_col, label_col)
@@ -117,17 +124,18 @@ def score(
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).where("y is not null").groupBy("k").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     seen = scratch.table(rows.join(known, "k", "left").select("k", "host", "section", "own", F.coalesce("y", "own").alias("s")))
     paths = scratch.table(seen.groupBy("host", "section").agg(F.count("*").cast("double").alias("n"), F.sum("s").alias("s")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    # one row: the global rate and the two strengths
-    world = paths.agg((F.sum("s") / F.sum("n")).alias("p")).first()["p"]
+    hosts = scratch.table(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")))
+    # two rows of one number each: the global rate and the strengths
+    world = hosts.agg((F.sum("hs") / F.sum("hn")).alias("p")).first()["p"]
     world = 0.5 if world is None else float(world)
-    of_hosts = hosts.agg(_strength(hosts, F.lit(world)).alias("v")).first()["v"] or 1.0
-    of_paths = paths.agg(_strength(paths, F.lit(world)).alias("v")).first()["v"] or 1.0
-    hosts = hosts.select("host", ((F.col("s") + of_hosts * world) / (F.col("n") + of_hosts)).alias("host_rate"))
-    sites = scratch.table(paths.join(hosts, "host").select("host", "section", "n", F.col("s").alias("sum"), "host_rate"))
-    out = seen.join(scratch.hint(sites), ["host", "section"])
-    out = out.withColumn("path_rate", (F.col("sum") - F.col("s") + of_paths * F.col("host_rate")) / (F.col("n") - 1 + of_paths))
-    odds = _logit(F.col("own")) + SITE_WEIGHT * (_logit(F.col("path_rate")) - F.lit(float(np.log(max(world, 1e-4) / max(1 - world, 1e-4)))))
+    of_hosts = hosts.agg(_strength(F.col("hs"), F.col("hn"), F.lit(world)).alias("v")).first()["v"] or 1.0
+    about = (F.col("hs") + of_hosts * world) / (F.col("hn") + of_hosts)
+    sites = scratch.table(paths.join(hosts, "host"))
+    of_paths = sites.agg(_strength(F.col("s"), F.col("n"), about).alias("v")).first()["v"] or 1.0
+    out = seen.join(scratch.hint(sites.withColumnRenamed("s", "ps")), ["host", "section"])
+    out = out.withColumn("host_rate", (F.col("hs") - F.col("s") + of_hosts * world) / (F.col("hn") - 1 + of_hosts))
+    out = out.withColumn("path_rate", (F.col("ps") - F.col("s") + of_paths * F.col("host_rate")) / (F.col("n") - 1 + of_paths))
+    odds = _logit(F.col("own")) + SITE_WEIGHT * (_logit(F.col("path_rate")) - _logit(F.lit(world)))
     out = out.withColumn("quality", 1 / (1 + F.exp(-odds)))
     return out.select(F.col("k").alias(id_col), "host", "section", "own", "host_rate", "path_rate", "quality", (F.col("quality") >= KEEP).alias("keep"))
 

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +38,56 @@ def test_odd_rows(spark, labels):
 
 def test_no_rows(spark):
     assert Q.score(empty_documents(spark), spark.createDataFrame([], LABEL)).count() == 0
+
+
+def plain_posteriors(rows, labels):
+    """Posteriors from (id, host, section, own) one by one."""
+    votes = {}
+    for k, y in labels:
+        if k is not None and y is not None:
+            votes.setdefault(k, []).append(y)
+    s = [float(sum(votes[k]) / len(votes[k]) >= 0.5) if k in votes else own for k, _, _, own in rows]
+    clip = lambda p: min(1 - 1e-4, max(1e-4, p))
+    logit = lambda p: math.log(clip(p) / (1 - clip(p)))
+
+    def strength(groups, rate):
+        n = sum(len(g) for g in groups.values())
+        between = sum(len(g) * (sum(g) / len(g) - rate[k]) ** 2 for k, g in groups.items()) / n
+        chance = sum(rate[k] * (1 - rate[k]) for k in groups) / n
+        inside = sum(len(g) * rate[k] * (1 - rate[k]) for k, g in groups.items()) / n
+        return max(1.0, min(1000.0, inside / max(1e-6, between - chance)))
+
+    hosts, paths = {}, {}
+    for (_, h, p, _), x in zip(rows, s):
+        hosts.setdefault(h, []).append(x)
+        paths.setdefault((h, p), []).append(x)
+    world = sum(s) / len(s)
+    a = strength(hosts, dict.fromkeys(hosts, world))
+    about = {h: (sum(g) + a * world) / (len(g) + a) for h, g in hosts.items()}
+    b = strength(paths, {k: about[k[0]] for k in paths})
+    out = []
+    for (_, h, p, own), x in zip(rows, s):
+        host = (sum(hosts[h]) - x + a * world) / (len(hosts[h]) - 1 + a)
+        path = (sum(paths[h, p]) - x + b * host) / (len(paths[h, p]) - 1 + b)
+        out.append((host, path, 1 / (1 + math.exp(-(logit(own) + Q.SITE_WEIGHT * (logit(path) - logit(world)))))))
+    return out
+
+
+def test_posteriors_equal_plain_steps(spark, sf_dir):
+    odd = odd_documents(spark)
+    labels = [(1, 1, 0), (1, 0, 0), (2, 0, 0), (None, 1, 0), (3, None, 0), (4, 1, 1), (40, 0, 0), (61, 1, 0)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df, known in ((odd, spark.createDataFrame(labels, LABEL)), (docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))):
+        got = Q.score(df, known).collect()
+        want = plain_posteriors([(r["doc_id"], r["host"], r["section"], r["own"]) for r in got], [(r["doc_id"], r["quality"]) for r in known.collect()])
+        for r, (host, path, quality) in zip(got, want):
+            assert abs(r["host_rate"] - host) < 1e-9 and abs(r["path_rate"] - path) < 1e-9 and abs(r["quality"] - quality) < 1e-9
+            assert r["keep"] == (r["quality"] >= Q.KEEP)
+
+
+def test_the_training_sample_has_one_text_of_each_id(spark, monkeypatch):
+    rows = [(1, f"good words here {i}", "en", "s", 0) for i in range(500)] + [(2, "!!! ###", "en", "s", 0)]
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda x, y, fit=Q.fit: seen.append(len(y)) or fit(x, y))
+    out = Q.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], LABEL))
+    assert out.count() == 501 and seen == [2]
