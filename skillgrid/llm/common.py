@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import os
@@ -22,6 +23,7 @@ BROADCAST_BYTES = 4 << 20
 SLICE_CHARS = 2 << 20
 
 _roots: dict[str, str] = {}
+_owners: list[list[Scratch]] = []
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -32,15 +34,20 @@ def _filesystem(spark: SparkSession, path: str):
 
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this application under spark.checkpoint.dir, which all executors
-    share. Only where that setting is absent (tests, local runs) a temporary folder
-    of this machine takes its place.
+    share. Only where that setting is absent and the master is local (tests) a temporary
+    folder of this machine takes its place; a cluster without the setting is an error.
     """
     key = spark.sparkContext.applicationId
     if key not in _roots:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
-            shared = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='skillgrid-')}"
+            if held.isDefined():
+                shared = held.get()
+            elif spark.sparkContext.master.startswith("local"):
+                shared = f"file://{tempfile.mkdtemp(prefix='skillgrid-')}"
+            else:
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _roots[key] = root = f"{shared.rstrip('/')}/skillgrid-{uuid.uuid4().hex}"
         atexit.register(_forget, spark, root)
     return _roots[key]
@@ -54,9 +61,15 @@ def _forget(spark: SparkSession, root: str) -> None:
 
 class Scratch:
     """Tables written under the shared folder: they cut lineage, outlive executors,
-    have an exact size, and are read again with column pruning."""
+    have an exact size, and are read again with column pruning.
+
+    An operator's result is read from its tables lazily, so they belong to whoever uses
+    the result: within owned() they can be dropped as soon as it is written, else they
+    stay until the application ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        if _owners:
+            _owners[-1].append(self)
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.made: list[str] = []
 
@@ -75,15 +88,23 @@ class Scratch:
         so that the join shuffles and AQE splits its skewed keys."""
         return F.broadcast(df) if self.bytes(df) <= limit else df
 
-    def drop(self, df_index: int) -> None:
-        fs, at = _filesystem(self.spark, self.made[df_index])
-        fs.delete(at, True)
-
-    def drop_all(self) -> None:
+    def drop(self) -> None:
         fs, at = _filesystem(self.spark, self.base)
         fs.delete(at, True)
 
 
+@contextlib.contextmanager
+def owned() -> Iterator[None]:
+    """Drops the scratch tables opened within the block at its end. What was built on
+    them must have been written by then."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for scratch in _owners.pop():
+            scratch.drop()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
