@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.llm import bpe, language, lines, minhash, mixing
-from skillgrid.llm.common import Scratch, load
+from skillgrid.llm.common import Scratch, load, owned
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Tokens that mixing selects, as a share of those it is given, and epochs of small leaves.
@@ -70,8 +70,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.table(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with owned():  # what a stage wrote for itself goes once its result is written
+            docs = scratch.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
