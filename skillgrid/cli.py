@@ -1,21 +1,50 @@
-"""plan, postprocess and sanity from the command line."""
+"""plan, postprocess, figures and sanity from the command line."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 import time
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import temporal
 from .functions.geo import in_box
-from .operators import climatology, daily, extremes, planning, regrid, verification
+from .operators import climatology, daily, extremes, planning, plots, regrid, verification
 from .session import build_session
 from .sources import readers, sinks, synthetic
 
-DIGITS = {"frac_obs_extreme": 4, "mean_pred_prob": 4, "brier_score": 4, "brier_skill_score": 4, "spatial_corr_prob_obs": 4, "pred_tmax_bias_C": 3, "pred_tmax_rmse_C": 3}
-CELL = ["lat", "lon"]
+METRICS = ("frac_obs_extreme", "mean_pred_prob", "brier_score", "brier_skill_score", "spatial_corr_prob_obs")
+DIGITS = dict.fromkeys(METRICS, 4) | {"pred_tmax_bias_C": 3, "pred_tmax_rmse_C": 3}
+CELL, CASE = ["lat", "lon"], ["target_date", "lead_days"]
+HALF_DAYS = 15
+#: Seconds to wait before the k-th repeat of a case, times k.
+WAIT = 30.0
+
+T = TypeVar("T")
+
+
+@dataclass(frozen=True)
+class Options:
+    """How a run treats what is there already, and what fails.
+
+    force computes cases whose fields are there, force_figures only their figure tables;
+    dry_run prints the cases and what would be done with them. retries repeats a failing
+    case, with growing waits; tolerate goes on after one that still fails, which then counts
+    in the summary. targets and members choose some of the configured ones."""
+
+    force: bool = False
+    force_figures: bool = False
+    dry_run: bool = False
+    tolerate: bool = False
+    retries: int = 0
+    wait: float = WAIT
+    targets: tuple[str, ...] = ()
+    members: tuple[int, ...] = ()
 
 
 def forecast_daily(raw: DataFrame, init: str, members: int = 0, steps: int = 0) -> DataFrame:
@@ -33,65 +62,225 @@ def forecast_daily(raw: DataFrame, init: str, members: int = 0, steps: int = 0)
 def case_fields(pred: DataFrame, obs: DataFrame, climate: DataFrame, target: str) -> DataFrame:
     """The 13 fields of a target date."""
     day = daily.on_date(pred, target).select("sample", *CELL, "value", F.lit(target).alias("target_date"))
-    return extremes.extremes_fields(day, obs.select(*CELL, "value", F.lit(target).alias("target_date")), climate, climate, CELL, ["target_date"])
+    seen = obs.select(*CELL, "value", F.lit(target).alias("target_date"))
+    return extremes.extremes_fields(day, seen, climate, climate, CELL, ["target_date"])
 
 
 def case_scores(fields: DataFrame) -> DataFrame:
-    one = fields.where(F.col("sample") == 0).withColumn("probability", F.col("predicted_hot_extreme_probability")).withColumn("observed", F.col("observed_hot_extreme"))
+    one = fields.groupBy("target_date", *CELL).agg(*[F.min_by(c, "sample").alias(c) for c in extremes.FIELDS])
+    one = one.withColumn("probability", F.col("predicted_hot_extreme_probability")).withColumn("observed", F.col("observed_hot_extreme"))
     return verification.case_metrics(one, ["target_date"], forecast="predicted_daily_tmax_C_ensmean", truth="observed_daily_tmax_C")
 
 
 def sanity(spark: SparkSession, target: str = "2014-04-01", lead_days: int = 31) -> DataFrame:
     """The chain on analytic inputs."""
-    init = spark.sql(f"select date_format(date_sub(date'{target}', {lead_days}), \"yyyy-MM-dd'T'HH:mm:ss\") as x").first()["x"]
+    init = planning.build_cases(spark, [target], [lead_days], "x").first()["init_time"]
     obs = synthetic.observation(spark)
-    return case_scores(case_fields(forecast_daily(synthetic.forecast(spark, lead_days), init, 3, 4 * lead_days), obs, synthetic.climate(obs), target))
+    pred = forecast_daily(synthetic.forecast(spark, lead_days), init, 3, 4 * lead_days)
+    return case_scores(case_fields(pred, obs, synthetic.climate(obs), target))
+
+
+def repeated(work: Callable[[], T], retries: int, wait: float) -> T:
+    """The result of `work`, tried again after growing waits if it fails."""
+    for k in range(1, retries + 1):
+        try:
+            return work()
+        except Exception as failure:
+            print(f"attempt {k} of {retries + 1} failed: {failure}", file=sys.stderr)
+            time.sleep(wait * k)
+    return work()
+
+
+def write_figures(fields: DataFrame, folder: str, lead_days: int, most_members: int) -> list[str]:
+    """The figure tables of a case, each a partition of one table for all cases."""
+    spark, keys = fields.sparkSession, ["target_date", *CELL]
+    picked = planning.pick_members(spark, fields.agg(F.count_distinct("sample")).first()[0], most_members)
+    tables = {
+        "event_panels": plots.panels(fields, keys, plots.EVENT_PANELS),
+        "summary_panels": plots.panels(fields, keys, plots.SUMMARY_PANELS),
+        "temperature_panels": plots.temperature_panels(fields, keys, ["target_date"]),
+        "mean_event": plots.mean_event(fields).groupBy(*keys).agg(*[F.min_by(c, "sample").alias(c) for c in ("ensemble_mean_event", "observed_hot_extreme")]),
+        "member_maps": plots.member_maps(fields, picked, keys),
+    }
+    for name, table in tables.items():
+        sinks.write_table(table.withColumn("lead_days", F.lit(lead_days)), f"{folder}/{name}", CASE, keep_others=True)
+    return [f"{folder}/{name}" for name in tables]
+
+
+class Analysis:
+    """Daily maxima of the analysis on a forecast's grid, and its climate, each computed once
+    for a grid and written to the cache."""
+
+    def __init__(self, spark: SparkSession, cfg: readers.Config, cache: str, force: bool) -> None:
+        self.spark, self.cfg, self.cache, self.force = spark, cfg, cache, force
+        self.made: set[str] = set()
+
+    def _kept(self, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+        fresh = self.force and path not in self.made
+        if fresh or not readers.exists(self.spark, f"{path}/_SUCCESS"):
+            sinks.write_table(make(), path)
+        self.made.add(path)
+        return self.spark.read.parquet(path)
+
+    def on_grid(self, template: DataFrame) -> tuple[str, DataFrame]:
+        grid = template.agg(F.count("*"), F.sum(F.xxhash64(*CELL).cast("decimal(38,0)"))).first()
+        name = f"{self.cache}/grid_{grid[0]}_{int(grid[1]) % 2**32:08x}"
+
+        def make() -> DataFrame:
+            rows = readers.read_grid(self.spark, self.cfg.analysis, format=readers.format_of(self.cfg.analysis))
+            time_column = next(c for c in ("ts", "time", "valid_time") if c in rows.columns)
+            rows = rows.withColumnRenamed(time_column, "ts")
+            rows = rows.where(in_box(F.col("lat"), F.col("lon"), self.cfg.bbox, rows.agg(F.max("lon")).first()[0]))
+            return daily.daily_extreme(daily.to_celsius(regrid.to_template(rows, template), "value"), CELL)
+
+        return name, self._kept(f"{name}/daily", make)
 
+    def climate(self, grid: str, seen: DataFrame, target: str) -> DataFrame:
+        first, last = self.cfg.baseline_start_year, self.cfg.last_baseline_year(int(target[:4]))
 
-def postprocess(spark: SparkSession, cfg: readers.Config) -> list[dict]:
-    """Scores of all cases whose forecasts exist; writes fields, metrics and a summary."""
-    began, paths, out = time.time(), sinks.layout(cfg.output_root), []
-    analysis = readers.read_grid(spark, cfg.analysis)
-    top = analysis.agg(F.max("lon")).first()[0]
-    analysis = analysis.where(in_box(F.col("lat"), F.col("lon"), cfg.bbox, top))
-    for row in planning.build_cases(spark, cfg.target_dates, cfg.lead_days, cfg.prediction_pattern).collect():
+        def make() -> DataFrame:
+            day = self.spark.createDataFrame([(target,)], "target string").select(F.to_date("target").alias("target"))
+            return climatology.window_climatology(seen, day, CELL, HALF_DAYS, F.lit(first), F.lit(last), 0.9)
+
+        return self._kept(f"{grid}/climate_{target[5:7]}{target[8:]}_{first}_{last}", make)
+
+
+def plan(spark: SparkSession, cfg: readers.Config, options: Options = Options()) -> DataFrame:
+    """The cases, printed and (unless dry) written."""
+    targets = [t for t in cfg.target_dates if not options.targets or t in options.targets]
+    cases = planning.build_cases(spark, targets, cfg.lead_days, cfg.prediction_pattern)
+    if not options.dry_run:
+        sinks.write_csv(cases, f"{sinks.layout(cfg.output_root)['plans']}/cases")
+    cases.show(1000, truncate=False)
+    return cases
+
+
+def run_case(spark: SparkSession, cfg: readers.Config, row: dict, analysis: Analysis, paths: dict[str, str], options: Options) -> list[dict]:
+    """Fields, figure tables and scores of one case; fields that are there are read again."""
+    target, lead = row["target_date"], row["lead_days"]
+    table = f"{paths['processed']}/extremes"
+    part = f"{table}/target_date={target}/lead_days={lead}"
+    there = readers.exists(spark, part)
+    if options.force or not there:
         readers.require(spark, [row["prediction_path"]])
-        raw = readers.read_grid(spark, row["prediction_path"], "TMP2m")
+        raw = readers.read_grid(spark, row["prediction_path"], "TMP2m", readers.format_of(row["prediction_path"]))
+        if "step" not in raw.columns and "time" in raw.columns:
+            raw = raw.withColumnRenamed("time", "step")
         raw = raw.where(in_box(F.col("lat"), F.col("lon"), cfg.bbox, raw.agg(F.max("lon")).first()[0]))
-        pred = forecast_daily(raw, row["init_time"], cfg.expected_members, row["required_6hour_steps"])
-        template = raw.select(*CELL).distinct()
-        year = int(row["target_date"][:4])
-        seen = daily.daily_extreme(daily.to_celsius(regrid.to_template(analysis, template), "value"), CELL)
-        targets = spark.createDataFrame([(row["target_date"],)], "target string").select(F.to_date("target").alias("target"))
-        climate = climatology.window_climatology(seen, targets, CELL, 15, F.lit(cfg.baseline_start_year), F.lit(cfg.last_baseline_year(year)), 0.9)
-        fields = case_fields(pred, daily.on_date(seen, row["target_date"]), climate, row["target_date"])
-        sinks.write_table(fields.withColumn("lead_days", F.lit(row["lead_days"])), f"{paths['processed']}/extremes", ["target_date", "lead_days"], keep_others=True)
-        scores = sinks.report_metrics(case_scores(fields), DIGITS)
-        out += [{"target_date": s.pop("target_date"), "lead_days": row["lead_days"], "init_date": row["init_time"][:10]} | s for s in scores]
-    sinks.write_json({"cases": len(out), "seconds": time.time() - began, "metrics": out}, f"{paths['metrics']}/summary.json")
+        members = cfg.expected_members
+        if options.members:
+            raw, members = raw.where(F.col("sample").isin(*options.members)), len(options.members)
+        pred = forecast_daily(raw, row["init_time"], members, row["required_6hour_steps"])
+        grid, seen = analysis.on_grid(raw.select(*CELL).distinct())
+        fields = case_fields(pred, daily.on_date(seen, target), analysis.climate(grid, seen, target), target)
+        sinks.write_table(fields.withColumn("lead_days", F.lit(lead)), table, CASE, keep_others=True)
+    fields = spark.read.parquet(part).withColumn("target_date", F.lit(target))
+    if options.force or options.force_figures or not readers.exists(spark, f"{paths['figures']}/member_maps/target_date={target}/lead_days={lead}"):
+        write_figures(fields, paths["figures"], lead, cfg.max_map_members)
+    scores = sinks.report_metrics(case_scores(fields), DIGITS)
+    return [{"target_date": s.pop("target_date"), "lead_days": lead, "init_date": row["init_time"][:10]} | s for s in scores]
+
+
+def postprocess(spark: SparkSession, cfg: readers.Config, options: Options = Options()) -> list[dict]:
+    """Scores of all cases; writes fields, figure tables, metrics, an index and a summary."""
+    began, paths, out, failed = time.time(), sinks.layout(cfg.output_root), [], {}
+    rows = [r.asDict() for r in plan(spark, cfg, options).collect()]
+    if options.dry_run:
+        return []
+    analysis = Analysis(spark, cfg, paths["cache"], options.force)
+    for row in rows:
+        work = lambda row=row: run_case(spark, cfg, row, analysis, paths, options)
+        try:
+            out += repeated(work, options.retries, options.wait)
+        except Exception as failure:
+            if not options.tolerate:
+                raise
+            failed[f"{row['target_date']} {row['lead_days']}"] = str(failure).split("\n")[0]
+    sinks.write_rows(out, f"{paths['metrics']}/lead_comparison_metrics.csv")
+    sinks.write_index(paths["figures"], [], [f"{paths['figures']}/{n}" for n in ("event_panels", "summary_panels", "temperature_panels", "mean_event", "member_maps")])
+    summary = {"seconds": round(time.time() - began, 3), "n_cases": len(rows), "n_done": len(rows) - len(failed), "failed": failed}
+    sinks.write_json(summary | {"cases": len(out), "metrics": out}, f"{paths['metrics']}/summary.json")
     return out
 
 
+def figures(spark: SparkSession, cfg: readers.Config) -> list[str]:
+    """All figure tables again, from saved fields and saved skill tables alone."""
+    paths, made = sinks.layout(cfg.output_root), []
+    if readers.exists(spark, f"{paths['processed']}/extremes"):
+        saved = spark.read.parquet(f"{paths['processed']}/extremes").withColumn("target_date", F.col("target_date").cast("string"))
+        for row in saved.select(*CASE).distinct().collect():
+            one = saved.where((F.col("target_date") == row["target_date"]) & (F.col("lead_days") == row["lead_days"])).drop("lead_days")
+            made = write_figures(one, paths["figures"], row["lead_days"], cfg.max_map_members)
+    if readers.exists(spark, f"{paths['processed']}/skill"):
+        skill = spark.read.parquet(f"{paths['processed']}/skill")
+        for metric in ("rho", "tau", "brier"):
+            made.append(f"{paths['figures']}/skill_{metric}")
+            sinks.write_table(plots.skill_maps(skill, metric), made[-1], ["extreme", "lead"])
+    sinks.write_index(paths["figures"], [], made)
+    return made
+
+
+def lag_skill(
+    years: list[int], members_of: Callable[[int], DataFrame], observed_of: Callable[[int], DataFrame], cell: list[str], side: str = "hot", least_years: int = 3
+) -> tuple[DataFrame, list[int]]:
+    """Rank statistics over the years whose inputs can be read, and these years. members_of
+    gives cell, sample, value and threshold of a year, observed_of cell and observed; a year
+    for which either fails is left out, as n then says."""
+    parts, used = [], []
+    for year in years:
+        try:
+            members = members_of(year).withColumn("year", F.lit(year))
+            seen = observed_of(year).withColumn("year", F.lit(year))
+        except Exception as failure:
+            print(f"year {year} is left out: {str(failure).splitlines()[0]}", file=sys.stderr)
+            continue
+        parts.append(extremes.event_probability(members, None, cell, ["year"], side).join(seen.select(*cell, "year", "observed"), [*cell, "year"]))
+        used.append(year)
+    if len(used) < least_years:
+        raise ValueError(f"{len(used)} of {len(years)} years can be read, {least_years} are needed")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return verification.rank_skill(rows, cell).withColumn("n_samples", F.lit(len(used))), used
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="skillgrid")
-    parser.add_argument("command", choices=("plan", "postprocess", "sanity"))
+    parser.add_argument("command", choices=("plan", "postprocess", "figures", "sanity"))
     parser.add_argument("--config")
+    parser.add_argument("--force", action="store_true", help="compute what is there already")
+    parser.add_argument("--force-figures", action="store_true", help="make figure tables again")
+    parser.add_argument("--figures-only", action="store_true", help="the same as the command figures")
+    parser.add_argument("--skip-existing", action="store_true", help="leave out cases that are done (the default)")
+    parser.add_argument("--dry-run", action="store_true", help="print the cases only")
+    parser.add_argument("--tolerate", action="store_true", help="go on after a case that fails")
+    parser.add_argument("--retries", type=int, default=0)
+    parser.add_argument("--targets", default="", help="some of the target dates, with commas")
+    parser.add_argument("--members", default="", help="some of the members, with commas")
     args = parser.parse_args(argv)
+    if args.force and args.skip_existing:
+        parser.error("--force and --skip-existing exclude each other")
+    if not args.config and args.command != "sanity":
+        parser.error("--config is needed")
+    listed = lambda text: [x.strip() for x in text.split(",") if x.strip()]
+    options = Options(
+        args.force, args.force_figures, args.dry_run, args.tolerate, args.retries,
+        targets=tuple(listed(args.targets)), members=tuple(map(int, listed(args.members))),
+    )
     spark = build_session()
+    cfg = readers.Config.read(args.config) if args.config else None
     if args.command == "sanity":
+        if cfg:
+            plan(spark, cfg, replace(options, dry_run=True))
         for row in sinks.report_metrics(sanity(spark), DIGITS):
             print(row)
-        return 0
-    if not args.config:
-        parser.error("--config is needed")
-    cfg = readers.Config.read(args.config)
-    if args.command == "plan":
-        cases = planning.build_cases(spark, cfg.target_dates, cfg.lead_days, cfg.prediction_pattern)
-        sinks.write_csv(cases, f"{sinks.layout(cfg.output_root)['plans']}/cases")
-        cases.show(truncate=False)
-        return 0
-    for row in postprocess(spark, cfg):
-        print(row)
+    elif args.command == "plan":
+        plan(spark, cfg, options)
+    elif args.command == "figures" or args.figures_only:
+        print("\n".join(figures(spark, cfg)))
+    else:
+        for row in postprocess(spark, cfg, options):
+            print(row)
     return 0
 
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def correlation_p(r: Column, n: Column) -> Column:
@@ -29,13 +27,21 @@ def correlation_p(r: Column, n: Column) -> Column:
     return F.when((nu >= 1) & r.isNotNull(), F.greatest(F.lit(0.0), p))
 
 
-def _normal_p():
-    # defined here, so that workers get the function itself and need not import this module
-    def normal_p(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
+#: Where the series of the error function hands over to the continued fraction, and their terms.
+ERF_SPLIT, SERIES_TERMS, FRACTION_TERMS = 3.0, 60, 60
 
-    return F.pandas_udf(normal_p, DoubleType())
 
+def normal_p(z: Column) -> Column:
+    """Two-sided normal p of z, erfc(|z| / sqrt 2): by the series of erf with positive terms
+    for small arguments, by the continued fraction of erfc beyond. NULL and NaN give NULL."""
+    x = F.abs(z) / math.sqrt(2)
+    bell = F.exp(-x * x)
+    begin = F.struct(x.alias("term"), F.lit(0.0).alias("sum"))
 
-#: Two-sided normal p of z; Spark SQL has no error function.
-normal_p = _normal_p()
+    def add(acc: Column, k: Column) -> Column:
+        return F.struct((acc["term"] * 2 * x * x / (2 * k + 1)).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
+
+    erf = F.aggregate(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), begin, add, lambda acc: acc["sum"]) * bell * (2 / math.sqrt(math.pi))
+    below = F.aggregate(F.sequence(F.lit(FRACTION_TERMS), F.lit(1)), x, lambda acc, k: x + k / 2 / acc)
+    p = F.when(x < ERF_SPLIT, F.greatest(F.lit(0.0), 1 - erf)).otherwise(bell / below / math.sqrt(math.pi))
+    return F.when(z.isNotNull() & ~F.isnan(z), p)

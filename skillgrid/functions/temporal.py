@@ -74,6 +74,9 @@ def same_day(year: Column, month: Column, day: Column) -> Column:
     return F.coalesce(exact, F.make_date(year, month, F.lit(28)))
 
 
-def six_hour_steps(year: int) -> Column:
+def six_hour_steps(year: int | Column) -> Column:
     """All six-hourly times of a year, leap days included."""
-    return F.sequence(ntz(f"{year}-01-01T00:00:00"), ntz(f"{year}-12-31T18:00:00"), F.expr("interval 6 hours"))
+    y, zero = F.lit(year) if isinstance(year, int) else year, F.lit(0)
+    first = F.make_timestamp_ntz(y, F.lit(1), F.lit(1), zero, zero, zero)
+    last = F.make_timestamp_ntz(y, F.lit(12), F.lit(31), F.lit(24 - STEP_HOURS), zero, zero)
+    return F.sequence(first, last, F.expr(f"interval {STEP_HOURS} hours"))

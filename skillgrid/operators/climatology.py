@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal
@@ -19,6 +19,15 @@ def threshold(df: DataFrame, keys: list[str], q: float, value: str = "value") ->
     return df.groupBy(*keys).agg(F.percentile(x, q).alias("threshold"), F.count(x).alias("n_samples"))
 
 
+def with_climate(df: DataFrame, keys: list[str], hot: float, cold: float, value: str = "value") -> DataFrame:
+    """df with baseline, hot and cold of its own keys (mean and two quantiles of all rows of
+    the key), without a second pass over its sources. A key's rows meet in one task, as they
+    do for an exact quantile anyway: those of a grid cell, days times years."""
+    x, w = nan_to_null(F.col(value).cast("double")), Window.partitionBy(*keys)
+    made = {"baseline": F.avg(x), "hot": F.percentile(x, hot), "cold": F.percentile(x, cold)}
+    return df.withColumns({name: agg.over(w) for name, agg in made.items()})
+
+
 def anomaly_threshold(df: DataFrame, keys: list[str], q: float, value: str = "value") -> DataFrame:
     """keys, baseline, threshold of the anomaly about it, n_samples. A quantile commutes
     with a shift, so one pass over the values gives both."""
@@ -37,6 +46,13 @@ def window_days(targets: DataFrame, half_days: int, first_year: Column, last_yea
 
 
 def window_climatology(daily: DataFrame, targets: DataFrame, keys: list[str], half_days: int, first_year: Column, last_year: Column, q: float, value: str = "value") -> DataFrame:
-    """target, keys, baseline, threshold (of the anomaly) and n_samples."""
+    """target, keys, baseline, threshold (of the anomaly) and n_samples. The days grow with
+    targets, years and window; the optimizer broadcasts them while they are small."""
+    days = window_days(targets, half_days, first_year, last_year)
+    return anomaly_threshold(daily.join(days, "date"), ["target", *keys], q, value)
+
+
+def window_months(targets: DataFrame, half_days: int, first_year: Column, last_year: Column) -> DataFrame:
+    """target, year, month: the months that a window touches, to prune what is read."""
     days = window_days(targets, half_days, first_year, last_year)
-    return anomaly_threshold(daily.join(F.broadcast(days), "date"), ["target", *keys], q, value)
+    return days.select("target", F.year("date").alias("year"), F.month("date").alias("month")).distinct()

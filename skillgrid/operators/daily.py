@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal
@@ -10,21 +10,32 @@ from ..functions.nulls import nan_to_null
 
 # Variable and coordinate names that inputs use, in order of preference.
 TEMPERATURE = ("TMP2m", "2m_temperature", "t2m", "2t", "temperature_2m")
-LATITUDE = ("lat", "latitude", "grid_yt")
-LONGITUDE = ("lon", "longitude", "grid_xt")
+LATITUDE = ("lat", "latitude", "grid_yt", "y")
+LONGITUDE = ("lon", "longitude", "grid_xt", "x")
 KELVIN = 273.15
 
 
 def pick_column(df: DataFrame, names: tuple[str, ...], label: str) -> str:
-    """The first of `names` that df has; failing that, regardless of case."""
-    lower = {c.lower(): c for c in df.columns}
-    for name in names:
-        if name in df.columns:
-            return name
-    for name in names:
-        if name.lower() in lower:
-            return lower[name.lower()]
-    raise KeyError(f"no column for {label}: {', '.join(df.columns)}")
+    """The column for the first of `names` that df has, as it is written or, failing that,
+    in another case; of columns that differ in case only, the last."""
+    other_case = {c.lower(): c for c in df.columns}
+    found = (name if name in df.columns else other_case.get(name.lower()) for name in names)
+    column = next(filter(None, found), None)
+    if column is None:
+        raise KeyError(f"no column for {label}: {', '.join(df.columns)}")
+    return column
+
+
+def pick_coordinate(names: tuple[str, ...], *parts: DataFrame | list[str]) -> str | None:
+    """The first of `names`, as written, in the union of the names of all parts (columns of
+    tables, lists of dimensions); None if there is none."""
+    have = {c for part in parts for c in (part.columns if isinstance(part, DataFrame) else part)}
+    return next((name for name in names if name in have), None)
+
+
+def celsius(x: Column) -> Column:
+    """Kelvin to Celsius, whatever the values are."""
+    return x - F.lit(KELVIN)
 
 
 def daily_extreme(df: DataFrame, keys: list[str], time: str = "ts", value: str = "value", how: str = "max") -> DataFrame:
@@ -62,7 +73,7 @@ def to_celsius(df: DataFrame, value: str, probe: DataFrame | None = None) -> Dat
     x = nan_to_null(F.col(value).cast("double"))
     mean = (df if probe is None else probe).agg(F.avg(x).alias("_mean"))
     out = df.crossJoin(F.broadcast(mean))
-    return out.withColumn(value, F.when(F.col("_mean") > 100, x - KELVIN).otherwise(x)).drop("_mean")
+    return out.withColumn(value, F.when(F.col("_mean") > 100, celsius(x)).otherwise(x)).drop("_mean")
 
 
 def on_date(df: DataFrame, date: str, column: str = "date") -> DataFrame:

@@ -10,14 +10,23 @@ from ..functions import temporal
 CASE_COLUMNS = ("target_date", "lead_days", "init_time", "required_horizon_days", "required_6hour_steps", "prediction_path", "prediction_exists")
 
 
-def build_cases(spark: SparkSession, target_dates: list[str], lead_days: list[int], pattern: str, existing: DataFrame | None = None) -> DataFrame:
-    """A row for each target date and lead, in the order of the lists. The pattern has the
-    fields target_yyyymmdd, init_yyyymmdd, lead and horizon; `existing` has a column path."""
-    targets = spark.createDataFrame([(i, d) for i, d in enumerate(target_dates)], "t int, target string").withColumn("target", F.to_date("target"))
+def build_cases(
+    spark: SparkSession, target_dates: list[str] | DataFrame, lead_days: list[int], pattern: str, existing: DataFrame | None = None
+) -> DataFrame:
+    """A row for each target date and lead, in the order of the lists (of a table with the
+    column target, by date). The pattern has the fields target_yyyymmdd, init_yyyymmdd, lead
+    and horizon; `existing` has a column path. Leads are a short list, so the product with
+    them is as long as what it returns."""
+    if isinstance(target_dates, DataFrame):
+        targets = target_dates.select(F.col("target").alias("t"), F.to_date("target").alias("target"))
+    else:
+        targets = spark.createDataFrame(list(enumerate(target_dates)), "t int, target string").withColumn("target", F.to_date("target"))
     leads = spark.createDataFrame([(i, n) for i, n in enumerate(lead_days)], "l int, lead_days int")
     out = targets.crossJoin(leads).withColumn("init", F.date_sub("target", F.col("lead_days")))
     path = F.lit(pattern)
-    for field, value in (("target_yyyymmdd", F.date_format("target", "yyyyMMdd")), ("init_yyyymmdd", F.date_format("init", "yyyyMMdd")), ("lead", F.col("lead_days").cast("string")), ("horizon", F.col("lead_days").cast("string"))):
+    lead = F.col("lead_days").cast("string")
+    fields = {"target_yyyymmdd": F.date_format("target", "yyyyMMdd"), "init_yyyymmdd": F.date_format("init", "yyyyMMdd"), "lead": lead, "horizon": lead}
+    for field, value in fields.items():
         path = F.replace(path, F.lit("{" + field + "}"), value)
         path = F.replace(path, F.lit("{" + field + ":03d}"), F.lpad(value, 3, "0"))
     out = out.withColumn("prediction_path", path)
@@ -27,9 +36,14 @@ def build_cases(spark: SparkSession, target_dates: list[str], lead_days: list[in
         there = existing.select(F.col("path").alias("prediction_path"), F.lit(True).alias("here")).distinct()
         out = out.join(there, "prediction_path", "left").withColumn("prediction_exists", F.coalesce("here", F.lit(False)))
     return out.orderBy("t", "l").select(
-        F.date_format("target", "yyyy-MM-dd").alias("target_date"), "lead_days", F.date_format("init", "yyyy-MM-dd'T'HH:mm:ss").alias("init_time"),
-        F.col("lead_days").alias("required_horizon_days"), (F.col("lead_days") * 4).alias("required_6hour_steps"), "prediction_path", "prediction_exists",
-    )
+        F.date_format("target", "yyyy-MM-dd").alias("target_date"),
+        "lead_days",
+        F.date_format("init", "yyyy-MM-dd'T'HH:mm:ss").alias("init_time"),
+        F.col("lead_days").alias("required_horizon_days"),
+        (F.col("lead_days") * 4).alias("required_6hour_steps"),
+        "prediction_path",
+        "prediction_exists",
+    )
 
 
 def lag_members(years: DataFrame, month: int = 11, day: int = 1) -> DataFrame:
@@ -48,18 +62,22 @@ def member_chunks(members: DataFrame, size: int, sample: str = "sample") -> Data
 def chunk_manifest(cases: DataFrame, spark: SparkSession, members: int, size: int, root: str) -> DataFrame:
     """A row for each case and chunk of members: where it runs and what it must make."""
     chunks = member_chunks(spark.range(members).select(F.col("id").cast("int").alias("sample")), size)
-    out = cases.select("target_date", "lead_days", "required_6hour_steps").crossJoin(chunks)
-    folder = F.concat_ws("/", F.lit(root.rstrip("/")), F.concat_ws("_", F.replace("target_date", F.lit("-"), F.lit("")), F.format_string("%03d", "lead_days")), F.format_string("chunk_%02d", "chunk"))
-    return out.select("target_date", "lead_days", "chunk", F.col("n_members").alias("members"), folder.alias("output_dir"), F.col("required_6hour_steps").alias("expected_steps"))
+    # members are few, so the product is as long as the manifest
+    out = cases.select("target_date", "lead_days", "init_time", "required_6hour_steps").crossJoin(chunks)
+    case = F.concat_ws("_", F.replace("target_date", F.lit("-"), F.lit("")), F.format_string("%03d", "lead_days"))
+    folder = F.concat_ws("/", F.lit(root.rstrip("/")), case, F.format_string("chunk_%02d", "chunk"))
+    steps = F.col("required_6hour_steps").alias("expected_steps")
+    return out.select("target_date", "lead_days", "init_time", "chunk", F.col("n_members").alias("members"), folder.alias("output_dir"), steps)
 
 
 def pick_members(spark: SparkSession, total: int, most: int) -> DataFrame:
     """sample: evenly spaced members, the first and the last included."""
-    n = min(most, total)
-    if n <= 0:
-        return spark.range(0).select(F.col("id").cast("int").alias("sample"))
+    n = max(0, min(most, total))
     step = (total - 1) / (n - 1) if n > 1 else 0.0
-    return spark.range(n).select(F.floor(F.col("id") * F.lit(step)).cast("int").alias("sample")).distinct()
+    i = F.col("id")
+    # whole part of evenly spaced places; the last one is exact, not a product of roundings
+    place = F.when((i == n - 1) & (i > 0), F.lit(total - 1)).otherwise(F.floor(i * F.lit(step)))
+    return spark.range(n).select(place.cast("int").alias("sample")).distinct()
 
 
 def missing(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:

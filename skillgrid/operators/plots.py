@@ -26,6 +26,68 @@ def mean_event(fields: DataFrame, anomaly: str = "predicted_tmax_anomaly_C_ensme
     return fields.withColumn("ensemble_mean_event", exceeds(F.col(anomaly), F.col(limit)).cast("double"))
 
 
+# The panels of the figures of a case, with their colour limits where these are
+# fixed; "shared" limits come from limits(), "mirrored" ones from their absolute value.
+EVENT_PANELS = (
+    ("predicted_hot_extreme_probability", "event probability", 0.0, 1.0),
+    ("observed_hot_extreme", "observed event", 0.0, 1.0),
+    ("ensemble_uncertainty", "ensemble deviation", 0.0, None),
+    ("prediction_error_observed_minus_predicted", "observed minus predicted", -1.0, 1.0),
+)
+SUMMARY_PANELS = (
+    ("observed_daily_tmax_C", "observed daily maximum", None, None),
+    ("observed_hot_extreme", "observed event", 0.0, 1.0),
+    ("ensemble_uncertainty", "ensemble deviation", 0.0, None),
+    ("predicted_hot_extreme_probability", "event probability", 0.0, 1.0),
+)
+TEMPERATURE_PANELS = (
+    ("observed_daily_tmax_C", "observed daily maximum", "shared"),
+    ("predicted_daily_tmax_C_member0", "daily maximum of member 0", "shared"),
+    ("observed_tmax_anomaly_C", "observed anomaly", "mirrored"),
+    ("predicted_tmax_anomaly_C_member0", "anomaly of member 0", "mirrored"),
+)
+
+
+def _cells(fields: DataFrame, keys: list[str], sample: str) -> DataFrame:
+    """One row a cell: what panels show is equal over the members."""
+    names = {p[0] for p in (*EVENT_PANELS, *SUMMARY_PANELS, *TEMPERATURE_PANELS)}
+    return fields.groupBy(*keys).agg(*[F.min_by(c, sample).alias(c) for c in sorted(names)])
+
+
+def panels(fields: DataFrame, keys: list[str], spec: tuple[tuple, ...] = EVENT_PANELS, sample: str = "sample") -> DataFrame:
+    """keys, panel (its place), field, title, value, low and high: a figure of fixed limits
+    as one long table. NULL limits are those of the values."""
+    one = lambda i, f, t, a, b: F.struct(
+        F.lit(i).alias("panel"), F.lit(f).alias("field"), F.lit(t).alias("title"), F.col(f).cast("double").alias("value"),
+        F.lit(a).cast("double").alias("low"), F.lit(b).cast("double").alias("high"),
+    )
+    return _cells(fields, keys, sample).select(*keys, F.inline(F.array(*[one(i, *p) for i, p in enumerate(spec)])))
+
+
+def temperature_panels(fields: DataFrame, keys: list[str], by: list[str], sample: str = "sample") -> DataFrame:
+    """The same for observed and predicted temperatures: both maxima share their limits
+    within `by` (some of the keys), and so do both anomalies, about zero."""
+    cells = _cells(fields, keys, sample)
+    (a, _, _), (b, _, _), (c, _, _), (d, _, _) = TEMPERATURE_PANELS
+    most = limits(cells, by, a, b).join(limits(cells, by, c, d).select(*by, F.col("abs_high").alias("anomaly_high")), by)
+    rows = cells.join(most.select(*by, "low", "high", "anomaly_high"), by)
+    ends = {"shared": (F.col("low"), F.col("high")), "mirrored": (-F.col("anomaly_high"), F.col("anomaly_high"))}
+    one = lambda i, f, t, kind: F.struct(
+        F.lit(i).alias("panel"), F.lit(f).alias("field"), F.lit(t).alias("title"), F.col(f).cast("double").alias("value"),
+        ends[kind][0].alias("low"), ends[kind][1].alias("high"),
+    )
+    return rows.select(*keys, F.array(*[one(i, *p) for i, p in enumerate(TEMPERATURE_PANELS)]).alias("_p")).select(*keys, F.inline("_p"))
+
+
+def skill_maps(saved: DataFrame, metric: str) -> DataFrame:
+    """extreme, lead, lat, lon, value, stipple from the saved skill tables alone. The Brier
+    score of reference follows each table's own threshold."""
+    share = F.col("threshold_pct") / 100
+    marks = {"rho": exceeds(F.col("rho_p"), F.lit(0.05)), "tau": exceeds(F.col("tau_p"), F.lit(0.05)), "brier": exceeds(F.col("brier"), share * (1 - share))}
+    x = nan_to_null(F.col(metric).cast("double"))
+    return saved.select("extreme", "lead", "lat", signed_longitude(F.col("lon")).alias("lon"), F.when(x >= 0, x).alias("value"), marks[metric].alias("stipple"))
+
+
 def member_maps(fields: DataFrame, picked: DataFrame, keys: list[str], sample: str = "sample", value: str = "predicted_hot_extreme") -> DataFrame:
     """Indicator maps of the picked members only."""
-    return fields.join(F.broadcast(picked), sample, "left_semi").select(*keys, sample, value)
+    return fields.join(picked, sample, "left_semi").select(*keys, sample, value)

@@ -29,40 +29,67 @@ def case_metrics(df: DataFrame, case: list[str], prob: str = "probability", obs:
     )
 
 
-def _ties(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+#: Distinct pairs of probability and observation that a key may have. Pairs of these are
+#: compared, so the work of a key is bounded, however long its series is.
+MOST_POINTS = 4096
+
+
+def _ranked(points: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Average rank of `column` within keys, and the number of rows with its value."""
-    same = F.count("*").over(Window.partitionBy(*keys, column))
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(column))
-    return df.withColumn(f"_t_{column}", same).withColumn(f"_r_{column}", rank + (same - 1) / 2)
+    same = F.sum("w").over(Window.partitionBy(*keys, column))
+    upto = F.sum("w").over(Window.partitionBy(*keys).orderBy(column))
+    return points.withColumn(f"_t_{column}", same).withColumn(f"_r_{column}", upto - (same - 1) / 2)
 
 
 def rank_skill(df: DataFrame, keys: list[str], prob: str = "probability", obs: str = "observed") -> DataFrame:
-    """keys, n, brier, rho, rho_p, tau, tau_z, tau_p over the rows of each key, which
-    are few (years). Only the Brier score is defined where the observations do not vary;
-    rank statistics are NULL there and where the probabilities do not vary.
+    """keys, n, brier, rho, rho_p, tau, tau_z, tau_p over the rows of each key. Only the Brier
+    score is defined where the observations do not vary; rank statistics are NULL there and
+    where the probabilities do not vary.
 
-    One shuffle by key serves the ranks, the tie counts and the pairs."""
+    Equal pairs of a key become one point with a weight first: an ensemble has few distinct
+    probabilities and an event two outcomes, so a key has few points, however many rows. A
+    key with more than MOST_POINTS is an error. One shuffle by key serves the points, the
+    ranks, the tie counts and the pairs of points."""
     rows = df.select(*keys, F.col(prob).cast("double").alias("p"), F.col(obs).cast("double").alias("o")).where("p is not null and o is not null")
-    rows = _ties(_ties(rows, keys, "p"), keys, "o")
-    t = lambda c: F.col(f"_t_{c}")
-    agg = [F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("o"), 2)).alias("brier"), pearson(F.col("_r_p"), F.col("_r_o")).alias("rho"), F.stddev_pop("o").alias("_std")]
+    points = rows.repartition(*keys).groupBy(*keys, "p", "o").agg(F.count("*").alias("w"))
+    points = _ranked(_ranked(points, keys, "p"), keys, "o")
+    # ranks have the mean (n + 1) / 2 exactly
+    middle = (F.sum("w").over(Window.partitionBy(*keys)) + 1) / 2
+    points = points.withColumn("_dp", F.col("_r_p") - middle).withColumn("_do", F.col("_r_o") - middle)
+    w, t = F.col("w").cast("double"), lambda c: F.col(f"_t_{c}")
+    agg = [
+        F.sum("w").alias("n"),
+        (F.sum(w * F.pow(F.col("p") - F.col("o"), 2)) / F.sum(w)).alias("brier"),
+        F.sum(w * F.col("_dp") * F.col("_do")).alias("_cov"),
+        F.sum(w * F.col("_dp") * F.col("_dp")).alias("_vp"),
+        F.sum(w * F.col("_do") * F.col("_do")).alias("_vo"),
+        F.collect_list(F.struct("p", "o", w.alias("w"))).alias("_xs"),
+    ]
     for c in ("p", "o"):
         # sums over tie groups of t (t - 1) / 2, t (t - 1)(t - 2) and t (t - 1)(2 t + 5)
-        agg += [(F.sum(t(c) - 1) / 2).alias(f"_{c}tie"), F.sum((t(c) - 1) * (t(c) - 2)).alias(f"_{c}0"), F.sum((t(c) - 1) * (2 * t(c) + 5)).alias(f"_{c}1")]
-    agg.append(F.collect_list(F.struct("p", "o")).alias("_xs"))
-    out = rows.groupBy(*keys).agg(*agg)
-    concord = F.aggregate(
-        F.transform("_xs", lambda a, i: F.aggregate(F.slice("_xs", i + 2, F.size("_xs")), F.lit(0.0), lambda acc, b: acc + F.signum(a["p"] - b["p"]) * F.signum(a["o"] - b["o"]))),
-        F.lit(0.0), lambda acc, x: acc + x,
-    )
+        agg += [
+            (F.sum(w * (t(c) - 1)) / 2).alias(f"_{c}tie"),
+            F.sum(w * (t(c) - 1) * (t(c) - 2)).alias(f"_{c}0"),
+            F.sum(w * (t(c) - 1) * (2 * t(c) + 5)).alias(f"_{c}1"),
+        ]
+    out = points.groupBy(*keys).agg(*agg)
+    few = F.size("_xs") <= MOST_POINTS
+    xs = F.when(few, F.col("_xs")).otherwise(F.raise_error(F.lit(f"a key has over {MOST_POINTS} distinct pairs")))
+    later = lambda a, i: F.aggregate(
+        F.slice("_xs", i + 2, F.size("_xs")), F.lit(0.0), lambda s, b: s + b["w"] * F.signum(a["p"] - b["p"]) * F.signum(a["o"] - b["o"])
+    )
+    concord = F.aggregate(F.transform(xs, lambda a, i: a["w"] * later(a, i)), F.lit(0.0), lambda s, x: s + x)
     n = F.col("n").cast("double")
     pairs, m = n * (n - 1) / 2, n * (n - 1)
     tau = F.try_divide(F.col("_s"), F.sqrt((pairs - F.col("_ptie")) * (pairs - F.col("_otie"))))
-    var = (m * (2 * n + 5) - F.col("_p1") - F.col("_o1")) / 18 + F.try_divide(2 * F.col("_ptie") * F.col("_otie"), m) + F.coalesce(F.try_divide(F.col("_p0") * F.col("_o0"), 9 * m * (n - 2)), F.lit(0.0))
-    varies = F.col("_std") > 0
-    out = out.withColumn("_s", concord).withColumn("rho", F.when(varies & F.col("rho").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho")))))
+    three = F.coalesce(F.try_divide(F.col("_p0") * F.col("_o0"), 9 * m * (n - 2)), F.lit(0.0))
+    var = (m * (2 * n + 5) - F.col("_p1") - F.col("_o1")) / 18 + F.try_divide(2 * F.col("_ptie") * F.col("_otie"), m) + three
+    varies = F.col("_vo") > 0
+    rho = F.try_divide(F.col("_cov"), F.sqrt(F.col("_vp") * F.col("_vo")))
+    out = out.withColumn("_s", concord).withColumn("rho", F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))))
     out = out.withColumn("tau", F.when(varies, tau)).withColumn("tau_z", F.when(F.col("tau").isNotNull(), F.try_divide(F.col("_s"), F.sqrt(var))))
-    return out.select(*keys, "n", "brier", "rho", correlation_p(F.col("rho"), F.col("n")).alias("rho_p"), "tau", "tau_z", normal_p("tau_z").alias("tau_p"))
+    made = (correlation_p(F.col("rho"), F.col("n")).alias("rho_p"), "tau", "tau_z", normal_p(F.col("tau_z")).alias("tau_p"))
+    return out.select(*keys, "n", "brier", "rho", *made)
 
 
 def area_mean(df: DataFrame, by: list[str], value: str, lat: str = "lat") -> DataFrame:

@@ -43,7 +43,11 @@ VIEWS = {
         (n * (n - 1) * (2 * n + 5) - p1 - o1) / 18.0 + 2 * ptie * otie / nullif(n * (n - 1), 0)::DOUBLE + coalesce(p0 * o0 / nullif(9.0 * n * (n - 1) * (n - 2), 0), 0) AS var
         FROM sp LEFT JOIN cc ON sp.cell = cc.cell""",
 }
-_NEEDS = {"ob": ["obd"], "fct": ["fc"], "obt": ["obd"], "prob": ["fct"], "oev": ["ob", "obt"], "po": ["prob", "oev"], "rk": ["po"], "sp": ["rk"], "cc": ["rk"], "sk": ["sp", "cc"]}
+VIEWS["skz"] = "SELECT *, CASE WHEN tau IS NOT NULL THEN s / nullif(sqrt(var), 0) END AS z, abs(CASE WHEN tau IS NOT NULL THEN s / nullif(sqrt(var), 0) END) / sqrt(2) AS x FROM sk"
+_NEEDS = {"skz": ["sk"], "ob": ["obd"], "fct": ["fc"], "obt": ["obd"], "prob": ["fct"], "oev": ["ob", "obt"], "po": ["prob", "oev"], "rk": ["po"], "sp": ["rk"], "cc": ["rk"], "sk": ["sp", "cc"]}
+#: Two-sided normal p of z: series of erf under 3, continued fraction of erfc beyond.
+Z_P = """CASE WHEN x < 3 THEN greatest(0, 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 60), lambda n: x * coalesce(list_product(list_transform(range(1, n + 1), lambda k: 2 * x * x / (2 * k + 1))), 1))))
+    WHEN x IS NOT NULL THEN exp(-x * x) / sqrt(pi()) / list_reduce(list_prepend(x, list_transform(range(60, 0, -1), lambda k: k::DOUBLE)), lambda f, k: x + k / 2 / f) END"""
 #: Two-sided p of a correlation rho of n pairs, as the finite sum for whole degrees.
 RHO_P = """CASE WHEN n >= 3 AND rho IS NOT NULL THEN greatest(0, CASE
     WHEN (n - 2) % 2 = 1 THEN 1 - (2 / pi()) * (asin(least(1, abs(rho))) + abs(rho) * coalesce(list_sum(list_transform(range(1, 1 + (n - 3) // 2),
@@ -97,35 +101,28 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 # --- shared plans --------------------------------------------------------------------------
 
 
-def forecast_climate(spark: SparkSession, sf: str, q: float = Q90) -> DataFrame:
-    return climatology.threshold(T.forecast(spark, sf), CELL, q)
+def forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """cell, year, sample, value with the climate of the cell, in one pass over the lines."""
+    return climatology.with_climate(T.forecast(spark, sf), CELL, Q90, Q10)
 
 
 def probabilities(spark: SparkSession, sf: str, side: str = "hot") -> DataFrame:
-    fc = T.forecast(spark, sf)
-    return extremes.event_probability(fc, climatology.threshold(fc, CELL, Q90 if side == "hot" else Q10), CELL, CASE, side)
+    """Event probabilities with the anomaly of the ensemble mean as fc_anomaly."""
+    rows = forecasts(spark, sf).withColumn("threshold", F.col(side))
+    mean = (F.avg("value") - F.first("baseline")).alias("fc_anomaly")
+    return extremes.event_probability(rows, None, CELL, CASE, side, also=(mean,))
 
 
 def observed_events(spark: SparkSession, sf: str) -> DataFrame:
-    """cell, year, value, anomaly, observed."""
-    obs = T.observed_daily(spark, sf)
-    climate = climatology.anomaly_threshold(obs, CELL, Q90)
-    out = T.observed_yearly(obs).join(climate, CELL).withColumn("anomaly", F.col("value") - F.col("baseline"))
-    limit = climatology.threshold(obs, CELL, Q90).select("cell", F.col("threshold").alias("limit"))
-    return out.join(limit, CELL).select("cell", "year", "value", "anomaly", as_number(extremes.event(F.col("value"), F.col("limit"))).alias("observed"))
+    """cell, year, value, ob_anomaly, observed, in one pass over the orders."""
+    rows = T.observed_yearly(climatology.with_climate(T.observed_daily(spark, sf), CELL, Q90, Q10), "baseline", "hot")
+    hit = as_number(extremes.event(F.col("value"), F.col("hot"))).alias("observed")
+    return rows.select("cell", "year", "value", (F.col("value") - F.col("baseline")).alias("ob_anomaly"), hit)
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """cell, year, probability, observed."""
-    return probabilities(spark, sf).join(observed_events(spark, sf).select("cell", "year", "observed"), ["cell", "year"])
-
-
-def value_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """pairs with the anomalies of ensemble mean and observation."""
-    fc = T.forecast(spark, sf)
-    mean = extremes.ensemble_mean_anomaly(fc, climatology.mean_of(fc, CELL), CELL, CASE).select("cell", "year", F.col("anomaly").alias("fc_anomaly"))
-    obs = observed_events(spark, sf).select("cell", "year", "observed", F.col("anomaly").alias("ob_anomaly"))
-    return probabilities(spark, sf).join(mean, ["cell", "year"]).join(obs, ["cell", "year"])
+    """cell, year, probability, observed, and the anomalies of ensemble mean and observation."""
+    return probabilities(spark, sf).join(observed_events(spark, sf), ["cell", "year"])
 
 
 def skill(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,8 +140,7 @@ def skill(spark: SparkSession, sf: str) -> DataFrame:
     'pred_' || strftime(target, '%Y%m%d') || '_' || strftime(target - lead * INTERVAL 1 DAY, '%Y%m%d') || '_' || lpad(lead::VARCHAR, 3, '0') AS prediction_path, lead = 31 AS prediction_exists FROM t, l""",
 )
 def plan_cases(spark: SparkSession, sf: str) -> DataFrame:
-    years = [1995 + r["r_regionkey"] for r in T.load(spark, sf, "region").select("r_regionkey").orderBy("r_regionkey").collect()]
-    targets = [f"{y}-04-01" for y in years]
+    targets = T.load(spark, sf, "region").select(F.make_date(F.col("r_regionkey") + 1995, F.lit(4), F.lit(1)).alias("target"))
     pattern = "pred_{target_yyyymmdd}_{init_yyyymmdd}_{lead:03d}"
     have = planning.build_cases(spark, targets, [31], pattern).select(F.col("prediction_path").alias("path"))
     return _long(planning.build_cases(spark, targets, [31, 59, 90], pattern, have), "lead_days", "required_horizon_days", "required_6hour_steps")
@@ -183,8 +179,7 @@ def target_dates(spark: SparkSession, sf: str) -> DataFrame:
 def calendar_fallback(spark: SparkSession, sf: str) -> DataFrame:
     years = T.load(spark, sf, "orders").select(F.year("o_orderdate").alias("year")).distinct()
     d = temporal.same_day(F.col("year"), F.lit(2), F.lit(29))
-    first, last = F.make_timestamp_ntz("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), F.make_timestamp_ntz("year", F.lit(12), F.lit(31), F.lit(18), F.lit(0), F.lit(0))
-    steps = F.size(F.sequence(first, last, F.expr("interval 6 hours")))
+    steps = F.size(temporal.six_hour_steps(F.col("year")))
     out = years.select("year", day(d).alias("leap_or_28"), day(F.trunc(d, "month")).alias("first_day"), day(F.last_day(d)).alias("last_day"), steps.alias("n_steps"))
     return _long(out, "year", "n_steps")
 
@@ -244,6 +239,11 @@ def to_celsius(spark: SparkSession, sf: str) -> DataFrame:
     return daily.to_celsius(rows, "value").select("event_id", r6("value").alias("value"))
 
 
+@query("kelvin_offset", sql("SELECT event_id, round(value + 200 - 273.15, 6) AS value FROM ts", "ts"))
+def kelvin_offset(spark: SparkSession, sf: str) -> DataFrame:
+    return T.series(spark, sf).select("event_id", r6(daily.celsius(F.col("value") + 200)).alias("value"))
+
+
 @query("month_filter", sql("SELECT cell::BIGINT AS cell, strftime(date, '%Y-%m-%d') AS date, value FROM obd WHERE month(date) = 4", "obd"))
 def month_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _long(T.observed_daily(spark, sf).where(F.month("date") == 4).withColumn("date", day("date")), "cell")
@@ -286,6 +286,18 @@ def window_climatology(spark: SparkSession, sf: str) -> DataFrame:
     return _long(out.select(day("target").alias("target"), "cell", r6("baseline").alias("baseline"), r6("threshold").alias("threshold"), "n_samples"), "cell")
 
 
+@query(
+    "window_months",
+    """WITH t AS (SELECT DATE '2000-01-10' AS target UNION ALL SELECT DATE '2000-02-29'),
+    c AS (SELECT target, coalesce(try_cast(y || strftime(target, '-%m-%d') AS DATE), make_date(y, 2, 28)) AS c FROM t, range(1996, 2001) AS r(y))
+    SELECT DISTINCT strftime(target, '%Y-%m-%d') AS target, year(c + d * INTERVAL 1 DAY)::BIGINT AS year, month(c + d * INTERVAL 1 DAY)::BIGINT AS month FROM c, range(-15, 16) AS s(d)""",
+)
+def window_months(spark: SparkSession, sf: str) -> DataFrame:
+    targets = spark.createDataFrame([("2000-01-10",), ("2000-02-29",)], "target string").select(F.to_date("target").alias("target"))
+    out = climatology.window_months(targets, 15, F.lit(1996), F.lit(2000))
+    return _long(out.withColumn("target", day("target")), "year", "month")
+
+
 # --- ensemble events -----------------------------------------------------------------------
 
 
@@ -309,8 +321,7 @@ def ensemble_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ensemble_mean_anomaly", sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, round(ens_mean, 6) AS ensemble_mean, round(ens_anomaly, 6) AS anomaly FROM prob", "prob"))
 def ensemble_mean_anomaly(spark: SparkSession, sf: str) -> DataFrame:
-    fc = T.forecast(spark, sf)
-    out = extremes.ensemble_mean_anomaly(fc, climatology.mean_of(fc, CELL), CELL, CASE)
+    out = extremes.ensemble_mean_anomaly(forecasts(spark, sf), None, CELL, CASE)
     return _long(out.withColumn("ensemble_mean", r6("ensemble_mean")).withColumn("anomaly", r6("anomaly")), "cell", "year")
 
 
@@ -321,10 +332,10 @@ def forecast_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ensmean_binary", sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, CASE WHEN ens_anomaly > hot - baseline THEN 1.0::DOUBLE ELSE 0 END AS event FROM prob", "prob"))
 def ensmean_binary(spark: SparkSession, sf: str) -> DataFrame:
-    fc = T.forecast(spark, sf)
-    climate = climatology.anomaly_threshold(fc, CELL, Q90)
-    mean = extremes.ensemble_mean_anomaly(fc, climate, CELL, CASE).join(climate.select("cell", "threshold"), CELL)
-    return _long(mean.select("cell", "year", as_number(extremes.event(F.col("anomaly"), F.col("threshold"))).alias("event")), "cell", "year")
+    limit = F.first(F.col("hot") - F.col("baseline")).alias("hot_anomaly_threshold_C")
+    mean = extremes.ensemble_mean_anomaly(forecasts(spark, sf), None, CELL, CASE, also=(limit,))
+    out = plots.mean_event(mean.withColumnRenamed("anomaly", "predicted_tmax_anomaly_C_ensmean"))
+    return _long(out.select("cell", "year", F.col("ensemble_mean_event").alias("event")), "cell", "year")
 
 
 _FIELD_SQL = ("hit", "o_hit", "p", "o_hit - p", "sp", "b", "t", "m", "ma", "m0", "m0a", "o", "oa")
@@ -343,8 +354,10 @@ _FIELD_SQL = ("hit", "o_hit", "p", "o_hit - p", "sp", "b", "t", "m", "ma", "m0",
     ).replace("\n, a AS", ", a AS"),
 )
 def extremes_13_fields(spark: SparkSession, sf: str) -> DataFrame:
-    fc, obs = T.forecast(spark, sf), T.observed_daily(spark, sf)
-    out = extremes.extremes_fields(fc, T.observed_yearly(obs), climatology.anomaly_threshold(fc, CELL, Q90), climatology.anomaly_threshold(obs, CELL, Q90), CELL, CASE)
+    anomaly = (F.col("hot") - F.col("baseline")).alias("threshold")
+    fc = forecasts(spark, sf).select(*CELL, *CASE, "sample", "value", "baseline", anomaly)
+    obs = T.observed_yearly(climatology.with_climate(T.observed_daily(spark, sf), CELL, Q90, Q10), "baseline", "hot")
+    out = extremes.extremes_fields(fc, obs.select(*CELL, *CASE, "value", "baseline", anomaly), None, None, CELL, CASE)
     return _long(out.select("cell", "year", "sample", *[r6(n).alias(n) for n in extremes.FIELDS]), "cell", "year", "sample")
 
 
@@ -355,7 +368,7 @@ _R = "covar_pop(probability, observed) / nullif(stddev_pop(probability) * stddev
 
 
 def _scores(spark: SparkSession, sf: str, *names: str) -> DataFrame:
-    return _long(verification.case_metrics(value_pairs(spark, sf), CASE, forecast="fc_anomaly", truth="ob_anomaly").select("year", *[r6(n).alias(n) for n in names]), "year")
+    return _long(verification.case_metrics(pairs(spark, sf), CASE, forecast="fc_anomaly", truth="ob_anomaly").select("year", *[r6(n).alias(n) for n in names]), "year")
 
 
 def _score_query(name: str, **columns: str) -> None:
@@ -388,8 +401,16 @@ _skill_query("spearman_cell", sql("SELECT cell::BIGINT AS cell, n::BIGINT AS n,
 _skill_query("spearman_p_cell", sql(f"SELECT cell::BIGINT AS cell, round(rho, 6) AS rho, round({RHO_P}, 6) AS rho_p FROM sk", "sk"), "rho", "rho_p")
 _skill_query("kendall_cell", sql("SELECT cell::BIGINT AS cell, n::BIGINT AS n, round(tau, 6) AS tau FROM sk", "sk"), "n", "tau")
 _skill_query("kendall_z_cell", sql("SELECT cell::BIGINT AS cell, round(tau, 6) AS tau, CASE WHEN tau IS NOT NULL THEN round(s / nullif(sqrt(var), 0), 6) END AS tau_z FROM sk", "sk"), "tau", "tau_z")
-_skill_query("kendall_p_cell", None, "tau", "tau_z", "tau_p")
-_skill_query("skill_table", None, "n", "brier", "rho", "rho_p", "tau", "tau_z", "tau_p")
+_skill_query("kendall_p_cell", sql(f"SELECT cell::BIGINT AS cell, round(tau, 6) AS tau, round(z, 6) AS tau_z, round({Z_P}, 6) AS tau_p FROM skz", "skz"), "tau", "tau_z", "tau_p")
+_skill_query(
+    "skill_table",
+    sql(
+        f"""SELECT cell::BIGINT AS cell, n::BIGINT AS n, round(brier, 6) AS brier, round(rho, 6) AS rho, round({RHO_P}, 6) AS rho_p,
+        round(tau, 6) AS tau, round(z, 6) AS tau_z, round({Z_P}, 6) AS tau_p FROM skz""",
+        "skz",
+    ),
+    *("n", "brier", "rho", "rho_p", "tau", "tau_z", "tau_p"),
+)
 
 
 @query("area_weighted_mean", sql("SELECT round(sum(brier * cos(radians(lat))) / sum(cos(radians(lat))), 6) AS brier_mean, round(sum(rho * cos(radians(lat))) / sum(CASE WHEN rho IS NOT NULL THEN cos(radians(lat)) END), 6) AS rho_mean FROM sk JOIN grid USING (cell)", "sk", "grid"))
@@ -406,10 +427,18 @@ def area_mean_by_year(spark: SparkSession, sf: str) -> DataFrame:
     return _long(out.withColumn("area_mean", r6("area_mean")), "year")
 
 
-@query("stipple_counts", sql(f"SELECT count(*) AS n_cells, count_if(coalesce(p > 0.05, false))::BIGINT AS rho_stippled, count_if(brier > 0.09)::BIGINT AS brier_stippled FROM (SELECT brier, {RHO_P} AS p FROM sk)", "sk"))
+@query(
+    "stipple_counts",
+    sql(
+        f"""SELECT count(*) AS n_cells, count_if(coalesce(p > 0.05, false))::BIGINT AS rho_stippled, count_if(coalesce(q > 0.05, false))::BIGINT AS tau_stippled,
+        count_if(brier > 0.09)::BIGINT AS brier_stippled FROM (SELECT brier, {RHO_P} AS p, {Z_P} AS q FROM skz)""",
+        "skz",
+    ),
+)
 def stipple_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = verification.stippled(skill(spark, sf))
-    return rows.agg(F.count("*").alias("n_cells"), F.count_if("rho_stipple").alias("rho_stippled"), F.count_if("brier_stipple").alias("brier_stippled"))
+    marks = [F.count_if(f"{c}_stipple").alias(f"{c}_stippled") for c in ("rho", "tau", "brier")]
+    return rows.agg(F.count("*").alias("n_cells"), *marks)
 
 
 @query("yearly_means", sql("SELECT year::BIGINT AS year, round(avg(observed), 6) AS obs_frac, round(avg(probability), 6) AS pred_prob_mean, count(*) AS n_cells FROM po GROUP BY year", "po"))
@@ -453,6 +482,11 @@ def member_pick(spark: SparkSession, sf: str) -> DataFrame:
     return _long(planning.pick_members(spark, n, 4), "sample")
 
 
+@query("member_pick_31_of_12", "SELECT DISTINCT CASE WHEN i = 11 THEN 30 ELSE floor(i * (30 / 11.0::DOUBLE)) END::BIGINT AS sample FROM range(12) AS r(i)")
+def member_pick_31_of_12(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(planning.pick_members(spark, 31, 12), "sample")
+
+
 @query("concat_samples", "SELECT (CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber - 1 ELSE l_linenumber + 4 END)::BIGINT AS sample, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
 def concat_samples(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.load(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("sample"), "l_extendedprice")
@@ -479,7 +513,7 @@ def required_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("plot_limits", sql("SELECT year::BIGINT AS year, round(least(min(ens_anomaly), min(obs_anomaly)), 6) AS low, round(greatest(max(ens_anomaly), max(obs_anomaly)), 6) AS high, round(greatest(max(abs(ens_anomaly)), max(abs(obs_anomaly))), 6) AS abs_high FROM po GROUP BY year", "po"))
 def plot_limits(spark: SparkSession, sf: str) -> DataFrame:
-    out = plots.limits(value_pairs(spark, sf), CASE, "fc_anomaly", "ob_anomaly")
+    out = plots.limits(pairs(spark, sf), CASE, "fc_anomaly", "ob_anomaly")
     return _long(out.select("year", *[r6(c).alias(c) for c in ("low", "high", "abs_high")]), "year")
 
 
@@ -489,6 +523,37 @@ def skill_map(spark: SparkSession, sf: str) -> DataFrame:
     return plots.skill_map(rows, "rho", "rho_stipple").withColumn("value", r6("value"))
 
 
+_PANEL_VIEW = """, o AS (SELECT cell, year, probability, observed, spread, obs_value, obs_anomaly FROM po),
+        m AS (SELECT cell, year, min_by(value, sample) AS m0, min_by(value - baseline, sample) AS m0a FROM fc JOIN fct USING (cell) GROUP BY ALL)
+        SELECT cell::BIGINT AS cell, year::BIGINT AS year, panel::BIGINT AS panel, field, round(value, 6) AS value, round(low, 6) AS low, round(high, 6) AS high FROM ("""
+
+
+def _panel_query(name: str, run: Callable[[DataFrame], DataFrame], *selects: str) -> None:
+    @query(name, sql((_PANEL_VIEW + " UNION ALL ".join(selects) + ")"), "po").replace("\n, o AS", ", o AS"))
+    def rows(spark: SparkSession, sf: str) -> DataFrame:
+        fields = extremes_13_fields(spark, sf)
+        return run(fields).select("cell", "year", F.col("panel").cast("long").alias("panel"), "field", *[r6(c).alias(c) for c in ("value", "low", "high")])
+
+
+def _panel_sql(place: int, field: str, value: str, low: object, high: object) -> str:
+    end = lambda x: "NULL::DOUBLE" if x is None else f"({x})::DOUBLE"
+    return f"SELECT cell, year, {place} AS panel, '{field}' AS field, {value} AS value, {end(low)} AS low, {end(high)} AS high FROM o JOIN m USING (cell, year)"
+
+
+_PANEL_VALUES = {
+    "predicted_hot_extreme_probability": "probability", "observed_hot_extreme": "observed", "ensemble_uncertainty": "spread", "prediction_error_observed_minus_predicted": "observed - probability",
+    "observed_daily_tmax_C": "obs_value", "predicted_daily_tmax_C_member0": "m0", "observed_tmax_anomaly_C": "obs_anomaly", "predicted_tmax_anomaly_C_member0": "m0a",
+}
+for _name, _spec in (("event_panels", plots.EVENT_PANELS), ("summary_panels", plots.SUMMARY_PANELS)):
+    _panel_query(_name, lambda f, spec=_spec: plots.panels(f, [*CELL, *CASE], spec), *[_panel_sql(i, f, _PANEL_VALUES[f], a, b) for i, (f, _, a, b) in enumerate(_spec)])
+_OVER = "OVER (PARTITION BY year)"
+_ENDS = {
+    "shared": (f"least(min(obs_value) {_OVER}, min(m0) {_OVER})", f"greatest(max(obs_value) {_OVER}, max(m0) {_OVER})"),
+    "mirrored": tuple(f"{sign}greatest(max(abs(obs_anomaly)) {_OVER}, max(abs(m0a)) {_OVER})" for sign in ("-", "")),
+}
+_panel_query("temperature_panels", lambda f: plots.temperature_panels(f, [*CELL, *CASE], CASE), *[_panel_sql(i, f, _PANEL_VALUES[f], *_ENDS[k]) for i, (f, _, k) in enumerate(plots.TEMPERATURE_PANELS)])
+
+
 @query("embedding_long", "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS level, unnest(embedding)::DOUBLE AS value FROM embeddings")
 def embedding_long(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.load(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("level", "value"))
@@ -553,7 +618,7 @@ def cf_time(spark: SparkSession, sf: str) -> DataFrame:
 )
 def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
     cases = planning.build_cases(spark, ["2014-04-01"], [31, 59], "x")
-    return _long(planning.chunk_manifest(cases, spark, 27, 5, "runs/"), "lead_days", "chunk", "members", "expected_steps")
+    return _long(planning.chunk_manifest(cases, spark, 27, 5, "runs/").drop("init_time"), "lead_days", "chunk", "members", "expected_steps")
 
 
 @query("case_fields_limits", sql("SELECT year::BIGINT AS year, round(max(abs(observed - probability)), 6) AS worst, count(*) AS n_cells, count_if(observed = 1)::BIGINT AS n_events FROM po GROUP BY year", "po"))

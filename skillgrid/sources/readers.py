@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.daily import LATITUDE, LONGITUDE, TEMPERATURE, pick_column
+from . import arrays
 
 PLAN_SCHEMA = "target_date string, lead_days int, init_time string, required_horizon_days int, required_6hour_steps int, prediction_path string, prediction_exists boolean"
 
@@ -17,8 +18,12 @@ PLAN_SCHEMA = "target_date string, lead_days int, init_time string, required_hor
 def read_grid(spark: SparkSession, path: str | list[str], value: str = "value", format: str = "parquet") -> DataFrame:
     """A long table with the columns lat, lon and `value` under one name, whatever the
     input calls them; other columns follow. The scan stays lazy, so filters and the choice
-    of columns reach the files."""
-    df = spark.read.format(format).load(path)
+    of columns reach the files. `format` is any of Spark, or netcdf or zarr (see arrays)."""
+    if format in ("netcdf", "zarr"):
+        arrays.register(spark)
+        df = spark.read.format(format).option("decode_times", "true").load(path)
+    else:
+        df = spark.read.format(format).load(path)
     names = {pick_column(df, TEMPERATURE, "temperature"): value, pick_column(df, LATITUDE, "latitude"): "lat", pick_column(df, LONGITUDE, "longitude"): "lon"}
     return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
 
@@ -37,14 +42,20 @@ def positions(df: DataFrame, first: int, last: int, index: str = "time_idx") ->
     return df.where(F.col(index).between(first, last - 1))
 
 
+def format_of(path: str) -> str:
+    """By the end of the name: NetCDF, Zarr, or else Parquet."""
+    name = path.rstrip("/").lower()
+    return "netcdf" if name.endswith((".nc", ".cdf", ".nc3")) else "zarr" if name.endswith(".zarr") else "parquet"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def require(spark: SparkSession, paths: list[str]) -> None:
     """Fails with a list of all inputs that are absent."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    absent = []
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        if not at.getFileSystem(conf).exists(at):
-            absent.append(p)
+    absent = [p for p in paths if not exists(spark, p)]
     if absent:
         raise FileNotFoundError("missing inputs:\n" + "\n".join(absent))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import html
 import json
 import os
@@ -58,11 +59,38 @@ def write_skill(skill: DataFrame, path: str, extreme: str, lead: str, **attribut
     write_table(out, path, ["extreme", "lead"], keep_others=True)
 
 
-def write_index(folder: str, images: list[str]) -> None:
-    """An HTML page of the distinct images of a folder, in order of name."""
-    rows = "\n".join(f'<figure><img src="{html.escape(x)}"><figcaption>{html.escape(x)}</figcaption></figure>' for x in sorted({os.path.relpath(i, folder) for i in images}))
+def write_index(folder: str, images: list[str], tables: list[str] | None = None) -> None:
+    """An HTML page of the distinct images of a folder, and links to tables, in order of name."""
+    names = lambda paths: [html.escape(x) for x in sorted({os.path.relpath(i, folder) for i in paths})]
+    rows = [f'<figure><img src="{x}"><figcaption>{x}</figcaption></figure>' for x in names(images)]
+    rows += [f'<p><a href="{x}">{x}</a></p>' for x in names(tables or [])]
     Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "index.html").write_text(f"<!doctype html><meta charset=utf-8><title>Figures</title>\n{rows}\n")
+    Path(folder, "index.html").write_text("\n".join(["<!doctype html><meta charset=utf-8><title>Figures</title>", *rows, ""]))
+
+
+def write_rows(rows: list[dict[str, Any]], path: str) -> None:
+    """The few rows of a report as one CSV file with a header, through a temporary name."""
+    at = Path(path)
+    at.parent.mkdir(parents=True, exist_ok=True)
+    tmp = at.with_name(at.name + ".tmp")
+    with tmp.open("w", newline="") as f:
+        out = csv.DictWriter(f, list(dict.fromkeys(k for r in rows for k in r)))
+        out.writeheader()
+        out.writerows(rows)
+    os.replace(tmp, at)
+
+
+def write_run_configs(manifest: list[dict[str, Any]], folder: str, settings: dict[str, Any]) -> list[str]:
+    """A configuration file for each chunk of a manifest: `settings` of the model with where
+    the chunk writes, its steps and members. JSON, which every YAML reader takes."""
+    out = []
+    for row in manifest:
+        own = {"experiment_dir": row["output_dir"], "n_forward_steps": int(row["expected_steps"]), "n_ensemble_per_ic": int(row["members"])}
+        init = {"initial_condition": {**settings.get("initial_condition", {}), "start_indices": {"times": [row["init_time"]]}}} if row.get("init_time") else {}
+        name = f"{folder}/{row['target_date']}_{int(row['lead_days']):03d}/chunk{int(row['chunk']):03d}.yaml"
+        write_json(settings | own | init, name)
+        out.append(name)
+    return out
 
 
 def layout(root: str) -> dict[str, str]:

@@ -37,10 +37,11 @@ def observed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(cells, "o_custkey").groupBy("cell", "date").agg(F.max("o_totalprice").alias("value"))
 
 
-def observed_yearly(daily: DataFrame) -> DataFrame:
-    """cell, year, value on the last day with an order in January to June."""
-    rows = daily.where(F.month("date") <= 6)
-    return rows.groupBy("cell", F.year("date").alias("year")).agg(F.max_by("value", "date").alias("value"))
+def observed_yearly(daily: DataFrame, *of_cell: str) -> DataFrame:
+    """cell, year, value on the last day with an order in January to June, and columns
+    that are equal for all days of a cell."""
+    rows = daily.where(F.month("date") <= 6).groupBy("cell", F.year("date").alias("year"))
+    return rows.agg(F.max_by("value", "date").alias("value"), *[F.first(c).alias(c) for c in of_cell])
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Sources, sinks, the command line and the streaming form."""
 
 import json
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from skillgrid import cli
-from skillgrid.operators import daily, plots
+from skillgrid.operators import daily, planning, plots
 from skillgrid.sources import readers, sinks, synthetic
 from skillgrid.streaming.daily import daily_extremes
 
@@ -44,6 +45,39 @@ def test_postprocess(spark, tmp_path):
     picked = spark.createDataFrame([(0,), (2,)], "sample int")
     assert plots.member_maps(fields, picked, ["lat", "lon"]).count() == 64 * 2
     assert plots.mean_event(fields).where("ensemble_mean_event not in (0, 1)").count() == 0
+    # figure tables, metrics and index are there; another run recomputes nothing
+    table = lambda name: spark.read.parquet(f"{tmp_path}/out/figures/{name}")
+    assert table("event_panels").count() == table("summary_panels").count() == table("temperature_panels").count() == 64 * 4
+    assert table("member_maps").count() == 64 * 3
+    assert Path(tmp_path, "out/metrics/lead_comparison_metrics.csv").read_text().startswith("target_date,lead_days,init_date,")
+    assert "event_panels" in Path(tmp_path, "out/figures/index.html").read_text()
+    stamp = lambda: {p: p.stat().st_mtime_ns for p in Path(tmp_path, "out/processed").rglob("*.parquet")} | {p: p.stat().st_mtime_ns for p in Path(tmp_path, "out/cache").rglob("*.parquet")}
+    before = stamp()
+    assert cli.postprocess(spark, cfg) == rows and stamp() == before
+    assert cli.postprocess(spark, cfg, cli.Options(dry_run=True)) == [] and stamp() == before
+    assert cli.postprocess(spark, cfg, cli.Options(force=True)) == rows and not stamp().keys() & before.keys()
+    saved = stamp()
+    assert len(cli.figures(spark, cfg)) == 5 and stamp() == saved
+    # some members and targets, and cases that fail
+    few = cli.postprocess(spark, cfg, cli.Options(force=True, members=(0, 2)))
+    assert len(few) == 1 and spark.read.parquet(f"{tmp_path}/out/processed/extremes").count() == 64 * 2
+    assert cli.postprocess(spark, cfg, cli.Options(targets=("1999-01-01",))) == []
+    worse = replace(cfg, lead_days=[2, 5])
+    with pytest.raises(FileNotFoundError):
+        cli.postprocess(spark, worse)
+    assert len(cli.postprocess(spark, worse, cli.Options(tolerate=True))) == 1
+    told = json.loads(Path(tmp_path, "out/metrics/summary.json").read_text())
+    assert told["n_cases"] == 2 and told["n_done"] == 1 and list(told["failed"]) == ["2014-04-01 5"]
+
+
+def test_run_configs(spark, tmp_path):
+    cases = planning.build_cases(spark, ["2014-04-01"], [31], "x")
+    manifest = [r.asDict() for r in planning.chunk_manifest(cases, spark, 7, 5, f"{tmp_path}/raw").orderBy("chunk").collect()]
+    names = sinks.write_run_configs(manifest, f"{tmp_path}/configs", {"checkpoint_path": "m.ckpt", "initial_condition": {"path": "ic.nc"}})
+    got = [json.loads(Path(n).read_text()) for n in names]
+    assert [g["n_ensemble_per_ic"] for g in got] == [5, 2] and {g["n_forward_steps"] for g in got} == {124}
+    assert got[0]["initial_condition"] == {"path": "ic.nc", "start_indices": {"times": ["2014-03-01T00:00:00"]}} and got[0]["checkpoint_path"] == "m.ckpt"
+    assert names[1].endswith("2014-04-01_031/chunk001.yaml")
 
 
 def test_configuration(tmp_path):
