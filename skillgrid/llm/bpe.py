@@ -6,16 +6,22 @@ looked up by binary search in the sorted pair keys; each word merges all occurre
 its lowest-ranked pair, left to right; words without a known pair are done. A symbol
 made by a merge only takes part in later merges, so merging all occurrences of the
 lowest pair at once gives the same symbols as one merge at a time. Words are remembered
-with their ids within a partition, up to a bound, after which the memory starts anew.
+with their ids within a partition, up to bounds, after which the memory starts anew.
+
+Words of over LONG bytes, which would take many rounds, go by rank instead: each round
+merges the lowest-ranked pair of all of them, and only pairs next to a merge are looked up
+again, so the work of a word is near its length, however long it is.
 
 Ids become text by gathering each id's bytes. A special token's own string in a text is
-that token. Null text counts as empty (no ids, text ""); repeated rows are kept.
+that token. Null text counts as empty (no ids, text ""); repeated rows are kept, very long
+texts are coded whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -29,7 +35,8 @@ from .common import load, map_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space of Unicode's White_Space property, which \s has to mean.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMORY_WORDS = 200_000
+MEMORY_WORDS, MEMORY_IDS = 200_000, 4_000_000
+LONG = 192
 NONE = np.int32(2**31 - 1)
 
 
@@ -102,6 +109,63 @@ class Coder:
         self.start = np.concatenate((self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)))
         self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, flat))
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, NONE where there is no such merge."""
+        want = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where(self.keys[at] == want, self.ranks[at], NONE)
+
+    def merge_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What merge() gives, by rank: places wait under the rank of the pair that begins
+        there, and symbols are linked, so that a merge costs what lies next to it."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ids, word = self.first[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), size)
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(size)
+        after[ends - 1] = n  # no pair reaches into the next word
+        before[ends - size] = -1
+        alive, rank = np.ones(n, bool), np.full(n, NONE, np.int32)
+        ranks: list[int] = []
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def look_up(at: np.ndarray) -> None:
+            rank[at] = NONE
+            at = at[after[at] < n]
+            rank[at] = self._ranks(ids[at], ids[after[at]])
+            at = at[rank[at] != NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            found = rank[at]
+            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+            for r, part in zip(found[np.concatenate(([0], cuts))].tolist(), np.split(at, cuts)):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        look_up(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            parts = waiting.pop(r)
+            at = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # in a run of overlapping pairs every other one merges, from the left
+            new = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 0]
+            gone = after[at]
+            ids[at], alive[gone], rank[gone] = self.made[r], False, NONE
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at[inside]]] = at[inside]
+            left = before[at]
+            look_up(np.unique(np.concatenate((at, left[left >= 0]))))
+        return ids[alive], np.bincount(word[alive], minlength=len(words)).astype(np.int32)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and how many each has."""
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -110,10 +174,7 @@ class Coder:
         while len(ids):
             rank = np.full(len(ids), NONE, np.int32)
             if len(ids) > 1:
-                want = (ids[:-1].astype(np.int64) << 32) | ids[1:]
-                at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-                hit = (self.keys[at] == want) & (word[1:] == word[:-1])
-                rank[:-1][hit] = self.ranks[at[hit]]
+                rank[:-1] = np.where(word[1:] == word[:-1], self._ranks(ids[:-1], ids[1:]), NONE)
             heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             least = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(ids))))
             over = least == NONE
@@ -148,12 +209,15 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each has."""
-        if len(self.known) > MEMORY_WORDS:
+        if len(self.known) > MEMORY_WORDS or len(self.flat) > MEMORY_IDS:
             self.forget()
         pieces = [self.pieces(t) for t in texts]
         fresh = list(set().union(*pieces) - self.known.keys())
-        if fresh:
-            self._add(fresh, *self.merge([w.encode() for w in fresh]))
+        raw = [w.encode() for w in fresh]
+        for long in (False, True):
+            some = [i for i, w in enumerate(raw) if (len(w) > LONG) == long]
+            if some:
+                self._add([fresh[i] for i in some], *(self.merge_long if long else self.merge)([raw[i] for i in some]))
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         get = self.known.__getitem__
         numbers = np.fromiter((i for p in pieces for i in map(get, p)), np.int32, int(n.sum()))

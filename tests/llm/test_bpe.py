@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -63,3 +64,23 @@ def test_columns(spark, theirs):
 
 def test_no_rows(spark):
     assert bpe.round_trip(empty_documents(spark)).count() == 0 and bpe.decode(bpe.encode(empty_documents(spark))).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abcdeinorst"), min_size=1, max_size=400), min_size=1, max_size=4))
+def test_long_words_by_rank(theirs, texts):
+    c = bpe.coder(bpe.default_vocabulary())
+    a, n = c.merge_long([t.encode() for t in texts])
+    b, m = c.merge([t.encode() for t in texts])
+    assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+
+
+def test_one_very_long_word(theirs):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("etaoinshrdlu"), 1_000_000)), "a" * 1_000_000, "é" * 300_000]
+    for t in texts:
+        began = time.perf_counter()
+        got = ours([t])[0]
+        assert time.perf_counter() - began < 10
+        assert got == theirs.encode(t, add_special_tokens=False).ids
+    bpe.coder(bpe.default_vocabulary()).forget()
