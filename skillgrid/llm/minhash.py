@@ -18,13 +18,15 @@ sets confirm them.
 
 Documents without words (or null texts) have the size 0 and are linked with nothing;
 null ids are neither linked nor given a component. Rows with equal ids are one document.
+A similarity of exactly `percent` links. Sets of very long texts are whole. An empty table
+gives no rows; only id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, load, map_batches, shuffle_partitions
@@ -210,8 +212,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = members.join(scratch.hint(found.select(F.col("node").alias("k"), "component")), "k", "left").withColumn("c", F.coalesce("component", "k"))
     at = at.join(scratch.hint(found.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))), "pivot", "left").withColumn("stray", (F.col("c") != F.coalesce("pc", "pivot")).cast("int"))
     at = at.select("key", "k", "n", "c", F.coalesce("pc", "pivot").alias("r"), "stray")
-    work = F.sum("stray").over(Window.partitionBy("key")) * F.count("*").over(Window.partitionBy("key"))
-    at = scratch.table(at.withColumn("work", work).where("work > 0"))
+    at = scratch.table(at)
+    # sums are combined where the rows are, and come back by a join that can be split
+    work = at.groupBy("key").agg((F.sum("stray") * F.count("*")).alias("work")).where("work > 0")
+    at = at.join(scratch.hint(scratch.table(work)), "key")
     small = at.where(F.col("work") <= SMALL)
     large = at.where(F.col("work") > SMALL).groupBy("k", "c", "n", "r").agg(F.max("stray").alias("stray"))
     near, far = _far_pairs(scratch.table(large), sets, percent, scratch)
