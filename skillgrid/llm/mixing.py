@@ -11,14 +11,17 @@ level w * L with caps c has a closed form: in order of c / w, L is the largest o
 
 Each leaf then takes a prefix, by tokens, of its documents in seeded order: whole epochs
 first, and of the last one the documents up to the rest of its budget, each epoch in an
-order of its own. The place where a leaf's prefix ends is found over sums of 4096 ranges
-of the order and then inside one range, so no task holds a leaf, and documents are
-selected by comparing with it, where they are.
+order of its own. The place where a leaf's prefix ends is found over the sums of 256 ranges
+of the order, then of 256 ranges of the range where it lies, and so on until that has at
+most RANGE_ROWS rows: no task holds more of a leaf, however large it is. Documents are
+selected by comparing with that place, where they are.
 
 Tokens are words split at white space. Documents without any (null, empty) are in no
 leaf's prefix. Null keys count as "". Weights are whole numbers; unnamed values weigh 1,
-and those of 0 or less get nothing. Rows of one leaf with equal ids are taken or left
-together. Budgets are whole tokens, rounded down. An empty table gives no rows.
+and those of 0 or less get nothing, though their tokens count in the total that the budget
+is a share of. Rows of one leaf with equal ids are taken or left together; they are one
+place of the order, however many they are. Budgets are whole tokens, rounded down. Very
+long texts count whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from .common import Scratch, load
 SEED, EPOCHS, SHARE = 17, 2, 0.6
 LEVELS = ("domain", "lang", "source")
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
-_DIGITS = 3
+#: Hexadecimal digits that a round of the search for a leaf's end adds, at most so many
+#: (an order has 32), and rows in which it is looked up one by one.
+_DIGITS, _MOST_DIGITS, RANGE_ROWS = 2, 16, 4096
 _WS = r"[ \t\n\x0B\f\r]+"
 
 
@@ -55,9 +60,9 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
 def budgets(leaves: DataFrame, levels: tuple[str, ...], weights: dict[str, dict[str, int]], share: float, epochs: int) -> DataFrame:
     """levels, tokens and budget of each leaf, from levels and tokens."""
     leaves = leaves.withColumn("cap", F.col("tokens") * epochs)
+    out = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(share))).cast("long").alias("budget")).withColumn("_root", F.lit(0))
     for level in levels:
         leaves = leaves.where(_weight(level, weights) > 0)
-    out = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(share))).cast("long").alias("budget")).withColumn("_root", F.lit(0))
     above: list[str] = ["_root"]
     for level in levels:
         here = [*above, level]
@@ -88,18 +93,28 @@ def mix(
     keep = tuple(df.columns) if keep is None else keep
     named = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in levels]
     slim = scratch.table(df.select(F.col(id_col).alias("k"), *named, words(F.col(text_col)).alias("n")).where("n > 0"))
-    plan = budgets(slim.groupBy(*levels).agg(F.sum("n").alias("tokens")), levels, weights, share, epochs)
-    plan = plan.where("budget > 0").withColumn("whole", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
-    plan = scratch.table(plan)
-    rows = slim.join(scratch.hint(plan.select(*levels, "whole", "rest")), list(levels)).where("rest > 0")
-    rows = rows.withColumn("place", _place(seed, F.col("whole") + 1, F.col("k"))).withColumn("range", F.substring("place", 1, _DIGITS))
-    sums = rows.groupBy(*levels, "range", "rest").agg(F.sum("n").alias("n"))
-    over = Window.partitionBy(*levels).orderBy("range")
-    sums = sums.withColumn("upto", F.sum("n").over(over)).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")))
-    ends = scratch.table(sums.select(*levels, "range", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("room")))
-    inside = rows.join(scratch.hint(ends), [*levels, "range"])
-    order = Window.partitionBy(*levels, "range").orderBy("place")
-    inside = inside.withColumn("upto", F.sum("n").over(order))
+    leaves = scratch.table(slim.groupBy(*levels).agg(F.sum("n").alias("tokens"), F.count("*").alias("c")))
+    plan = budgets(leaves.drop("c"), levels, weights, share, epochs).where("budget > 0")
+    plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("tokens")))
+    plan = scratch.table(plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")))
+    partial = plan.where("rest > 0").join(leaves.drop("tokens"), list(levels))
+    ends = scratch.table(partial.select(*levels, "whole", F.lit("").alias("range"), F.col("rest").alias("room"), "c"))
+    digits = 0
+    while True:
+        rows = slim.join(scratch.hint(ends.drop("c")), list(levels)).withColumn("place", _place(seed, F.col("whole") + 1, F.col("k")))
+        rows = rows.where(F.substring("place", 1, digits) == F.col("range")) if digits else rows
+        if (ends.agg(F.max("c")).first()[0] or 0) <= RANGE_ROWS or digits >= _MOST_DIGITS:
+            break
+        digits += _DIGITS
+        # the range in which the leaf's room ends, and what is left of it there
+        sums = rows.groupBy(*levels, "whole", "room", F.substring("place", 1, digits).alias("range"))
+        sums = sums.agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+        sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*levels).orderBy("range")))
+        sums = sums.where((F.col("upto") > F.col("room")) & (F.col("upto") - F.col("n") <= F.col("room")))
+        left = F.col("room") - (F.col("upto") - F.col("n"))
+        ends = scratch.table(sums.select(*levels, "whole", "range", left.alias("room"), "c"))
+    inside = rows.groupBy(*levels, "room", "place").agg(F.sum("n").alias("n"))
+    inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy(*levels).orderBy("place")))
     last = inside.where(F.col("upto") <= F.col("room")).groupBy(*levels).agg(F.max("place").alias("last"))
     plan = plan.join(ends.select(*levels, "range"), list(levels), "left").join(last, list(levels), "left")
     plan = scratch.table(plan.select(*[F.col(c).alias(f"leaf_{c}") for c in levels], "whole", "rest", "range", "last"))
@@ -109,8 +124,8 @@ def mix(
     chosen = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(id_col).alias("k"), words(F.col(text_col)).alias("n_tokens"), *leaf)
     chosen = chosen.where("n_tokens > 0").join(scratch.hint(plan), [f"leaf_{c}" for c in levels])
     place = _place(seed, F.col("whole") + 1, F.col("k"))
-    partial = (F.col("rest") > 0) & ((place < F.coalesce("range", F.lit("g"))) | (place <= F.coalesce("last", F.lit(""))))
-    chosen = chosen.withColumn("times", F.col("whole") + F.when(partial, 1).otherwise(0)).where("times > 0")
+    early = (F.col("rest") > 0) & ((place < F.coalesce("range", F.lit("g"))) | (place <= F.coalesce("last", F.lit(""))))
+    chosen = chosen.withColumn("times", F.col("whole") + F.when(early, 1).otherwise(0)).where("times > 0")
     epochs_of = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("epoch")
     return chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *[f"leaf_{c}" for c in levels], "n_tokens", epochs_of)
 

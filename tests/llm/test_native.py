@@ -116,6 +116,26 @@ def test_prefix_is_within_budget_and_near_it(spark, sf_dir):
     assert sorted((r["doc_id"], r["epoch"]) for r in out.collect()) == sorted((r["doc_id"], r["epoch"]) for r in again.collect())
 
 
+def test_ranges_of_any_size_give_one_result(spark, sf_dir, monkeypatch):
+    docs = mixing.with_domain(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = docs.union(docs.where("doc_id < 20")).union(docs.where("doc_id = 3"))
+    rows = lambda: sorted(tuple(r) for r in mixing.mix(docs, share=0.5, keep=("doc_id",)).collect())
+    want = rows()
+    for most in (16, 2, 0):  # 0 goes on until the digits end
+        monkeypatch.setattr(mixing, "RANGE_ROWS", most)
+        assert rows() == want
+
+
+def test_weights_of_zero(spark):
+    leaves = [("a", "x", "1", 100), ("a", "x", "2", 100), ("b", "x", "1", 200)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    out = {(r["domain"], r["source"]): r["budget"] for r in mixing.budgets(df, mixing.LEVELS, {"domain": {"b": 0}}, 0.25, 1).collect()}
+    assert out == {("a", "1"): 50, ("a", "2"): 50}  # a quarter of all 400 tokens
+    # what no leaf can take is not spent
+    out = {(r["domain"], r["source"]): r["budget"] for r in mixing.budgets(df, mixing.LEVELS, {"domain": {"b": 0}}, 0.75, 1).collect()}
+    assert out == {("a", "1"): 100, ("a", "2"): 100}
+
+
 def test_plans_have_no_python(spark, sf_dir):
     for name in ("op4_line_dedup", "op7_source_mixing"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
