@@ -147,7 +147,7 @@ def map_batches(
     df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, Iterable]], size_of: str | None = None, done: Callable[[], None] | None = None
 ) -> DataFrame:
     """Arrow batches through `work`, from columns as lists to columns as lists. With
-    `size_of`, a string column, each call gets about SLICE_CHARS characters of it. After a
+    `size_of`, a string or binary column, each call gets about SLICE_CHARS characters of it. After a
     partition `done` is called, and the worker, which stays for later tasks, hands its
     freed memory back."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -161,7 +161,9 @@ def map_batches(
             if size_of is None:
                 ranges = [(0, batch.num_rows)] if batch.num_rows else []
             else:
-                ranges = slices(pc.fill_null(pc.utf8_length(batch.column(names.index(size_of))), 0).to_pylist())
+                column = batch.column(names.index(size_of))
+                length = pc.binary_length if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pc.utf8_length
+                ranges = slices(pc.fill_null(length(column), 0).to_pylist())
             for a, b in ranges:
                 part = batch.slice(a, b - a)
                 made = work({n: part.column(i).to_pylist() for i, n in enumerate(names)})

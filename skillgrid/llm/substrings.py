@@ -13,7 +13,9 @@ meet. The steps:
 3. The windows of shared grams are cut out as pieces: runs of windows whose grams have
    the same least document, cut anew at grams chosen by hash so that equal passages give
    equal pieces. Equal pieces are counted once, with the least of their documents.
-   Windows of very frequent grams become pieces one by one, which spread by content.
+   Windows of very frequent grams become pieces one by one, which spread by content. Pieces
+   meet by owner, the least document of their grams; those of an owner with more than
+   OWNER_BYTES of them are cut again by gram and meet by gram.
 4. In groups of pieces a Burrows-Wheeler transform is extended backward, breadth first,
    from the empty string: an interval of suffixes with the prefix w splits by preceding
    byte into intervals of longer strings, and where such an interval ends for the first
@@ -22,8 +24,14 @@ meet. The steps:
    Each window's owner is the least document in its interval.
 5. A document loses the windows whose owner is smaller than itself.
 
+No task gathers more than bounded amounts: a bucket has the grams of about BUCKET_BYTES of
+text, as buckets grow with the input, a group about GROUP_BYTES of pieces besides one owner
+of at most OWNER_BYTES or one gram with under FREQUENT rows.
+
 Null texts are empty; texts under LENGTH bytes lose nothing. Rows with a null id neither
-lose nor cause anything, nor do rows with equal ids among each other.
+lose nor cause anything, nor do rows with equal ids among each other. Very long texts are
+treated whole. An empty table gives no rows; only id and text are read, whatever other
+columns are called.
 """
 
 from __future__ import annotations
@@ -45,8 +53,9 @@ SPAN = LENGTH - GRAM + 1
 #: Grams with this many rows in a block are sent once for the block; grams in so many
 #: documents overall have their windows dealt by their own content.
 BLOCK_ROWS, FREQUENT = 32, 200_000
-#: Bytes of pieces in a group, about.
-GROUP_BYTES = 6 << 20
+#: Bytes of text of a bucket of grams, and of pieces in a group, about; and most bytes of
+#: pieces of one owner that stay together.
+BUCKET_BYTES, GROUP_BYTES, OWNER_BYTES = 64 << 20, 6 << 20, 6 << 20
 _GAP = b"\xff" * 64
 _KEY = np.uint64((1 << 48) - 1)
 _BYTES = np.random.default_rng(0xB175).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,7 +141,7 @@ _BUCKET_ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind",
 
 
 def _send_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows for buckets. Kind 0: grams and rows of a block, with the block's ids; kind 1:
+    """Rows for buckets. Kind 0: grams and rows of a block, with the rows' ids; kind 1:
     grams that many of its rows have, once each; kind 2: these rows, to be passed on."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +173,9 @@ def _send_grams(docs: DataFrame, buckets: int) -> DataFrame:
             k, r = key[few], row[few]
             cuts = np.searchsorted(k, edges)
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    out.append((i, block, 0, _pack(np.diff(k[a:b], prepend=0), r[a:b], ids)))
+                if b > a:  # with the ids of the rows that are in it, not of the whole block
+                    used, mine = np.unique(r[a:b], return_inverse=True)
+                    out.append((i, block, 0, _pack(np.diff(k[a:b], prepend=0), mine, ids[used])))
             if many.any():
                 k = key[head][many]
                 cuts = np.searchsorted(k, edges)
@@ -289,6 +299,20 @@ def _cut_pieces(rows: dict[str, list]) -> dict[str, list]:
     return out
 
 
+def _cut_by_gram(rows: dict[str, list]) -> dict[str, list]:
+    """The pieces cut again into the runs of windows of one gram, as bucket (of the gram),
+    piece, the new piece's name, the place in the old one, and what is known of that."""
+    out: dict[str, list] = {c: [] for c in ("bucket", "piece", "p", "q", "of_p", "of_q", "at", "low", "high")}
+    blob, start, count, key = grams(rows["piece"])
+    for i, a, n, k in zip(blob.tolist(), start.tolist(), count.tolist(), key.astype("<u8")):
+        piece = rows["piece"][i][a : a + n + LENGTH - 1]
+        name = xxhash.xxh3_128_intdigest(piece)
+        values = (xxhash.xxh3_64_intdigest(k.tobytes()) - (1 << 63), piece, (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63), rows["p"][i], rows["q"][i], a, rows["low"][i], rows["high"][i])
+        for c, v in zip(out, values):
+            out[c].append(v)
+    return out
+
+
 # --- the transform ---------------------------------------------------------------------
 
 
@@ -379,17 +403,28 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- the operator ----------------------------------------------------------------------
 
 
+def _owned(pieces: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """p, q, begins, ends, owners: runs of windows of a piece with one owner."""
+    groups = max(1, -(-total // GROUP_BYTES))
+    shape = "p long, q long, begins array<int>, ends array<int>, owners array<long>"
+    return scratch.table(pieces.withColumn("g", F.pmod("bucket", F.lit(groups))).groupBy("g").applyInArrow(_own, shape))
+
+
 def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """k, h, begin, end: bytes to remove, as overlapping spans, from rows k, t, h."""
     spark = docs.sparkSession
     reach(spark)
     seen = scratch.table(docs.where(f"k is not null and octet_length(t) >= {LENGTH}").select("k", "h", F.xxhash64(F.lit(1), "t").alias("h2"), F.octet_length("t").alias("n")))
-    firsts = seen.groupBy("h", "h2", "n").agg(F.min("k").alias("first"), F.max("k").alias("most")).where("first < most")
-    copies = scratch.table(seen.join(firsts, ["h", "h2", "n"]).where("k > first").select("k", "h", "n").distinct())
+    firsts = scratch.table(seen.groupBy("h", "h2", "n").agg(F.min("k").alias("first"), F.max("k").alias("most")).where("first < most").drop("most"))
+    # as a join of two tables: broadcast, or split where a text has very many copies
+    copies = scratch.table(seen.join(scratch.hint(firsts), ["h", "h2", "n"]).where("k > first").select("k", "h", "n").distinct())
     whole = copies.select("k", "h", F.lit(0).alias("begin"), F.col("n").cast("int").alias("end"))
     texts = docs.where(f"k is not null and octet_length(t) >= {LENGTH}").join(scratch.hint(copies.select("k", "h")), ["k", "h"], "left_anti")
-    buckets = 2 * shuffle_partitions(spark)
+    size = int(seen.agg(F.sum("n")).first()[0] or 0)
+    buckets = max(2 * shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     asked = _send_grams(texts, buckets)
+    if buckets > 2 * shuffle_partitions(spark):
+        asked = asked.repartition(buckets, "bucket")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "block long, kind int, data binary")
     known = answers.groupBy("block").applyInArrow(_of_block, "k long, keys binary")
     known = scratch.table(known)
@@ -397,13 +432,27 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     known = known.groupBy("k").agg(F.collect_list("keys").alias("keys"))
     cut = map_batches(texts.join(known, "k"), "bucket long, piece binary, p long, q long, k long, h long, at int", _cut_pieces, "t")
     cut = scratch.table(cut)
-    pieces = cut.groupBy("bucket", "p", "q", "piece").agg(F.min("k").alias("low"), F.max("k").alias("high"))
-    total = cut.agg(F.sum(F.length("piece"))).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
-    owned = pieces.withColumn("g", F.pmod("bucket", F.lit(groups))).groupBy("g").applyInArrow(_own, "p long, q long, begins array<int>, ends array<int>, owners array<long>")
-    owned = scratch.table(owned)
-    found = cut.select("p", "q", "k", "h", "at").join(owned, ["p", "q"]).select("k", "h", "at", F.explode(F.arrays_zip("begins", "ends", "owners")).alias("x")).where("x.owners < k")
-    return whole.union(found.select("k", "h", (F.col("at") + F.col("x.begins")).alias("begin"), (F.col("at") + F.col("x.ends") + (LENGTH - 1)).alias("end")))
+    pieces = scratch.table(cut.groupBy("bucket", "p", "q", "piece").agg(F.min("k").alias("low"), F.max("k").alias("high")))
+    of_owners = scratch.table(pieces.groupBy("bucket").agg(F.sum(F.length("piece")).alias("bytes")))
+    heavy = scratch.table(of_owners.where(F.col("bytes") > OWNER_BYTES).select("bucket"))
+    found = _owned(pieces.join(scratch.hint(heavy), "bucket", "left_anti"), int(of_owners.agg(F.sum("bytes")).first()[0] or 0), scratch)
+    if heavy.take(1):
+        parts = map_batches(
+            pieces.join(scratch.hint(heavy), "bucket", "left_semi").select("p", "q", "low", "high", "piece"),
+            "bucket long, piece binary, p long, q long, of_p long, of_q long, at int, low long, high long",
+            _cut_by_gram,
+            "piece",
+        )
+        parts = scratch.table(parts)
+        again = parts.groupBy("bucket", "p", "q", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        owned = _owned(again, int(parts.agg(F.sum(F.length("piece"))).first()[0] or 0), scratch)
+        shifted = lambda c: F.transform(c, lambda x: (x + F.col("at")).cast("int")).alias(c)
+        owned = parts.select("p", "q", "of_p", "of_q", "at").join(owned, ["p", "q"])
+        found = found.union(owned.select("of_p", "of_q", shifted("begins"), shifted("ends"), "owners"))
+    found = cut.select("p", "q", "k", "h", "at").join(found, ["p", "q"])
+    found = found.select("k", "h", "at", F.explode(F.arrays_zip("begins", "ends", "owners")).alias("x")).where("x.owners < k")
+    begin, end = F.col("at") + F.col("x.begins"), F.col("at") + F.col("x.ends") + (LENGTH - 1)
+    return whole.union(found.select("k", "h", begin.alias("begin"), end.alias("end")))
 
 
 def _kept(raw: bytes, begin: list[int], end: list[int]) -> tuple[list[tuple[int, int]], bytes]:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skillgrid.llm import substrings as S
 
@@ -83,6 +84,34 @@ def test_odd_rows_equal_brute_force(spark, monkeypatch, frequent, rows):
     assert got(df) == brute([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_many_buckets_and_one_hot_owner(spark, monkeypatch):
+    """A third of the rows share one owner; its pieces are cut by gram, buckets are many and
+    groups small, and the result is the same. No group is far over its bytes."""
+    rng = random.Random(9)
+    base = words(rng, 400)
+    rows = [(0, base)] + [(i, f"{words(rng, 4)} {base[(a := rng.randint(0, 1200)) : a + rng.randint(60, 900)]} {words(rng, 4)}") for i in range(1, 60)]
+    rows += [(100 + i, words(rng, rng.randint(1, 60))) for i in range(100)] + [(300 + i, words(rng, 5) + base[:80]) for i in range(20)]
+    rows += [(500, rows[120][1]), (501, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    want = brute(rows)
+    monkeypatch.setattr(S, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(S, "BUCKET_BYTES", 500)
+    groups = []
+
+    def counted(pieces, total, scratch, own=S._owned):
+        sizes = pieces.groupBy((F.pmod("bucket", F.lit(max(1, -(-total // S.GROUP_BYTES))))).alias("g")).agg(F.sum(F.length("piece")).alias("b"))
+        groups.append(sizes.agg(F.max("b")).first()[0] or 0)
+        return own(pieces, total, scratch)
+
+    monkeypatch.setattr(S, "_owned", counted)
+    assert got(df) == want
+    whole = max(groups)
+    groups.clear()
+    monkeypatch.setattr(S, "OWNER_BYTES", 1000)
+    assert got(df) == want
+    assert len(groups) == 2 and max(groups) < whole / 2
+
+
 def test_kept_bytes(spark):
     rng = random.Random(3)
     a = words(rng, 40)
