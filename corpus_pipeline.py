@@ -15,6 +15,8 @@ from skillgrid.llm import bpe, language, lines, minhash, mixing
 from skillgrid.llm.common import Scratch, load, owned
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Distinct pages of a source on which a line must be, however small the source is.
+LINE_PAGES = 3
 #: Tokens that mixing selects, as a share of those it is given, and epochs of small leaves.
 MIX_SHARE, MIX_EPOCHS = 0.9, 2
 
@@ -30,8 +32,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that are boilerplate on their source; n_chars follows.
-    Texts of which nothing is left go."""
-    clean = lines.drop_boilerplate(docs.select(*COLUMNS))
+    Texts of which nothing is left go. Copies of a text are left to the next stage: they
+    count as one page, and a line must be on LINE_PAGES distinct pages of a source."""
+    clean = lines.drop_boilerplate(docs.select(*COLUMNS), least_pages=LINE_PAGES, copies_once=True)
     clean = clean.withColumn("n_chars", F.length("text").cast("long"))
     return clean.where("n_dropped = 0 or trim(text) <> ''").select(*COLUMNS)
 
