@@ -52,11 +52,9 @@ def test_line_stage(stages):
     for r in stages[1]:
         pages = hosts[r["source"] or ""]
         strip = lambda x: x.strip(" \t\r")
-        often = lambda x: strip(x) and (n := sum(strip(x) in {strip(y) for y in p.split("\n")} for p in pages)) >= 5 and n > 0.08 * len(pages)
+        often = lambda x: strip(x) and (n := sum(strip(x) in {strip(y) for y in p.split("\n")} for p in pages)) >= P.LINE_PAGES and n > 0.08 * len(pages)
         all_ = r["text"].split("\n")
         kept = [x for x in all_ if not often(x)]
-        if len(all_) - len(kept) > 0.5 * sum(bool(strip(x)) for x in all_):
-            kept = all_
         if kept and "\n".join(kept).strip():
             assert by_id(stages[2])[r["doc_id"]]["text"] == "\n".join(kept)
 
