@@ -9,7 +9,11 @@ of two fingerprints is containment: the length of shared chunks over the length
 the smaller set.
 
 Null texts count as empty; an empty text has the fingerprint "", which is like itself
-(1.0) and unlike all others (0.0). Repeated ids and texts are kept row by row.
+(1.0) and unlike all others (0.0). Repeated ids and texts are kept row by row; equal texts
+have equal fingerprints. Very long texts are chunked whole: a fingerprint has 12 characters
+for each distinct chunk, about one for every three of the text, as containment needs the
+whole set. An empty table gives no rows; only id and text are read, whatever other columns
+are called.
 """
 
 from __future__ import annotations
@@ -183,7 +187,8 @@ def successive_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts[:n], texts[1 : n + 1])]
         blobs = [x.encode() for x in edited]
         p, q = Prints([x.encode() for x in texts]), Prints(blobs)
-        columns = [keys[:n], [len(x) for x in texts[:n]], [hashlib.sha256(x).hexdigest() for x in blobs], p.strings()[:n], q.strings(), likeness(p, q)[:n], likeness(p, p, 1)[:n]]
+        columns = [keys[:n], list(map(len, texts[:n])), [hashlib.sha256(x).hexdigest() for x in blobs]]
+        columns += [p.strings()[:n], q.strings(), likeness(p, q)[:n], likeness(p, p, 1)[:n]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +211,8 @@ def successive_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     keys, texts = keys[-1:], texts[-1:]
 
     reach(df.sparkSession)
-    return rows.mapInArrow(walk, ", ".join(f"`{f.name}` {t}" for f, t in zip(schema, ("long", "long", "string", "string", "string", "double", "double"))))
+    kinds = ("long", "long", "string", "string", "string", "double", "double")
+    return rows.mapInArrow(walk, ", ".join(f"`{f.name}` {t}" for f, t in zip(schema, kinds)))
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:

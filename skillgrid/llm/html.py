@@ -49,19 +49,29 @@ LEAST_PAGES, SHARE = 3, 0.1
 DEPTH = 512
 
 # Element and class names of HTML practice.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
+        "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td "
+        "tfoot th thead title tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "head", "body", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
-SILENT = frozenset("script style noscript template svg math iframe object audio video canvas select option button input textarea label datalist head title map applet frameset noframes".split())
+SILENT = frozenset("script style noscript template svg math iframe object audio video canvas select option button input textarea "
+        "label datalist head title map applet frameset noframes".split())
 FURNITURE = frozenset("nav footer aside form menu dialog header fieldset search".split())
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottom sidebar side rail aside widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay form newsletter subscribe subscription signup login search comment comments reply replies respond disqus discussion share sharing social related recommended recommendations pagination pager skip".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promoted "
+        "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottom sidebar side rail aside "
+        "widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay form newsletter subscribe "
+        "subscription signup login search comment comments reply replies respond disqus discussion share sharing social related "
+        "recommended recommendations pagination pager skip".split())
 SAME_LEVEL = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 
 #: Inside an article only names like these tell, and only if nothing else is in the name.
-INNER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr newsletter subscribe subscription comment comments reply replies respond disqus share sharing social related recommended recommendations pagination pager nav navbar navigation menu breadcrumb breadcrumbs sidebar footer popup modal overlay widget".split())
+INNER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr "
+        "newsletter subscribe subscription comment comments reply replies respond disqus share sharing social related recommended "
+        "recommendations pagination pager nav navbar navigation menu breadcrumb breadcrumbs sidebar footer popup modal overlay widget".split())
 PARTS = frozenset("area bar block box buttons container content form inner item links list notice panel section slot thread unit wrap wrapper".split())
-TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr table figure figcaption span a b i em strong small code q cite u s sub sup mark time abbr font".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr table figure figcaption span a b i em strong small code "
+        "q cite u s sub sup mark time abbr font".split())
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsored".split())
 
 _OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
@@ -370,7 +380,8 @@ def host_runs(rows: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
 
     spark = rows.sparkSession
     shards = sizes.agg(F.sum("shards")).first()[0] or 1
-    parsed = map_batches(rows.join(scratch.hint(sizes), "host").select("host", "shards", "h"), "host string, shard long, content long, blocks binary", parse, "h")
+    parsed = map_batches(rows.join(scratch.hint(sizes), "host").select("host", "shards", "h"), "host string, shard long, content "
+            "long, blocks binary", parse, "h")
     # tasks of a few shards each, however large the table
     parsed = parsed.repartition(max(shuffle_partitions(spark), int(shards) // TASK_SHARDS), "host", "shard")
     shape = "host string, pages long, run long, n long, is_open boolean, contents array<binary>"

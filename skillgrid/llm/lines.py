@@ -79,7 +79,8 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
 #: Written from the method: pages that contain a line over all pages of the host.
 ORACLE = f"""
 WITH l AS (
-  SELECT DISTINCT rowid AS r, coalesce(source, '') AS host, trim(unnest(string_split(coalesce(text, ''), chr(10))), chr(32) || chr(9) || chr(13)) AS line
+  SELECT DISTINCT rowid AS r, coalesce(source, '') AS host, trim(unnest(string_split(coalesce(text, ''), chr(10))), chr(32) ||
+  chr(9) || chr(13)) AS line
   FROM (SELECT row_number() OVER () AS rowid, source, text FROM documents)),
 f AS (SELECT host, line, count(*) AS n FROM l WHERE line <> '' GROUP BY host, line),
 t AS (SELECT coalesce(source, '') AS host, count(*) AS pages FROM documents GROUP BY 1),

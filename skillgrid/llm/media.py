@@ -11,7 +11,10 @@ A shot ends where the distance of neighbouring grey histograms stands out from i
 surroundings: over their mean plus three deviations, and over a fixed least distance.
 
 Null text counts as empty. Null media have no clips and null features; unreadable media
-have none either and carry the reason in `error`. Repeated rows are kept row by row.
+have none either and carry the reason in `error`. Repeated rows are kept row by row, and
+equal texts give equal files. Very long texts become as many frames as they need. A jump
+that only equals its threshold is no shot. An empty table gives no rows; only id and text
+(or media) are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -401,7 +404,8 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
         return dict(zip((id_col, "clip", "first_frame", "last_frame", "start_ms", "end_ms", "mean_level", "error"), zip(*out) if out else [()] * 8))
 
     rows = df.select(F.col(id_col).alias("k"), F.col(media_col).alias("m"))
-    return map_batches(rows, f"`{id_col}` {dict(df.dtypes)[id_col]}, clip int, first_frame int, last_frame int, start_ms double, end_ms double, mean_level double, error string", work)
+    shape = "clip int, first_frame int, last_frame int, start_ms double, end_ms double, mean_level double, error string"
+    return map_batches(rows, f"`{id_col}` {dict(df.dtypes)[id_col]}, {shape}", work)
 
 
 def feature_of(x: np.ndarray) -> str:
@@ -423,7 +427,8 @@ def stored_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             media = write_avi(_pictures(payload))
             x = decode_frames(read_avi(media)[1])
             back = x.tobytes()
-            row = (key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(x))
+            sha = lambda raw: hashlib.sha256(raw).hexdigest()
+            row = (key, n, len(back), sha(back), zlib.crc32(back[-32:]), len(media), sha(media), feature_of(x))
             for name, value in zip(names, row):
                 out[name].append(value)
         return out

@@ -120,7 +120,13 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v, their set sizes and the size of the intersection, on full sets."""
     of = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n_u", "n_v", F.size(F.array_intersect("s_u", "s_v")).cast("long").alias("both"))
+    both = F.size(F.array_intersect("s_u", "s_v")).cast("long").alias("both")
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n_u", "n_v", both)
+
+
+def _edge(a: str, b: str) -> tuple[Column, Column]:
+    """The larger of two columns of ids as u, the smaller as v."""
+    return F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
 
 
 def _similar(percent: int):
@@ -136,7 +142,7 @@ def _pairs(s: DataFrame, o: DataFrame, on: list[str], percent: int, also: Column
     cond = cond if also is None else cond & also
     for c in on:
         cond = cond & (F.col(f"s.{c}") == F.col(f"o.{c}"))
-    return s.join(o, cond).select(F.greatest("s.k", "o.k").alias("u"), F.least("s.k", "o.k").alias("v"))
+    return s.join(o, cond).select(*_edge("s.k", "o.k"))
 
 
 def _far_pairs(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -148,12 +154,15 @@ def _far_pairs(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     similar if that is at most (n(s) + n(o)) (100 - p) / (100 + p). If D(s) + D(o) is no
     more, both are similar to r itself. Else their differences need common shingles, so
     many that already the first common one must come early in an order of all, from
-    rare to frequent (the position filter). What all share with r makes no pairs at all."""
+    rare to frequent (the position filter). What all share with r makes no pairs at all, nor
+    does a difference that many share, unless a row has hardly a rarer one. Pairs are thus
+    bounded by those of one component's strays that begin with the same rare difference."""
     of = lambda x, s: sets.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(s))
     rows = left.where("k <> r").join(of("k", "a").drop("n_k"), "k").join(of("r", "b"), "r")
     rows = rows.withColumn("gained", F.array_except("a", "b")).withColumn("lost", F.array_except("b", "a"))
     rows = scratch.table(rows.select("k", "c", "n", "stray", "r", "n_r", "gained", "lost").withColumn("dn", F.size("gained") + F.size("lost")))
-    links = rows.where((100 + percent) * F.col("dn") <= (100 - percent) * (F.col("n") + F.col("n_r"))).where("stray = 1").select(F.greatest("k", "r").alias("u"), F.least("k", "r").alias("v"))
+    links = rows.where((100 + percent) * F.col("dn") <= (100 - percent) * (F.col("n") + F.col("n_r")))
+    links = links.where("stray = 1").select(*_edge("k", "r"))
     # the shingles that a sixteenth of r's rows have: at most sixteen times what a row has;
     # they only order the shingles (any order is right), so every fourth row tells enough
     rows = rows.withColumn("d", F.concat("gained", "lost"))
@@ -164,7 +173,9 @@ def _far_pairs(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     often = often.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("x", "f"))).alias("f"))
     # broadcast if it is small, so that a reference with many rows stays dealt out
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "k")
-    each = dealt.join(scratch.hint(scratch.table(often)), "r", "left").withColumn("d", F.array_sort(F.transform("d", lambda x: F.struct(F.coalesce(F.element_at("f", x), F.lit(0)).alias("f"), x.alias("x")))).getField("x"))
+    each = dealt.join(scratch.hint(scratch.table(often)), "r", "left")
+    counted = F.transform("d", lambda x: F.struct(F.coalesce(F.element_at("f", x), F.lit(0)).alias("f"), x.alias("x")))
+    each = each.withColumn("d", F.array_sort(counted).getField("x"))
     # no partner (of at most 100 / p times the size) has its first common shingle further on
     front = F.slice("d", 1, F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1)
     each = each.select("k", "c", "n", "stray", "r", "dn", F.posexplode(front).alias("i", "x"))
@@ -210,7 +221,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # what is left in a bucket besides the component of its pivot, against all in such buckets
     at = members.join(scratch.hint(found.select(F.col("node").alias("k"), "component")), "k", "left").withColumn("c", F.coalesce("component", "k"))
-    at = at.join(scratch.hint(found.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))), "pivot", "left").withColumn("stray", (F.col("c") != F.coalesce("pc", "pivot")).cast("int"))
+    of_pivots = found.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
+    at = at.join(scratch.hint(of_pivots), "pivot", "left").withColumn("stray", (F.col("c") != F.coalesce("pc", "pivot")).cast("int"))
     at = at.select("key", "k", "n", "c", F.coalesce("pc", "pivot").alias("r"), "stray")
     at = scratch.table(at)
     # sums are combined where the rows are, and come back by a join that can be split
@@ -225,10 +237,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if last.take(1):
         found = scratch.table(components(links.union(last), scratch))
 
-    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component"))
+    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = named.select("a", "b", "n", F.coalesce("component", "rep").alias("component"))
     out = signs.select("k", "a", "b", "n").join(named, ["a", "b", "n"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
-    return out.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(component == F.col("k"), F.lit(True)).alias("kept")
+    return out.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -237,13 +251,16 @@ def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE
-w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i:
+array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r(node, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.least FROM r JOIN e ON e.u = r.node WHERE r.least < e.v),
 m AS (SELECT node, min(least) AS component_id FROM r GROUP BY node)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN m ON node = doc_id
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING
+(doc_id) JOIN m ON node = doc_id
 """

@@ -132,7 +132,7 @@ def mix(
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = with_domain(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return mix(docs, keep=("doc_id",)).select("doc_id", F.col("leaf_domain").alias("domain"), F.col("leaf_lang").alias("lang"), F.col("leaf_source").alias("source"), "n_tokens", "epoch")
+    return mix(docs, keep=("doc_id",)).select("doc_id", *[F.col(f"leaf_{c}").alias(c) for c in LEVELS], "n_tokens", "epoch")
 
 
 def _weight_sql(level: str) -> str:
@@ -145,16 +145,20 @@ def _level_sql(name: str, level: str, above: tuple[str, ...], parent: str) -> st
     part = f"PARTITION BY {', '.join(above)} " if above else ""
     join = f"JOIN {parent} USING ({', '.join(above)})" if above else f"CROSS JOIN {parent}"
     return f"""
-{name}_n AS (SELECT {keys}, any_value(budget) AS budget, sum(cap)::BIGINT AS cap, any_value({_weight_sql(level)})::BIGINT AS w FROM leaf {join} GROUP BY {keys}),
-{name}_f AS (SELECT *, (budget - coalesce(sum(cap) OVER ({part}ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+{name}_n AS (SELECT {keys}, any_value(budget) AS budget, sum(cap)::BIGINT AS cap, any_value({_weight_sql(level)})::BIGINT AS w
+FROM leaf {join} GROUP BY {keys}),
+{name}_f AS (SELECT *, (budget - coalesce(sum(cap) OVER ({part}ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1
+PRECEDING), 0))::DOUBLE
              / (sum(w) OVER ({part}ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS fill FROM {name}_n),
 {name} AS (SELECT {keys}, floor(least(cap::DOUBLE, w * max(fill) OVER ({part.strip()})))::BIGINT AS budget FROM {name}_f)"""
 
 
 ORACLE = f"""
 WITH t AS (
-  SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-         'd' || (CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 0 ELSE regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1)::BIGINT % 4 END)::VARCHAR AS domain
+  SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s, coalesce(lang, '') AS
+  lang, coalesce(source, '') AS source,
+         'd' || (CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 0 ELSE
+         regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1)::BIGINT % 4 END)::VARCHAR AS domain
   FROM documents),
 d AS (SELECT doc_id, domain, lang, source, len(string_split_regex(s, '[ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS n FROM t WHERE s <> ''),
 leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens, {EPOCHS} * sum(n)::BIGINT AS cap FROM d GROUP BY ALL),
@@ -163,7 +167,8 @@ root AS (SELECT floor(sum(tokens)::BIGINT::DOUBLE * {SHARE}::DOUBLE)::BIGINT AS
 {_level_sql("b", "lang", ("domain",), "a")},
 {_level_sql("c", "source", ("domain", "lang"), "b")},
 plan AS (SELECT c.*, tokens, budget // tokens AS whole, budget % tokens AS rest FROM c JOIN leaf USING (domain, lang, source) WHERE budget > 0),
-r AS (SELECT d.*, whole, rest, md5('{SEED}:' || (whole + 1)::VARCHAR || ':' || doc_id::VARCHAR) AS place FROM d JOIN plan USING (domain, lang, source)),
+r AS (SELECT d.*, whole, rest, md5('{SEED}:' || (whole + 1)::VARCHAR || ':' || doc_id::VARCHAR) AS place FROM d JOIN plan USING
+(domain, lang, source)),
 u AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY place) AS upto FROM r),
 e AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM u)
 SELECT doc_id, domain, lang, source, n AS n_tokens, unnest(range(1, (times + 1)::BIGINT)) AS epoch FROM e

@@ -73,8 +73,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> dict[str, list[float]
     return {"mean": mean.tolist(), "scale": scale.tolist(), "weight": w.tolist()}
 
 
+def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """k, y: the label of each id by majority, ties as good."""
+    known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).where("k is not null and y is not null")
+    return known.groupBy("k").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> dict[str, list[float]] | None:
-    known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).where("k is not null and y is not null").groupBy("k").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
+    known = _known(labels, id_col, label_col)
     share = min(1.0, SAMPLE_ROWS / max(1, known.count()))
     if share < 1:
         known = known.where(F.xxhash64("k") < F.lit(int((share - 0.5) * 2.0**64)))
@@ -121,8 +127,7 @@ def score(
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host_col, "host"), (section_col, "section"))]
     rows = map_batches(docs.select(F.col(id_col).alias("k"), *named, F.col(text_col).alias("t")), f"k {kind}, host string, section string, own double", work, "t")
     rows = scratch.table(rows)
-    known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).where("y is not null").groupBy("k").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
-    seen = scratch.table(rows.join(known, "k", "left").select("k", "host", "section", "own", F.coalesce("y", "own").alias("s")))
+    seen = scratch.table(rows.join(_known(labels, id_col, label_col), "k", "left").select("k", "host", "section", "own", F.coalesce("y", "own").alias("s")))
     paths = scratch.table(seen.groupBy("host", "section").agg(F.count("*").cast("double").alias("n"), F.sum("s").alias("s")))
     hosts = scratch.table(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")))
     # two rows of one number each: the global rate and the strengths

@@ -260,10 +260,15 @@ def _of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- pieces ----------------------------------------------------------------------------
 
 
+def _name(piece: bytes) -> tuple[int, int]:
+    name = xxhash.xxh3_128_intdigest(piece)
+    return (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63)
+
+
 def _cut_pieces(rows: dict[str, list]) -> dict[str, list]:
     blobs = [t.encode() for t in rows["t"]]
     blob, start, count, key = grams(blobs)
-    known = [np.frombuffer(b"".join(x), "<i8").reshape(3, -1) if len(x) == 1 else np.concatenate([np.frombuffer(y, "<i8").reshape(3, -1) for y in x], 1) for x in rows["keys"]]
+    known = [np.concatenate([np.frombuffer(y, "<i8").reshape(3, -1) for y in x], 1) for x in rows["keys"]]
     size = np.fromiter((x.shape[1] for x in known), np.int64, len(known))
     where = np.repeat(np.arange(len(known)), size)
     k, least, often = np.concatenate(known, 1) if known else np.empty((3, 0), np.int64)
@@ -278,8 +283,7 @@ def _cut_pieces(rows: dict[str, list]) -> dict[str, list]:
 
     def add(i: int, a: int, b: int, bucket: int) -> None:
         piece = blobs[i][a:b]
-        name = xxhash.xxh3_128_intdigest(piece)
-        for c, v in zip(out, (bucket, piece, (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63), rows["k"][i], rows["h"][i], a)):
+        for c, v in zip(out, (bucket, piece, *_name(piece), rows["k"][i], rows["h"][i], a)):
             out[c].append(v)
 
     blob, start, count, cut = blob[hit], start[hit], count[hit], (key[hit] & np.uint64(15)) == 0
@@ -306,9 +310,9 @@ def _cut_by_gram(rows: dict[str, list]) -> dict[str, list]:
     blob, start, count, key = grams(rows["piece"])
     for i, a, n, k in zip(blob.tolist(), start.tolist(), count.tolist(), key.astype("<u8")):
         piece = rows["piece"][i][a : a + n + LENGTH - 1]
-        name = xxhash.xxh3_128_intdigest(piece)
-        values = (xxhash.xxh3_64_intdigest(k.tobytes()) - (1 << 63), piece, (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63), rows["p"][i], rows["q"][i], a, rows["low"][i], rows["high"][i])
-        for c, v in zip(out, values):
+        bucket = xxhash.xxh3_64_intdigest(k.tobytes()) - (1 << 63)
+        old = (rows["p"][i], rows["q"][i], a, rows["low"][i], rows["high"][i])
+        for c, v in zip(out, (bucket, piece, *_name(piece), *old)):
             out[c].append(v)
     return out
 
@@ -414,12 +418,13 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """k, h, begin, end: bytes to remove, as overlapping spans, from rows k, t, h."""
     spark = docs.sparkSession
     reach(spark)
-    seen = scratch.table(docs.where(f"k is not null and octet_length(t) >= {LENGTH}").select("k", "h", F.xxhash64(F.lit(1), "t").alias("h2"), F.octet_length("t").alias("n")))
+    long = docs.where(f"k is not null and octet_length(t) >= {LENGTH}")
+    seen = scratch.table(long.select("k", "h", F.xxhash64(F.lit(1), "t").alias("h2"), F.octet_length("t").alias("n")))
     firsts = scratch.table(seen.groupBy("h", "h2", "n").agg(F.min("k").alias("first"), F.max("k").alias("most")).where("first < most").drop("most"))
     # as a join of two tables: broadcast, or split where a text has very many copies
     copies = scratch.table(seen.join(scratch.hint(firsts), ["h", "h2", "n"]).where("k > first").select("k", "h", "n").distinct())
     whole = copies.select("k", "h", F.lit(0).alias("begin"), F.col("n").cast("int").alias("end"))
-    texts = docs.where(f"k is not null and octet_length(t) >= {LENGTH}").join(scratch.hint(copies.select("k", "h")), ["k", "h"], "left_anti")
+    texts = long.join(scratch.hint(copies.select("k", "h")), ["k", "h"], "left_anti")
     size = int(seen.agg(F.sum("n")).first()[0] or 0)
     buckets = max(2 * shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     asked = _send_grams(texts, buckets)
@@ -506,7 +511,9 @@ h AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before F
 n AS (SELECT doc_id, i, sum(CASE WHEN i <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
 r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM n GROUP BY doc_id, run),
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM r),
-t AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*)::BIGINT AS spans, max(b) AS last, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS head FROM k JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*)::BIGINT AS spans, max(b) AS last, string_agg(substr(x, 2 * from_ + 1,
+2 * (a - from_)), '' ORDER BY a) AS head FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id)
 """

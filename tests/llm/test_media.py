@@ -113,3 +113,32 @@ def test_video_after_audio_and_empty_chunks(spark):
     assert M.read_avi(second)[1] == [a, a, b]
     out = M.clips(spark.createDataFrame([(1, bytearray(M.write_avi([]))), (2, bytearray(M.write_avi([b""])))], "doc_id long, media binary")).collect()
     assert sorted((r["doc_id"], r["clip"], r["error"]) for r in out) == [(1, None, "no video frame"), (2, None, "no video frame")]
+
+
+def plain_feature(payload):
+    """Frames, histograms of sixteen levels, their distances, and where these stand out from
+    their surroundings, one by one."""
+    pictures = [payload[i : i + M.FRAME] for i in range(0, len(payload), M.FRAME)]
+    hist = [[sum(b // 16 == level for b in p) for level in range(16)] for p in pictures]
+    jump = [sum(abs(a - b) for a, b in zip(x, y)) / (2 * M.FRAME) for x, y in zip(hist, hist[1:])]
+    starts = [0]
+    for i, d in enumerate(jump):
+        near = jump[max(0, i - M.WINDOW) : i + M.WINDOW + 1]
+        mean = sum(near) / len(near)
+        spread = (sum((x - mean) ** 2 for x in near) / len(near)) ** 0.5
+        if d > max(M.LEAST, mean + M.DEVIATIONS * spread):
+            starts.append(i + 1)
+    raw = b"".join(struct.pack("<i", x) for h in hist for x in h) + b"".join(struct.pack("<i", x) for x in starts)
+    level = sum(payload) / len(payload)
+    return f"frames={len(pictures)};shots={len(starts)};level={level:.4f};digest={hashlib.blake2b(raw, digest_size=8).hexdigest()}"
+
+
+def test_features_equal_plain_steps(spark, sf_dir):
+    rng = np.random.default_rng(5)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
+    scenes = ["".join(chr(int(x)) for x in rng.integers(a, a + 12, 576 * n)) for a, n in ((40, 30), (100, 25), (60, 40), (33, 1), (90, 30))]
+    texts += [None, "", "a", "".join(scenes), "A" * 576 * 40, "é\U0001f642" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["feature"] for r in M.stored_digests(df).collect()}
+    want = {i: plain_feature(M.payload_of(t)[1]) for i, t in enumerate(texts)}
+    assert got == want and max(int(f.split("shots=")[1].split(";")[0]) for f in want.values()) >= 5
