@@ -51,12 +51,14 @@ def lag_members(years: DataFrame, month: int = 11, day: int = 1) -> DataFrame:
     out = years.select("year").distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(temporal.MEMBERS - 1))))
     centre = F.make_date("year", F.lit(month), F.lit(day)).cast("timestamp_ntz")
     out = out.withColumn("init_time", temporal.lag_init(centre, F.col("sample")))
-    return out.withColumn("hours_since_epoch", temporal.hours_between(temporal.ntz(temporal.EPOCH), F.col("init_time"))).withColumn("epoch_index", temporal.epoch_index(F.col("init_time")))
+    hours = temporal.hours_between(temporal.ntz(temporal.EPOCH), F.col("init_time"))
+    return out.withColumns({"hours_since_epoch": hours, "epoch_index": temporal.epoch_index(F.col("init_time"))})
 
 
 def member_chunks(members: DataFrame, size: int, sample: str = "sample") -> DataFrame:
     """chunk, first_sample, n_members for consecutive members; the last may be short."""
-    return members.select(F.col(sample)).distinct().groupBy(F.floor(F.col(sample) / size).alias("chunk")).agg(F.min(sample).alias("first_sample"), F.count("*").alias("n_members"))
+    chunks = members.select(F.col(sample)).distinct().groupBy(F.floor(F.col(sample) / size).alias("chunk"))
+    return chunks.agg(F.min(sample).alias("first_sample"), F.count("*").alias("n_members"))
 
 
 def chunk_manifest(cases: DataFrame, spark: SparkSession, members: int, size: int, root: str) -> DataFrame:

@@ -12,7 +12,8 @@ from ..functions.nulls import exceeds, nan_to_null
 def limits(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Shared colour limits of two fields: least, greatest and greatest absolute value."""
     x, y = (nan_to_null(F.col(c).cast("double")) for c in (a, b))
-    return df.groupBy(*by).agg(F.least(F.min(x), F.min(y)).alias("low"), F.greatest(F.max(x), F.max(y)).alias("high"), F.greatest(F.max(F.abs(x)), F.max(F.abs(y))).alias("abs_high"))
+    most = F.greatest(F.max(F.abs(x)), F.max(F.abs(y))).alias("abs_high")
+    return df.groupBy(*by).agg(F.least(F.min(x), F.min(y)).alias("low"), F.greatest(F.max(x), F.max(y)).alias("high"), most)
 
 
 def skill_map(skill: DataFrame, metric: str, stipple: str, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -102,4 +102,5 @@ def area_mean(df: DataFrame, by: list[str], value: str, lat: str = "lat") -> Dat
 def stippled(skill: DataFrame, alpha: float = 0.05, brier: float = CLIMATE_BRIER) -> DataFrame:
     """skill with the marks of insignificant cells; undefined p-values are not marked."""
     a, b = F.lit(alpha), F.lit(brier)
-    return skill.withColumn("rho_stipple", exceeds(F.col("rho_p"), a)).withColumn("tau_stipple", exceeds(F.col("tau_p"), a)).withColumn("brier_stipple", exceeds(F.col("brier"), b))
+    marks = {"rho": exceeds(F.col("rho_p"), a), "tau": exceeds(F.col("tau_p"), a), "brier": exceeds(F.col("brier"), b)}
+    return skill.withColumns({f"{name}_stipple": mark for name, mark in marks.items()})

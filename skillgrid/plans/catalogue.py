@@ -26,34 +26,51 @@ Q90, Q10 = 0.9, 0.1
 # --- views of the tables in SQL ----------------------------------------------------------
 VIEWS = {
     "grid": "SELECT n_nationkey AS cell, 20.0::DOUBLE + 10 * (n_nationkey // 5) AS lat, 200.0::DOUBLE + 20 * (n_nationkey % 5) AS lon FROM nation",
-    "fc": "SELECT s_nationkey AS cell, year(l_shipdate)::INT AS year, l_linenumber - 1 AS sample, max(l_extendedprice) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL",
-    "obd": "SELECT c_nationkey AS cell, o_orderdate::DATE AS date, max(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
+    "fc": "SELECT s_nationkey AS cell, year(l_shipdate)::INT AS year, l_linenumber - 1 AS sample, max(l_extendedprice) AS value "
+    "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL",
+    "obd": "SELECT c_nationkey AS cell, o_orderdate::DATE AS date, max(o_totalprice) AS value FROM orders JOIN customer ON "
+    "o_custkey = c_custkey GROUP BY ALL",
     "ob": "SELECT cell, year(date)::INT AS year, max_by(value, date) AS value FROM obd WHERE month(date) <= 6 GROUP BY ALL",
     "ts": "SELECT event_id, user_id AS cell, ts, value FROM events",
     "fct": "SELECT cell, avg(value) AS baseline, quantile_cont(value, 0.9) AS hot, quantile_cont(value, 0.1) AS cold FROM fc GROUP BY cell",
     "obt": "SELECT cell, avg(value) AS baseline, quantile_cont(value, 0.9) AS hot, quantile_cont(value, 0.1) AS cold FROM obd GROUP BY cell",
-    "prob": "SELECT cell, year, avg(CASE WHEN value > hot THEN 1.0::DOUBLE ELSE 0 END) AS probability, stddev_pop(CASE WHEN value > hot THEN 1.0::DOUBLE ELSE 0 END) AS spread, count(*) AS n_members, avg(value) AS ens_mean, avg(value) - any_value(baseline) AS ens_anomaly, any_value(baseline) AS baseline, any_value(hot) AS hot FROM fc JOIN fct USING (cell) GROUP BY cell, year",
-    "oev": "SELECT cell, year, value, value - baseline AS anomaly, baseline, hot, CASE WHEN value > hot THEN 1.0::DOUBLE ELSE 0 END AS observed FROM ob JOIN obt USING (cell)",
-    "po": "SELECT prob.cell, prob.year, probability, observed, spread, ens_anomaly, ens_mean, oev.anomaly AS obs_anomaly, oev.value AS obs_value FROM prob JOIN oev ON prob.cell = oev.cell AND prob.year = oev.year",
-    "rk": "SELECT cell, probability AS p, observed AS o, rank() OVER (PARTITION BY cell ORDER BY probability) + (count(*) OVER (PARTITION BY cell, probability) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY cell ORDER BY observed) + (count(*) OVER (PARTITION BY cell, observed) - 1) / 2.0 AS ro, count(*) OVER (PARTITION BY cell, probability) AS tp, count(*) OVER (PARTITION BY cell, observed) AS tob, row_number() OVER (PARTITION BY cell ORDER BY year) AS i FROM po",
-    "sp": "SELECT cell, count(*) AS n, avg((p - o) * (p - o)) AS brier, CASE WHEN stddev_pop(o) > 0 THEN covar_pop(rp, ro) / nullif(stddev_pop(rp) * stddev_pop(ro), 0) END AS rho0, stddev_pop(o) AS std, sum(tp - 1) / 2.0 AS ptie, sum(tob - 1) / 2.0 AS otie, sum((tp - 1) * (tp - 2))::DOUBLE AS p0, sum((tob - 1) * (tob - 2))::DOUBLE AS o0, sum((tp - 1) * (2 * tp + 5))::DOUBLE AS p1, sum((tob - 1) * (2 * tob + 5))::DOUBLE AS o1 FROM rk GROUP BY cell",
+    "prob": "SELECT cell, year, avg(CASE WHEN value > hot THEN 1.0::DOUBLE ELSE 0 END) AS probability, stddev_pop(CASE WHEN value "
+    "> hot THEN 1.0::DOUBLE ELSE 0 END) AS spread, count(*) AS n_members, avg(value) AS ens_mean, avg(value) - any_value(baseline) "
+    "AS ens_anomaly, any_value(baseline) AS baseline, any_value(hot) AS hot FROM fc JOIN fct USING (cell) GROUP BY cell, year",
+    "oev": "SELECT cell, year, value, value - baseline AS anomaly, baseline, hot, CASE WHEN value > hot THEN 1.0::DOUBLE ELSE 0 "
+    "END AS observed FROM ob JOIN obt USING (cell)",
+    "po": "SELECT prob.cell, prob.year, probability, observed, spread, ens_anomaly, ens_mean, oev.anomaly AS obs_anomaly, "
+    "oev.value AS obs_value FROM prob JOIN oev ON prob.cell = oev.cell AND prob.year = oev.year",
+    "rk": "SELECT cell, probability AS p, observed AS o, rank() OVER (PARTITION BY cell ORDER BY probability) + (count(*) OVER "
+    "(PARTITION BY cell, probability) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY cell ORDER BY observed) + (count(*) OVER "
+    "(PARTITION BY cell, observed) - 1) / 2.0 AS ro, count(*) OVER (PARTITION BY cell, probability) AS tp, count(*) OVER "
+    "(PARTITION BY cell, observed) AS tob, row_number() OVER (PARTITION BY cell ORDER BY year) AS i FROM po",
+    "sp": "SELECT cell, count(*) AS n, avg((p - o) * (p - o)) AS brier, CASE WHEN stddev_pop(o) > 0 THEN covar_pop(rp, ro) / "
+    "nullif(stddev_pop(rp) * stddev_pop(ro), 0) END AS rho0, stddev_pop(o) AS std, sum(tp - 1) / 2.0 AS ptie, sum(tob - 1) / 2.0 "
+    "AS otie, sum((tp - 1) * (tp - 2))::DOUBLE AS p0, sum((tob - 1) * (tob - 2))::DOUBLE AS o0, sum((tp - 1) * (2 * tp + "
+    "5))::DOUBLE AS p1, sum((tob - 1) * (2 * tob + 5))::DOUBLE AS o1 FROM rk GROUP BY cell",
     "cc": "SELECT a.cell, sum(sign(a.p - b.p) * sign(a.o - b.o))::DOUBLE AS s FROM rk a JOIN rk b ON a.cell = b.cell AND a.i < b.i GROUP BY a.cell",
     "sk": """SELECT sp.cell, n, brier, CASE WHEN rho0 IS NOT NULL THEN greatest(-1, least(1, rho0)) END AS rho,
         CASE WHEN std > 0 THEN s / nullif(sqrt((n * (n - 1) / 2.0 - ptie) * (n * (n - 1) / 2.0 - otie)), 0) END AS tau, s,
-        (n * (n - 1) * (2 * n + 5) - p1 - o1) / 18.0 + 2 * ptie * otie / nullif(n * (n - 1), 0)::DOUBLE + coalesce(p0 * o0 / nullif(9.0 * n * (n - 1) * (n - 2), 0), 0) AS var
+        (n * (n - 1) * (2 * n + 5) - p1 - o1) / 18.0 + 2 * ptie * otie / nullif(n * (n - 1), 0)::DOUBLE + coalesce(p0 * o0 /
+        nullif(9.0 * n * (n - 1) * (n - 2), 0), 0) AS var
         FROM sp LEFT JOIN cc ON sp.cell = cc.cell""",
 }
 VIEWS["skz"] = "SELECT *, CASE WHEN tau IS NOT NULL THEN s / nullif(sqrt(var), 0) END AS z, abs(CASE WHEN tau IS NOT NULL THEN s / nullif(sqrt(var), 0) END) / sqrt(2) AS x FROM sk"
 _NEEDS = {"skz": ["sk"], "ob": ["obd"], "fct": ["fc"], "obt": ["obd"], "prob": ["fct"], "oev": ["ob", "obt"], "po": ["prob", "oev"], "rk": ["po"], "sp": ["rk"], "cc": ["rk"], "sk": ["sp", "cc"]}
 #: Two-sided normal p of z: series of erf under 3, continued fraction of erfc beyond.
-Z_P = """CASE WHEN x < 3 THEN greatest(0, 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 60), lambda n: x * coalesce(list_product(list_transform(range(1, n + 1), lambda k: 2 * x * x / (2 * k + 1))), 1))))
-    WHEN x IS NOT NULL THEN exp(-x * x) / sqrt(pi()) / list_reduce(list_prepend(x, list_transform(range(60, 0, -1), lambda k: k::DOUBLE)), lambda f, k: x + k / 2 / f) END"""
+Z_P = """CASE WHEN x < 3 THEN greatest(0, 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 60), lambda n: x *
+    coalesce(list_product(list_transform(range(1, n + 1), lambda k: 2 * x * x / (2 * k + 1))), 1))))
+    WHEN x IS NOT NULL THEN exp(-x * x) / sqrt(pi()) / list_reduce(list_prepend(x, list_transform(range(60, 0, -1), lambda k:
+        k::DOUBLE)), lambda f, k: x + k / 2 / f) END"""
 #: Two-sided p of a correlation rho of n pairs, as the finite sum for whole degrees.
 RHO_P = """CASE WHEN n >= 3 AND rho IS NOT NULL THEN greatest(0, CASE
     WHEN (n - 2) % 2 = 1 THEN 1 - (2 / pi()) * (asin(least(1, abs(rho))) + abs(rho) * coalesce(list_sum(list_transform(range(1, 1 + (n - 3) // 2),
-        lambda k: pow(sqrt(greatest(0, 1 - rho * rho)), 2 * k - 1) * coalesce(list_product(list_transform(range(1, k), lambda j: 2.0 * j / (2 * j + 1))), 1))), 0))
+        lambda k: pow(sqrt(greatest(0, 1 - rho * rho)), 2 * k - 1) * coalesce(list_product(list_transform(range(1, k), lambda j:
+        2.0 * j / (2 * j + 1))), 1))), 0))
     ELSE 1 - abs(rho) * coalesce(list_sum(list_transform(range(1, 1 + (n - 2) // 2),
-        lambda k: pow(greatest(0, 1 - rho * rho), k - 1) * coalesce(list_product(list_transform(range(1, k), lambda j: (2.0 * j - 1) / (2 * j))), 1))), 0) END) END"""
+        lambda k: pow(greatest(0, 1 - rho * rho), k - 1) * coalesce(list_product(list_transform(range(1, k), lambda j: (2.0 * j -
+            1) / (2 * j))), 1))), 0) END) END"""
 
 
 def sql(body: str, *views: str) -> str:
@@ -135,9 +152,11 @@ def skill(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "plan_cases",
     """WITH t AS (SELECT make_date(1995 + r_regionkey, 4, 1) AS target, r_regionkey AS t FROM region), l AS (SELECT unnest([31, 59, 90]) AS lead)
-    SELECT strftime(target, '%Y-%m-%d') AS target_date, lead::BIGINT AS lead_days, strftime(target - lead * INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') AS init_time,
+    SELECT strftime(target, '%Y-%m-%d') AS target_date, lead::BIGINT AS lead_days, strftime(target - lead * INTERVAL 1 DAY,
+    '%Y-%m-%dT%H:%M:%S') AS init_time,
     lead::BIGINT AS required_horizon_days, (lead * 4)::BIGINT AS required_6hour_steps,
-    'pred_' || strftime(target, '%Y%m%d') || '_' || strftime(target - lead * INTERVAL 1 DAY, '%Y%m%d') || '_' || lpad(lead::VARCHAR, 3, '0') AS prediction_path, lead = 31 AS prediction_exists FROM t, l""",
+    'pred_' || strftime(target, '%Y%m%d') || '_' || strftime(target - lead * INTERVAL 1 DAY, '%Y%m%d') || '_' ||
+        lpad(lead::VARCHAR, 3, '0') AS prediction_path, lead = 31 AS prediction_exists FROM t, l""",
 )
 def plan_cases(spark: SparkSession, sf: str) -> DataFrame:
     targets = T.load(spark, sf, "region").select(F.make_date(F.col("r_regionkey") + 1995, F.lit(4), F.lit(1)).alias("target"))
@@ -148,8 +167,10 @@ def plan_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "lag_init_times",
-    """WITH y AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders), m AS (SELECT year, s, make_date(year, 11, 1)::TIMESTAMP + (6 * (s - 12)) * INTERVAL 1 HOUR AS t FROM y, range(25) AS r(s))
-    SELECT year::BIGINT AS year, s::BIGINT AS sample, strftime(t, '%Y-%m-%d %H:%M:%S') AS init_time, date_diff('hour', TIMESTAMP '1940-01-01 12:00:00', t)::BIGINT AS hours_since_epoch,
+    """WITH y AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders), m AS (SELECT year, s, make_date(year, 11, 1)::TIMESTAMP
+        + (6 * (s - 12)) * INTERVAL 1 HOUR AS t FROM y, range(25) AS r(s))
+    SELECT year::BIGINT AS year, s::BIGINT AS sample, strftime(t, '%Y-%m-%d %H:%M:%S') AS init_time, date_diff('hour', TIMESTAMP
+    '1940-01-01 12:00:00', t)::BIGINT AS hours_since_epoch,
     greatest(0, date_diff('hour', TIMESTAMP '1940-01-01 12:00:00', t) // 6)::BIGINT AS epoch_index FROM m""",
 )
 def lag_init_times(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +181,8 @@ def lag_init_times(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "target_dates",
     """WITH y AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders), l AS (SELECT unnest([30, 60, 90]) AS lead)
-    SELECT year::BIGINT AS year, lead::BIGINT AS lead_days, strftime(make_date(year, 11, 1) + lead * INTERVAL 1 DAY, '%Y-%m-%d') AS target_date, (lead * 24 // 6)::BIGINT AS steps FROM y, l""",
+    SELECT year::BIGINT AS year, lead::BIGINT AS lead_days, strftime(make_date(year, 11, 1) + lead * INTERVAL 1 DAY, '%Y-%m-%d')
+        AS target_date, (lead * 24 // 6)::BIGINT AS steps FROM y, l""",
 )
 def target_dates(spark: SparkSession, sf: str) -> DataFrame:
     years = T.load(spark, sf, "orders").select(F.year("o_orderdate").alias("year")).distinct()
@@ -172,8 +194,10 @@ def target_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "calendar_fallback",
-    """WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), d AS (SELECT y, coalesce(try_cast(y || '-02-29' AS DATE), make_date(y, 2, 28)) AS d FROM y)
-    SELECT y::BIGINT AS year, strftime(d, '%Y-%m-%d') AS leap_or_28, strftime(date_trunc('month', d), '%Y-%m-%d') AS first_day, strftime(last_day(d), '%Y-%m-%d') AS last_day,
+    """WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), d AS (SELECT y, coalesce(try_cast(y || '-02-29' AS DATE),
+        make_date(y, 2, 28)) AS d FROM y)
+    SELECT y::BIGINT AS year, strftime(d, '%Y-%m-%d') AS leap_or_28, strftime(date_trunc('month', d), '%Y-%m-%d') AS first_day,
+    strftime(last_day(d), '%Y-%m-%d') AS last_day,
     (CASE WHEN day(last_day(d)) = 29 THEN 366 ELSE 365 END * 4)::BIGINT AS n_steps FROM d""",
 )
 def calendar_fallback(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +208,8 @@ def calendar_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return _long(out, "year", "n_steps")
 
 
-@query("time_slice_bbox", "SELECT event_id, user_id AS cell, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 23:59:59' AND user_id BETWEEN 10 AND 90")
+@query("time_slice_bbox", "SELECT event_id, user_id AS cell, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value FROM events WHERE ts "
+        "BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 23:59:59' AND user_id BETWEEN 10 AND 90")
 def time_slice_bbox(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.series(spark, sf).where(F.col("ts").between(temporal.ntz("2024-01-05T00:00:00"), temporal.ntz("2024-01-12T23:59:59")) & F.col("cell").between(10, 90))
     return rows.select("event_id", "cell", clock("ts").alias("ts"), "value")
@@ -203,7 +228,8 @@ for _how in ("max", "min"):
         return daily.daily_extreme(T.series(spark, sf), CELL, how=how).withColumn("date", day("date"))
 
 
-@query("daily_range", sql("SELECT cell, strftime(ts, '%Y-%m-%d') AS date, max(value) AS max_value, min(value) AS min_value, count(value) AS n FROM ts GROUP BY ALL", "ts"))
+@query("daily_range", sql("SELECT cell, strftime(ts, '%Y-%m-%d') AS date, max(value) AS max_value, min(value) AS min_value, "
+        "count(value) AS n FROM ts GROUP BY ALL", "ts"))
 def daily_range(spark: SparkSession, sf: str) -> DataFrame:
     return daily.daily_range(T.series(spark, sf), CELL).withColumn("date", day("date"))
 
@@ -211,8 +237,10 @@ def daily_range(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "valid_time_6h",
     sql(
-        """SELECT cell, event_id, (row_number() OVER w - 1)::BIGINT AS step, strftime(TIMESTAMP '2024-01-01 00:00:00' + (6 + 6 * (row_number() OVER w - 1)) * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS valid_time,
-        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(event_id * 1000000), '%Y-%m-%d %H:%M:%S') AS micro_time FROM ts WINDOW w AS (PARTITION BY cell ORDER BY ts, event_id)""",
+        """SELECT cell, event_id, (row_number() OVER w - 1)::BIGINT AS step, strftime(TIMESTAMP '2024-01-01 00:00:00' + (6 + 6 *
+            (row_number() OVER w - 1)) * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS valid_time,
+        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(event_id * 1000000), '%Y-%m-%d %H:%M:%S') AS micro_time FROM ts
+        WINDOW w AS (PARTITION BY cell ORDER BY ts, event_id)""",
         "ts",
     ),
 )
@@ -233,7 +261,8 @@ def first_step(spark: SparkSession, sf: str) -> DataFrame:
     return daily.first_step(T.series(spark, sf), CELL, ["ts", "event_id"])
 
 
-@query("to_celsius", sql("SELECT event_id, round(CASE WHEN (SELECT avg(value + 200) FROM ts) > 100 THEN value + 200 - 273.15 ELSE value + 200 END, 6) AS value FROM ts", "ts"))
+@query("to_celsius", sql("SELECT event_id, round(CASE WHEN (SELECT avg(value + 200) FROM ts) > 100 THEN value + 200 - 273.15 ELSE "
+        "value + 200 END, 6) AS value FROM ts", "ts"))
 def to_celsius(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.series(spark, sf).select("event_id", (F.col("value") + 200).alias("value"))
     return daily.to_celsius(rows, "value").select("event_id", r6("value").alias("value"))
@@ -259,12 +288,14 @@ def clim_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 for _name, _q in (("threshold_p90", Q90), ("threshold_p10", Q10)):
 
-    @query(_name, sql(f"SELECT cell::BIGINT AS cell, round(quantile_cont(value, {_q}), 6) AS threshold, count(*) AS n_samples FROM obd GROUP BY cell", "obd"))
+    @query(_name, sql(f"SELECT cell::BIGINT AS cell, round(quantile_cont(value, {_q}), 6) AS threshold, count(*) AS n_samples FROM "
+            f"obd GROUP BY cell", "obd"))
     def threshold(spark: SparkSession, sf: str, q: float = _q) -> DataFrame:
         return _long(climatology.threshold(T.observed_daily(spark, sf), CELL, q).withColumn("threshold", r6("threshold")), "cell")
 
 
-@query("anomaly_threshold_p90", sql("SELECT cell::BIGINT AS cell, round(avg(value), 6) AS baseline, round(quantile_cont(value, 0.9) - avg(value), 6) AS threshold, count(*) AS n_samples FROM obd GROUP BY cell", "obd"))
+@query("anomaly_threshold_p90", sql("SELECT cell::BIGINT AS cell, round(avg(value), 6) AS baseline, round(quantile_cont(value, "
+        "0.9) - avg(value), 6) AS threshold, count(*) AS n_samples FROM obd GROUP BY cell", "obd"))
 def anomaly_threshold_p90(spark: SparkSession, sf: str) -> DataFrame:
     out = climatology.anomaly_threshold(T.observed_daily(spark, sf), CELL, Q90)
     return _long(out.withColumn("baseline", r6("baseline")).withColumn("threshold", r6("threshold")), "cell")
@@ -273,9 +304,11 @@ def anomaly_threshold_p90(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "window_climatology",
     sql(
-        """, w AS (SELECT target, c + d * INTERVAL 1 DAY AS date FROM (SELECT t.target, coalesce(try_cast(y || strftime(t.target, '-%m-%d') AS DATE), make_date(y, 2, 28)) AS c
+        """, w AS (SELECT target, c + d * INTERVAL 1 DAY AS date FROM (SELECT t.target, coalesce(try_cast(y || strftime(t.target,
+            '-%m-%d') AS DATE), make_date(y, 2, 28)) AS c
             FROM (SELECT DATE '2000-01-01' AS target UNION ALL SELECT DATE '2000-02-29') t, range(1996, 2001) AS r(y)), range(-15, 16) AS s(d))
-        SELECT strftime(target, '%Y-%m-%d') AS target, cell::BIGINT AS cell, round(avg(value), 6) AS baseline, round(quantile_cont(value, 0.9) - avg(value), 6) AS threshold, count(*) AS n_samples
+        SELECT strftime(target, '%Y-%m-%d') AS target, cell::BIGINT AS cell, round(avg(value), 6) AS baseline,
+        round(quantile_cont(value, 0.9) - avg(value), 6) AS threshold, count(*) AS n_samples
         FROM w JOIN obd ON obd.date = w.date::DATE GROUP BY ALL""",
         "obd",
     ).replace("\n, w AS", ", w AS"),
@@ -290,7 +323,8 @@ def window_climatology(spark: SparkSession, sf: str) -> DataFrame:
     "window_months",
     """WITH t AS (SELECT DATE '2000-01-10' AS target UNION ALL SELECT DATE '2000-02-29'),
     c AS (SELECT target, coalesce(try_cast(y || strftime(target, '-%m-%d') AS DATE), make_date(y, 2, 28)) AS c FROM t, range(1996, 2001) AS r(y))
-    SELECT DISTINCT strftime(target, '%Y-%m-%d') AS target, year(c + d * INTERVAL 1 DAY)::BIGINT AS year, month(c + d * INTERVAL 1 DAY)::BIGINT AS month FROM c, range(-15, 16) AS s(d)""",
+    SELECT DISTINCT strftime(target, '%Y-%m-%d') AS target, year(c + d * INTERVAL 1 DAY)::BIGINT AS year, month(c + d * INTERVAL 1
+        DAY)::BIGINT AS month FROM c, range(-15, 16) AS s(d)""",
 )
 def window_months(spark: SparkSession, sf: str) -> DataFrame:
     targets = spark.createDataFrame([("2000-01-10",), ("2000-02-29",)], "target string").select(F.to_date("target").alias("target"))
@@ -301,14 +335,16 @@ def window_months(spark: SparkSession, sf: str) -> DataFrame:
 # --- ensemble events -----------------------------------------------------------------------
 
 
-@query("event_probability", sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, round(probability, 6) AS probability, n_members::BIGINT AS n_members FROM prob", "prob"))
+@query("event_probability", sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, round(probability, 6) AS probability, "
+        "n_members::BIGINT AS n_members FROM prob", "prob"))
 def event_probability(spark: SparkSession, sf: str) -> DataFrame:
     return _long(probabilities(spark, sf).select("cell", "year", r6("probability").alias("probability"), "n_members"), "cell", "year")
 
 
 @query(
     "event_probability_cold",
-    sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, round(avg(CASE WHEN value < cold THEN 1.0::DOUBLE ELSE 0 END), 6) AS probability, count(*)::BIGINT AS n_members FROM fc JOIN fct USING (cell) GROUP BY cell, year", "fct"),
+    sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, round(avg(CASE WHEN value < cold THEN 1.0::DOUBLE ELSE 0 END), 6) AS "
+            "probability, count(*)::BIGINT AS n_members FROM fc JOIN fct USING (cell) GROUP BY cell, year", "fct"),
 )
 def event_probability_cold(spark: SparkSession, sf: str) -> DataFrame:
     return _long(probabilities(spark, sf, "cold").select("cell", "year", r6("probability").alias("probability"), "n_members"), "cell", "year")
@@ -319,7 +355,8 @@ def ensemble_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
     return _long(probabilities(spark, sf).select("cell", "year", r6("spread").alias("spread")), "cell", "year")
 
 
-@query("ensemble_mean_anomaly", sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, round(ens_mean, 6) AS ensemble_mean, round(ens_anomaly, 6) AS anomaly FROM prob", "prob"))
+@query("ensemble_mean_anomaly", sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, round(ens_mean, 6) AS ensemble_mean, "
+        "round(ens_anomaly, 6) AS anomaly FROM prob", "prob"))
 def ensemble_mean_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     out = extremes.ensemble_mean_anomaly(forecasts(spark, sf), None, CELL, CASE)
     return _long(out.withColumn("ensemble_mean", r6("ensemble_mean")).withColumn("anomaly", r6("anomaly")), "cell", "year")
@@ -330,7 +367,8 @@ def forecast_error(spark: SparkSession, sf: str) -> DataFrame:
     return _long(pairs(spark, sf).select("cell", "year", "observed", r6(F.col("observed") - F.col("probability")).alias("error")), "cell", "year")
 
 
-@query("ensmean_binary", sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, CASE WHEN ens_anomaly > hot - baseline THEN 1.0::DOUBLE ELSE 0 END AS event FROM prob", "prob"))
+@query("ensmean_binary", sql("SELECT cell::BIGINT AS cell, year::BIGINT AS year, CASE WHEN ens_anomaly > hot - baseline THEN "
+        "1.0::DOUBLE ELSE 0 END AS event FROM prob", "prob"))
 def ensmean_binary(spark: SparkSession, sf: str) -> DataFrame:
     limit = F.first(F.col("hot") - F.col("baseline")).alias("hot_anomaly_threshold_C")
     mean = extremes.ensemble_mean_anomaly(forecasts(spark, sf), None, CELL, CASE, also=(limit,))
@@ -344,8 +382,10 @@ _FIELD_SQL = ("hit", "o_hit", "p", "o_hit - p", "sp", "b", "t", "m", "ma", "m0",
 @query(
     "extremes_13_fields",
     sql(
-        """, a AS (SELECT cell, year, sample, value, value - baseline AS an, baseline AS b, hot - baseline AS t, CASE WHEN value - baseline > hot - baseline THEN 1.0::DOUBLE ELSE 0 END AS hit FROM fc JOIN fct USING (cell)),
-        c AS (SELECT cell, year, avg(hit) AS p, stddev_pop(hit) AS sp, avg(value) AS m, avg(an) AS ma, min_by(value, sample) AS m0, min_by(an, sample) AS m0a FROM a GROUP BY ALL),
+        """, a AS (SELECT cell, year, sample, value, value - baseline AS an, baseline AS b, hot - baseline AS t, CASE WHEN value -
+            baseline > hot - baseline THEN 1.0::DOUBLE ELSE 0 END AS hit FROM fc JOIN fct USING (cell)),
+        c AS (SELECT cell, year, avg(hit) AS p, stddev_pop(hit) AS sp, avg(value) AS m, avg(an) AS ma, min_by(value, sample) AS
+        m0, min_by(an, sample) AS m0a FROM a GROUP BY ALL),
         o AS (SELECT cell, year, value AS o, anomaly AS oa, CASE WHEN anomaly > hot - baseline THEN 1.0::DOUBLE ELSE 0 END AS o_hit FROM oev)
         SELECT a.cell::BIGINT AS cell, a.year::BIGINT AS year, sample::BIGINT AS sample, """
         + ", ".join(f"round({e}, 6) AS \"{n}\"" for n, e in zip(extremes.FIELDS, _FIELD_SQL))
@@ -400,8 +440,10 @@ _skill_query("brier_cell", sql("SELECT cell::BIGINT AS cell, n::BIGINT AS n, rou
 _skill_query("spearman_cell", sql("SELECT cell::BIGINT AS cell, n::BIGINT AS n, round(rho, 6) AS rho FROM sk", "sk"), "n", "rho")
 _skill_query("spearman_p_cell", sql(f"SELECT cell::BIGINT AS cell, round(rho, 6) AS rho, round({RHO_P}, 6) AS rho_p FROM sk", "sk"), "rho", "rho_p")
 _skill_query("kendall_cell", sql("SELECT cell::BIGINT AS cell, n::BIGINT AS n, round(tau, 6) AS tau FROM sk", "sk"), "n", "tau")
-_skill_query("kendall_z_cell", sql("SELECT cell::BIGINT AS cell, round(tau, 6) AS tau, CASE WHEN tau IS NOT NULL THEN round(s / nullif(sqrt(var), 0), 6) END AS tau_z FROM sk", "sk"), "tau", "tau_z")
-_skill_query("kendall_p_cell", sql(f"SELECT cell::BIGINT AS cell, round(tau, 6) AS tau, round(z, 6) AS tau_z, round({Z_P}, 6) AS tau_p FROM skz", "skz"), "tau", "tau_z", "tau_p")
+_skill_query("kendall_z_cell", sql("SELECT cell::BIGINT AS cell, round(tau, 6) AS tau, CASE WHEN tau IS NOT NULL THEN round(s / "
+        "nullif(sqrt(var), 0), 6) END AS tau_z FROM sk", "sk"), "tau", "tau_z")
+_skill_query("kendall_p_cell", sql(f"SELECT cell::BIGINT AS cell, round(tau, 6) AS tau, round(z, 6) AS tau_z, round({Z_P}, 6) AS "
+        f"tau_p FROM skz", "skz"), "tau", "tau_z", "tau_p")
 _skill_query(
     "skill_table",
     sql(
@@ -413,7 +455,9 @@ _skill_query(
 )
 
 
-@query("area_weighted_mean", sql("SELECT round(sum(brier * cos(radians(lat))) / sum(cos(radians(lat))), 6) AS brier_mean, round(sum(rho * cos(radians(lat))) / sum(CASE WHEN rho IS NOT NULL THEN cos(radians(lat)) END), 6) AS rho_mean FROM sk JOIN grid USING (cell)", "sk", "grid"))
+@query("area_weighted_mean", sql("SELECT round(sum(brier * cos(radians(lat))) / sum(cos(radians(lat))), 6) AS brier_mean, "
+        "round(sum(rho * cos(radians(lat))) / sum(CASE WHEN rho IS NOT NULL THEN cos(radians(lat)) END), 6) AS rho_mean FROM sk "
+        "JOIN grid USING (cell)", "sk", "grid"))
 def area_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
     rows = skill(spark, sf).join(T.grid(spark, sf), "cell")
     w, ok = area_weight(F.col("lat")), F.col("rho").isNotNull()
@@ -421,7 +465,8 @@ def area_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(mean("brier", w).alias("brier_mean"), mean("rho", F.when(ok, w)).alias("rho_mean"))
 
 
-@query("area_mean_by_year", sql("SELECT year::BIGINT AS year, round(sum(probability * cos(radians(lat))) / sum(cos(radians(lat))), 6) AS area_mean FROM prob JOIN grid USING (cell) GROUP BY year", "prob", "grid"))
+@query("area_mean_by_year", sql("SELECT year::BIGINT AS year, round(sum(probability * cos(radians(lat))) / sum(cos(radians(lat))), "
+        "6) AS area_mean FROM prob JOIN grid USING (cell) GROUP BY year", "prob", "grid"))
 def area_mean_by_year(spark: SparkSession, sf: str) -> DataFrame:
     out = verification.area_mean(probabilities(spark, sf).join(T.grid(spark, sf), "cell"), CASE, "probability")
     return _long(out.withColumn("area_mean", r6("area_mean")), "year")
@@ -430,7 +475,8 @@ def area_mean_by_year(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "stipple_counts",
     sql(
-        f"""SELECT count(*) AS n_cells, count_if(coalesce(p > 0.05, false))::BIGINT AS rho_stippled, count_if(coalesce(q > 0.05, false))::BIGINT AS tau_stippled,
+        f"""SELECT count(*) AS n_cells, count_if(coalesce(p > 0.05, false))::BIGINT AS rho_stippled, count_if(coalesce(q > 0.05,
+            false))::BIGINT AS tau_stippled,
         count_if(brier > 0.09)::BIGINT AS brier_stippled FROM (SELECT brier, {RHO_P} AS p, {Z_P} AS q FROM skz)""",
         "skz",
     ),
@@ -441,7 +487,8 @@ def stipple_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_cells"), *marks)
 
 
-@query("yearly_means", sql("SELECT year::BIGINT AS year, round(avg(observed), 6) AS obs_frac, round(avg(probability), 6) AS pred_prob_mean, count(*) AS n_cells FROM po GROUP BY year", "po"))
+@query("yearly_means", sql("SELECT year::BIGINT AS year, round(avg(observed), 6) AS obs_frac, round(avg(probability), 6) AS "
+        "pred_prob_mean, count(*) AS n_cells FROM po GROUP BY year", "po"))
 def yearly_means(spark: SparkSession, sf: str) -> DataFrame:
     out = pairs(spark, sf).groupBy("year").agg(r6(F.avg("observed")).alias("obs_frac"), r6(F.avg("probability")).alias("pred_prob_mean"), F.count("*").alias("n_cells"))
     return _long(out, "year")
@@ -470,54 +517,65 @@ def lon_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return _long(T.grid(spark, sf).select("cell", signed_longitude(F.col("lon")).alias("lon")), "cell")
 
 
-@query("member_chunks", "SELECT ((l_linenumber - 1) // 5)::BIGINT AS chunk, min(l_linenumber - 1)::BIGINT AS first_sample, count(DISTINCT l_linenumber)::BIGINT AS n_members FROM lineitem GROUP BY 1")
+@query("member_chunks", "SELECT ((l_linenumber - 1) // 5)::BIGINT AS chunk, min(l_linenumber - 1)::BIGINT AS first_sample, "
+        "count(DISTINCT l_linenumber)::BIGINT AS n_members FROM lineitem GROUP BY 1")
 def member_chunks(spark: SparkSession, sf: str) -> DataFrame:
     members = T.load(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).alias("sample"))
     return _long(planning.member_chunks(members, 5), "chunk", "first_sample", "n_members")
 
 
-@query("member_pick", "WITH n AS (SELECT count(DISTINCT l_linenumber) AS n FROM lineitem) SELECT DISTINCT floor(i * (n - 1) / (least(n, 4) - 1))::BIGINT AS sample FROM n, range(4) AS r(i) WHERE i < least(n, 4)")
+@query("member_pick", "WITH n AS (SELECT count(DISTINCT l_linenumber) AS n FROM lineitem) SELECT DISTINCT floor(i * (n - 1) / "
+        "(least(n, 4) - 1))::BIGINT AS sample FROM n, range(4) AS r(i) WHERE i < least(n, 4)")
 def member_pick(spark: SparkSession, sf: str) -> DataFrame:
     n = T.load(spark, sf, "lineitem").agg(F.count_distinct("l_linenumber")).first()[0]
     return _long(planning.pick_members(spark, n, 4), "sample")
 
 
-@query("member_pick_31_of_12", "SELECT DISTINCT CASE WHEN i = 11 THEN 30 ELSE floor(i * (30 / 11.0::DOUBLE)) END::BIGINT AS sample FROM range(12) AS r(i)")
+@query("member_pick_31_of_12", "SELECT DISTINCT CASE WHEN i = 11 THEN 30 ELSE floor(i * (30 / 11.0::DOUBLE)) END::BIGINT AS sample "
+        "FROM range(12) AS r(i)")
 def member_pick_31_of_12(spark: SparkSession, sf: str) -> DataFrame:
     return _long(planning.pick_members(spark, 31, 12), "sample")
 
 
-@query("concat_samples", "SELECT (CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber - 1 ELSE l_linenumber + 4 END)::BIGINT AS sample, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
+@query("concat_samples", "SELECT (CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber - 1 ELSE l_linenumber + 4 END)::BIGINT AS sample, "
+        "count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
 def concat_samples(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.load(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("sample"), "l_extendedprice")
     out = planning.stack_samples([rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 <> 0")], chunk=5)
     return _long(out.groupBy("sample").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total")), "sample")
 
 
-@query("missing_partitions", "SELECT DISTINCT year(l_shipdate)::BIGINT AS year, month(l_shipdate)::BIGINT AS month FROM lineitem EXCEPT SELECT year(o_orderdate)::BIGINT, month(o_orderdate)::BIGINT FROM orders")
+@query("missing_partitions", "SELECT DISTINCT year(l_shipdate)::BIGINT AS year, month(l_shipdate)::BIGINT AS month FROM lineitem "
+        "EXCEPT SELECT year(o_orderdate)::BIGINT, month(o_orderdate)::BIGINT FROM orders")
 def missing_partitions(spark: SparkSession, sf: str) -> DataFrame:
     months = lambda t, c: T.load(spark, sf, t).select(F.year(c).alias("year"), F.month(c).alias("month")).distinct()
     return _long(planning.missing(months("lineitem", "l_shipdate"), months("orders", "o_orderdate"), ["year", "month"]), "year", "month")
 
 
-@query("completeness_check", sql("SELECT cell::BIGINT AS cell, count(DISTINCT sample)::BIGINT AS n_members, count(DISTINCT year)::BIGINT AS n_steps, count(DISTINCT year) >= 7 AND count(DISTINCT sample) = 7 AS complete FROM fc GROUP BY cell", "fc"))
+@query("completeness_check", sql("SELECT cell::BIGINT AS cell, count(DISTINCT sample)::BIGINT AS n_members, count(DISTINCT "
+        "year)::BIGINT AS n_steps, count(DISTINCT year) >= 7 AND count(DISTINCT sample) = 7 AS complete FROM fc GROUP BY cell", "fc"))
 def completeness_check(spark: SparkSession, sf: str) -> DataFrame:
     return _long(planning.completeness(T.forecast(spark, sf), CELL, "sample", "year", 7, 7), "cell", "n_members", "n_steps")
 
 
-@query("required_names", "SELECT p_brand, (count(*) FILTER (p_size = 1) > 0 AND count(*) FILTER (p_size = 2) > 0 AND count(*) FILTER (p_size = 3) > 0) AS has_all FROM part GROUP BY p_brand")
+@query("required_names", "SELECT p_brand, (count(*) FILTER (p_size = 1) > 0 AND count(*) FILTER (p_size = 2) > 0 AND count(*) "
+        "FILTER (p_size = 3) > 0) AS has_all FROM part GROUP BY p_brand")
 def required_names(spark: SparkSession, sf: str) -> DataFrame:
     sizes = T.load(spark, sf, "part").groupBy("p_brand").agg(F.collect_set(F.col("p_size").cast("string")).alias("have"))
     return sizes.select("p_brand", planning.has_columns(F.col("have"), ["1", "2", "3"]).alias("has_all"))
 
 
-@query("plot_limits", sql("SELECT year::BIGINT AS year, round(least(min(ens_anomaly), min(obs_anomaly)), 6) AS low, round(greatest(max(ens_anomaly), max(obs_anomaly)), 6) AS high, round(greatest(max(abs(ens_anomaly)), max(abs(obs_anomaly))), 6) AS abs_high FROM po GROUP BY year", "po"))
+@query("plot_limits", sql("SELECT year::BIGINT AS year, round(least(min(ens_anomaly), min(obs_anomaly)), 6) AS low, "
+        "round(greatest(max(ens_anomaly), max(obs_anomaly)), 6) AS high, round(greatest(max(abs(ens_anomaly)), "
+        "max(abs(obs_anomaly))), 6) AS abs_high FROM po GROUP BY year", "po"))
 def plot_limits(spark: SparkSession, sf: str) -> DataFrame:
     out = plots.limits(pairs(spark, sf), CASE, "fc_anomaly", "ob_anomaly")
     return _long(out.select("year", *[r6(c).alias(c) for c in ("low", "high", "abs_high")]), "year")
 
 
-@query("skill_map", sql("SELECT lat, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon, CASE WHEN rho >= 0 THEN round(rho, 6) END AS value, coalesce(p > 0.05, false) AS stipple FROM (SELECT cell, rho, " + RHO_P + " AS p FROM sk) JOIN grid USING (cell)", "sk", "grid"))
+@query("skill_map", sql("SELECT lat, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon, CASE WHEN rho >= 0 THEN round(rho, 6) "
+        "END AS value, coalesce(p > 0.05, false) AS stipple FROM (SELECT "
+        "cell, rho, " + RHO_P + " AS p FROM sk) JOIN grid USING (cell)", "sk", "grid"))
 def skill_map(spark: SparkSession, sf: str) -> DataFrame:
     rows = verification.stippled(skill(spark, sf)).join(T.grid(spark, sf), "cell")
     return plots.skill_map(rows, "rho", "rho_stipple").withColumn("value", r6("value"))
@@ -525,7 +583,8 @@ def skill_map(spark: SparkSession, sf: str) -> DataFrame:
 
 _PANEL_VIEW = """, o AS (SELECT cell, year, probability, observed, spread, obs_value, obs_anomaly FROM po),
         m AS (SELECT cell, year, min_by(value, sample) AS m0, min_by(value - baseline, sample) AS m0a FROM fc JOIN fct USING (cell) GROUP BY ALL)
-        SELECT cell::BIGINT AS cell, year::BIGINT AS year, panel::BIGINT AS panel, field, round(value, 6) AS value, round(low, 6) AS low, round(high, 6) AS high FROM ("""
+        SELECT cell::BIGINT AS cell, year::BIGINT AS year, panel::BIGINT AS panel, field, round(value, 6) AS value, round(low, 6)
+            AS low, round(high, 6) AS high FROM ("""
 
 
 def _panel_query(name: str, run: Callable[[DataFrame], DataFrame], *selects: str) -> None:
@@ -554,20 +613,24 @@ _ENDS = {
 _panel_query("temperature_panels", lambda f: plots.temperature_panels(f, [*CELL, *CASE], CASE), *[_panel_sql(i, f, _PANEL_VALUES[f], *_ENDS[k]) for i, (f, _, k) in enumerate(plots.TEMPERATURE_PANELS)])
 
 
-@query("embedding_long", "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS level, unnest(embedding)::DOUBLE AS value FROM embeddings")
+@query("embedding_long", "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS level, unnest(embedding)::DOUBLE AS "
+        "value FROM embeddings")
 def embedding_long(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.load(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("level", "value"))
     return _long(rows.withColumn("value", F.col("value").cast("double")), "level")
 
 
-@query("embedding_stack", "SELECT label::BIGINT AS label, (i - 1)::BIGINT AS level, round(avg(embedding[i]::DOUBLE), 6) AS mean, max(embedding[i])::DOUBLE AS top FROM embeddings, (SELECT unnest(range(1, 1 + (SELECT max(len(embedding)) FROM embeddings))) AS i) WHERE i <= len(embedding) GROUP BY ALL")
+@query("embedding_stack", "SELECT label::BIGINT AS label, (i - 1)::BIGINT AS level, round(avg(embedding[i]::DOUBLE), 6) AS mean, "
+        "max(embedding[i])::DOUBLE AS top FROM embeddings, (SELECT unnest(range(1, 1 + (SELECT max(len(embedding)) FROM "
+        "embeddings))) AS i) WHERE i <= len(embedding) GROUP BY ALL")
 def embedding_stack(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.load(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("level", "value"))
     out = rows.groupBy("label", "level").agg(r6(F.avg(F.col("value").cast("double"))).alias("mean"), F.max("value").cast("double").alias("top"))
     return _long(out, "label", "level")
 
 
-@query("running_first_last", sql("SELECT cell, strftime(ts, '%Y-%m') AS month, round(first_value(value) OVER w, 6) AS first_value, count(*) OVER w AS seen, event_id FROM ts WINDOW w AS (PARTITION BY cell, strftime(ts, '%Y-%m') ORDER BY ts, event_id)", "ts"))
+@query("running_first_last", sql("SELECT cell, strftime(ts, '%Y-%m') AS month, round(first_value(value) OVER w, 6) AS first_value, "
+        "count(*) OVER w AS seen, event_id FROM ts WINDOW w AS (PARTITION BY cell, strftime(ts, '%Y-%m') ORDER BY ts, event_id)", "ts"))
 def running_first_last(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.series(spark, sf).withColumn("month", F.date_format("ts", "yyyy-MM"))
     w = Window.partitionBy("cell", "month").orderBy("ts", "event_id")
@@ -600,13 +663,15 @@ def collapse_time(spark: SparkSession, sf: str) -> DataFrame:
     return _long(forcing.collapse_time(T.observed_daily(spark, sf), CELL, index="date"), "cell")
 
 
-@query("substitute_constants", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1.5 WHEN 'MACHINERY' THEN -2.0 ELSE c_acctbal END::DOUBLE AS value FROM customer")
+@query("substitute_constants", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1.5 WHEN 'MACHINERY' THEN -2.0 ELSE "
+        "c_acctbal END::DOUBLE AS value FROM customer")
 def substitute_constants(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.load(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("name"), F.col("c_acctbal").alias("value"))
     return forcing.substitute(rows, {"BUILDING": 1.5, "MACHINERY": -2.0}).select("c_custkey", "value")
 
 
-@query("cf_time", "SELECT event_id, strftime(TIMESTAMP '1940-01-01 12:00:00' + to_hours(event_id::INT), '%Y-%m-%d %H:%M:%S') AS valid_time FROM events")
+@query("cf_time", "SELECT event_id, strftime(TIMESTAMP '1940-01-01 12:00:00' + to_hours(event_id::INT), '%Y-%m-%d %H:%M:%S') AS "
+        "valid_time FROM events")
 def cf_time(spark: SparkSession, sf: str) -> DataFrame:
     return T.series(spark, sf).select("event_id", clock(temporal.cf_time(F.col("event_id"), "hours since 1940-01-01T12:00:00")).alias("valid_time"))
 
@@ -614,14 +679,16 @@ def cf_time(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "chunk_manifest",
     """SELECT '2014-04-01' AS target_date, lead::BIGINT AS lead_days, c::BIGINT AS chunk, CASE WHEN c = 5 THEN 2 ELSE 5 END::BIGINT AS members,
-    'runs/20140401_' || lpad(lead::VARCHAR, 3, '0') || '/chunk_' || lpad(c::VARCHAR, 2, '0') AS output_dir, (4 * lead)::BIGINT AS expected_steps FROM (SELECT unnest([31, 59]) AS lead), range(6) AS r(c)""",
+    'runs/20140401_' || lpad(lead::VARCHAR, 3, '0') || '/chunk_' || lpad(c::VARCHAR, 2, '0') AS output_dir, (4 * lead)::BIGINT AS
+        expected_steps FROM (SELECT unnest([31, 59]) AS lead), range(6) AS r(c)""",
 )
 def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
     cases = planning.build_cases(spark, ["2014-04-01"], [31, 59], "x")
     return _long(planning.chunk_manifest(cases, spark, 27, 5, "runs/").drop("init_time"), "lead_days", "chunk", "members", "expected_steps")
 
 
-@query("case_fields_limits", sql("SELECT year::BIGINT AS year, round(max(abs(observed - probability)), 6) AS worst, count(*) AS n_cells, count_if(observed = 1)::BIGINT AS n_events FROM po GROUP BY year", "po"))
+@query("case_fields_limits", sql("SELECT year::BIGINT AS year, round(max(abs(observed - probability)), 6) AS worst, count(*) AS "
+        "n_cells, count_if(observed = 1)::BIGINT AS n_events FROM po GROUP BY year", "po"))
 def case_fields_limits(spark: SparkSession, sf: str) -> DataFrame:
     out = pairs(spark, sf).groupBy("year").agg(r6(F.max(F.abs(F.col("observed") - F.col("probability")))).alias("worst"), F.count("*").alias("n_cells"), F.count_if(F.col("observed") == 1).alias("n_events"))
     return _long(out, "year")

@@ -18,7 +18,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cell, lat, lon of 25 cells."""
     key = F.col("n_nationkey")
-    return load(spark, sf_dir, "nation").select(key.alias("cell"), (20.0 + 10 * F.floor(key / 5)).cast("double").alias("lat"), (200.0 + 20 * (key % 5)).cast("double").alias("lon"))
+    lat, lon = 20.0 + 10 * F.floor(key / 5), 200.0 + 20 * (key % 5)
+    return load(spark, sf_dir, "nation").select(key.alias("cell"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"))
 
 
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
