@@ -14,7 +14,7 @@ from ..functions import temporal
 from ..functions.geo import area_weight, in_box, signed_longitude
 from ..functions.nulls import as_number
 from ..operators import climatology, daily, extremes, forcing, planning, plots, regrid, verification
-from ..sources import readers
+from ..sources import readers, synthetic
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -613,6 +613,82 @@ _ENDS = {
 _panel_query("temperature_panels", lambda f: plots.temperature_panels(f, [*CELL, *CASE], CASE), *[_panel_sql(i, f, _PANEL_VALUES[f], *_ENDS[k]) for i, (f, _, k) in enumerate(plots.TEMPERATURE_PANELS)])
 
 
+@query(
+    "member_maps",
+    sql(
+        """SELECT cell::BIGINT AS cell, fc.year::BIGINT AS year, sample::BIGINT AS sample, CASE WHEN fc.value > fct.hot THEN 1.0::DOUBLE ELSE 0 END AS predicted_hot_extreme
+        FROM fc JOIN fct USING (cell) JOIN oev USING (cell, year) WHERE sample IN (0, 2, 4, 6)""",
+        "fct", "oev",
+    ),
+)
+def member_maps(spark: SparkSession, sf: str) -> DataFrame:
+    return plots.member_maps(extremes_13_fields(spark, sf), planning.pick_members(spark, 7, 4), [*CELL, *CASE])
+
+
+@query(
+    "skill_maps_saved",
+    sql(
+        """SELECT 'heat' AS extreme, '030d' AS lead, lat, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon, round(brier, 6) AS value, brier > 0.09 AS stipple
+        FROM sk JOIN grid USING (cell)""",
+        "sk", "grid",
+    ),
+)
+def skill_maps_saved(spark: SparkSession, sf: str) -> DataFrame:
+    saved = skill(spark, sf).join(T.grid(spark, sf), "cell").withColumns({"extreme": F.lit("heat"), "lead": F.lit("030d"), "threshold_pct": F.lit(90)})
+    return plots.skill_maps(saved, "brier").withColumn("value", r6("value"))
+
+
+@query("case_counts", sql("SELECT count(*) AS n_cases, count(DISTINCT year) AS n_years, count(DISTINCT cell) AS n_cells FROM po", "po"))
+def case_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs(spark, sf).agg(F.count("*").alias("n_cases"), F.count_distinct("year").alias("n_years"), F.count_distinct("cell").alias("n_cells"))
+
+
+@query("exact_date", sql("SELECT cell::BIGINT AS cell, strftime(date, '%Y-%m-%d') AS date, value FROM obd WHERE date = (SELECT min(date) FROM obd)", "obd"))
+def exact_date(spark: SparkSession, sf: str) -> DataFrame:
+    first = T.load(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")).cast("string")).first()[0]
+    return _long(daily.on_date(T.observed_daily(spark, sf), first).withColumn("date", day("date")), "cell")
+
+
+@query(
+    "valid_time_units",
+    """SELECT event_id, strftime(TIMESTAMP '2000-02-28 06:00:00' + to_hours(event_id::INT), '%Y-%m-%d %H:%M:%S') AS by_hours,
+    strftime(TIMESTAMP '2000-02-28 06:00:00' + to_days(event_id::INT), '%Y-%m-%d %H:%M:%S') AS by_days, strftime(ts, '%Y-%m-%d %H:%M:%S') AS absolute,
+    strftime(TIMESTAMP '2000-02-28 06:00:00' + to_minutes(event_id::INT), '%Y-%m-%d %H:%M:%S') AS by_interval FROM events""",
+)
+def valid_time_units(spark: SparkSession, sf: str) -> DataFrame:
+    rows, init, i = T.series(spark, sf), temporal.ntz("2000-02-28T06:00:00"), F.col("event_id")
+    times = {
+        "by_hours": temporal.valid_time(init, i, "hours"),
+        "by_days": temporal.valid_time(init, i, "days"),
+        "absolute": temporal.valid_time(init, F.col("ts"), "datetime"),
+        "by_interval": temporal.valid_time(init, F.make_dt_interval(mins=i.cast("int")), "timedelta"),
+    }
+    return rows.select("event_id", *[clock(t).alias(n) for n, t in times.items()])
+
+
+_SIDE = "SELECT (i // 8) / 7.0::DOUBLE AS y, (i % 8) / 7.0::DOUBLE AS x FROM range(64) AS r(i)"
+
+
+@query("synthetic_observation", f"SELECT round(35 + 2 * y, 6) AS lat, round(250 + 2 * x, 6) AS lon, round(25 + 3 * y + 1.5 * x, 6) AS value FROM ({_SIDE})")
+def synthetic_observation(spark: SparkSession, sf: str) -> DataFrame:
+    return synthetic.observation(spark).select(*[r6(c).alias(c) for c in ("lat", "lon", "value")])
+
+
+@query("synthetic_climate", f"SELECT round(35 + 2 * y, 6) AS lat, round(250 + 2 * x, 6) AS lon, 22.0::DOUBLE AS baseline, 1.0::DOUBLE AS threshold FROM ({_SIDE})")
+def synthetic_climate(spark: SparkSession, sf: str) -> DataFrame:
+    return synthetic.climate(synthetic.observation(spark)).select(*[r6(c).alias(c) for c in ("lat", "lon", "baseline", "threshold")])
+
+
+@query(
+    "synthetic_forecast",
+    f"""SELECT m::BIGINT AS sample, s::BIGINT AS step, round(35 + 2 * y, 6) AS lat, round(250 + 2 * x, 6) AS lon,
+    round(294 + 5 * s / 15.0::DOUBLE + 1.5 * sin(pi() * y) + 0.02 * 4, 2) AS value FROM ({_SIDE}), range(3) AS a(m), range(16) AS b(s)""",
+)
+def synthetic_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    rows = synthetic.forecast(spark, 4, noise=0.0)
+    return _long(rows.select("sample", "step", r6("lat").alias("lat"), r6("lon").alias("lon"), F.round(F.col("TMP2m").cast("double"), 2).alias("value")), "sample", "step")
+
+
 @query("embedding_long", "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS level, unnest(embedding)::DOUBLE AS "
         "value FROM embeddings")
 def embedding_long(spark: SparkSession, sf: str) -> DataFrame:

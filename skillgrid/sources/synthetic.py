@@ -17,13 +17,13 @@ def cells(spark: SparkSession, south: float = 35.0, north: float = 37.0, west: f
     return out.withColumn("lat", south + (north - south) * F.col("y")).withColumn("lon", west + (east - west) * F.col("x"))
 
 
-def forecast(spark: SparkSession, lead_days: int, members: int = 3, seed: int | None = None) -> DataFrame:
+def forecast(spark: SparkSession, lead_days: int, members: int = 3, seed: int | None = None, noise: float = 0.8) -> DataFrame:
     """sample, step, lat, lon, TMP2m in Kelvin: a rise from 294 to 299 K over the lead, a
     bow over latitude, a little more for longer leads, and noise of 0.8 K."""
     steps = 4 * lead_days
     rows = cells(spark).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(members - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     trend = 294 + 5 * F.col("step") / max(1, steps - 1)
-    value = trend + 1.5 * F.sin(math.pi * F.col("y")) + 0.8 * F.randn(lead_days if seed is None else seed) + 0.02 * lead_days
+    value = trend + 1.5 * F.sin(math.pi * F.col("y")) + noise * F.randn(lead_days if seed is None else seed) + 0.02 * lead_days
     return rows.select("sample", "step", "lat", "lon", value.cast("float").alias("TMP2m"))
 
 
