@@ -41,7 +41,9 @@ _WS = r"[ \t\n\x0B\f\r]+"
 
 
 def words(text: Column) -> Column:
-    return F.when(F.length(F.regexp_replace(text, "^" + _WS, "")) > 0, F.size(F.split(F.regexp_replace(F.regexp_replace(text, "^" + _WS, ""), _WS + "$", ""), _WS))).otherwise(0).cast("long")
+    """Words between white space: trimmed at both ends, the text is split once."""
+    trimmed = F.trim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, _WS))).otherwise(0).cast("long")
 
 
 def with_domain(df: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Line dedup and mixing against their SQL and brute force."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from skillgrid.llm import lines, mixing
 from skillgrid.llm.catalogue import ORACLES, QUERIES
@@ -126,6 +128,12 @@ def test_ranges_of_any_size_give_one_result(spark, sf_dir, monkeypatch):
         assert rows() == want
 
 
+def test_words(spark):
+    texts = ["", " ", "a", " a ", "\t\n\x0b\f\r", "\ra\x0bb\n\n", "a b  c\td\r\ne\ff", "\xa0 x\u2003y", "é\U0001f642 \x00", None] + [w * 3 for w in ("x\n", " y", "\x0b", "\x1c z")]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.words(F.col("t"))).collect()
+    assert [r[0] for r in got] == [len([w for w in re.split("[ \t\n\x0b\f\r]+", t or "") if w]) for t in texts]
+
+
 def test_weights_of_zero(spark):
     leaves = [("a", "x", "1", 100), ("a", "x", "2", 100), ("b", "x", "1", 200)]
     df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
