@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: An axis is dealt into so many ranges of about equally many distinct values.
-RANGES = 64
+#: An axis of more distinct values than ONE_RANGE is dealt into RANGES ranges of about equally many.
+RANGES, ONE_RANGE = 64, 20_000
 
 
 def nearest(axis: DataFrame, template: DataFrame, name: str) -> DataFrame:
     """For each `name` of the template the nearest one of the axis as source_<name>; of two
     equally near ones the larger.
 
-    Both lists are dealt into the ranges between approximate quantiles of the axis. Within a
-    range, running windows over the sorted union give the source values on both sides of a
-    target; where a range has none on a side, the nearest range that has one does, which the
-    few rows of one value pair a range tell. No pairs of values are made."""
+    Running windows over the sorted union of both lists give the source values on both
+    sides of a target. Long lists are dealt into the ranges between approximate quantiles of
+    the axis first; where a range has no source on a side, the nearest range that has one
+    does, which one row a range tells. No pairs of values are made."""
     src = axis.select(F.col(name).cast("double").alias("x")).where("x is not null and not isnan(x)").distinct()
     dst = template.select(F.col(name).alias("t"), F.col(name).cast("double").alias("x")).where("x is not null and not isnan(x)").distinct()
-    edges = src.agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
-    edges = sorted(set(edges))
+    told = src.agg(F.count("*").alias("n"), F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("e")).first()
+    edges = sorted(set(told["e"])) if told["n"] > ONE_RANGE else []
     bounds = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>")
     ranged = lambda df: df.withColumn("range", F.size(F.filter(bounds, lambda e: e <= F.col("x"))))
     src, dst = ranged(src), ranged(dst)
-    # one row a range: the last source before it and the first one after it
-    all_ranges = axis.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("range"))
-    ends = all_ranges.join(src.groupBy("range").agg(F.min("x").alias("low"), F.max("x").alias("high")), "range", "left")
-    by_range = Window.orderBy("range")
-    ends = ends.select(
-        "range",
-        F.max("high").over(by_range.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.min("low").over(by_range.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
-    )
     both = src.select("range", "x", F.col("x").alias("s"), F.lit(None).cast(dst.schema["t"].dataType).alias("t"))
     both = both.unionByName(dst.select("range", "x", F.lit(None).cast("double").alias("s"), "t"))
     inside = Window.partitionBy("range").orderBy("x")
-    both = both.withColumn("left", F.max("s").over(inside)).withColumn("right", F.min("s").over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
-    found = both.where("t is not null").join(ends, "range").withColumn("left", F.coalesce("left", "before")).withColumn("right", F.coalesce("right", "after"))
+    onward = inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("left", F.max("s").over(inside)).withColumn("right", F.min("s").over(onward)).where("t is not null")
+    if edges:
+        # one row a range: the last source before it and the first one after it
+        all_ranges = axis.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("range"))
+        ends = all_ranges.join(src.groupBy("range").agg(F.min("x").alias("low"), F.max("x").alias("high")), "range", "left")
+        by_range = Window.orderBy("range")
+        before = F.max("high").over(by_range.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.min("low").over(by_range.rowsBetween(1, Window.unboundedFollowing))
+        found = found.join(ends.select("range", before.alias("before"), after.alias("after")), "range")
+        found = found.withColumn("left", F.coalesce("left", "before")).withColumn("right", F.coalesce("right", "after"))
     near = F.when(F.col("left").isNull() | (F.col("right") - F.col("x") <= F.col("x") - F.col("left")), F.col("right")).otherwise(F.col("left"))
     return found.select(F.col("t").alias(name), near.alias(f"source_{name}")).where(F.col(f"source_{name}").isNotNull())
 

@@ -50,8 +50,10 @@ def test_boxes(spark):
     assert inside((0, 0, 170, 250), 180) == [(0.0, o) for o in (170.0, 200.0, 240.0, 250.0)]
 
 
+@pytest.mark.parametrize("most", [regrid.ONE_RANGE, 0])
 @pytest.mark.parametrize("n,m", [(1, 5), (2, 40), (300, 500), (1000, 50)])
-def test_nearest_by_sorted_ranges(spark, n, m):
+def test_nearest_by_sorted_ranges(spark, monkeypatch, n, m, most):
+    monkeypatch.setattr(regrid, "ONE_RANGE", most)
     rng = random.Random(n)
     grid = sorted({rng.choice([rng.uniform(-90, 90), float(rng.randint(-90, 90))]) for _ in range(n)})
     want = sorted({rng.choice([rng.uniform(-120, 120), rng.randint(-240, 240) / 2]) for _ in range(m)})
