@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, language, lines, media, minhash, mixing, quality, substrings
+from . import align, bpe, bpe_sql, centroids, fingerprints, html, language, lines, media, minhash, mixing, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -19,10 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_language_id": language.op9_language_id,
     "op10_html_extraction": html.op10_html_extraction,
+    "op11_token_alignment": align.op11_token_alignment,
+    "op12_bpe_by_queries": bpe_sql.op12_bpe_by_queries,
+    "op13_centroid_clusters": centroids.op13_centroid_clusters,
 }
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": minhash.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op8_substring_dedup": substrings.ORACLE,
+    "op13_centroid_clusters": centroids.ORACLE,
 }

@@ -1,0 +1,106 @@
+import hashlib
+
+import numpy as np
+import pytest
+
+from skillgrid.llm import centroids as C
+
+from ..duck import connect, same
+
+
+def plain(rows, k=8, rounds=10, scale=1024, seed=3, dims=64):
+    """All distances in every round, in Python integers."""
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == dims and all(x is not None and np.isfinite(x) for x in v):
+            kept.append((i, [int(np.floor(scale * float(x))) for x in v]))
+    named = lambda r: (r[0] is None, hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[1])
+    middle = [v for _, v in sorted(kept, key=named)[:k]]
+    far = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c))
+    near = lambda v: min(range(len(middle)), key=lambda j: (far(v, middle[j]), j))
+    for _ in range(rounds):
+        held = {}
+        for _, v in kept:
+            held.setdefault(near(v), []).append(v)
+        middle = [[sum(x) // len(held[j]) for x in zip(*held[j])] if j in held else c for j, c in enumerate(middle)]
+    out = [(i, near(v), far(v, middle[near(v)])) for i, v in kept]
+    total = sum(d for *_, d in out)
+    of = {}
+    for _, j, d in out:
+        of[j] = of.get(j, 0) + d
+    return sorted([(i, j, d, of[j], total, hashlib.sha256(",".join(map(str, middle[j])).encode()).hexdigest()) for i, j, d in out], key=str)
+
+
+def collected(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def clouds(seed, n, spots, dims, wide=0.3):
+    rng = np.random.default_rng(seed)
+    at = rng.normal(0, 1, (spots, dims))
+    return [(i, (at[i % spots] + rng.normal(0, wide, dims)).astype(np.float32).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("k,spots", [(8, 8), (8, 3), (20, 12), (1, 4)])
+def test_equals_all_distances(spark, k, spots):
+    rows = clouds(k, 240, spots, 64)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'c' as cluster", "'c' as x", "'c' as id", "'c' as distance").repartition(3)
+    assert collected(C.with_inertia(*C.cluster(df, k=k))) == plain(rows, k)
+
+
+def test_odd_rows(spark):
+    rows = clouds(5, 40, 4, 64)
+    rows += [rows[3], rows[3], (7, rows[8][1]), (None, rows[2][1]), (None, None), (90, None), (91, []), (92, [0.0] * 63), (93, [0.0] * 63 + [None]), (94, [float("nan")] + [0.0] * 63), (95, [float("inf")] * 64), (96, [0.0] * 64), (97, [-0.0] * 64), (98, [900.0] * 64), (99, [-2000.5] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert collected(C.with_inertia(*C.cluster(df))) == plain(rows)
+    few = [r for r in rows if r[0] in (1, 2, 90)]
+    assert collected(C.with_inertia(*C.cluster(spark.createDataFrame(few, "vec_id long, embedding array<float>")))) == plain(few)
+    empty = C.with_inertia(*C.cluster(df.where("vec_id < 0")))
+    assert empty.count() == 0 and empty.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+
+
+def test_ties_go_to_the_smaller_number(spark):
+    rows = [(i, [float(i % 2)] * 64) for i in range(30)]
+    assert collected(C.with_inertia(*C.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))) == plain(rows)
+
+
+def test_far_components_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1e9] * 64)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="after scaling"):
+        C.cluster(df)
+
+
+def test_bounds_hold_and_spare_work():
+    rng = np.random.default_rng(2)
+    spots = rng.integers(-1000, 1000, (16, 64))
+    x = (spots[rng.integers(0, 16, 3000)] + rng.integers(-300, 300, (3000, 64))).astype(np.int64)
+    centroids = x[:16].copy()
+    group = C.grouped(centroids)
+    assert len(set(group)) > 1
+    step = C.Step(centroids, group, np.zeros(16))
+    cluster, upper, lower = step.scan_all(x)
+    taken = 0
+    for _ in range(12):
+        fresh = np.stack([x[cluster == j].sum(0) // max(1, (cluster == j).sum()) if (cluster == j).any() else centroids[j] for j in range(16)])
+        moved = np.sqrt(((fresh - centroids) ** 2).sum(1).astype(float))
+        centroids = fresh
+        step = C.Step(centroids, group, moved)
+        cluster, upper, lower, n = step.advance(x, cluster, upper, lower)
+        taken += n
+        d = ((x[:, None] - centroids[None]) ** 2).sum(2)
+        assert (cluster == d.argmin(1)).all()
+        rest = np.sqrt(d)
+        assert (upper >= rest[np.arange(len(x)), cluster] - 1e-9).all()
+        rest[np.arange(len(x)), cluster] = np.inf
+        assert all((lower[:, g] <= rest[:, group == g].min(1) + 1e-9).all() for g in set(group))
+    assert taken < 0.6 * 12 * x.shape[0] * 16
+
+
+def test_distances_of_large_components_are_exact():
+    x = np.array([[C.MOST] * 64, [-C.MOST] * 64, [3] * 64], np.int64)
+    step = C.Step(x.copy(), np.zeros(3, np.int64), np.zeros(3))
+    assert step.between(x, np.arange(3)).tolist() == [[sum((int(a) - int(b)) ** 2 for a, b in zip(u, v)) for v in x] for u in x]
+
+
+def test_query_equals_sql(spark, sf_dir):
+    same(C.op13_centroid_clusters(spark, sf_dir), connect(sf_dir), C.ORACLE)
