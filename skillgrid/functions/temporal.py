@@ -40,6 +40,15 @@ def valid_time(init: Column, offset: Column | None = None, units: str | None = N
     return plus_hours(init, STEP_HOURS + STEP_HOURS * position)
 
 
+def unit_of(text: str) -> str | None:
+    """The unit of an offset that an axis' text names: any with microsecond (or us), hour or
+    day in it, in this order; None for all others."""
+    text = text.strip().lower()
+    if "microsecond" in text or text in ("us", "µs"):
+        return "microseconds"
+    return next((unit for unit in ("hours", "days") if unit[:-1] in text), None)
+
+
 def cf_time(value: Column, units: str) -> Column:
     """Time of `value` in units such as "hours since 1940-01-01T12:00"."""
     unit, _, reference = units.partition(" since ")

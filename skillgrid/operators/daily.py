@@ -15,14 +15,15 @@ LONGITUDE = ("lon", "longitude", "grid_xt", "x")
 KELVIN = 273.15
 
 
-def pick_column(df: DataFrame, names: tuple[str, ...], label: str) -> str:
-    """The column for the first of `names` that df has, as it is written or, failing that,
-    in another case; of columns that differ in case only, the last."""
-    other_case = {c.lower(): c for c in df.columns}
-    found = (name if name in df.columns else other_case.get(name.lower()) for name in names)
+def pick_column(df: DataFrame | list[str], names: tuple[str, ...], label: str) -> str:
+    """The column for the first of `names` that df (or a list of names) has, as it is
+    written or, failing that, in another case; of columns that differ in case only, the last."""
+    columns = df.columns if isinstance(df, DataFrame) else df
+    other_case = {c.lower(): c for c in columns}
+    found = (name if name in columns else other_case.get(name.lower()) for name in names)
     column = next(filter(None, found), None)
     if column is None:
-        raise KeyError(f"no column for {label}: {', '.join(df.columns)}")
+        raise KeyError(f"no column for {label}: {', '.join(columns)}")
     return column
 
 
@@ -59,6 +60,30 @@ def positional_times(df: DataFrame, keys: list[str], order: list[str], init: str
     return out.withColumn("valid_time", temporal.valid_time(F.col(init), position=F.col("step")))
 
 
+def with_valid_time(df: DataFrame, init: Column, time: str = "time", out: str = "ts") -> DataFrame:
+    """df with the valid time of its time axis, by what the axis is: times stay as they are,
+    intervals follow `init`; numbers in units "... since ..." are times, in units of
+    microseconds, hours or days (metadata of the column) they follow `init`; without such
+    units their place along the axis counts, as init + 6 + 6 i hours. The place is the
+    column <time>_idx, or else the rank among the distinct values, which are as few as the
+    steps of a forecast."""
+    kind, units = df.schema[time].dataType.typeName(), str(df.schema[time].metadata.get("units", ""))
+    t = F.col(time)
+    if kind in ("timestamp_ntz", "timestamp", "date"):
+        return df.withColumn(out, temporal.valid_time(init, t, "datetime"))
+    if "interval" in kind:
+        return df.withColumn(out, temporal.valid_time(init, t, "timedelta"))
+    if " since " in units:
+        return df.withColumn(out, temporal.cf_time(t, units))
+    unit = temporal.unit_of(units)
+    if unit:
+        return df.withColumn(out, temporal.valid_time(init, t, unit))
+    if f"{time}_idx" in df.columns:
+        return df.withColumn(out, temporal.valid_time(init, position=F.col(f"{time}_idx")))
+    places = df.select(time).distinct().withColumn("_place", F.row_number().over(Window.orderBy(time)) - 1)
+    return df.join(places, time).withColumn(out, temporal.valid_time(init, position=F.col("_place"))).drop("_place")
+
+
 def last_step(df: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
@@ -76,8 +101,12 @@ def to_celsius(df: DataFrame, value: str, probe: DataFrame | None = None) -> Dat
     return out.withColumn(value, F.when(F.col("_mean") > 100, celsius(x)).otherwise(x)).drop("_mean")
 
 
-def on_date(df: DataFrame, date: str, column: str = "date") -> DataFrame:
-    """The rows of one day; an absent day is an error, not an empty result."""
+def on_date(df: DataFrame, date: str | DataFrame, column: str = "date") -> DataFrame:
+    """The rows of one day. A date that is given is looked up at once, and its absence is an
+    error, not an empty result; a table of one row with the date is joined."""
+    if isinstance(date, DataFrame):
+        day = date.select(F.col(date.columns[0]).cast("date").alias(column))
+        return df.join(F.broadcast(day), column).select(df.columns)
     out = df.where(F.col(column) == F.lit(date).cast("date"))
     if not out.take(1):
         raise KeyError(f"no rows on {date}")

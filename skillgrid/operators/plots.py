@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import signed_longitude
@@ -67,12 +67,16 @@ def panels(fields: DataFrame, keys: list[str], spec: tuple[tuple, ...] = EVENT_P
 
 def temperature_panels(fields: DataFrame, keys: list[str], by: list[str], sample: str = "sample") -> DataFrame:
     """The same for observed and predicted temperatures: both maxima share their limits
-    within `by` (some of the keys), and so do both anomalies, about zero."""
-    cells = _cells(fields, keys, sample)
+    within `by` (some of the keys), and so do both anomalies, about zero. Limits come from
+    windows over the cells, which are one row each, so that these are computed once."""
     (a, _, _), (b, _, _), (c, _, _), (d, _, _) = TEMPERATURE_PANELS
-    most = limits(cells, by, a, b).join(limits(cells, by, c, d).select(*by, F.col("abs_high").alias("anomaly_high")), by)
-    rows = cells.join(most.select(*by, "low", "high", "anomaly_high"), by)
-    ends = {"shared": (F.col("low"), F.col("high")), "mirrored": (-F.col("anomaly_high"), F.col("anomaly_high"))}
+    rows, number = _cells(fields, keys, sample), lambda f: nan_to_null(F.col(f).cast("double"))
+    every = Window.partitionBy(*by)
+    low = F.least(F.min(number(a)).over(every), F.min(number(b)).over(every))
+    high = F.greatest(F.max(number(a)).over(every), F.max(number(b)).over(every))
+    wide = F.greatest(F.max(F.abs(number(c))).over(every), F.max(F.abs(number(d))).over(every))
+    rows = rows.withColumns({"_low": low, "_high": high, "_wide": wide})
+    ends = {"shared": (F.col("_low"), F.col("_high")), "mirrored": (-F.col("_wide"), F.col("_wide"))}
     one = lambda i, f, t, kind: F.struct(
         F.lit(i).alias("panel"), F.lit(f).alias("field"), F.lit(t).alias("title"), F.col(f).cast("double").alias("value"),
         ends[kind][0].alias("low"), ends[kind][1].alias("high"),

@@ -2,49 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: An axis of more distinct values than ONE_RANGE is dealt into RANGES ranges of about equally many.
-RANGES, ONE_RANGE = 64, 20_000
+
+def nearest_of(axes: dict[str, DataFrame], template: DataFrame, parts: int | None = None) -> DataFrame:
+    """axis, t, source: for each value t of the template's columns the nearest one of that
+    axis; of two equally near ones the larger.
+
+    Running windows over the sorted union of both lists give the source values on both sides
+    of a target. Targets are dealt by hash to `parts` parts (by default the shuffle
+    partitions), and each has the whole axis, so that neither many targets nor an uneven
+    spread of them makes one task long, and nothing has to be known of either beforehand."""
+    spark = template.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = lambda df, c: df.select(F.lit(c).alias("axis"), F.col(c).cast("double").alias("x"))
+    listed = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("x")) for c in axes])).alias("v")).select("v.*")
+    real = "x is not null and not isnan(x)"
+    one = next(iter(axes.values()))
+    src = listed(one) if all(df is one for df in axes.values()) else reduce(DataFrame.unionByName, [number(df, c) for c, df in axes.items()])
+    src = src.where(real).distinct().select("axis", "x", F.col("x").alias("s"), F.lit(None).cast("double").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dst = listed(template).where(real).distinct()
+    dst = dst.select("axis", "x", F.lit(None).cast("double").alias("s"), F.col("x").alias("t"), F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int").alias("part"))
+    by = Window.partitionBy("axis", "part")
+    found = src.unionByName(dst).withColumn("left", F.max("s").over(by.orderBy("x"))).withColumn("right", F.min("s").over(by.orderBy(F.desc("x")))).where("t is not null")
+    near = F.when(F.col("left").isNull() | (F.col("right") - F.col("x") <= F.col("x") - F.col("left")), F.col("right")).otherwise(F.col("left"))
+    return found.select("axis", "t", near.alias("source")).where("source is not null")
 
 
 def nearest(axis: DataFrame, template: DataFrame, name: str) -> DataFrame:
-    """For each `name` of the template the nearest one of the axis as source_<name>; of two
-    equally near ones the larger.
-
-    Running windows over the sorted union of both lists give the source values on both
-    sides of a target. Long lists are dealt into the ranges between approximate quantiles of
-    the axis first; where a range has no source on a side, the nearest range that has one
-    does, which one row a range tells. No pairs of values are made."""
-    src = axis.select(F.col(name).cast("double").alias("x")).where("x is not null and not isnan(x)").distinct()
-    dst = template.select(F.col(name).alias("t"), F.col(name).cast("double").alias("x")).where("x is not null and not isnan(x)").distinct()
-    told = src.agg(F.count("*").alias("n"), F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("e")).first()
-    edges = sorted(set(told["e"])) if told["n"] > ONE_RANGE else []
-    bounds = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>")
-    ranged = lambda df: df.withColumn("range", F.size(F.filter(bounds, lambda e: e <= F.col("x"))))
-    src, dst = ranged(src), ranged(dst)
-    both = src.select("range", "x", F.col("x").alias("s"), F.lit(None).cast(dst.schema["t"].dataType).alias("t"))
-    both = both.unionByName(dst.select("range", "x", F.lit(None).cast("double").alias("s"), "t"))
-    inside = Window.partitionBy("range").orderBy("x")
-    onward = inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("left", F.max("s").over(inside)).withColumn("right", F.min("s").over(onward)).where("t is not null")
-    if edges:
-        # one row a range: the last source before it and the first one after it
-        all_ranges = axis.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("range"))
-        ends = all_ranges.join(src.groupBy("range").agg(F.min("x").alias("low"), F.max("x").alias("high")), "range", "left")
-        by_range = Window.orderBy("range")
-        before = F.max("high").over(by_range.rowsBetween(Window.unboundedPreceding, -1))
-        after = F.min("low").over(by_range.rowsBetween(1, Window.unboundedFollowing))
-        found = found.join(ends.select("range", before.alias("before"), after.alias("after")), "range")
-        found = found.withColumn("left", F.coalesce("left", "before")).withColumn("right", F.coalesce("right", "after"))
-    near = F.when(F.col("left").isNull() | (F.col("right") - F.col("x") <= F.col("x") - F.col("left")), F.col("right")).otherwise(F.col("left"))
-    return found.select(F.col("t").alias(name), near.alias(f"source_{name}")).where(F.col(f"source_{name}").isNotNull())
+    """For each `name` of the template the nearest one of the axis as source_<name>."""
+    kind = template.schema[name].dataType
+    return nearest_of({name: axis}, template.select(name)).select(F.col("t").cast(kind).alias(name), F.col("source").alias(f"source_{name}"))
 
 
-def to_template(df: DataFrame, template: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """df's values on the template's cells; other columns of df follow."""
+def to_template(df: DataFrame, template: DataFrame, lat: str = "lat", lon: str = "lon", axes: dict[str, DataFrame] | None = None) -> DataFrame:
+    """df's values on the template's cells; other columns of df follow. `axes` has the
+    values of both axes where they are known, else they are those of df."""
     rest = [c for c in df.columns if c not in (lat, lon)]
-    cells = template.select(lat, lon).distinct().join(nearest(df, template, lat), lat).join(nearest(df, template, lon), lon)
-    source = df.withColumnRenamed(lat, f"source_{lat}").withColumnRenamed(lon, f"source_{lon}")
-    return source.join(cells, [f"source_{lat}", f"source_{lon}"]).select(lat, lon, *rest)
+    found = nearest_of({lat: axes[lat], lon: axes[lon]} if axes else {lat: df, lon: df}, template)
+    cells = template.select(lat, lon).distinct()
+    for c in (lat, lon):
+        of_axis = found.where(F.col("axis") == c).select(F.col("t").alias(f"_t{c}"), F.col("source").alias(f"_s{c}"))
+        cells = cells.join(of_axis, F.col(c).cast("double") == F.col(f"_t{c}")).drop(f"_t{c}")
+    source = df.withColumnsRenamed({lat: "_lat", lon: "_lon"})
+    on = (F.col("_lat").cast("double") == F.col(f"_s{lat}")) & (F.col("_lon").cast("double") == F.col(f"_s{lon}"))
+    return source.join(cells, on).select(lat, lon, *rest)

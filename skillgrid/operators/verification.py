@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import area_weight
@@ -29,11 +29,6 @@ def case_metrics(df: DataFrame, case: list[str], prob: str = "probability", obs:
     )
 
 
-#: Distinct pairs of probability and observation that a key may have. Pairs of these are
-#: compared, so the work of a key is bounded, however long its series is.
-MOST_POINTS = 4096
-
-
 def _ranked(points: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Average rank of `column` within keys, and the number of rows with its value."""
     same = F.sum("w").over(Window.partitionBy(*keys, column))
@@ -41,44 +36,68 @@ def _ranked(points: DataFrame, keys: list[str], column: str) -> DataFrame:
     return points.withColumn(f"_t_{column}", same).withColumn(f"_r_{column}", upto - (same - 1) / 2)
 
 
+#: Digit of the rows that carry a point's own sums instead of a comparison.
+OWN = -1
+
+
+def concordance(points: DataFrame, keys: list[str], also: dict[str, Column] | None = None) -> DataFrame:
+    """keys and _s, concordant minus discordant pairs, of weighted points (p, o, w), and
+    the sums `also` of columns of the points, in one pass.
+
+    The values of one side become whole numbers in order, the side with fewer of them. Two
+    points whose numbers differ do so first in one binary digit: above it they share a
+    prefix, and the one with a 0 there is the lower. So each point goes to one group for
+    each digit, and there every 1 meets all 0 in two running sums along the other side. The
+    work is n log n, rows are dealt by digit and prefix, and no task holds a list of points.
+    An event has two values, thus a single digit."""
+    order = lambda c: F.dense_rank().over(Window.partitionBy(*keys).orderBy(c)) - 1
+    also, whole = also or {}, Window.partitionBy(*keys)
+    ranked = points.select(*keys, "w", order("p").alias("_p"), order("o").alias("_o"), *[x.alias(c) for c, x in also.items()])
+    ranked = ranked.withColumn("_mp", F.max("_p").over(whole)).withColumn("_mo", F.max("_o").over(whole))
+    swap = F.col("_mp") < F.col("_mo")
+    few, many = F.when(swap, F.col("_p")).otherwise(F.col("_o")), F.when(swap, F.col("_o")).otherwise(F.col("_p"))
+    digits = F.length(F.bin(F.least("_mp", "_mo")))
+    rows = ranked.select(*keys, F.col("w").cast("double").alias("w"), few.cast("long").alias("_a"), many.alias("_b"), *also, F.explode(F.sequence(F.lit(OWN), digits - 1)).alias("_digit"))
+    own, place = F.col("_digit") == OWN, F.call_function("shiftright", F.col("_a"), F.greatest(F.col("_digit"), F.lit(0)))
+    rows = rows.select(
+        *keys, "_digit", F.when(own, 0).otherwise(F.floor(place / 2)).alias("_prefix"), F.when(own, 0).otherwise(F.col("_b")).alias("_b"),
+        F.when(own | (place % 2 == 1), 0.0).otherwise(F.col("w")).alias("w0"), F.when(own | (place % 2 == 0), 0.0).otherwise(F.col("w")).alias("w1"),
+        *[F.when(own, F.col(c)).alias(c) for c in also],
+    )
+    group = [*keys, "_digit", "_prefix"]
+    totals = lambda *columns: [F.sum(c).alias(c) for c in (*columns, *also)]
+    rows = rows.repartition(*group).groupBy(*group, "_b").agg(*totals("w0", "w1"))
+    below = F.sum("w0").over(Window.partitionBy(*group).orderBy("_b"))
+    # of the 0s those under a 1 count up and those over it down; equal ones do neither
+    each = rows.withColumn("_up", F.col("w1") * (2 * below - F.col("w0"))).groupBy(*group)
+    each = each.agg((F.sum("_up") - F.sum("w1") * F.sum("w0")).alias("_s"), *totals())
+    return each.groupBy(*keys).agg(*totals("_s"))
+
+
 def rank_skill(df: DataFrame, keys: list[str], prob: str = "probability", obs: str = "observed") -> DataFrame:
     """keys, n, brier, rho, rho_p, tau, tau_z, tau_p over the rows of each key. Only the Brier
     score is defined where the observations do not vary; rank statistics are NULL there and
-    where the probabilities do not vary.
+    where the probabilities do not vary. Null keys are keys like any other.
 
-    Equal pairs of a key become one point with a weight first: an ensemble has few distinct
-    probabilities and an event two outcomes, so a key has few points, however many rows. A
-    key with more than MOST_POINTS is an error. One shuffle by key serves the points, the
-    ranks, the tie counts and the pairs of points."""
+    Equal pairs of a key become one point with a weight first, before anything moves: an
+    ensemble has few distinct probabilities and an event two outcomes. Ranks are running
+    sums over the sorted points of a key, so long series of distinct pairs are sorted, on disk
+    if need be, and never collected."""
     rows = df.select(*keys, F.col(prob).cast("double").alias("p"), F.col(obs).cast("double").alias("o")).where("p is not null and o is not null")
-    points = rows.repartition(*keys).groupBy(*keys, "p", "o").agg(F.count("*").alias("w"))
+    points = rows.groupBy(*keys, "p", "o").agg(F.count("*").alias("w"))
     points = _ranked(_ranked(points, keys, "p"), keys, "o")
     # ranks have the mean (n + 1) / 2 exactly
     middle = (F.sum("w").over(Window.partitionBy(*keys)) + 1) / 2
     points = points.withColumn("_dp", F.col("_r_p") - middle).withColumn("_do", F.col("_r_o") - middle)
     w, t = F.col("w").cast("double"), lambda c: F.col(f"_t_{c}")
-    agg = [
-        F.sum("w").alias("n"),
-        (F.sum(w * F.pow(F.col("p") - F.col("o"), 2)) / F.sum(w)).alias("brier"),
-        F.sum(w * F.col("_dp") * F.col("_do")).alias("_cov"),
-        F.sum(w * F.col("_dp") * F.col("_dp")).alias("_vp"),
-        F.sum(w * F.col("_do") * F.col("_do")).alias("_vo"),
-        F.collect_list(F.struct("p", "o", w.alias("w"))).alias("_xs"),
-    ]
+    sums = {
+        "n": F.col("w"), "_off": w * F.pow(F.col("p") - F.col("o"), 2),
+        "_cov": w * F.col("_dp") * F.col("_do"), "_vp": w * F.col("_dp") * F.col("_dp"), "_vo": w * F.col("_do") * F.col("_do"),
+    }
     for c in ("p", "o"):
         # sums over tie groups of t (t - 1) / 2, t (t - 1)(t - 2) and t (t - 1)(2 t + 5)
-        agg += [
-            (F.sum(w * (t(c) - 1)) / 2).alias(f"_{c}tie"),
-            F.sum(w * (t(c) - 1) * (t(c) - 2)).alias(f"_{c}0"),
-            F.sum(w * (t(c) - 1) * (2 * t(c) + 5)).alias(f"_{c}1"),
-        ]
-    out = points.groupBy(*keys).agg(*agg)
-    few = F.size("_xs") <= MOST_POINTS
-    xs = F.when(few, F.col("_xs")).otherwise(F.raise_error(F.lit(f"a key has over {MOST_POINTS} distinct pairs")))
-    later = lambda a, i: F.aggregate(
-        F.slice("_xs", i + 2, F.size("_xs")), F.lit(0.0), lambda s, b: s + b["w"] * F.signum(a["p"] - b["p"]) * F.signum(a["o"] - b["o"])
-    )
-    concord = F.aggregate(F.transform(xs, lambda a, i: a["w"] * later(a, i)), F.lit(0.0), lambda s, x: s + x)
+        sums |= {f"_{c}tie": w * (t(c) - 1) / 2, f"_{c}0": w * (t(c) - 1) * (t(c) - 2), f"_{c}1": w * (t(c) - 1) * (2 * t(c) + 5)}
+    out = concordance(points, keys, sums).withColumn("brier", F.col("_off") / F.col("n"))
     n = F.col("n").cast("double")
     pairs, m = n * (n - 1) / 2, n * (n - 1)
     tau = F.try_divide(F.col("_s"), F.sqrt((pairs - F.col("_ptie")) * (pairs - F.col("_otie"))))
@@ -86,7 +105,7 @@ def rank_skill(df: DataFrame, keys: list[str], prob: str = "probability", obs: s
     var = (m * (2 * n + 5) - F.col("_p1") - F.col("_o1")) / 18 + F.try_divide(2 * F.col("_ptie") * F.col("_otie"), m) + three
     varies = F.col("_vo") > 0
     rho = F.try_divide(F.col("_cov"), F.sqrt(F.col("_vp") * F.col("_vo")))
-    out = out.withColumn("_s", concord).withColumn("rho", F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))))
+    out = out.withColumn("rho", F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))))
     out = out.withColumn("tau", F.when(varies, tau)).withColumn("tau_z", F.when(F.col("tau").isNotNull(), F.try_divide(F.col("_s"), F.sqrt(var))))
     made = (correlation_p(F.col("rho"), F.col("n")).alias("rho_p"), "tau", "tau_z", normal_p(F.col("tau_z")).alias("tau_p"))
     return out.select(*keys, "n", "brier", "rho", *made)

@@ -532,6 +532,16 @@ def expand(path: str) -> list[str]:
     return out
 
 
+def file_sizes(files: list[str]) -> list[tuple[str, int, str]]:
+    """Path, size and time of change of each file."""
+    out = []
+    for file in files:
+        store, at = _store(file)
+        info = store.get_file_info(at)
+        out.append((file, info.size or 0, str(info.mtime_ns)))
+    return out
+
+
 Ranges = dict[str, list[tuple[Any, Any]]]
 
 

@@ -2,32 +2,83 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import in_box
 from ..operators.daily import LATITUDE, LONGITUDE, TEMPERATURE, pick_column
 from . import arrays
 
+#: Names of time axes.
+TIMES = ("ts", "time", "valid_time")
 PLAN_SCHEMA = "target_date string, lead_days int, init_time string, required_horizon_days int, required_6hour_steps int, prediction_path string, prediction_exists boolean"
 
 
-def read_grid(spark: SparkSession, path: str | list[str], value: str = "value", format: str = "parquet") -> DataFrame:
+def read_grid(
+    spark: SparkSession, path: str | list[str], value: str = "value", format: str = "parquet", box: tuple[float, float, float, float] | None = None,
+    times: list[tuple[str, str]] | None = None, **options: str,
+) -> DataFrame:
     """A long table with the columns lat, lon and `value` under one name, whatever the
-    input calls them; other columns follow. The scan stays lazy, so filters and the choice
-    of columns reach the files. `format` is any of Spark, or netcdf or zarr (see arrays)."""
-    if format in ("netcdf", "zarr"):
-        arrays.register(spark)
-        df = spark.read.format(format).option("decode_times", "true").load(path)
-    else:
-        df = spark.read.format(format).load(path)
-    names = {pick_column(df, TEMPERATURE, "temperature"): value, pick_column(df, LATITUDE, "latitude"): "lat", pick_column(df, LONGITUDE, "longitude"): "lon"}
+    input calls them; other columns follow. Of array files (netcdf, zarr; `options` are
+    those of arrays, and groups: JSON of ranges of the path's groups) only that variable is read, with the place along the time axis as
+    time_idx, and of it the chunks and bytes that a box (south, north, west, east) and
+    ranges of times (ends included) touch. Any other format is a lazy scan, filters on the
+    table's columns reach the files."""
+    if format not in ("netcdf", "zarr"):
+        df = spark.read.format(format).options(**options).load(path)
+        names = _names(df.columns, value)
+        df = df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
+        if box:
+            df = df.where(in_box(F.col("lat"), F.col("lon"), box, df.agg(F.max("lon")).first()[0]))
+        time = next((c for c in TIMES if c in df.columns), None)
+        if times and time:
+            df = df.where(reduce(or_, [F.col(time).between(*(F.lit(x).cast("timestamp_ntz") for x in one)) for one in times]))
+        return df
+    source = arrays.header(path if isinstance(path, str) else path[0], format)
+    names = _names([n for n, v in source.variables.items()] + [d for v in source.variables.values() for d in v.dims], value)
+    variable, lat, lon = names
+    dims, ranges = source.variables[variable].dims, {}
+    time = next((d for d in TIMES if d in dims), None)
+    if box:
+        turn = 360 * int(box[2] > 180 >= float(np.max(source.slab(lon)))) if lon in source.variables else 0
+        ranges = {lat: [box[:2]], lon: [(box[2] - turn, box[3] - turn)]}
+    if times and time:
+        ranges[time] = times
+    ranges |= json.loads(options.pop("groups", "{}"))
+    with_index = {"with_index": time} if time else {}
+    df = arrays.load(spark, format, path, ranges, **{"variables": variable, "decode_times": "true"} | with_index | options)
     return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
 
 
+def axes(spark: SparkSession, path: str, format: str, box: tuple[float, float, float, float] | None = None) -> dict[str, DataFrame] | None:
+    """lat and lon of an array file from its header, within a box; None for other formats."""
+    if format not in ("netcdf", "zarr"):
+        return None
+    source, out = arrays.header(path, format), {}
+    names = list(source.variables)
+    for axis, aliases, (low, high) in (("lat", LATITUDE, box[:2] if box else (None, None)), ("lon", LONGITUDE, box[2:] if box else (None, None))):
+        name = pick_column(names, aliases, axis)
+        values = source.variables[name].unpacked(source.slab(name)).to_numpy(zero_copy_only=False).astype(float)
+        if axis == "lon" and box and low > 180 >= values.max():
+            low, high = low - 360, high - 360
+        kept = values if low is None else values[(values >= low) & (values <= high)]
+        out[axis] = spark.createDataFrame([(float(x),) for x in kept], f"{axis} double")
+    return out
+
+
+def _names(columns: list[str], value: str) -> dict[str, str]:
+    """What the columns of the value, latitude and longitude are called from now on."""
+    return {pick_column(columns, TEMPERATURE, "temperature"): value, pick_column(columns, LATITUDE, "latitude"): "lat", pick_column(columns, LONGITUDE, "longitude"): "lon"}
+
+
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=PLAN_SCHEMA)
 
@@ -53,6 +104,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """How many files and bytes a path has, and when it last changed; of a Zarr store its
+    consolidated metadata alone, as listing a large store takes long."""
+    meta = f"{path.rstrip('/')}/.zmetadata"
+    path = meta if exists(spark, meta) else path
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    told = fs.getContentSummary(at)
+    return f"{path}:{told.getFileCount()}:{told.getLength()}:{fs.getFileStatus(at).getModificationTime()}"
+
+
 def require(spark: SparkSession, paths: list[str]) -> None:
     """Fails with a list of all inputs that are absent."""
     absent = [p for p in paths if not exists(spark, p)]
@@ -75,6 +137,7 @@ class Config:
     baseline_end_year: int | None = None
     figure_formats: list[str] = field(default_factory=lambda: ["png"])
     max_map_members: int = 6
+    skill: dict[str, Any] = field(default_factory=dict)
 
     @classmethod
     def from_mapping(cls, raw: dict[str, Any], base: Path) -> Config:
@@ -89,6 +152,7 @@ class Config:
             own(raw["output_root"]), [str(x) for x in raw["target_dates"]], [int(x) for x in raw["lead_days"]], tuple(float(x) for x in raw["bbox"]),
             int(raw["expected_members"]), int(raw["baseline_start_year"]), str(store), own(raw["prediction_pattern"]),
             raw.get("baseline_end_year") and int(raw["baseline_end_year"]), list(raw.get("figure_formats", ["png"])), int(raw.get("max_map_members", 6)),
+            dict(raw.get("skill", {})),
         )
 
     @classmethod
@@ -99,8 +163,6 @@ class Config:
         try:
             import yaml
         except ModuleNotFoundError:
-            import json
-
             return cls.from_mapping(json.loads(text), at.parent.parent)
         return cls.from_mapping(yaml.safe_load(text), at.parent.parent)
 

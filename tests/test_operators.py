@@ -50,15 +50,15 @@ def test_boxes(spark):
     assert inside((0, 0, 170, 250), 180) == [(0.0, o) for o in (170.0, 200.0, 240.0, 250.0)]
 
 
-@pytest.mark.parametrize("most", [regrid.ONE_RANGE, 0])
+@pytest.mark.parametrize("parts", [1, 7])
 @pytest.mark.parametrize("n,m", [(1, 5), (2, 40), (300, 500), (1000, 50)])
-def test_nearest_by_sorted_ranges(spark, monkeypatch, n, m, most):
-    monkeypatch.setattr(regrid, "ONE_RANGE", most)
+def test_nearest_by_running_windows(spark, n, m, parts):
     rng = random.Random(n)
     grid = sorted({rng.choice([rng.uniform(-90, 90), float(rng.randint(-90, 90))]) for _ in range(n)})
     want = sorted({rng.choice([rng.uniform(-120, 120), rng.randint(-240, 240) / 2]) for _ in range(m)})
-    got = regrid.nearest(spark.createDataFrame([(x,) for x in grid] * 2, "lat double"), spark.createDataFrame([(x,) for x in want], "lat double"), "lat")
-    assert {r["lat"]: r["source_lat"] for r in got.collect()} == {t: min(grid, key=lambda s: (abs(s - t), -s)) for t in want}
+    axis = spark.createDataFrame([(x,) for x in grid] * 2, "lat double")
+    got = regrid.nearest_of({"lat": axis}, spark.createDataFrame([(x,) for x in want], "lat double"), parts)
+    assert {r["t"]: r["source"] for r in got.collect()} == {t: min(grid, key=lambda s: (abs(s - t), -s)) for t in want}
 
 
 def test_nearest_without_values(spark):
@@ -72,6 +72,16 @@ def test_regridding_makes_no_pairs(spark, sf_dir):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_many_targets_use_all_tasks(spark):
+    """A million targets between two values of a short axis."""
+    axis = spark.range(100).selectExpr("id * 1D as lat")
+    targets = spark.range(1_000_000).selectExpr("50 + id / 2000000D as lat")
+    got = regrid.nearest_of({"lat": axis}, targets, 16)
+    assert got.groupBy("source").count().orderBy("source").collect()[0][:] == (50.0, 1_000_000)
+    dealt = targets.select(F.pmod(F.xxhash64("lat"), F.lit(16)).alias("part")).groupBy("part").count()
+    assert dealt.agg(F.max("count")).first()[0] < 1.1 * 1_000_000 / 16
+
+
 def test_normal_p(spark):
     zs = [0.0, 1e-9, 0.3, -1.0, 1.96, 2.5, -4.2, 4.243, 6.0, 10.0, -25.0, 37.0, 60.0]
     got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(normal_p(F.col("z"))).collect()]
@@ -92,11 +102,42 @@ def test_long_series_are_points_with_weights(spark):
     assert got["n"] == 3000 and got["tau"] == pytest.approx(s / math.sqrt((n0 - ties([p for _, p, _ in rows])) * (n0 - ties([o for _, _, o in rows]))))
 
 
-def test_too_many_points_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(verification, "MOST_POINTS", 10)
-    rows = spark.range(50).selectExpr("'a' as cell", "id / 50D as probability", "cast(id % 2 as double) as observed")
-    with pytest.raises(Exception, match="distinct pairs"):
-        verification.rank_skill(rows, ["cell"]).collect()
+def merge_count(p, o):
+    """Concordant minus discordant pairs of series without ties in p, by merging halves."""
+    o = np.asarray(o)[np.argsort(p)]
+    s, width = 0, 1
+    while width < len(o):
+        for i in range(0, len(o), 2 * width):
+            left, right = o[i : i + width], o[i + width : i + 2 * width]  # both sorted
+            s += int((np.searchsorted(left, right, "left") - (len(left) - np.searchsorted(left, right, "right"))).sum())
+            o[i : i + 2 * width] = np.sort(o[i : i + 2 * width])
+        width *= 2
+    return s
+
+
+def test_long_series_of_distinct_pairs(spark):
+    n = 200_000
+    df = spark.range(n).selectExpr("'a' as cell", "cast((id * 48271) % 2147483647 as double) as probability", "cast(pmod(xxhash64(id), 50000) + id / 10 as double) as observed")
+    rows = df.toPandas()
+    s = merge_count(rows["probability"].to_numpy(), rows["observed"].to_numpy())
+    pairs = verification.concordance(df.selectExpr("cell", "probability as p", "observed as o", "1L as w"), ["cell"]).first()
+    assert pairs["_s"] == s
+    got = verification.rank_skill(df, ["cell"]).first()
+    ties = rows["observed"].value_counts()
+    n0, tied = n * (n - 1) / 2, float((ties * (ties - 1) / 2).sum())
+    assert got["n"] == n and got["tau"] == pytest.approx(s / math.sqrt(n0 * (n0 - tied)), rel=1e-12)
+
+
+def test_concordance_equals_all_pairs(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        rows = [(k, float(rng.randint(0, 6 + 30 * k)), float(rng.randint(0, 40 - 12 * k)), rng.randint(1, 3)) for k in (0, 1, 2) for _ in range(60)]
+        rows = list({(k, p, o): (k, p, o, w) for k, p, o, w in rows}.values()) + [(3, 1.0, 1.0, 5), (None, 1.0, 2.0, 1), (None, 2.0, 1.0, 2)]
+        got = {r["k"]: r["_s"] for r in verification.concordance(spark.createDataFrame(rows, "k int, p double, o double, w long"), ["k"]).collect()}
+        sign = lambda x: (x > 0) - (x < 0)
+        for key in (0, 1, 2, 3, None):
+            own = [r for r in rows if r[0] == key]
+            assert got[key] == sum(a[3] * b[3] * sign(a[1] - b[1]) * sign(a[2] - b[2]) for i, a in enumerate(own) for b in own[:i])
 
 
 def test_year_steps(spark):
@@ -137,19 +178,6 @@ def test_saved_skill_maps(spark):
     assert of("brier") == [(-10.0, 0.2, True), (10.0, 0.08, False), (10.0, 0.1, False)]
 
 
-def test_failed_years_are_left_out(spark):
-    def members(year):
-        if year == 2003:
-            raise OSError("no file")
-        return spark.range(20).selectExpr("id % 2 as cell", "id as sample", f"cast((id * 7 + {year}) % 10 as double) as value", "5D as threshold")
-
-    observed = lambda year: spark.range(2).selectExpr("id as cell", f"cast((id + {year}) % 3 = 0 as double) as observed")
-    out, used = cli.lag_skill(list(range(2000, 2008)), members, observed, ["cell"])
-    assert used == [2000, 2001, 2002, 2004, 2005, 2006, 2007] and {(r["n"], r["n_samples"]) for r in out.collect()} == {(7, 7)}
-    with pytest.raises(ValueError, match="1 of 2"):
-        cli.lag_skill([2002, 2003], members, observed, ["cell"])
-
-
 def test_repeats():
     calls = []
 

@@ -43,8 +43,14 @@ def test_flagship_reads_few_columns_and_has_no_nested_loops(spark, sf_dir):
     assert "l_comment" not in plan and "l_discount" not in plan.split("Physical Plan")[1]
 
 
-def test_skill_shuffles_ranks_once(spark):
+def test_skill_sums_points_before_they_move(spark):
     from skillgrid.operators.verification import rank_skill
 
     rows = spark.createDataFrame([("a", 0.1, 0.0), ("a", 0.2, 1.0)], "cell string, probability double, observed double")
-    assert _plan(rank_skill(rows, ["cell"])).split("Physical Plan")[1].count("Exchange hashpartitioning") == 1
+    plan = _plan(rank_skill(rows, ["cell"])).split("Physical Plan")[1]
+    assert "functions=[partial_count(1)" in plan and "collect_list" not in plan
+
+
+def test_temperature_panels_read_each_table_once(spark, sf_dir):
+    plan = catalogue.QUERIES["temperature_panels"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_") == 1 and plan.count("Relation [o_") == 1
