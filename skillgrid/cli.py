@@ -144,14 +144,15 @@ class Analysis:
         grid = template.agg(F.count("*"), F.sum(F.xxhash64(*CELL).cast("decimal(38,0)"))).first()
         name = f"{self.cache}/grid_{grid[0]}_{int(grid[1]) % 2**32:08x}"
         path = f"{name}/daily"
-        months = months.select(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")).distinct()
-        have = not self._fresh(path) and readers.exists(self.spark, path)
-        absent = planning.missing(months, self.spark.read.parquet(path), ["year", "month"]) if have else months
-        wanted = sorted((r["year"], r["month"]) for r in absent.collect())  # some for each year of the baseline
-        if wanted:
-            sinks.write_table(self._days(template, wanted), path, ["year", "month"], keep_others=True)
-        # the join prunes partitions: only files of these months are read
-        return name, self.spark.read.parquet(path).join(F.broadcast(months), ["year", "month"])
+        wanted = sorted((r["year"], r["month"]) for r in months.select("year", "month").distinct().collect())  # some for each year of the baseline
+        of = lambda df: df.where((F.col("year") * 100 + F.col("month")).isin([100 * y + m for y, m in wanted]))
+        have = set()
+        if not self._fresh(path) and readers.exists(self.spark, path):
+            have = {(r["year"], r["month"]) for r in of(self.spark.read.parquet(path)).select("year", "month").distinct().collect()}
+        if absent := [x for x in wanted if x not in have]:
+            sinks.write_table(self._days(template, absent), path, ["year", "month"], keep_others=True)
+        # the filter prunes partitions: only files of these months are read
+        return name, of(self.spark.read.parquet(path))
 
     def _days(self, template: DataFrame, months: list[tuple[int, int]]) -> DataFrame:
         """Days of the months, of which runs are read as ranges of times."""

@@ -13,7 +13,8 @@ other attributes are the metadata of the columns. Options:
 * decode_times: true turns coordinates with units "hours since ..." into timestamps,
 * with_index: dimensions that also give a column <name>_idx, the place along the axis,
 * name_pattern: a regular expression with named groups, found in each file's path; each
-  group is a column (a whole number if the first file's is), as for members and years,
+  group is a column (a whole number if the first file's is), as for members and years; it
+  takes the place of a dimension of its name, which must have a single place,
 * on_error: "row" makes a file that cannot be read a row with its path as `file` and the
   reason as `error`, instead of an error of the query; other rows have a NULL `error`.
 
@@ -588,7 +589,9 @@ class _ArrayReader(DataSourceReader):
         self.kinds = {n: source.variables[n].sql_type for n in self.names} | {d: self._axis_type(source, d) for d in self.dims}
         self.inner = self._inner(source)
         fields = [(n, "bigint" if number else "string", {}) for n, number in self._groups(self.first_file).items()]
-        fields += [(d, self.kinds[d], self._told(source, d)) for d in self.dims] + [(f"{d}_idx", "int", {}) for d in self.indexed]
+        if long := [d for d, n in zip(self.dims, source.variables[named[0]].shape) if d in self._groups(self.first_file) and n != 1]:
+            raise ValueError(f"groups of the path and dimensions of more than one place: {long}")
+        fields += [(d, self.kinds[d], self._told(source, d)) for d in self.dims if d not in self._groups(self.first_file)] + [(f"{d}_idx", "int", {}) for d in self.indexed]
         fields += [(n, self.kinds[n], self._told(source, n)) for n in self.names]
         fields += [("file", "string", {}), ("error", "string", {})] if self.tolerant else []
         self.schema = StructType([StructField(n, _TYPES_OF[kind], True, told) for n, kind, told in fields])
@@ -657,7 +660,8 @@ class _ArrayReader(DataSourceReader):
         for i, dim in enumerate(self.dims):
             axis = self._axis(source, dim)
             values = axis.to_numpy(zero_copy_only=False) if pa.types.is_timestamp(axis.type) else axis.cast(pa.float64()).to_numpy(zero_copy_only=False)
-            keep = _passing(values, self.ranges[dim]) if dim in self.ranges else np.ones(len(values), bool)
+            chosen = dim in self.ranges and dim not in self._groups(self.first_file)
+            keep = _passing(values, self.ranges[dim]) if chosen else np.ones(len(values), bool)
             if i == 0:
                 keep[: self.range[0]] = False
                 keep[len(keep) if self.range[1] is None else max(0, self.range[1]) :] = False
@@ -714,7 +718,7 @@ class _ArrayReader(DataSourceReader):
         of_file, out = self._of_file(file) | {"file": file}, to_arrow_schema(self.schema)
         columns = []
         for f in out:
-            if f.name in made:
+            if f.name in made and f.name not in of_file:
                 columns.append(made[f.name].cast(f.type))
             else:
                 text = of_file.get(f.name)
@@ -774,7 +778,8 @@ def load(spark: SparkSession, format: str, path: str | list[str], ranges: Ranges
         end = lambda x: F.lit(x).cast(kind) if isinstance(x, str) else F.lit(x)  # noqa: B023, E731
         one = [F.lit(True) if a is None else F.col(f"`{name}`") >= end(a) for a, _ in lists], [F.lit(True) if b is None else F.col(f"`{name}`") <= end(b) for _, b in lists]
         # the source has chosen already; this is for axes that are in no order
-        df = df.where(reduce(or_, (a & b for a, b in zip(*one)))) if 0 < len(lists) <= 16 else df
+        unread = F.col("error").isNotNull() if options.get("on_error") == "row" else F.lit(False)
+        df = df.where(reduce(or_, (a & b for a, b in zip(*one)), unread)) if 0 < len(lists) <= 16 else df
     return df
 
 
