@@ -15,14 +15,19 @@ each window of RUN tokens of a longer repeated substring is on all pages which t
 so the tokens covered by all repeated substrings of RUN tokens or more are those covered
 by the repeated windows. A block of under RUN tokens counts as a whole.
 
-A host's pages are dealt by content into shards of about SHARD_CHARS characters, each
-with its own suffix array. The counts of runs are summed over the host's shards before
-thresholds apply, so the result does not depend on how a host is dealt.
+Pages are parsed once, into a table of their blocks. A host's distinct contents are dealt by
+hash into shards of about SHARD_CHARS characters and SHARD_PAGES contents at least, each with
+its own suffix array. A shard reports runs on half of SHARE of its contents, with their
+numbers, as rows. A run that no more than half of SHARE of some shards' contents hold can reach
+SHARE of the host only if the shards that report it make up for these: fewer than
+20 times a page's runs can, however large the host. These are counted exactly where they were
+not reported, so the result does not depend on how a host is dealt. All go between shards as
+rows of host, shard and run; no row holds more than one page's blocks.
 
 Null or empty html gives "". Null urls share one host. Truncated pages, unclosed elements
 and repeated rows are read as they are; a tag that never ends takes the rest of its page.
-Elements nested deeper than DEPTH count as the one around them. Very long pages are read
-whole, in time linear in their length. Runs at a threshold exactly are marked. An empty
+Elements may be nested to any depth. Very long pages are read whole, in time linear in
+their length. Runs at a threshold exactly are marked. An empty
 table gives no rows. Only id, url and html are read, whatever other columns are called.
 """
 
@@ -42,11 +47,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, load, map_batches, shuffle_partitions
 
 RUN = 8
-SHARD_CHARS, TASK_SHARDS = 1_000_000, 8
+SHARD_CHARS, SHARD_PAGES, TASK_SHARDS = 1_000_000, 64, 8
 #: A run is boilerplate on so many distinct pages and this share of them.
 LEAST_PAGES, SHARE = 3, 0.1
-#: Open elements at most.
-DEPTH = 512
+#: Share of its contents from which on a shard reports a run, and room for roundings.
+REPORT, ROOM = SHARE / 2, 1e-6
 
 # Element and class names of HTML practice.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -136,21 +141,16 @@ def blocks_of(page: str) -> list[tuple[int, str, float]]:
         if any(t in BLOCKS for t, _, _ in stack[i:]):
             flush()
         for t, _, _ in stack[i:]:
-            opened[t] -= 1
+            opened[t].pop()
         del stack[i:]
 
     def close_one(tags: Iterable[str], limits: frozenset[str] | set[str]) -> None:
         """Closes the innermost open element of `tags`, unless one of `limits` is further in."""
-        if not any(opened.get(t) for t in tags):
-            return
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return close_to(i)
-            if stack[i][0] in limits:
-                return None
-        return None
-
-    opened: dict[str, int] = {}
+        at = max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+        if at >= 0 and not any(opened[t][-1] > at for t in limits if opened.get(t)):
+            close_to(at)
+
+    opened: dict[str, list[int]] = {}  # places on the stack by tag
     quoted = True  # until a tag's quotes do not end: then tags end at the first bracket
     while at < len(page):
         m = _OPEN.search(page, at)
@@ -204,9 +204,8 @@ def blocks_of(page: str) -> list[tuple[int, str, float]]:
             continue
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
-        if len(stack) < DEPTH:
-            stack.append((tag, kind, 1 if silent or tag in SILENT else 0))
-            opened[tag] = opened.get(tag, 0) + 1
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, kind, 1 if silent or tag in SILENT else 0))
     flush()
     return out
 
@@ -292,8 +291,8 @@ def found(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def cleaned(pages: list[list[Block]], runs: np.ndarray, n: np.ndarray, total: int) -> list[str]:
-    """Main texts, given the host's repeated runs (ascending hashes), on how many of its
-    distinct pages each is, and the number of these."""
+    """Main texts, given runs of the host (ascending hashes), on how many of its distinct
+    pages each is, and the number of these."""
     if not len(runs):
         return ["\n\n".join(text for kind, text, linked in blocks if kind == MAIN or kind == OPEN and linked < 0.5) for blocks in pages]
     s = Stream(pages)
@@ -343,96 +342,104 @@ def host_of(url: Column) -> Column:
 
 
 def _shard_runs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one shard: its distinct pages, and the runs that are on SHARE of them."""
-    each = distinct((c, unpacked(b)) for x in batches for c, b in zip(x.column("content").to_pylist(), x.column("blocks").to_pylist()))
+    """Of one shard: a row with the number of its contents and whether any has an open block,
+    and a row for each run that it reports."""
+    whole, lines = True, []
+    for x in batches:
+        whole = x.column("shards")[0].as_py() == 1
+        lines += zip(x.column("content").to_pylist(), map(unpacked, x.column("blocks").to_pylist()))
+    each = distinct(lines)
     runs, n, is_open = found(list(map(decoded, each)))
-    keep = n + 1e-6 >= SHARE * len(each)
-    m = int(keep.sum())
-    host, total = key[0].as_py(), len(each)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([host] * (m + 1), pa.string()),
-            pa.array([total] * (m + 1), pa.int64()),
-            pa.array([None, *runs[keep].tolist()], pa.int64()),
-            pa.array([None, *n[keep].tolist()], pa.int64()),
-            pa.array([None, *is_open[keep].tolist()], pa.bool_()),
-            pa.array([list(map(packed, each)), *[None] * m], pa.list_(pa.binary())),
-        ],
-        names=["host", "pages", "run", "n", "is_open", "contents"],
-    )
-
-
-def host_runs(rows: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, total (its distinct pages) and runs, from rows of host and h, and the
-    hosts' numbers of shards.
-
-    Copies meet in one shard, so that counts of shards add up. A run on SHARE of the host's
-    pages is on SHARE of those of some shard; what some shard finds is counted in all shards
-    of the host, unless all have found it. Only runs that can change a text are returned."""
-
-    def parse(x: dict[str, list]) -> dict[str, list]:
-        made = {}
-        for host, shards, page in zip(x["host"], x["shards"], x["h"]):
-            lines = coded(blocks_of(page or ""))
-            content = content_of(lines)
-            made[host, content % max(1, shards), content, packed(lines)] = None
-        return dict(zip(("host", "shard", "content", "blocks"), zip(*made) if made else [()] * 4))
-
-    spark = rows.sparkSession
-    shards = sizes.agg(F.sum("shards")).first()[0] or 1
-    parsed = map_batches(rows.join(scratch.hint(sizes), "host").select("host", "shards", "h"), "host string, shard long, content "
-            "long, blocks binary", parse, "h")
-    # tasks of a few shards each, however large the table
-    parsed = parsed.repartition(max(shuffle_partitions(spark), int(shards) // TASK_SHARDS), "host", "shard")
-    shape = "host string, pages long, run long, n long, is_open boolean, contents array<binary>"
-    dealt = scratch.table(parsed.groupBy("host", "shard").applyInArrow(_shard_runs, shape))
-    totals = scratch.table(dealt.where("run is null").groupBy("host").agg(F.sum("pages").alias("total")))
-    summed = dealt.where("run is not null").groupBy("host", "run")
-    summed = summed.agg(F.sum("n").alias("n"), F.sum("pages").alias("of"), F.max("is_open").alias("is_open"))
+    # the only shard of a host knows what decides
+    keep = (n + ROOM >= max(LEAST_PAGES, SHARE * len(each))) & is_open if whole else n + ROOM >= REPORT * len(each)
+    m, any_open = int(keep.sum()), bool(is_open.any())
+    columns = {
+        "host": pa.array([key[0].as_py()] * (m + 1), pa.string()), "shard": pa.array([key[1].as_py()] * (m + 1), pa.int64()),
+        "pages": pa.array([len(each)] * (m + 1), pa.int64()), "run": pa.array([None, *runs[keep].tolist()], pa.int64()),
+        "n": pa.array([None, *n[keep].tolist()], pa.int64()), "is_open": pa.array([any_open, *is_open[keep].tolist()], pa.bool_()),
+    }
+    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _recount(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of one shard: on how many of its contents the runs on the right are."""
+    shape = pa.schema([("host", pa.string()), ("run", pa.int64()), ("n", pa.int64()), ("is_open", pa.bool_())])
+    wanted = np.unique(right.column("run").to_numpy())
+    if not left.num_rows or not len(wanted):
+        return shape.empty_table()
+    each = distinct(zip(left.column("content").to_pylist(), map(unpacked, left.column("blocks").to_pylist())))
+    run, n, is_open = found(list(map(decoded, each)))
+    keep = np.isin(run, wanted)
+    return pa.table([[key[0].as_py()] * int(keep.sum()), run[keep], n[keep], is_open[keep]], schema=shape)
+
+
+def _without(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of one shard: the texts of its pages without the runs on the right."""
+    runs = np.unique(right.column("run").to_numpy())
+    texts: list[str] = []
+    for i in range(0, left.num_rows, SHARD_PAGES):
+        pages = [decoded(unpacked(b)) for b in left.column("blocks").slice(i, SHARD_PAGES).to_pylist()]
+        texts += cleaned(pages, runs, np.full(len(runs), 2**31), 0)
+    return pa.table({"k": left.column("k"), "u": left.column("u"), "text": pa.array(texts, pa.string())})
+
+
+def host_runs(parsed: DataFrame, shards: DataFrame, scratch: Scratch) -> DataFrame:
+    """host and run: all runs that are on enough of the distinct contents of a host and in an
+    open block of one. `parsed` has host, shard, shards, content and blocks, and `shards` host
+    and shards."""
+    spark = parsed.sparkSession
+    many = shards.agg(F.sum("shards")).first()[0] or 1
+    tasks = max(shuffle_partitions(spark), int(many) // TASK_SHARDS)  # tasks of a few shards each, however large the table
+    dealt = parsed.select("host", "shard", "shards", "content", "blocks").repartition(tasks, "host", "shard")
+    shape = "host string, shard long, pages long, run long, n long, is_open boolean"
+    told = scratch.table(dealt.groupBy("host", "shard").applyInArrow(_shard_runs, shape))
+    totals = told.where("run is null").groupBy("host").agg(F.sum("pages").alias("total"), F.max("is_open").alias("any_open"), F.count("*").alias("shards"))
+    totals = scratch.table(totals.where("any_open"))
+    summed = told.where("run is not null").groupBy("host", "run")
+    summed = summed.agg(F.sum("n").alias("n"), F.sum("pages").alias("of"), F.max("is_open").alias("is_open")).join(scratch.hint(totals), "host")
     least = F.greatest(F.lit(float(LEAST_PAGES)), F.lit(SHARE) * F.col("total"))
-    possible = F.col("n") + F.lit(SHARE) * (F.col("total") - F.col("of")) + 1e-6 >= least
-    summed = scratch.table(summed.join(scratch.hint(totals), "host").where(possible))
-    unsure = scratch.table(summed.where("of < total").groupBy("host").agg(F.sort_array(F.collect_list("run")).alias("runs")))
-
-    def count(x: dict[str, list]) -> dict[str, list]:
-        made: list[tuple] = []
-        for host, runs, pages in zip(x["host"], x["runs"], x["contents"]):
-            run, n, is_open = found([decoded(unpacked(p)) for p in pages])
-            keep = np.isin(run, np.array(runs, np.int64))
-            made += zip([host] * int(keep.sum()), run[keep].tolist(), n[keep].tolist(), is_open[keep].tolist())
-        return dict(zip(("host", "run", "n", "is_open"), zip(*made) if made else [()] * 4))
-
-    shards = dealt.where("run is null").select("host", "contents").join(scratch.hint(unsure), "host")
-    again = map_batches(shards, "host string, run long, n long, is_open boolean", count).groupBy("host", "run")
+    summed = scratch.table(summed.where(F.col("n") + F.lit(REPORT) * (F.col("total") - F.col("of")) + ROOM >= least))
+    enough = F.col("is_open") & (F.col("n") + ROOM >= least)
+    sure = summed.where((F.col("of") == F.col("total")) & enough).select("host", "run")
+    unsure = summed.where("of < total").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "run")
+    again = parsed.join(scratch.hint(summed.where("of < total").select("host").distinct().transform(scratch.table)), "host", "left_semi")
+    again = again.select("host", "shard", "content", "blocks").groupBy("host", "shard").cogroup(unsure.groupBy("host", "shard"))
+    again = again.applyInArrow(_recount, "host string, run long, n long, is_open boolean").groupBy("host", "run")
     again = again.agg(F.sum("n").alias("n"), F.max("is_open").alias("is_open")).join(scratch.hint(totals), "host")
-    every = summed.where("of = total").select(*again.columns).unionByName(again)
-    every = every.where(F.col("is_open") & (F.col("n") >= least)).groupBy("host", "total")
-    every = every.agg(F.sort_array(F.collect_list(F.struct("run", "n"))).alias("r"))
-    return scratch.table(every.select("host", "total", F.col("r.run").alias("runs"), F.col("r.n").alias("ns")))
+    return scratch.table(sure.unionByName(again.where(enough).select("host", "run")))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """`id_col`, url, text and n_chars of every row."""
-    rows = df.select(F.col(id_col).alias("k"), F.col(url_col).alias("u"), F.col(html_col).alias("h"), host_of(F.col(url_col)).alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.length("h"), F.lit(0)) + 64) / SHARD_CHARS).alias("shards"))
-    scratch = Scratch(df.sparkSession, "hosts")
-    sizes = scratch.table(sizes)
-    often = host_runs(rows, sizes, scratch)
-    kinds = dict(df.dtypes)
-
-    def work(x: dict[str, list]) -> dict[str, list]:
-        hosts: dict[str, list[int]] = {}
-        for i, host in enumerate(x["host"]):
-            hosts.setdefault(host, []).append(i)
-        texts = [""] * len(x["k"])
-        for at in hosts.values():
-            runs, n = (np.array(x[c][at[0]] or [], np.int64) for c in ("runs", "ns"))
-            for i, text in zip(at, cleaned([blocks_of(x["h"][i] or "") for i in at], runs, n, x["total"][at[0]] or 0)):
-                texts[i] = text
-        return {id_col: x["k"], "url": x["u"], "text": texts, "n_chars": list(map(len, texts))}
-
-    rows = rows.join(scratch.hint(often), "host", "left").select("k", "u", "h", "host", "total", "runs", "ns")
-    return map_batches(rows, f"`{id_col}` {kinds[id_col]}, url string, text string, n_chars long", work, "h")
+    scratch, kind = Scratch(df.sparkSession, "hosts"), dict(df.dtypes)[id_col]
+    rows = df.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{url_col}`").alias("u"), F.col(f"`{html_col}`").alias("h"), host_of(F.col(f"`{url_col}`")).alias("host"))
+
+    def parse(x: dict[str, list]) -> dict[str, list]:
+        lines = [coded(blocks_of(h or "")) for h in x["h"]]
+        return {
+            "k": x["k"], "u": x["u"], "host": x["host"], "content": list(map(content_of, lines)),
+            "size": [sum(map(len, x)) for x in lines], "blocks": list(map(packed, lines)),
+        }
+
+    parsed = scratch.table(map_batches(rows, f"k {kind}, u string, host string, content long, size long, blocks binary", parse, "h"))
+    contents = parsed.groupBy("host", "content").agg(F.max("size").alias("size")).groupBy("host").agg(F.count("*").alias("pages"), F.sum("size").alias("chars"))
+    by_pages, by_chars = F.floor(F.col("pages") / SHARD_PAGES), F.ceil(F.col("chars") / SHARD_CHARS)
+    shards = scratch.table(contents.select("host", F.greatest(F.lit(1), F.least(by_pages, by_chars)).cast("long").alias("shards")))
+    parsed = parsed.join(scratch.hint(shards), "host").withColumn("shard", F.pmod("content", "shards"))
+    often = host_runs(parsed, shards, scratch)
+    hosts = scratch.hint(scratch.table(often.select("host").distinct()))
+
+    def plain(x: dict[str, list]) -> dict[str, list]:
+        none = np.empty(0, np.int64)
+        return {"k": x["k"], "u": x["u"], "text": cleaned([decoded(unpacked(b)) for b in x["blocks"]], none, none, 0)}
+
+    shape = f"k {kind}, u string, text string"
+    others = map_batches(parsed.join(hosts, "host", "left_anti").select("k", "u", "blocks"), shape, plain, "blocks")
+    # the runs of a host go to each of its shards
+    of_shard = often.join(scratch.hint(shards), "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "run")
+    pages = parsed.join(hosts, "host", "left_semi").select("host", "shard", "k", "u", "blocks").groupBy("host", "shard")
+    made = others.unionByName(pages.cogroup(of_shard.groupBy("host", "shard")).applyInArrow(_without, shape))
+    return made.select(F.col("k").alias(id_col), F.col("u").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:

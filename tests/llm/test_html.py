@@ -75,6 +75,7 @@ def test_odd_rows(spark):
 
 def test_large_hosts_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(H, "SHARD_CHARS", 2000)
+    monkeypatch.setattr(H, "SHARD_PAGES", 3)
     rows = [(i, "http://h/x", f"<article><p>page {i} " + "words " * 20) for i in range(100)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["page_id"]: r["text"].split()[1] for r in H.extract(df).collect()} == {i: str(i) for i in range(100)}
@@ -93,8 +94,9 @@ def test_shards_do_not_change_results(spark, monkeypatch):
         own = [r for r in rows if r[1] == f"http://{host}/x"]
         want |= dict(zip([r[0] for r in own], H.texts_of([r[2] for r in own])))
     assert not any(notice in t for t in want.values()) and sum(rare in t for t in want.values()) == 2 and sum(body in want[i] for i in range(100, 130)) == 27 and all(want[i] == body for i in range(200, 230))
-    for size in (300, 1000, 3000, 1_000_000):
+    for size, least in ((300, 1), (300, 4), (1000, 10), (3000, 2), (1_000_000, 64)):
         monkeypatch.setattr(H, "SHARD_CHARS", size)
+        monkeypatch.setattr(H, "SHARD_PAGES", least)
         assert {r["page_id"]: r["text"] for r in H.extract(df).collect()} == want
 
 
@@ -157,6 +159,7 @@ def test_equals_all_repeated_substrings(spark, monkeypatch):
         assert H.texts_of(pages) == want
         assert want != ["\n\n".join(re.findall("<p>(.*?)</p>", p)) for p in pages]
     monkeypatch.setattr(H, "SHARD_CHARS", 500)
+    monkeypatch.setattr(H, "SHARD_PAGES", 4)
     df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     assert [r["text"] for r in H.extract(df).orderBy("page_id").collect()] == want
 
@@ -171,6 +174,36 @@ def test_very_long_and_broken_pages():
     assert H.texts_of(["a<p>b<a href='x"]) == ["a\n\nb"]
 
 
+def test_hosts_of_large_pages_report_few_runs(spark, monkeypatch):
+    """Pages of 120 kB: a shard has so many of them that a run of one page is not reported, and
+    what the runs take does not grow with the pages."""
+    rng = random.Random(8)
+    notice = words(rng, 60)
+    pages = [(i, "http://h/", f"<p>{notice}</p>" * (i % 3 == 0) + f"<p>{words(rng, 20_000)}</p>") for i in range(160)]
+    assert sum(len(p[2]) for p in pages) > 120_000 * 80
+    made = []
+    table = H.Scratch.table
+
+    def seen(self, df):
+        out = table(self, df)
+        made.append(out)
+        return out
+
+    monkeypatch.setattr(H.Scratch, "table", seen)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(8)
+    texts = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert all(notice not in t and len(t.split()) == 20_000 for t in texts.values())
+    told = next(t for t in made if t.columns == ["host", "shard", "pages", "run", "n", "is_open"])
+    assert told.where("run is null").count() == 2 and told.count() < 500
+    assert not any("array" in kind for t in made for _, kind in t.dtypes)
+
+
+def test_any_depth():
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    assert H.texts_of(["<article><p>a</p>" + deep(2000, "<div class=sidebar>side</div>") + "<p>b</p></article>"]) == ["a\n\nb"]
+    assert H.texts_of(["<div class=sidebar>" + deep(1500, "menu") + "</div><p>open words here</p>"]) == ["open words here"]
+
+
 def test_step_decides_where_there_is_no_article():
     rng = random.Random(7)
     notice = words(rng, 30)
