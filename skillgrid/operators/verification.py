@@ -30,10 +30,12 @@ def case_metrics(df: DataFrame, case: list[str], prob: str = "probability", obs:
 
 
 def _ranked(points: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Average rank of `column` within keys, and the number of rows with its value."""
-    same = F.sum("w").over(Window.partitionBy(*keys, column))
-    upto = F.sum("w").over(Window.partitionBy(*keys).orderBy(column))
-    return points.withColumn(f"_t_{column}", same).withColumn(f"_r_{column}", upto - (same - 1) / 2)
+    """Within keys: the number of rows with the value of `column`, its average rank, and the
+    place of the value among the distinct ones, in one sort."""
+    w = Window.partitionBy(*keys).orderBy(column)
+    same = F.sum("w").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    points = points.withColumns({f"_t_{column}": same, f"_u_{column}": F.sum("w").over(w), f"_d_{column}": F.dense_rank().over(w) - 1})
+    return points.withColumn(f"_r_{column}", F.col(f"_u_{column}") - (F.col(f"_t_{column}") - 1) / 2)
 
 
 #: Digit of the rows that carry a point's own sums instead of a comparison.
@@ -50,10 +52,11 @@ def concordance(points: DataFrame, keys: list[str], also: dict[str, Column] | No
     each digit, and there every 1 meets all 0 in two running sums along the other side. The
     work is n log n, rows are dealt by digit and prefix, and no task holds a list of points.
     An event has two values, thus a single digit."""
-    order = lambda c: F.dense_rank().over(Window.partitionBy(*keys).orderBy(c)) - 1
     also, whole = also or {}, Window.partitionBy(*keys)
-    ranked = points.select(*keys, "w", order("p").alias("_p"), order("o").alias("_o"), *[x.alias(c) for c, x in also.items()])
-    ranked = ranked.withColumn("_mp", F.max("_p").over(whole)).withColumn("_mo", F.max("_o").over(whole))
+    if "_d_p" not in points.columns:
+        points = _ranked(_ranked(points, keys, "p"), keys, "o")
+    ranked = points.select(*keys, "w", F.col("_d_p").alias("_p"), F.col("_d_o").alias("_o"), *[x.alias(c) for c, x in also.items()])
+    ranked = ranked.withColumns({"_mp": F.max("_p").over(whole), "_mo": F.max("_o").over(whole)})
     swap = F.col("_mp") < F.col("_mo")
     few, many = F.when(swap, F.col("_p")).otherwise(F.col("_o")), F.when(swap, F.col("_o")).otherwise(F.col("_p"))
     digits = F.length(F.bin(F.least("_mp", "_mo")))
