@@ -108,7 +108,7 @@ def repeated(work: Callable[[], T], retries: int, wait: float) -> T:
 def write_figures(fields: DataFrame, folder: str, lead_days: int, most_members: int) -> list[str]:
     """The figure tables of a case, each a partition of one table for all cases."""
     spark, keys = fields.sparkSession, ["target_date", *CELL]
-    picked = planning.pick_members(spark, fields.agg(F.count_distinct("sample")).first()[0], most_members)
+    picked = planning.pick_of(fields.agg(F.count_distinct("sample").alias("total")), most_members)
     tables = {
         "event_panels": plots.panels(fields, keys, plots.EVENT_PANELS),
         "summary_panels": plots.panels(fields, keys, plots.SUMMARY_PANELS),
@@ -287,7 +287,7 @@ def figures(spark: SparkSession, cfg: readers.Config) -> list[str]:
             one = saved.where((F.col("target_date") == row["target_date"]) & (F.col("lead_days") == row["lead_days"])).drop("lead_days")
             made = write_figures(one, paths["figures"], row["lead_days"], cfg.max_map_members)
     if readers.exists(spark, f"{paths['processed']}/skill"):
-        skill = spark.read.parquet(f"{paths['processed']}/skill")
+        skill = readers.read_skill(spark, f"{paths['processed']}/skill")
         for metric in ("rho", "tau", "brier"):
             made.append(f"{paths['figures']}/skill_{metric}")
             sinks.write_table(plots.skill_maps(skill, metric), made[-1], ["extreme", "lead"])
@@ -351,7 +351,7 @@ def skill(spark: SparkSession, cfg: readers.Config, options: Options = Options()
         out = forcing.describe(out, column, long_name=text)
     path = f"{paths['processed']}/skill"
     sinks.write_table(out, path, ["extreme", "lead"], keep_others=True)
-    return spark.read.parquet(path)
+    return readers.read_skill(spark, path)
 
 
 def main(argv: list[str] | None = None) -> int:

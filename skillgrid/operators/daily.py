@@ -84,6 +84,12 @@ def with_valid_time(df: DataFrame, init: Column, time: str = "time", out: str =
     return df.join(places, time).withColumn(out, temporal.valid_time(init, position=F.col("_place"))).drop("_place")
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
+    """df with first_value, that of the first row within keys, and seen, the rows so far."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumns({"first_value": F.first(value).over(w), "seen": F.count("*").over(w)})
+
+
 def last_step(df: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 

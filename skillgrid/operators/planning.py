@@ -61,9 +61,12 @@ def member_chunks(members: DataFrame, size: int, sample: str = "sample") -> Data
     return chunks.agg(F.min(sample).alias("first_sample"), F.count("*").alias("n_members"))
 
 
-def chunk_manifest(cases: DataFrame, spark: SparkSession, members: int, size: int, root: str) -> DataFrame:
-    """A row for each case and chunk of members: where it runs and what it must make."""
-    chunks = member_chunks(spark.range(members).select(F.col("id").cast("int").alias("sample")), size)
+def chunk_manifest(cases: DataFrame, members: DataFrame | int, size: int, root: str, sample: str = "sample") -> DataFrame:
+    """A row for each case and chunk of members (a table of them, or their number): where it
+    runs and what it must make."""
+    if isinstance(members, int):
+        members = cases.sparkSession.range(members).select(F.col("id").cast("int").alias(sample))
+    chunks = member_chunks(members, size, sample)
     # members are few, so the product is as long as the manifest
     out = cases.select("target_date", "lead_days", "init_time", "required_6hour_steps").crossJoin(chunks)
     case = F.concat_ws("_", F.replace("target_date", F.lit("-"), F.lit("")), F.format_string("%03d", "lead_days"))
@@ -72,14 +75,30 @@ def chunk_manifest(cases: DataFrame, spark: SparkSession, members: int, size: in
     return out.select("target_date", "lead_days", "init_time", "chunk", F.col("n_members").alias("members"), folder.alias("output_dir"), steps)
 
 
-def pick_members(spark: SparkSession, total: int, most: int) -> DataFrame:
-    """sample: evenly spaced members, the first and the last included."""
-    n = max(0, min(most, total))
-    step = (total - 1) / (n - 1) if n > 1 else 0.0
-    i = F.col("id")
+def pick_of(totals: DataFrame, most: int, total: str = "total") -> DataFrame:
+    """sample: evenly spaced members of the `total` that a table of one row tells, the first
+    and the last included."""
+    n = F.greatest(F.lit(0), F.least(F.lit(most), F.col(total))).cast("int")
+    rows = totals.select(F.col(total).alias("total"), n.alias("n")).where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    step = F.when(F.col("n") > 1, F.try_divide(F.col("total") - 1, F.col("n") - 1)).otherwise(F.lit(0.0))
     # whole part of evenly spaced places; the last one is exact, not a product of roundings
-    place = F.when((i == n - 1) & (i > 0), F.lit(total - 1)).otherwise(F.floor(i * F.lit(step)))
-    return spark.range(n).select(place.cast("int").alias("sample")).distinct()
+    place = F.when((F.col("i") == F.col("n") - 1) & (F.col("i") > 0), F.col("total") - 1).otherwise(F.floor(F.col("i") * step))
+    return rows.select(place.cast("int").alias("sample")).distinct()
+
+
+def pick_members(spark: SparkSession, total: int, most: int) -> DataFrame:
+    """The same for a number that is known."""
+    return pick_of(spark.range(1).select(F.lit(total).alias("total")), most)
+
+
+def case_counts(pairs: DataFrame, case: list[str], cell: list[str]) -> DataFrame:
+    """n_cases (rows), n_years (distinct cases) and n_cells."""
+    return pairs.agg(F.count("*").alias("n_cases"), F.count_distinct(*case).alias("n_years"), F.count_distinct(*cell).alias("n_cells"))
+
+
+def levels(df: DataFrame, keys: list[str], values: str) -> DataFrame:
+    """keys, level, value: an array's places as a new axis."""
+    return df.select(*keys, F.posexplode(values).alias("level", "value"))
 
 
 def missing(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:

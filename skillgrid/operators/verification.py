@@ -121,6 +121,20 @@ def area_mean(df: DataFrame, by: list[str], value: str, lat: str = "lat") -> Dat
     return df.groupBy(*by).agg(F.try_divide(F.sum(x * w), F.sum(w)).alias("area_mean"))
 
 
+def area_means(df: DataFrame, values: list[str], lat: str = "lat") -> DataFrame:
+    """One row: the mean of each of `values`, weighted by cos(lat) over rows that have it."""
+    each = F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_x")) for c in values])
+    means = area_mean(df.select(F.col(lat).alias("_lat"), F.inline(each)), ["_of"], "_x", "_lat")
+    return means.agg(*[F.max(F.when(F.col("_of") == c, F.col("area_mean"))).alias(f"{c}_mean") for c in values])
+
+
+def error_limits(df: DataFrame, case: list[str], prob: str = "probability", obs: str = "observed") -> DataFrame:
+    """case, worst (greatest absolute error), n_cells and n_events."""
+    return df.groupBy(*case).agg(
+        F.max(F.abs(F.col(obs) - F.col(prob))).alias("worst"), F.count("*").alias("n_cells"), F.count_if(F.col(obs) == 1).alias("n_events")
+    )
+
+
 def stippled(skill: DataFrame, alpha: float = 0.05, brier: float = CLIMATE_BRIER) -> DataFrame:
     """skill with the marks of insignificant cells; undefined p-values are not marked."""
     a, b = F.lit(alpha), F.lit(brier)

@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from ..functions.geo import area_weight, in_box, signed_longitude
+from ..functions.geo import in_box, signed_longitude
 from ..functions.nulls import as_number
-from ..operators import climatology, daily, extremes, forcing, planning, plots, regrid, verification
-from ..sources import readers, synthetic
+from ..operators import climatology, daily, extremes, forcing, lag, planning, plots, regrid, verification
+from ..sources import readers, sinks, synthetic
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,7 +211,7 @@ def calendar_fallback(spark: SparkSession, sf: str) -> DataFrame:
 @query("time_slice_bbox", "SELECT event_id, user_id AS cell, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value FROM events WHERE ts "
         "BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 23:59:59' AND user_id BETWEEN 10 AND 90")
 def time_slice_bbox(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.series(spark, sf).where(F.col("ts").between(temporal.ntz("2024-01-05T00:00:00"), temporal.ntz("2024-01-12T23:59:59")) & F.col("cell").between(10, 90))
+    rows = readers.time_slice(T.series(spark, sf), "2024-01-05T00:00:00", "2024-01-12T23:59:59").where(F.col("cell").between(10, 90))
     return rows.select("event_id", "cell", clock("ts").alias("ts"), "value")
 
 
@@ -321,17 +321,34 @@ def window_climatology(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "window_months",
-    """WITH t AS (SELECT DATE '2000-01-10' AS target UNION ALL SELECT DATE '2000-02-29'),
-    c AS (SELECT target, coalesce(try_cast(y || strftime(target, '-%m-%d') AS DATE), make_date(y, 2, 28)) AS c FROM t, range(1996, 2001) AS r(y))
+    """WITH t AS (SELECT min(o_orderdate)::DATE AS target FROM orders UNION SELECT DATE '2000-02-29' FROM orders WHERE o_orderdate::DATE = DATE '2000-02-29'
+        UNION SELECT max(o_orderdate)::DATE FROM orders), y AS (SELECT min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders),
+    c AS (SELECT target, coalesce(try_cast(i || strftime(target, '-%m-%d') AS DATE), make_date(i, 2, 28)) AS c FROM t, y, range(1900, 2100) AS r(i) WHERE i BETWEEN a AND b)
     SELECT DISTINCT strftime(target, '%Y-%m-%d') AS target, year(c + d * INTERVAL 1 DAY)::BIGINT AS year, month(c + d * INTERVAL 1
         DAY)::BIGINT AS month FROM c, range(-15, 16) AS s(d)""",
 )
 def window_months(spark: SparkSession, sf: str) -> DataFrame:
-    targets = spark.createDataFrame([("2000-01-10",), ("2000-02-29",)], "target string").select(F.to_date("target").alias("target"))
-    out = climatology.window_months(targets, 15, F.lit(1996), F.lit(2000))
+    dates = T.load(spark, sf, "orders").select(F.to_date("o_orderdate").alias("target"))
+    ends = dates.agg(F.min("target").alias("a"), F.max("target").alias("b"), F.max(F.when(F.col("target") == "2000-02-29", F.col("target"))).alias("c"))
+    targets = ends.select(F.year("a").alias("first"), F.year("b").alias("last"), F.explode(F.array_compact(F.array("a", "b", "c"))).alias("target")).distinct()
+    out = climatology.window_months(targets, 15, F.col("first"), F.col("last"))
     return _long(out.withColumn("target", day("target")), "year", "month")
 
 
+@query("global_p90", "SELECT round(quantile_cont(l_extendedprice, 0.9), 6) AS threshold, count(l_extendedprice) AS n_samples FROM lineitem")
+def global_p90(spark: SparkSession, sf: str) -> DataFrame:
+    """One key with all rows, by rounds of counts."""
+    out = climatology.exact_quantile(T.load(spark, sf, "lineitem"), [], Q90, "l_extendedprice")
+    return out.withColumn("threshold", r6("threshold"))
+
+
+@query("flag_p10", "SELECT l_returnflag AS flag, round(quantile_cont(l_discount, 0.1), 6) AS threshold, count(l_discount) AS n_samples FROM lineitem GROUP BY 1")
+def flag_p10(spark: SparkSession, sf: str) -> DataFrame:
+    """Few keys with many equal values."""
+    out = climatology.exact_quantile(T.load(spark, sf, "lineitem"), ["l_returnflag"], Q10, "l_discount")
+    return out.select(F.col("l_returnflag").alias("flag"), r6("threshold").alias("threshold"), "n_samples")
+
+
 # --- ensemble events -----------------------------------------------------------------------
 
 
@@ -459,10 +476,8 @@ _skill_query(
         "round(sum(rho * cos(radians(lat))) / sum(CASE WHEN rho IS NOT NULL THEN cos(radians(lat)) END), 6) AS rho_mean FROM sk "
         "JOIN grid USING (cell)", "sk", "grid"))
 def area_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
-    rows = skill(spark, sf).join(T.grid(spark, sf), "cell")
-    w, ok = area_weight(F.col("lat")), F.col("rho").isNotNull()
-    mean = lambda x, w: r6(F.try_divide(F.sum(F.col(x) * w), F.sum(w)))
-    return rows.agg(mean("brier", w).alias("brier_mean"), mean("rho", F.when(ok, w)).alias("rho_mean"))
+    out = verification.area_means(skill(spark, sf).join(T.grid(spark, sf), "cell"), ["brier", "rho"])
+    return out.select(r6("brier_mean").alias("brier_mean"), r6("rho_mean").alias("rho_mean"))
 
 
 @query("area_mean_by_year", sql("SELECT year::BIGINT AS year, round(sum(probability * cos(radians(lat))) / sum(cos(radians(lat))), "
@@ -490,8 +505,8 @@ def stipple_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("yearly_means", sql("SELECT year::BIGINT AS year, round(avg(observed), 6) AS obs_frac, round(avg(probability), 6) AS "
         "pred_prob_mean, count(*) AS n_cells FROM po GROUP BY year", "po"))
 def yearly_means(spark: SparkSession, sf: str) -> DataFrame:
-    out = pairs(spark, sf).groupBy("year").agg(r6(F.avg("observed")).alias("obs_frac"), r6(F.avg("probability")).alias("pred_prob_mean"), F.count("*").alias("n_cells"))
-    return _long(out, "year")
+    out = verification.case_metrics(pairs(spark, sf), CASE)
+    return _long(out.select("year", r6("frac_obs_extreme").alias("obs_frac"), r6("mean_pred_prob").alias("pred_prob_mean"), "n_cells"), "year")
 
 
 # --- grids, members, files -----------------------------------------------------------------
@@ -527,14 +542,16 @@ def member_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @query("member_pick", "WITH n AS (SELECT count(DISTINCT l_linenumber) AS n FROM lineitem) SELECT DISTINCT floor(i * (n - 1) / "
         "(least(n, 4) - 1))::BIGINT AS sample FROM n, range(4) AS r(i) WHERE i < least(n, 4)")
 def member_pick(spark: SparkSession, sf: str) -> DataFrame:
-    n = T.load(spark, sf, "lineitem").agg(F.count_distinct("l_linenumber")).first()[0]
-    return _long(planning.pick_members(spark, n, 4), "sample")
+    totals = T.load(spark, sf, "lineitem").agg(F.count_distinct("l_linenumber").alias("total"))
+    return _long(planning.pick_of(totals, 4), "sample")
 
 
-@query("member_pick_31_of_12", "SELECT DISTINCT CASE WHEN i = 11 THEN 30 ELSE floor(i * (30 / 11.0::DOUBLE)) END::BIGINT AS sample "
-        "FROM range(12) AS r(i)")
+@query("member_pick_31_of_12", "WITH n AS (SELECT count(DISTINCT day(l_shipdate)) AS n FROM lineitem) SELECT DISTINCT CASE WHEN i = 11 "
+        "THEN n - 1 ELSE floor(i * ((n - 1) / 11.0::DOUBLE)) END::BIGINT AS sample FROM n, range(12) AS r(i)")
 def member_pick_31_of_12(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(planning.pick_members(spark, 31, 12), "sample")
+    """The days of the month as members, 31 of them."""
+    totals = T.load(spark, sf, "lineitem").agg(F.count_distinct(F.dayofmonth("l_shipdate")).alias("total"))
+    return _long(planning.pick_of(totals, 12), "sample")
 
 
 @query("concat_samples", "SELECT (CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber - 1 ELSE l_linenumber + 4 END)::BIGINT AS sample, "
@@ -634,18 +651,20 @@ def member_maps(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def skill_maps_saved(spark: SparkSession, sf: str) -> DataFrame:
-    saved = skill(spark, sf).join(T.grid(spark, sf), "cell").withColumns({"extreme": F.lit("heat"), "lead": F.lit("030d"), "threshold_pct": F.lit(90)})
-    return plots.skill_maps(saved, "brier").withColumn("value", r6("value"))
+    """Writes the skill table as the command does, and reads the maps from what it wrote."""
+    folder = sinks.scratch_folder(spark, "skill")
+    sinks.write_skill(skill(spark, sf).join(T.grid(spark, sf), "cell"), folder, "heat", "030d", threshold_pct=90)
+    return plots.skill_maps(readers.read_skill(spark, folder), "brier").withColumn("value", r6("value"))
 
 
 @query("case_counts", sql("SELECT count(*) AS n_cases, count(DISTINCT year) AS n_years, count(DISTINCT cell) AS n_cells FROM po", "po"))
 def case_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf).agg(F.count("*").alias("n_cases"), F.count_distinct("year").alias("n_years"), F.count_distinct("cell").alias("n_cells"))
+    return planning.case_counts(pairs(spark, sf), CASE, CELL)
 
 
 @query("exact_date", sql("SELECT cell::BIGINT AS cell, strftime(date, '%Y-%m-%d') AS date, value FROM obd WHERE date = (SELECT min(date) FROM obd)", "obd"))
 def exact_date(spark: SparkSession, sf: str) -> DataFrame:
-    first = T.load(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")).cast("string")).first()[0]
+    first = T.load(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")).alias("date"))
     return _long(daily.on_date(T.observed_daily(spark, sf), first).withColumn("date", day("date")), "cell")
 
 
@@ -666,33 +685,104 @@ def valid_time_units(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", *[clock(t).alias(n) for n, t in times.items()])
 
 
-_SIDE = "SELECT (i // 8) / 7.0::DOUBLE AS y, (i % 8) / 7.0::DOUBLE AS x FROM range(64) AS r(i)"
+@query(
+    "valid_time_of_axes",
+    """SELECT event_id, strftime(TIMESTAMP '2000-02-28 06:00:00' + to_microseconds(event_id * 60000000), '%Y-%m-%d %H:%M:%S') AS by_micros,
+    strftime(TIMESTAMP '2000-02-28 06:00:00' + to_hours(event_id::INT), '%Y-%m-%d %H:%M:%S') AS by_hours,
+    strftime(TIMESTAMP '1940-01-01 12:00:00' + to_hours(event_id::INT), '%Y-%m-%d %H:%M:%S') AS by_reference,
+    strftime(TIMESTAMP '2000-02-28 06:00:00' + to_hours((6 + 6 * (dense_rank() OVER (ORDER BY event_id) - 1))::INT), '%Y-%m-%d %H:%M:%S') AS by_place FROM events""",
+)
+def valid_time_of_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """One axis in four ways to write it: the units in its metadata choose the branch."""
+    out, init = T.series(spark, sf).select("event_id"), temporal.ntz("2000-02-28T06:00:00")
+    axes = {
+        "by_micros": (F.col("event_id") * 60_000_000, {"units": "microseconds"}), "by_hours": (F.col("event_id"), {"units": "hours"}),
+        "by_reference": (F.col("event_id"), {"units": "hours since 1940-01-01T12:00:00"}), "by_place": (F.col("event_id"), {}),
+    }
+    for name, (axis, told) in axes.items():
+        out = daily.with_valid_time(out.withColumn("axis", axis).withMetadata("axis", told), init, "axis", name).withColumn(name, clock(name)).drop("axis")
+    return out
+
+
+LEADS, LEAD_MONTHS = {"030d": 30, "060d": 60, "090d": 90}, {"030d": 12, "060d": 12, "090d": 1}
+VIEWS |= {
+    "lagdays": "SELECT c_nationkey % 5 AS cell, o_orderdate::DATE AS date, max(o_totalprice) AS high, min(o_totalprice) AS low FROM orders JOIN customer "
+    "ON o_custkey = c_custkey GROUP BY ALL",
+    "lagfc": "SELECT s_nationkey % 5 AS cell, year(l_shipdate)::INT AS year, l_linenumber - 1 AS sample, 30 * (1 + month(l_shipdate) % 3)::INT AS lead_days, "
+    "5 * max_by(l_extendedprice, (l_shipdate, l_orderkey, l_extendedprice)) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL",
+    "lagl": "SELECT * FROM (VALUES ('030d', 30, 12), ('060d', 60, 12), ('090d', 90, 1)) AS v(lead, lead_days, month)",
+    "lagcl": "SELECT lead, lead_days, cell, quantile_cont(high, 0.9) AS hot, quantile_cont(low, 0.1) AS cold FROM lagdays JOIN lagl ON month(date) = lagl.month "
+    "WHERE year(date) BETWEEN 1995 AND 2001 GROUP BY ALL",
+    "lagp": "SELECT lead, cell, year, avg((value > hot)::INT) AS heat, avg((value < cold)::INT) AS cold FROM lagfc JOIN lagcl USING (lead_days, cell) GROUP BY ALL",
+    "lago": "SELECT lead, cell, (year(date - lead_days))::INT AS year, (high > hot)::INT::DOUBLE AS heat, (low < cold)::INT::DOUBLE AS cold FROM lagdays JOIN lagcl USING (cell) "
+    "WHERE month(date - lead_days) = 11 AND day(date - lead_days) = 1",
+    "lagpo": "SELECT extreme, lead, cell, p, o, row_number() OVER (PARTITION BY extreme, lead, cell ORDER BY year) AS i FROM (SELECT 'heat' AS extreme, lead, cell, year, a.heat "
+    "AS p, b.heat AS o FROM lagp a JOIN lago b USING (lead, cell, year) UNION ALL SELECT 'cold', lead, cell, year, a.cold, b.cold FROM lagp a JOIN lago b USING (lead, cell, year))",
+    "lagr": "SELECT extreme, lead, cell, count(*) AS n, avg((p - o) * (p - o)) AS brier, stddev_pop(o) AS std FROM lagpo GROUP BY ALL",
+    "lags": "SELECT a.extreme, a.lead, a.cell, sum(sign(a.p - b.p) * sign(a.o - b.o))::DOUBLE AS s, count_if(a.p = b.p)::DOUBLE AS ptie, count_if(a.o = b.o)::DOUBLE AS otie, "
+    "count(*)::DOUBLE AS pairs FROM lagpo a JOIN lagpo b ON a.extreme = b.extreme AND a.lead = b.lead AND a.cell = b.cell AND a.i < b.i GROUP BY ALL",
+}
+_NEEDS |= {"lagcl": ["lagdays", "lagl"], "lagp": ["lagfc", "lagcl"], "lago": ["lagdays", "lagcl"], "lagpo": ["lagp", "lago"], "lagr": ["lagpo"], "lags": ["lagpo"]}
+
+
+@query(
+    "skill_all_leads",
+    sql(
+        """SELECT extreme, lead, cell::BIGINT AS cell, n::BIGINT AS n, round(brier, 6) AS brier, CASE WHEN std > 0 THEN round(s / nullif(sqrt((pairs - ptie) * (pairs - otie)), 0), 6) END AS tau
+        FROM lagr LEFT JOIN lags USING (extreme, lead, cell)""",
+        "lagr", "lags",
+    ),
+)
+def skill_all_leads(spark: SparkSession, sf: str) -> DataFrame:
+    """Maps of three leads and two extremes from one pass over lines and one over orders."""
+    lines = T.load(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_shipdate", "l_extendedprice", F.year("l_shipdate").alias("year"), (F.col("l_linenumber") - 1).alias("sample"))
+    lines = lines.join(T.load(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % 5).alias("cell")), "l_suppkey")
+    last = 5 * F.max_by("l_extendedprice", F.struct("l_shipdate", "l_orderkey", "l_extendedprice"))
+    snaps = lines.groupBy("cell", "year", "sample", (30 * (1 + F.month("l_shipdate") % 3)).alias("lead_days")).agg(last.alias("high")).withColumn("low", F.col("high"))
+    orders = T.load(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("date"), "o_totalprice")
+    orders = orders.join(T.load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_nationkey") % 5).alias("cell")), "o_custkey")
+    days = orders.groupBy("cell", "date").agg(F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"))
+    climate = lag.climate_and_observed(days, LEADS, LEAD_MONTHS, list(range(1900, 2100)), (1995, 2001), CELL)
+    out = lag.skill_maps(lag.verification_pairs(snaps, climate, CELL), CELL)
+    return _long(out.select("extreme", "lead", "cell", "n", r6("brier").alias("brier"), r6("tau").alias("tau")), "cell")
+
+
+# Analytic fields on the grid of nations, places from 0 to 1.
+_SIDE = "SELECT (lat - min(lat) OVER ()) / (max(lat) OVER () - min(lat) OVER ()) AS y, (lon - min(lon) OVER ()) / (max(lon) OVER () - min(lon) OVER ()) AS x, lat, lon FROM grid"
+
+
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    return synthetic.on_box(T.grid(spark, sf))
 
 
-@query("synthetic_observation", f"SELECT round(35 + 2 * y, 6) AS lat, round(250 + 2 * x, 6) AS lon, round(25 + 3 * y + 1.5 * x, 6) AS value FROM ({_SIDE})")
+@query("synthetic_observation", sql(f"SELECT lat, lon, round(25 + 3 * y + 1.5 * x, 6) AS value FROM ({_SIDE})", "grid"))
 def synthetic_observation(spark: SparkSession, sf: str) -> DataFrame:
-    return synthetic.observation(spark).select(*[r6(c).alias(c) for c in ("lat", "lon", "value")])
+    return synthetic.observation(spark, _grid(spark, sf)).select("lat", "lon", r6("value").alias("value"))
 
 
-@query("synthetic_climate", f"SELECT round(35 + 2 * y, 6) AS lat, round(250 + 2 * x, 6) AS lon, 22.0::DOUBLE AS baseline, 1.0::DOUBLE AS threshold FROM ({_SIDE})")
+@query("synthetic_climate", sql("SELECT lat, lon, 22.0::DOUBLE AS baseline, 1.0::DOUBLE AS threshold FROM grid", "grid"))
 def synthetic_climate(spark: SparkSession, sf: str) -> DataFrame:
-    return synthetic.climate(synthetic.observation(spark)).select(*[r6(c).alias(c) for c in ("lat", "lon", "baseline", "threshold")])
+    out = synthetic.climate(synthetic.observation(spark, _grid(spark, sf)))
+    return out.select("lat", "lon", *[F.col(c).cast("double").alias(c) for c in ("baseline", "threshold")])
 
 
 @query(
     "synthetic_forecast",
-    f"""SELECT m::BIGINT AS sample, s::BIGINT AS step, round(35 + 2 * y, 6) AS lat, round(250 + 2 * x, 6) AS lon,
-    round(294 + 5 * s / 15.0::DOUBLE + 1.5 * sin(pi() * y) + 0.02 * 4, 2) AS value FROM ({_SIDE}), range(3) AS a(m), range(16) AS b(s)""",
+    sql(
+        f"""SELECT m::BIGINT AS sample, s::BIGINT AS step, lat, lon, round(294 + 5 * s / 15.0::DOUBLE + 1.5 * sin(pi() * y) + 0.02 * 4, 2) AS value
+        FROM ({_SIDE}), range(3) AS a(m), range(16) AS b(s)""",
+        "grid",
+    ),
 )
 def synthetic_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    rows = synthetic.forecast(spark, 4, noise=0.0)
-    return _long(rows.select("sample", "step", r6("lat").alias("lat"), r6("lon").alias("lon"), F.round(F.col("TMP2m").cast("double"), 2).alias("value")), "sample", "step")
+    rows = synthetic.forecast(spark, 4, noise=0.0, grid=_grid(spark, sf))
+    return _long(rows.select("sample", "step", "lat", "lon", F.round(F.col("TMP2m").cast("double"), 2).alias("value")), "sample", "step")
 
 
 @query("embedding_long", "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS level, unnest(embedding)::DOUBLE AS "
         "value FROM embeddings")
 def embedding_long(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.load(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("level", "value"))
+    rows = planning.levels(T.load(spark, sf, "embeddings"), ["vec_id"], "embedding")
     return _long(rows.withColumn("value", F.col("value").cast("double")), "level")
 
 
@@ -700,7 +790,7 @@ def embedding_long(spark: SparkSession, sf: str) -> DataFrame:
         "max(embedding[i])::DOUBLE AS top FROM embeddings, (SELECT unnest(range(1, 1 + (SELECT max(len(embedding)) FROM "
         "embeddings))) AS i) WHERE i <= len(embedding) GROUP BY ALL")
 def embedding_stack(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.load(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("level", "value"))
+    rows = planning.levels(T.load(spark, sf, "embeddings"), ["label"], "embedding")
     out = rows.groupBy("label", "level").agg(r6(F.avg(F.col("value").cast("double"))).alias("mean"), F.max("value").cast("double").alias("top"))
     return _long(out, "label", "level")
 
@@ -709,8 +799,8 @@ def embedding_stack(spark: SparkSession, sf: str) -> DataFrame:
         "count(*) OVER w AS seen, event_id FROM ts WINDOW w AS (PARTITION BY cell, strftime(ts, '%Y-%m') ORDER BY ts, event_id)", "ts"))
 def running_first_last(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.series(spark, sf).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    w = Window.partitionBy("cell", "month").orderBy("ts", "event_id")
-    return rows.select("cell", "month", r6(F.first("value").over(w)).alias("first_value"), F.count("*").over(w).alias("seen"), "event_id")
+    out = daily.running(rows, ["cell", "month"], ["ts", "event_id"])
+    return out.select("cell", "month", r6("first_value").alias("first_value"), "seen", "event_id")
 
 
 @query("positional_gather", "SELECT event_id, value FROM events WHERE event_id IN (0, 7, 99, 500)")
@@ -754,17 +844,20 @@ def cf_time(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "chunk_manifest",
-    """SELECT '2014-04-01' AS target_date, lead::BIGINT AS lead_days, c::BIGINT AS chunk, CASE WHEN c = 5 THEN 2 ELSE 5 END::BIGINT AS members,
-    'runs/20140401_' || lpad(lead::VARCHAR, 3, '0') || '/chunk_' || lpad(c::VARCHAR, 2, '0') AS output_dir, (4 * lead)::BIGINT AS
-        expected_steps FROM (SELECT unnest([31, 59]) AS lead), range(6) AS r(c)""",
+    """WITH m AS (SELECT DISTINCT l_linenumber - 1 AS s FROM lineitem), k AS (SELECT s // 5 AS c, count(*) AS members FROM m GROUP BY 1),
+    t AS (SELECT make_date(1995 + r_regionkey, 4, 1) AS target FROM region)
+    SELECT strftime(target, '%Y-%m-%d') AS target_date, lead::BIGINT AS lead_days, c::BIGINT AS chunk, members::BIGINT AS members,
+    'runs/' || strftime(target, '%Y%m%d') || '_' || lpad(lead::VARCHAR, 3, '0') || '/chunk_' || lpad(c::VARCHAR, 2, '0') AS output_dir, (4 * lead)::BIGINT AS
+        expected_steps FROM t, (SELECT unnest([31, 59]) AS lead), k""",
 )
 def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    cases = planning.build_cases(spark, ["2014-04-01"], [31, 59], "x")
-    return _long(planning.chunk_manifest(cases, spark, 27, 5, "runs/").drop("init_time"), "lead_days", "chunk", "members", "expected_steps")
+    targets = T.load(spark, sf, "region").select(F.make_date(F.col("r_regionkey") + 1995, F.lit(4), F.lit(1)).alias("target"))
+    members = T.load(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).alias("sample"))
+    cases = planning.build_cases(spark, targets, [31, 59], "x")
+    return _long(planning.chunk_manifest(cases, members, 5, "runs/").drop("init_time"), "lead_days", "chunk", "members", "expected_steps")
 
 
 @query("case_fields_limits", sql("SELECT year::BIGINT AS year, round(max(abs(observed - probability)), 6) AS worst, count(*) AS "
         "n_cells, count_if(observed = 1)::BIGINT AS n_events FROM po GROUP BY year", "po"))
 def case_fields_limits(spark: SparkSession, sf: str) -> DataFrame:
-    out = pairs(spark, sf).groupBy("year").agg(r6(F.max(F.abs(F.col("observed") - F.col("probability")))).alias("worst"), F.count("*").alias("n_cells"), F.count_if(F.col("observed") == 1).alias("n_events"))
-    return _long(out, "year")
+    return _long(verification.error_limits(pairs(spark, sf), CASE).withColumn("worst", r6("worst")), "year")

@@ -12,6 +12,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.geo import in_box
 from ..operators.daily import LATITUDE, LONGITUDE, TEMPERATURE, pick_column
@@ -79,6 +80,14 @@ def _names(columns: list[str], value: str) -> dict[str, str]:
     return {pick_column(columns, TEMPERATURE, "temperature"): value, pick_column(columns, LATITUDE, "latitude"): "lat", pick_column(columns, LONGITUDE, "longitude"): "lon"}
 
 
+def read_skill(spark: SparkSession, path: str) -> DataFrame:
+    """Saved skill tables. The names of extremes and leads are text: left to itself, Spark
+    takes a folder lead=030d for the number 30."""
+    fields = spark.read.parquet(path).schema.fields
+    named = [StructField(f.name, StringType()) if f.name in ("extreme", "lead") else f for f in fields]
+    return spark.read.schema(StructType(named)).parquet(path)
+
+
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=PLAN_SCHEMA)
 

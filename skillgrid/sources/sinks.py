@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import csv
 import html
 import json
 import os
+import tempfile
+import uuid
 from decimal import ROUND_HALF_EVEN, Decimal
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -93,6 +96,26 @@ def write_run_configs(manifest: list[dict[str, Any]], folder: str, settings: dic
     return out
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a query writes and reads again: below spark.checkpoint.dir,
+    which all executors share, or, only on a local master without that setting, below this
+    machine's temporary folder. It goes when the application ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='skillgrid-core-')}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def layout(root: str) -> dict[str, str]:
     """Folders of a run."""
     return {n: f"{root.rstrip('/')}/{n}" for n in ("cache", "processed", "metrics", "figures", "plans", "logs")}

@@ -134,7 +134,7 @@ def lag_files(root, years, members, leads, odd=()):
             t = np.arange(1, steps + 1) * 21600.0 * 10**6
             hours = 6 * (k - 12) + t / 3600e6
             heat = 8.0 * (year % 2) * (np.floor(hours / 24) == leads[0]) * (k % 5 != 0)
-            values = (280 + heat)[None, :, None, None] + np.cos(hours / 24 * 2 * np.pi)[None, :, None, None] + np.zeros((1, steps, 3, 2)) + 0.01 * k
+            values = (280 + heat)[None, :, None, None] + np.cos(hours / 24 * 2 * np.pi)[None, :, None, None] + np.zeros((1, steps, 3, 2)) + 0.001 * k
             at = {"sample": (("sample",), np.zeros(1)), "time": (("time",), t), "lat": (("lat",), lat), "lon": (("lon",), lon)}
             name = Path(root, str(year), f"member_{k:02d}", "out.nc")
             name.parent.mkdir(parents=True, exist_ok=True)
@@ -170,6 +170,7 @@ def test_skill_command(spark, tmp_path, capsys):
             assert (r["rho"] == pytest.approx(1.0) and r["tau"] == pytest.approx(1.0)) if lat < 37 else r["rho"] is None
     assert {(r["extreme"], r["threshold_pct"]) for r in rows.values()} == {("heat", 90), ("cold", 10)}
     assert set(cli.figures(spark, cfg)) == {f"{tmp_path}/out/figures/skill_{m}" for m in ("rho", "tau", "brier")}
+    assert Path(tmp_path, "out/figures/skill_tau/extreme=cold/lead=040d").is_dir()
     # nothing is read again, but a repaired file and its year are
     stamp = lambda: {p: p.stat().st_mtime_ns for p in Path(tmp_path, "out/processed/snapshots").rglob("*.parquet")} | {p: p.stat().st_mtime_ns for p in Path(tmp_path, "out/cache").rglob("*.parquet")}
     before = stamp()
@@ -212,7 +213,7 @@ def test_only_months_that_are_asked_for_are_read(spark, tmp_path):
 
 def test_run_configs(spark, tmp_path):
     cases = planning.build_cases(spark, ["2014-04-01"], [31], "x")
-    manifest = [r.asDict() for r in planning.chunk_manifest(cases, spark, 7, 5, f"{tmp_path}/raw").orderBy("chunk").collect()]
+    manifest = [r.asDict() for r in planning.chunk_manifest(cases, 7, 5, f"{tmp_path}/raw").orderBy("chunk").collect()]
     names = sinks.write_run_configs(manifest, f"{tmp_path}/configs", {"checkpoint_path": "m.ckpt", "initial_condition": {"path": "ic.nc"}})
     got = [json.loads(Path(n).read_text()) for n in names]
     assert [g["n_ensemble_per_ic"] for g in got] == [5, 2] and {g["n_forward_steps"] for g in got} == {124}

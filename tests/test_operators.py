@@ -143,6 +143,22 @@ def test_concordance_equals_all_pairs(spark):
             assert got[key] == sum(a[3] * b[3] * sign(a[1] - b[1]) * sign(a[2] - b[2]) for i, a in enumerate(own) for b in own[:i])
 
 
+@pytest.mark.parametrize("few", [3, 50, 20_000])
+def test_exact_quantiles_in_rounds(spark, few):
+    rng = random.Random(few)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(700)] + [("b", float(rng.randint(0, 4))) for _ in range(300)] + [("c", 5.0)] * 200
+    rows += [("d", 1.0), ("d", 2.0), ("e", None), ("f", float("nan")), ("f", 3.0), (None, 1.0), (None, -0.0), (None, 1e300), ("g", -1e-300), ("g", 1e-300)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(3)
+    for q in (0.0, 0.1, 0.5, 0.9, 1.0):
+        got = {r["k"]: (r["threshold"], r["n_samples"]) for r in climatology.exact_quantile(df, ["k"], q, few=few).collect()}
+        want = {r["k"]: (r["threshold"], r["n_samples"]) for r in climatology.threshold(df, ["k"], q).collect()}
+        assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and (got[k][0] is None if want[k][0] is None else got[k][0] == pytest.approx(want[k][0], rel=1e-12)) for k in want)
+    one = climatology.exact_quantile(df, [], 0.3, few=few).collect()
+    want = climatology.threshold(df.selectExpr("1 as k", "value"), ["k"], 0.3).first()
+    assert len(one) == 1 and one[0]["threshold"] == pytest.approx(want["threshold"]) and one[0]["n_samples"] == want["n_samples"]
+    assert climatology.exact_quantile(df.where("k = 'z'"), ["k"], 0.5).count() == 0
+
+
 def test_year_steps(spark):
     years = spark.createDataFrame([(1900,), (2000,), (2001,)], "y int")
     got = {r["y"]: r["s"] for r in years.select("y", temporal.six_hour_steps(F.col("y")).alias("s")).collect()}
