@@ -690,18 +690,18 @@ def valid_time_units(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT event_id, strftime(TIMESTAMP '2000-02-28 06:00:00' + to_microseconds(event_id * 60000000), '%Y-%m-%d %H:%M:%S') AS by_micros,
     strftime(TIMESTAMP '2000-02-28 06:00:00' + to_hours(event_id::INT), '%Y-%m-%d %H:%M:%S') AS by_hours,
     strftime(TIMESTAMP '1940-01-01 12:00:00' + to_hours(event_id::INT), '%Y-%m-%d %H:%M:%S') AS by_reference,
-    strftime(TIMESTAMP '2000-02-28 06:00:00' + to_hours((6 + 6 * (dense_rank() OVER (ORDER BY event_id) - 1))::INT), '%Y-%m-%d %H:%M:%S') AS by_place FROM events""",
+    strftime(TIMESTAMP '2000-02-28 06:00:00' + to_hours((6 + 6 * (dense_rank() OVER (ORDER BY hour(ts)) - 1))::INT), '%Y-%m-%d %H:%M:%S') AS by_place FROM events""",
 )
 def valid_time_of_axes(spark: SparkSession, sf: str) -> DataFrame:
     """One axis in four ways to write it: the units in its metadata choose the branch."""
-    out, init = T.series(spark, sf).select("event_id"), temporal.ntz("2000-02-28T06:00:00")
+    out, init = T.series(spark, sf).select("event_id", "ts"), temporal.ntz("2000-02-28T06:00:00")
     axes = {
         "by_micros": (F.col("event_id") * 60_000_000, {"units": "microseconds"}), "by_hours": (F.col("event_id"), {"units": "hours"}),
-        "by_reference": (F.col("event_id"), {"units": "hours since 1940-01-01T12:00:00"}), "by_place": (F.col("event_id"), {}),
+        "by_reference": (F.col("event_id"), {"units": "hours since 1940-01-01T12:00:00"}), "by_place": (F.hour("ts"), {}),
     }
     for name, (axis, told) in axes.items():
         out = daily.with_valid_time(out.withColumn("axis", axis).withMetadata("axis", told), init, "axis", name).withColumn(name, clock(name)).drop("axis")
-    return out
+    return out.drop("ts")
 
 
 LEADS, LEAD_MONTHS = {"030d": 30, "060d": 60, "090d": 90}, {"030d": 12, "060d": 12, "090d": 1}
