@@ -4,6 +4,15 @@ Each stage takes (spark, docs, sf_dir), where docs has the columns of the docume
 (doc_id, text, lang, source, n_chars), works on all of it, and returns a DataFrame; all but
 the last return the same columns. run() applies them in order, writing each result to the
 shared scratch folder, so a lost executor costs no more than the stage at hand.
+
+Awkward rows, stage by stage: null, empty and letterless texts have no language and go in the
+first stage; given to later ones, null texts pass the line stage and near-dedup as they are, are not
+chosen by mixing, and have no ids. A null source is a host and a leaf of its own (""), a
+null language is a label of none. Repeated rows stay repeated rows, in near-dedup too: of
+equal texts the least id stays, with all of its rows, and rows without an id always stay;
+of ids with several texts each text counts. Ties at a margin or ratio keep the document.
+Texts are read whole however long, an empty table stays empty, and columns other than those
+of documents are not read and not returned.
 """
 
 from __future__ import annotations
