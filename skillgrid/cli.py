@@ -216,11 +216,17 @@ class Ledger:
 
 
 def plan(spark: SparkSession, cfg: readers.Config, options: Options = Options()) -> DataFrame:
-    """The cases, printed and (unless dry) written."""
+    """The cases, printed and (unless dry) written. With `model` settings also the chunks of
+    members in which the model runs (members_per_chunk), and a configuration for each, of
+    the model's own `settings`."""
     targets = [t for t in cfg.target_dates if not options.targets or t in options.targets]
-    cases = planning.build_cases(spark, targets, cfg.lead_days, cfg.prediction_pattern)
+    cases, folder = planning.build_cases(spark, targets, cfg.lead_days, cfg.prediction_pattern), sinks.layout(cfg.output_root)["plans"]
     if not options.dry_run:
-        sinks.write_csv(cases, f"{sinks.layout(cfg.output_root)['plans']}/cases")
+        sinks.write_csv(cases, f"{folder}/cases")
+        if cfg.model:
+            chunks = planning.chunk_manifest(cases, cfg.expected_members, int(cfg.model.get("members_per_chunk", 5)), f"{cfg.output_root}/runs")
+            sinks.write_csv(chunks.orderBy("target_date", "lead_days", "chunk"), f"{folder}/chunks")
+            sinks.write_run_configs([r.asDict() for r in chunks.collect()], f"{folder}/configs", cfg.model.get("settings", {}))
     cases.show(1000, truncate=False)
     return cases
 

@@ -147,6 +147,7 @@ class Config:
     figure_formats: list[str] = field(default_factory=lambda: ["png"])
     max_map_members: int = 6
     skill: dict[str, Any] = field(default_factory=dict)
+    model: dict[str, Any] = field(default_factory=dict)
 
     @classmethod
     def from_mapping(cls, raw: dict[str, Any], base: Path) -> Config:
@@ -161,7 +162,7 @@ class Config:
             own(raw["output_root"]), [str(x) for x in raw["target_dates"]], [int(x) for x in raw["lead_days"]], tuple(float(x) for x in raw["bbox"]),
             int(raw["expected_members"]), int(raw["baseline_start_year"]), str(store), own(raw["prediction_pattern"]),
             raw.get("baseline_end_year") and int(raw["baseline_end_year"]), list(raw.get("figure_formats", ["png"])), int(raw.get("max_map_members", 6)),
-            dict(raw.get("skill", {})),
+            dict(raw.get("skill", {})), dict(raw.get("model", {})),
         )
 
     @classmethod

@@ -221,6 +221,22 @@ def test_run_configs(spark, tmp_path):
     assert names[1].endswith("2014-04-01_031/chunk001.yaml")
 
 
+def test_plan_writes_chunks_and_their_configurations(spark, tmp_path):
+    raw = {
+        "output_root": "out", "target_dates": ["2014-04-01", "2015-04-01"], "lead_days": [31], "bbox": [0, 1, 2, 3], "expected_members": 7, "baseline_start_year": 1990, "analysis": "a",
+        "prediction_pattern": "p_{lead:03d}", "model": {"members_per_chunk": 3, "settings": {"checkpoint_path": "m.ckpt"}},
+    }
+    cfg = readers.Config.from_mapping(raw, Path(tmp_path))
+    cli.plan(spark, cfg, cli.Options(dry_run=True))
+    assert not Path(tmp_path, "out").exists()
+    cli.plan(spark, cfg)
+    chunks = spark.read.csv(f"{tmp_path}/out/plans/chunks", header=True).collect()
+    assert [(r["target_date"], r["chunk"], r["members"]) for r in chunks] == [(d, str(c), m) for d in raw["target_dates"] for c, m in ((0, "3"), (1, "3"), (2, "1"))]
+    one = json.loads(Path(tmp_path, "out/plans/configs/2015-04-01_031/chunk002.yaml").read_text())
+    assert one["n_ensemble_per_ic"] == 1 and one["n_forward_steps"] == 124 and one["checkpoint_path"] == "m.ckpt"
+    assert one["experiment_dir"] == f"{tmp_path}/out/runs/20150401_031/chunk_02" and one["initial_condition"]["start_indices"] == {"times": ["2015-03-01T00:00:00"]}
+
+
 def test_configuration(tmp_path):
     with pytest.raises(KeyError, match="lead_days"):
         readers.Config.from_mapping({"output_root": "x"}, tmp_path)
