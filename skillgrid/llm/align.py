@@ -40,7 +40,7 @@ from .bpe import _Table, ragged
 from .common import Scratch, hand_back, load, reach, slices
 
 #: Characters that are aligned at once, and distinct pairs after which a block ends.
-SLICE, BLOCK_PAIRS = 4 << 20, 1_000_000
+SLICE, BLOCK_PAIRS = 2 << 20, 1_000_000
 
 
 def default_vocabularies() -> tuple[str, str]:
