@@ -25,15 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, map_batches, reach, search_sorted, shuffle_partitions, slices
+from .common import load, map_batches, reach, shuffle_partitions, slices
 
 MIN, NORMAL, MAX = 8, 32, 128
 #: Zero bits asked for at the top of the hash before and after the normal size.
 STRICT, LOOSE = 7, 3
 _WINDOW = 32
+#: Bytes of text for a task beyond the usual number of tasks, keys that the driver sees for
+#: each range of rows, and characters of a text that tell rows of one id apart there.
+TASK_BYTES, SAMPLES, PREFIX = 1 << 30, 8, 32
 
 
 def _gear() -> np.ndarray:
@@ -139,22 +142,27 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return map_batches(rows, f"`{id_col}` {kind}, fingerprint string, n_chunks long, weight long", work, "t")
 
 
-def _ranges(rows: DataFrame) -> tuple[list[int], list[int], list[int]]:
-    """Bounds of ranges of the order key, each range's least key, and the range before
-    each (the last, for the first): a few numbers for each shuffle partition."""
-    n = 4 * shuffle_partitions(rows.sparkSession)
-    cuts = [i / n for i in range(1, n)]
-    found = rows.agg(F.percentile_approx("o", cuts, 20 * n)).first()[0] or []
-    bounds = sorted(set(found))
-    firsts = rows.groupBy(search_sorted(bounds, F.col("o")).alias("r")).agg(F.min("o").alias("o")).collect()
-    least: list[int | None] = [None] * (len(bounds) + 1)
-    before = [0] * (len(bounds) + 1)
-    have = sorted(r["r"] for r in firsts)
-    for r in firsts:
-        least[r["r"]] = r["o"]
-    for i, r in enumerate(have):
-        before[r] = have[i - 1]
-    return bounds, least, before
+def _bounds(rows: DataFrame) -> tuple[list[tuple[int, str]], int]:
+    """Least keys of ranges of rows in order of (o, p), and the tasks that they are for.
+
+    Each bound is the key of a row, so no range is empty. Tasks grow with the bytes of
+    text; the driver takes SAMPLES keys for each of four ranges a task, of PREFIX characters."""
+    n, size, least = rows.agg(F.count("*"), F.sum(F.octet_length("t")), F.min(F.struct("o", "p"))).first()
+    if not n:
+        return [], 1
+    tasks = max(shuffle_partitions(rows.sparkSession), -(-size // TASK_BYTES))
+    keys = rows.select("o", "p").sample(min(1.0, 4 * tasks * SAMPLES / n), 1).collect()
+    return sorted({tuple(least), *sorted(map(tuple, keys))[::SAMPLES]}), tasks
+
+
+def _range_of(bounds: list[tuple[int, str]]) -> Column:
+    """The number of the range in which (o, p) lies."""
+    if len(bounds) < 2:
+        return F.lit(0)
+    ids, prefixes, n = F.lit([o for o, _ in bounds]), F.lit([p for _, p in bounds]), len(bounds)
+    reached = lambda i: (F.get(ids, i) < F.col("o")) | ((F.get(ids, i) == F.col("o")) & (F.get(prefixes, i) <= F.col("p")))
+    steps = F.lit([1 << k for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < n) & reached(at + step), at + step).otherwise(at))
 
 
 def successive_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,19 +170,24 @@ def successive_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points gives way to as many first ones of the next text in descending order of id
     (after the last: the first; among equal ids by text; null ids come last).
 
-    Rows are dealt by ranges of the id, and each range also gets the first row of the
-    next one, so that a text crosses the network once and memory holds one batch.
+    Rows are dealt by ranges of id and beginning of the text, so that rows of one id spread
+    too (but for equal beginnings), and each range also gets the first row of the next
+    one: a text crosses the network once and memory holds one batch.
     """
     key = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
-    bounds, least, before = _ranges(df.select(key.alias("o")))
     rows = df.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), key.alias("o"))
-    rows = rows.withColumn("r", search_sorted(bounds, F.col("o")))
-    own = F.struct(F.col("r").alias("r"), F.lit(0).alias("guest"))
-    guest = F.struct(F.get(F.lit(before), F.col("r")).alias("r"), F.lit(1).alias("guest"))
-    first = F.get(F.array(*[F.lit(x).cast("long") for x in least]) if None in least else F.lit(least), F.col("r")) == F.col("o")
-    rows = rows.select("k", "t", "o", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("to"))
-    rows = rows.select("to.r", "to.guest", "o", "k", "t").repartition(shuffle_partitions(df.sparkSession), "r")
-    rows = rows.sortWithinPartitions("r", "guest", "o", "t")
+    rows = rows.withColumn("p", F.substring("t", 1, PREFIX))
+    bounds, tasks = _bounds(rows)
+    rows = rows.withColumn("r", _range_of(bounds))
+    if bounds:
+        least = (F.get(F.lit([o for o, _ in bounds]), F.col("r")) == F.col("o")) & (F.get(F.lit([p for _, p in bounds]), F.col("r")) == F.col("p"))
+        firsts = rows.where(least).groupBy("r", "o").agg(F.min("t").alias("t"))
+        before = F.pmod(F.col("r") - 1, F.lit(len(bounds)))
+        firsts = firsts.select(before.alias("r"), F.lit(1).alias("guest"), "o", F.lit(None).cast("long").alias("k"), "t")
+        rows = rows.select("r", F.lit(0).alias("guest"), "o", "k", "t").union(firsts)
+    else:
+        rows = rows.select("r", F.lit(0).alias("guest"), "o", "k", "t")
+    rows = rows.repartition(tasks, "r").sortWithinPartitions("r", "guest", "o", "t")
     schema = pa.schema(
         [
             (id_col, pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
@@ -194,16 +207,14 @@ def successive_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
         texts: list[str] = []
-        ended = None  # the range whose guest has come; repeated rows may bring more of them
         for batch in batches:
-            got = [batch.column(i).to_pylist() for i in (0, 1, 3, 4)]
-            for a, b in slices([len(x) for x in got[3]]):
-                for r, is_guest, k, t in zip(*(c[a:b] for c in got)):
+            got = [batch.column(i).to_pylist() for i in (1, 3, 4)]
+            for a, b in slices([len(x) for x in got[2]]):
+                for is_guest, k, t in zip(*(c[a:b] for c in got)):
                     if not is_guest:
                         keys.append(k)
                         texts.append(t)
-                    elif ended != r:
-                        ended = r
+                    else:  # the last of its range
                         yield emit(keys, [*texts, t], len(keys))
                         keys, texts = [], []
                 if len(texts) > 1:

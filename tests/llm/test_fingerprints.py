@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skillgrid.llm import fingerprints as P
 
@@ -74,3 +75,23 @@ def test_one_row_and_none(spark):
     assert P.successive_edits(empty_documents(spark)).count() == 0
     assert P.fingerprint(empty_documents(spark)).count() == 0
     assert P.fingerprint(odd_documents(spark)).count() == odd_documents(spark).count()
+
+
+def test_rows_of_one_id_spread(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = sorted(words(rng, 6) for _ in range(20_000))
+    rows = [(None, t) for t in texts] + [(i, f"text {i}") for i in range(50)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    keyed = df.select(F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("o"), F.col("text").alias("t"), F.substring("text", 1, P.PREFIX).alias("p"))
+    bounds, tasks = P._bounds(keyed)
+    sizes = [r["count"] for r in keyed.groupBy(P._range_of(bounds).alias("r")).count().collect()]
+    assert tasks == 4 and len(sizes) == len(bounds) >= 4 * tasks and max(sizes) < len(rows) / 4
+    got = P.successive_edits(df)
+    # ids come down, null ids last and by text; after the last row comes the first
+    order = [t for _, t in sorted((r for r in rows if r[0] is not None), reverse=True, key=lambda r: r[0])] + texts
+    edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(order, order[1:] + order[:1])]
+    assert sorted(r[0] for r in got.select("edited_sha256").collect()) == sorted(hashlib.sha256(x.encode()).hexdigest() for x in edited)
+    monkeypatch.setattr(P, "TASK_BYTES", 20_000)
+    assert P._bounds(keyed)[1] > 20
+    assert P.successive_edits(df).exceptAll(got).isEmpty()
