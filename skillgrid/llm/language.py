@@ -23,14 +23,15 @@ languages each one's rows and bytes shrink in proportion.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable
 
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, map_batches
+from .common import Scratch, load, map_batches
 
 SAMPLE_ROWS, ROW_CHARS, DICTIONARY_BYTES, LANGUAGES = 400, 1200, 96 << 10, 128
 BLOCK, LEAD = 8 << 10, 4 << 10
@@ -59,29 +60,30 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A dictionary for each language, the most frequent first, from the labelled rows.
 
     Only texts with a letter take part. A first pass counts the distinct hashes of each
-    language (approximately, in bounded sketches) and sets a threshold which about
-    2 * rows + 200 of them pass; of what passes, the smallest hashes are taken exactly."""
+    language (approximately, in bounded sketches) and sets a threshold which about twice the
+    rows of a sample pass; of what passes, the smallest hashes are taken exactly. Thresholds
+    meet the rows in a join, and the driver sees only the samples, a language at a time."""
     rows = df.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("g"), F.col(f"`{id_col}`").alias("k"))
     rows = rows.where("g is not null and t is not null").where(F.col("t").rlike(r"\p{L}")).select("g", "t", F.xxhash64("k", "t").alias("h"))
-    counts = rows.groupBy("g").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("d")).orderBy(F.desc("n"), "g").collect()
-    if not counts:
-        return {}
-    part = min(1.0, LANGUAGES / len(counts))
+    scratch = Scratch(df.sparkSession, "languages")
+    counts = scratch.table(rows.groupBy("g").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("d")))
+    part = min(1.0, LANGUAGES / max(1, counts.count()))
     most, room = max(1, int(SAMPLE_ROWS * part)), max(8, int(DICTIONARY_BYTES * part))
     # hashes are uniform: the `most` smallest of d lie below this share, nearly surely
-    share = {r["g"]: min(1.0, (2 * most + 200) / max(1, r["d"])) for r in counts}
-    below = F.create_map(*[F.lit(x) for g, s in share.items() for x in (g, int(s * 2.0**63) * 2 - 2**63 if s < 1 else 2**63 - 1)])
+    share = F.lit(2.0 * most + 40) / F.col("d")
+    below = F.when(share < 1, ((share * 2 - 1) * 2.0**63).cast("long")).otherwise(F.lit((1 << 63) - 1))
+    limits = scratch.hint(scratch.table(counts.select("g", "n", below.alias("below"))))
     lead = F.substring(F.regexp_extract("t", r"(?s)\p{L}.*", 0), 1, ROW_CHARS)  # from the first letter on
-    picked = rows.where(F.col("h") <= F.element_at(below, F.col("g"))).groupBy("g", "h").agg(F.min(lead).alias("t"))
-    texts: dict[str, list[tuple[int, str]]] = {g: [] for g in share}
-    for r in picked.toLocalIterator():
-        texts[r["g"]].append((r["h"], r["t"]))
+    picked = rows.join(limits, "g").where("h <= below").groupBy("g", "h").agg(F.max("n").alias("n"), F.min(lead).alias("t"))
+    picked = picked.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("i") <= most)
+    picked = scratch.table(picked.select("g", "n", "i", "t")).orderBy(F.desc("n"), "g", "i")
     out = {}
-    for g, found in texts.items():
-        parts = [normal_form(t) for _, t in sorted(found)[:most]]
+    for g, found in itertools.groupby(picked.toLocalIterator(), lambda r: r["g"]):
+        parts = [normal_form(r["t"]) for r in found]
         sample = b" ".join(p for p in parts if p)[-room:]
         if sample:  # a dictionary takes 8 bytes at least
             out[g] = sample if len(sample) >= 8 else (sample + b" ") * 8
+    scratch.drop()
     return out
 
 

@@ -68,6 +68,18 @@ def test_all_labels_are_learned(spark):
     assert all(c(text)[0] == lang for _, text, lang in rows if lang.startswith("l"))
 
 
+def test_thousands_of_labels(spark):
+    df = spark.range(5000 * 60).selectExpr("id as doc_id", "concat('l', id % 5000) as lang")
+    df = df.withColumn("text", F.translate(F.concat_ws(" ", F.md5("lang"), F.sha2(F.col("doc_id").cast("string"), 256)), "0123456789", "ghijklmnop"))
+    model = L.learn(df)
+    most = int(L.SAMPLE_ROWS * L.LANGUAGES / 5000)
+    assert len(model) == 5000 and list(model) == sorted(model)
+    # a sample is the rows with the least hashes of their label
+    mine = df.where("lang = 'l77'").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(most).collect()
+    want = b" ".join(L.normal_form(r["text"]) for r in mine)
+    assert model["l77"] == want[-int(L.DICTIONARY_BYTES * L.LANGUAGES / 5000) :]
+
+
 def plain_predictions(rows, learned):
     """The whole method again, in plain steps: hashes, samples, dictionaries, sizes."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
