@@ -108,7 +108,8 @@ def day(x: Column | str) -> Column:
 
 
 def clock(x: Column | str) -> Column:
-    return F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    """Date and time as strftime writes them: Spark's yyyy puts a sign before years over 9999 and pads negative ones."""
+    return F.when(F.year(x).between(0, 9999), F.date_format(x, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(x, "y-MM-dd HH:mm:ss"))
 
 
 def _long(df: DataFrame, *names: str) -> DataFrame:

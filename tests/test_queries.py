@@ -1,5 +1,6 @@
 """Every query against its SQL, and the plans of the flagship."""
 
+import duckdb
 import pytest
 
 from skillgrid.plans import catalogue
@@ -17,6 +18,14 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     same(catalogue.QUERIES[name](spark, sf_dir), con, catalogue.ORACLES[name])
 
 
+def test_valid_times_outside_years_of_four_digits(spark, tmp_path):
+    con, path = duckdb.connect(), tmp_path / "events.parquet"
+    ids = "[NULL, 0, 2921881, 2921882, 5999999, 100000000, -730000, -730543, -730544, -740000, -5000000]"
+    con.execute(f"COPY (SELECT i::BIGINT AS event_id, 1::BIGINT AS user_id, TIMESTAMP '2024-01-01 12:34:56.789' + to_days(greatest(0, i)) AS ts, 1.0 AS value FROM unnest({ids}) AS u(i)) TO '{path}'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    same(catalogue.QUERIES["valid_time_units"](spark, str(tmp_path)), con, catalogue.ORACLES["valid_time_units"])
+
+
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
